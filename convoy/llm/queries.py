@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convoy.llm import exact_dedup
+from convoy.llm import exact_dedup, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +27,14 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_mix_sources": op10_mix_sources,
     }
 
 
