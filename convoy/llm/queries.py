@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convoy.llm import exact_dedup, mixing
+from convoy.llm import exact_dedup, mixing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,17 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return token_files.read_token_files(files)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +45,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
     }
 
