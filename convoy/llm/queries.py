@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from convoy.llm import exact_dedup, mixing, token_files
+from convoy.llm import bpe, exact_dedup, mixing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,17 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _tokenizer("word_bpe_49k.json")
+    both = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents"), path), path)
+    return both.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return token_files.read_token_files(files)
@@ -45,6 +57,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
+        "op3_bpe": op3_bpe,
         "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
     }
