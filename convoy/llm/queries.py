@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, mixing, token_files
+from convoy.llm import bpe, exact_dedup, language_id, mixing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language_id.in_fold("doc_id", 4, 2)
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
     return token_files.read_token_files(files)
@@ -58,6 +65,7 @@ def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
         "op3_bpe": op3_bpe,
+        "op6_language_id": op6_language_id,
         "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
     }
