@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, language_id, mixing, token_files
+from convoy.llm import bpe, exact_dedup, language_id, mixing, ngram_join, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("word_bpe_49k.json")
     both = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents"), path), path)
@@ -64,6 +68,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
+        "op1_ngram_join": op1_ngram_join,
         "op3_bpe": op3_bpe,
         "op6_language_id": op6_language_id,
         "op9_token_files": op9_token_files,
