@@ -2,7 +2,8 @@
 
 The vocabulary's pattern starts a piece at each single space between two other characters,
 so such a text can be cut there and its units encoded once each; a text in which a space
-meets other white space is encoded whole.
+meets other white space is encoded whole. Units in turn are cut into the pattern's pieces,
+which recur more often; the library encodes each new piece.
 """
 
 from __future__ import annotations
@@ -13,51 +14,68 @@ from collections.abc import Callable
 from functools import cache
 
 import numpy as np
+import regex
 
-#: Units that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+#: Units that a worker has at hand; those used since the last turn stay for the next.
+REMEMBERED = 250_000
 _NEXT_TO_SPACE = re.compile(r" \s|\s ")
 _NEWLINE = 198  # fixed: the vocabulary's id of a line feed on its own
+#: Units of these characters only are cut: letters and digits are the same in every version of Unicode.
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
 
 
 @cache
 def unit_encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as little-endian uint16; path: the tokenizer's file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    pieces: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
     known: dict[str, bytes] = {}
 
     def whole(text: str) -> np.ndarray:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def learn(units: set[str]) -> None:
-        """Units that hold no line feed go through the encoder together, one on each line."""
-        alone = [u for u in units if not u or "\n" in u]
-        for u in alone:
-            known[u] = whole(f" {u}").tobytes()
-        together = list(units.difference(alone))
-        if together:
-            ids = whole("\n".join([f" {u}" for u in together]))
-            cuts = np.flatnonzero(ids == _NEWLINE)
+        """New pieces go through the encoder together, one on each line."""
+        cut: list[tuple[str, list[str]]] = []
+        for u in units:
+            if _PLAIN.fullmatch(u) and "<|" not in u:
+                cut.append((u, pattern.findall(f" {u}")))
+            else:
+                known[u] = whole(f" {u}").tobytes()
+        new = list({p for _, found in cut for p in found if p not in pieces})
+        if new:
+            ids = whole("\n".join(new))
             flat, begin = ids.tobytes(), 0
-            for u, end in zip(together, [*cuts.tolist(), len(ids)], strict=True):
-                known[u] = flat[2 * begin : 2 * end]
+            for p, end in zip(new, [*np.flatnonzero(ids == _NEWLINE).tolist(), len(ids)], strict=True):
+                pieces[p] = flat[2 * begin : 2 * end]
                 begin = end + 1
+        for u, found in cut:
+            known[u] = pieces[found[0]] if len(found) == 1 else b"".join(map(pieces.__getitem__, found))
 
     def encode(text: str) -> bytes:
+        nonlocal before, known
         if _NEXT_TO_SPACE.search(text):
             return whole(text).tobytes()
         first, *units = text.split(" ")
         new = {u for u in units if u not in known}
         if new:
             if len(known) > REMEMBERED:
-                known.clear()
+                before, known = known, {}
                 new = set(units)
-            learn(new)
+            if len(pieces) > 2 * REMEMBERED:
+                pieces.clear()
+            again = {u for u in new if u in before}
+            for u in again:
+                known[u] = before[u]
+            learn(new - again)
         return whole(first).tobytes() + b"".join(map(known.__getitem__, units))
 
     return encode

@@ -27,8 +27,9 @@ class Table:
 
     @staticmethod
     def of(ids: np.ndarray) -> Table:
-        symbols, counts = np.unique(ids, return_counts=True)
-        return Table(symbols.astype(np.uint32), _scaled(counts).astype(np.uint32))
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        return Table(symbols.astype(np.uint32), _scaled(counts[symbols]).astype(np.uint32))
 
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.freqs.astype(np.int64))])
@@ -68,8 +69,9 @@ def encode(ids: np.ndarray, table: Table, lanes: int, every: int) -> Block:
     """One block; every: steps between checkpoints."""
     n = len(ids)
     lanes = max(1, min(lanes, n))
-    place = np.searchsorted(table.symbols, ids)
-    freq, start = table.freqs[place].astype(U64), table.starts()[place].astype(U64)
+    by_symbol = np.zeros((2, int(table.symbols[-1]) + 1 if len(table.symbols) else 1), U64)
+    by_symbol[:, table.symbols] = table.freqs, table.starts()[:-1]
+    freq, start = by_symbol[0][ids], by_symbol[1][ids]
     steps = -(-n // lanes)
     state = np.full(lanes, LOW, U64)
     out: list[np.ndarray] = []
@@ -77,14 +79,12 @@ def encode(ids: np.ndarray, table: Table, lanes: int, every: int) -> Block:
     for t in range(steps - 1, -1, -1):
         lo, hi = t * lanes, min(n, (t + 1) * lanes)
         f, c, x = freq[lo:hi], start[lo:hi], state[: hi - lo]
-        full = x >= f << U64(63 - SCALE)
-        if full.any():
-            out.append((x[full] & U64(0xFFFFFFFF)).astype(np.uint32))
-            x = np.where(full, x >> U64(32), x)
-        else:
-            out.append(np.zeros(0, np.uint32))
+        full = np.flatnonzero(x >= f << U64(63 - SCALE))
+        over = x[full]
+        out.append(over.astype(np.uint32))
+        x[full] = over >> U64(32)
         q = x // f
-        state[: hi - lo] = (q << U64(SCALE)) + (x - q * f) + c
+        x += q * (U64(TOTAL) - f) + c
         if t % every == 0:
             marks.append((t, state.copy()))
     out.reverse()

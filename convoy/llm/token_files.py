@@ -28,8 +28,8 @@ class TokenFiles:
     end_id: int = 2
     docs_per_file: int = 2_000
     block_tokens: int = 1 << 17
-    lanes: int = 512
-    checkpoint_steps: int = 128
+    lanes: int = 1_024
+    checkpoint_steps: int = 64
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, how: TokenFiles = TokenFiles(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
