@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, language_id, mixing, ngram_join, token_files
+from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"), language_id.in_fold("doc_id", 5, 1))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _tokenizer("word_bpe_49k.json")
     both = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents"), path), path)
@@ -69,6 +73,7 @@ def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
         "op1_ngram_join": op1_ngram_join,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_bpe": op3_bpe,
         "op6_language_id": op6_language_id,
         "op9_token_files": op9_token_files,
