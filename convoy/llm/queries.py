@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, token_files
+from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, substring_dedup, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = language_id.in_fold("doc_id", 4, 2)
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op1_ngram_join": op1_ngram_join,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_bpe": op3_bpe,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_language_id": op6_language_id,
         "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
