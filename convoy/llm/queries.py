@@ -28,7 +28,7 @@ FROM n JOIN g ON n.t = g.t
 """
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -43,7 +43,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _tokenizer("word_bpe_49k.json")
+    path = tokenizer_path("word_bpe_49k.json")
     both = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents"), path), path)
     return both.select(
         "doc_id",
@@ -105,7 +105,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write_token_files(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    files = token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return token_files.read_token_files(files)
 
 
