@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convoy.llm.components import components
@@ -31,23 +31,34 @@ from convoy.llm.text import U64, binary_column, from_binary, mix64, raw, sequenc
 class Likeness:
     """Shingles of so many words; linked when per * intersection >= least * union.
 
-    A shingle that local_heavy documents of one batch share counts as frequent, and the
+    A shingle that local_heavy documents of one batch share counts as frequent, and about the
     known_heavy most frequent are ordered by how many documents hold them. Any order of
     shingles gives the same links; this one keeps frequent ones out of the first block.
-    hub_rounds: rounds against hubs before the exact rest.
+    meets: how many columns of the first block linked documents share at least. hub_rounds:
+    rounds against hubs before the exact rest. few: ids up to which a join is by broadcast.
     """
 
     words: int = 4
     least: int = 85
     per: int = 100
-    local_heavy: int = 8
-    known_heavy: int = 1 << 17
+    local_heavy: int = 3
+    known_heavy: int = 1 << 20
+    meets: int = 3
     hub_rounds: int = 3
+    few: int = 400_000
 
     def needed(self, n: np.ndarray) -> np.ndarray:
         """The smallest overlap with any partner that a set of n can be linked at."""
         return -(-self.least * n // self.per)
 
+    def meetings(self, n: Column) -> Column:
+        """How many columns of the first block a set of n shares with each linked partner at least."""
+        return F.least(F.lit(self.meets), F.ceil(F.lit(self.least) * n / F.lit(self.per)))
+
+
+#: Shingles that a task counts before it hands on.
+FLUSH = 4_000_000
+
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """By slice of the column: (from row, to row, distinct shingles ascending by text, bounds)."""
@@ -83,17 +94,35 @@ def _frequent(docs: DataFrame, how: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles, ascending, and their rank by count; at most known_heavy of them come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            value, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            many = times >= how.local_heavy
+            return pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["g", "n"])
+
         for batch in batches:
             for _, _, flat, _ in shingle_sets(batch.column("_text"), how.words):
-                value, times = np.unique(flat, return_counts=True)
-                many = times >= how.local_heavy
-                yield pa.RecordBatch.from_arrays([pa.array(value[many].view(np.int64)), pa.array(times[many].astype(np.int64))], names=["g", "n"])
-
-    top = docs.select("_text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(how.known_heavy).toArrow()
+                held.append(flat)
+                if sum(map(len, held)) >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+
+    counts = materialize(docs.select("_text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "ngram_frequent")
+    # From which count on there are at most known_heavy: from the counts' own few values.
+    above, least = 0, 1
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
+        above += r["count"]
+        if above > how.known_heavy:
+            least = r["n"] + 1
+            break
+    top = counts.where(F.col("n") >= least).toArrow()
     grams = top.column("g").to_numpy().view(U64) if top.num_rows else np.zeros(0, U64)
-    rank = np.arange(len(grams), 0, -1)
+    times = top.column("n").to_numpy() if top.num_rows else np.zeros(0, np.int64)
     order = np.argsort(grams)
-    return grams[order], rank[order]
+    return grams[order], np.minimum(times[order], 2**31 - 1).astype(np.int32)
 
 
 def _features(docs: DataFrame, how: Likeness, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -110,12 +139,13 @@ def _features(docs: DataFrame, how: Likeness, heavy: tuple[np.ndarray, np.ndarra
                 if len(grams):
                     at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
                     place = np.where(grams[at] == flat, rank[at], 0)
-                length = np.where(n > 0, n - how.needed(n) + 1, 0)
+                # A prefix longer by k holds k more of what linked sets share.
+                length = np.where(n > 0, n - how.needed(n) + np.minimum(how.meets, how.needed(n)), 0)
                 first = []
                 for k in range(j - i):
                     own, p = flat[bounds[k] : bounds[k + 1]], place[bounds[k] : bounds[k + 1]]
                     if p.any():
-                        own = own[np.argsort(p, kind="stable")]
+                        own = own[np.argsort(p, kind="stable")]  # of equal counts, by value
                     first.append(own[: length[k]])
                 lengths = np.concatenate([[0], np.cumsum(length)])
                 yield pa.RecordBatch.from_arrays(
@@ -167,7 +197,7 @@ def _shared_only(postings: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, how: Likeness) -> DataFrame:
-    """(id, set): whole sets, ascending, of the classes that share a column of the first block."""
+    """(id, set): whole sets, ascending, of the wanted classes (id, k1, k2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +208,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, how: Likeness) -> DataFrame:
                 out = pa.RecordBatch.from_arrays([part.column("_id"), binary_column(flat, bounds)], names=["id", "set"])
                 yield out.filter(pa.array(ours))
 
-    return docs.join(wanted.select(F.col("id").alias("_id"), "k1", "k2"), "_id").select("_id", "_text", "k1", "k2").mapInArrow(run, "id long, set binary")
+    keys = materialize(wanted.select(F.col("id").alias("_id"), "k1", "k2"), "ngram_wanted")
+    if keys.count() <= how.few:
+        keys = F.broadcast(keys)  # 24 bytes a row; beyond, both sides are shuffled
+    return docs.join(keys, "_id").select("_id", "_text", "k1", "k2").mapInArrow(run, "id long, set binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
@@ -204,7 +237,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _sizes_fit(a: str, b: str, how: Likeness) -> F.Column:
+def _sizes_fit(a: str, b: str, how: Likeness) -> Column:
     return (F.lit(how.per) * F.least(a, b)) >= (F.lit(how.least) * F.greatest(a, b))
 
 
@@ -223,8 +256,6 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
     # The hub of a column is the document that meets most others over all its columns.
     sizes = shared.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     met = shared.join(sizes, "g").groupBy("id").agg(F.sum("df").alias("met"))
-    sets = materialize(_whole_sets(rows, classes.join(met.select("id"), "id", "left_semi"), how), "ngram_sets")
-
     links: DataFrame | None = None
     tried: DataFrame | None = None
     known: DataFrame | None = None
@@ -247,7 +278,9 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
             by = F.struct("met", F.xxhash64("id", F.lit(turn))) if turn == 0 else F.struct(F.xxhash64("c", F.lit(turn)), "met")
             hubs = open_rows.groupBy("g").agg(F.max_by(F.struct("id", "n", "c"), by).alias("hub"))
             star = open_rows.join(hubs, "g").where((F.col("hub.c") != F.col("c")) & _sizes_fit("n", "hub.n", how))
-            pairs = star.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
+            star = star.groupBy(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("n", "hub.n")).alias("n"))
+            # A pair that meets too rarely here is left for another hub, or the exact rest.
+            pairs = star.where(F.col("overlap") >= how.meetings(F.col("n"))).select("a", "b")
         else:
             # The product over the first block, across components: overlap so far, and what can follow the last shared place.
             x, y = open_rows.select("g", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "place", "c")]), open_rows.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "place", "c")])
@@ -256,11 +289,14 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
                 F.count(F.lit(1)).alias("overlap"), F.max("place_x").alias("px"), F.max("place_y").alias("py"), F.min("n_x").alias("nx"), F.min("n_y").alias("ny")
             )
             can_be = F.col("overlap") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
+            block = block.where(F.col("overlap") >= how.meetings(F.least("nx", "ny")))
             pairs = block.where((how.per + how.least) * can_be >= how.least * (F.col("nx") + F.col("ny"))).select("a", "b")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram_pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = materialize(_whole_sets(rows, classes.select("id", "k1", "k2").join(wanted, "id", "left_semi"), how), "ngram_sets")
         new = materialize(_linked(pairs, sets, how), "ngram_links")
         links = new if links is None else links.unionByName(new)
         known = components(links)
