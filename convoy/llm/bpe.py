@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from convoy.llm.text import raw, slices
 
 #: Units that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Fixed: Unicode's White_Space characters, which the tokenizer's \s stands for.
 _WHITE_SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Characters that str.split() counts as white space but the tokenizer does not.
@@ -172,3 +172,21 @@ def decode_ids(tokens: DataFrame, path: str, ids_col: str = "token_ids") -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, token_ids and decoded in one pass: one Python worker per task in place of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = word_bpe(path)
+
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            texts = pa.array([bpe.decode(x) for x in ids], pa.string())
+            return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids))), texts], names=[id_col, "token_ids", "decoded"])
+
+        return _by_slice(batches, text_col, work)
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -12,7 +12,12 @@ from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, su
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is in memory on both sides.
+BATCH_ROWS = 2_000
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,8 +49,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("word_bpe_49k.json")
-    both = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents"), path), path)
-    return both.select(
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), path).select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
