@@ -23,17 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoy.llm.shared import materialize
-from convoy.llm.text import U64, mix64, raw, sequence_hashes, slices, spans, word_hashes
+from convoy.llm.text import U64, raw, sequence_hashes, slices, spans, word_hashes
+
+
+#: Rows that a task settles together before it hands them on.
+FLUSH = 1_000_000
 
 
 @dataclass(frozen=True)
 class Windows:
-    """window: words. gram: words of a fingerprint. batches: parts in which documents arrive. most_runs: more are compacted."""
+    """window: words. gram: words of a fingerprint. batches: parts in which documents arrive. most_runs: more are compacted.
+    small: MB up to which the places of repeats are broadcast to the texts; beyond, both are shuffled."""
 
     window: int = 35
     gram: int = 10
     batches: int = 2
     most_runs: int = 4
+    small: int = 64
 
 
 _PLACE_BITS = U64(28)
@@ -59,11 +65,6 @@ def _selected(grams: np.ndarray, gram_bounds: np.ndarray, bounds: np.ndarray, ho
     return (least[gram_bounds[text] + start] & _PLACE).astype(np.int64), text, start
 
 
-def _route(kind: np.ndarray, h: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Where a row goes: candidates by hash, settled rows anywhere."""
-    return np.where(kind == 0, h, mix64(key.view(U64) + at.astype(U64)).view(np.int64))
-
-
 def _settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """One candidate row for each pair of hashes, with its number; its other rows repeat for certain (kind 1)."""
     by = np.lexsort((h2, h1))
@@ -75,11 +76,11 @@ def _settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) ->
     n[first] = np.diff(np.append(first, len(h1)))
     kind = (~new).astype(np.int8)
     a, b = h1.view(np.int64), h2.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(_route(kind, a, key, at)), pa.array(kind), pa.array(a), pa.array(b), pa.array(key), pa.array(at.astype(np.int32)), pa.array(n)], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(key), pa.array(at.astype(np.int32)), pa.array(n)], names=_NAMES)
 
 
-_NAMES = ["route", "kind", "h1", "h2", "key", "at", "n"]
-_ROWS = "route long, kind byte, h1 long, h2 long, key long, at int, n long"
+_NAMES = ["kind", "h1", "h2", "key", "at", "n"]
+_ROWS = "kind byte, h1 long, h2 long, key long, at int, n long"
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,9 @@ def _meet(rows: DataFrame, keep_index: bool) -> DataFrame:
             yield from out
 
     names = ["kind", "h1", "key", "at", "n"]
-    return rows.repartition("route").sortWithinPartitions("kind", "h1", "h2").mapInArrow(run, "kind byte, h1 long, key long, at int, n long")
+    # Candidates meet by hash; settled rows can go anywhere.
+    where = F.when(F.col("kind") == 0, F.col("h1")).otherwise(F.xxhash64("key", "at"))
+    return rows.repartition(where).sortWithinPartitions("kind", "h1", "h2").mapInArrow(run, "kind byte, h1 long, key long, at int, n long")
 
 
 class FingerprintIndex:
@@ -142,10 +145,16 @@ class FingerprintIndex:
         how = self.how
 
         def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def flush() -> pa.RecordBatch:
+                h, key, at = (np.concatenate([f[k] for f in found]) for k in range(3))
+                found.clear()
+                return _settle(h, np.zeros_like(h), key, at)
+
             for part in batches:
                 data, offsets = raw(part.column("text"))
                 keys = part.column("key").to_numpy()
-                found = []
                 for i, j in slices(offsets):
                     s, e, bounds = spans(data, offsets[i : j + 1])
                     grams, gram_bounds = sequence_hashes(word_hashes(data, s, e, lower=False), bounds, how.gram)
@@ -154,9 +163,10 @@ class FingerprintIndex:
                     first[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
                     place, text = place[first], text[first]
                     found.append((grams[place], keys[i:j][text], place - gram_bounds[text]))
-                if found:
-                    h, key, at = (np.concatenate([f[k] for f in found]) for k in range(3))
-                    yield _settle(h, np.zeros_like(h), key, at)
+                    if sum(len(f[0]) for f in found) >= FLUSH:
+                        yield flush()
+            if found:
+                yield flush()
 
         met = materialize(_meet(batch.mapInArrow(fingerprints, _ROWS), keep_index=True), "fingerprints")
         run = met.where("kind = 0").drop("kind")
@@ -187,6 +197,13 @@ def _verified(touched: DataFrame, how: Windows) -> DataFrame:
     """(key, starts): first words of windows that occur again, by all their words."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate([f[k] for f in found]) for k in range(4)]
+            found.clear()
+            return _settle(*columns)
+
         for part in batches:
             data, offsets = raw(part.column("text"))
             keys = part.column("key").to_numpy()
@@ -203,7 +220,11 @@ def _verified(touched: DataFrame, how: Windows) -> DataFrame:
                 h1, window_bounds = sequence_hashes(words, bounds, how.window, seed=3)
                 h2, _ = sequence_hashes(words, bounds, how.window, seed=4)
                 at = window_bounds[text[asked]] + start[asked]
-                yield _settle(h1[at], h2[at], keys[i:j][text[asked]], start[asked])
+                found.append((h1[at], h2[at], keys[i:j][text[asked]], start[asked]))
+                if sum(len(f[0]) for f in found) >= FLUSH:
+                    yield flush()
+        if found:
+            yield flush()
 
     met = _meet(touched.select("key", "text", "places").mapInArrow(windows, _ROWS), keep_index=False)
     return met.groupBy("key").agg(F.collect_list("at").alias("starts"))
@@ -226,6 +247,10 @@ def remove_repeats(docs: DataFrame, how: Windows = Windows(), id_col: str = "doc
         new = index.add(arrived)
         places = new if places is None else places.unionByName(new)
     by_text = places.groupBy("key").agg(F.collect_list("at").alias("places"))
+    by_text = materialize(by_text, "places_by_text")
+    size = by_text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
+    if 32 * size["n"] + 4 * (size["places"] or 0) <= how.small << 20:
+        by_text = F.broadcast(by_text)
     touched = materialize(rows.select("key", "text").join(by_text, "key"), "touched")
     found = _verified(touched, how)
 
