@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.llm import bpe, exact_dedup, language_id, mixing, ngram_join
-from convoy.llm.queries import tokenizer_path
+from convoy.llm.queries import BATCH_ROWS, tokenizer_path
 from convoy.llm.shared import materialize
 
 #: The language model must prefer a language by so much; four equal ones would have a quarter each.
@@ -19,6 +19,7 @@ MIX = mixing.Mix(block_words=256)
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or in none of the languages that the labels teach, go. Without labels none can be judged, and all stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     model = language_id.fit(docs)
     if not model.languages:
         return docs
@@ -46,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, decoded_sha256 (of the ids decoded again)."""
     path = tokenizer_path("word_bpe_49k.json")
-    both = bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    both = bpe.round_trip(docs, path)
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
