@@ -3,30 +3,56 @@
 The vocabulary's pattern starts a piece at each single space between two other characters,
 so such a text can be cut there and its units encoded once each; a text in which a space
 meets other white space is encoded whole. Units in turn are cut into the pattern's pieces,
-which recur more often; the library encodes each new piece.
+which recur more often; the library's model encodes each new piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 from functools import cache
 
-import numpy as np
 import regex
 
+from convoy.llm.bpe import byte_symbols
+
 #: Units that a worker has at hand; those used since the last turn stay for the next.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _NEXT_TO_SPACE = re.compile(r" \s|\s ")
-_NEWLINE = 198  # fixed: the vocabulary's id of a line feed on its own
 #: Units of these characters only are cut: letters and digits are the same in every version of Unicode.
 _PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("H", ids).tobytes()
+
+
+class _Remembered(dict):
+    """Values by key, made when first asked for. Of two generations the older goes when the newer is full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()
+
+
 @cache
 def unit_encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as little-endian uint16; path: the tokenizer's file."""
+    """A function from a text to its ids as uint16; path: the tokenizer's file."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -34,48 +60,31 @@ def unit_encoder(path: str) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    pattern = regex.compile(public_tokenizers.PATTERN)
-    pieces: dict[str, bytes] = {}
-    before: dict[str, bytes] = {}
-    known: dict[str, bytes] = {}
-
-    def whole(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
-
-    def learn(units: set[str]) -> None:
-        """New pieces go through the encoder together, one on each line."""
-        cut: list[tuple[str, list[str]]] = []
-        for u in units:
-            if _PLAIN.fullmatch(u) and "<|" not in u:
-                cut.append((u, pattern.findall(f" {u}")))
-            else:
-                known[u] = whole(f" {u}").tobytes()
-        new = list({p for _, found in cut for p in found if p not in pieces})
-        if new:
-            ids = whole("\n".join(new))
-            flat, begin = ids.tobytes(), 0
-            for p, end in zip(new, [*np.flatnonzero(ids == _NEWLINE).tolist(), len(ids)], strict=True):
-                pieces[p] = flat[2 * begin : 2 * end]
-                begin = end + 1
-        for u, found in cut:
-            known[u] = pieces[found[0]] if len(found) == 1 else b"".join(map(pieces.__getitem__, found))
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    model, symbols = tokenizer.model, dict(enumerate(byte_symbols()))
+
+    def whole(text: str) -> bytes:
+        return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def piece(text: str) -> bytes:
+        return _packed([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(symbols))])
+
+    pieces = _Remembered(piece, REMEMBERED)
+
+    def unit(text: str) -> bytes:
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return whole(f" {text}")
+        found = split(f" {text}")
+        return pieces[found[0]] if len(found) == 1 else b"".join(map(pieces.__getitem__, found))
+
+    units = _Remembered(unit, REMEMBERED)
 
     def encode(text: str) -> bytes:
-        nonlocal before, known
         if _NEXT_TO_SPACE.search(text):
-            return whole(text).tobytes()
-        first, *units = text.split(" ")
-        new = {u for u in units if u not in known}
-        if new:
-            if len(known) > REMEMBERED:
-                before, known = known, {}
-                new = set(units)
-            if len(pieces) > 2 * REMEMBERED:
-                pieces.clear()
-            again = {u for u in new if u in before}
-            for u in again:
-                known[u] = before[u]
-            learn(new - again)
-        return whole(first).tobytes() + b"".join(map(known.__getitem__, units))
+            return whole(text)
+        first, *rest = text.split(" ")
+        units.turn()
+        pieces.turn()
+        return whole(first) + b"".join(map(units.__getitem__, rest))
 
     return encode
