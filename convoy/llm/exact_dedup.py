@@ -48,8 +48,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without exact copies, all columns kept. Of rows that repeat an id with one text, one stays."""
-    hashed = docs.select("*", normalised(text_col).alias("_norm"))
-    names = docs.columns
+    names, norm = docs.columns, "__convoy_norm"
+    hashed = docs.select("*", normalised(text_col).alias(norm))
     first = F.min_by(F.struct(*[F.col(c) for c in names]), F.struct(F.col(id_col).isNull(), F.col(id_col)))
-    kept = hashed.groupBy(F.md5("_norm").alias("_h"), "_norm").agg(first.alias("_row"))
+    kept = hashed.groupBy(F.md5(norm).alias("_h"), norm).agg(first.alias("_row"))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in names])

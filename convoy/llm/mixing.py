@@ -224,12 +224,14 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     without words aren't drawn. Rows that share an id, size and source share their draws.
     """
     plan = mix_sources(docs, mix, id_col, text_col, source_col, whole_documents=True)
-    alike = plan.groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_words"), F.col(source_col).alias("_source")).agg(
-        F.sum(F.size("draws")).alias("_draws"), F.count(F.lit(1)).alias("_rows"), F.min(F.get("draws.shard", F.lit(0))).alias("_shard")
+    # Names that no table has: the columns of docs keep theirs.
+    i, z, o, shard, draws, n, each, size = (f"__convoy_{x}" for x in ("id", "words", "source", "shard", "draws", "rows", "copy", "size"))
+    alike = plan.groupBy(F.col(id_col).alias(i), F.col("size").alias(z), F.col(source_col).alias(o)).agg(
+        F.sum(F.size("draws")).alias(draws), F.count(F.lit(1)).alias(n), F.min(F.get("draws.shard", F.lit(0))).alias(shard)
     )
-    copies = alike.where("_draws > 0").withColumn("_copies", F.ceil(F.col("_draws") / F.col("_rows")).cast("int")).drop("_draws", "_rows")
-    left = docs.withColumn("_size", word_count(text_col))
-    same = left[id_col].eqNullSafe(copies["_id"]) & (left["_size"] == copies["_words"]) & left[source_col].eqNullSafe(copies["_source"])
-    drawn = left.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    shuffled = drawn.sortWithinPartitions("_shard", F.xxhash64(F.lit(mix.seed + 2), "_id", "_copy"))
+    copies = alike.where(F.col(draws) > 0).select(i, z, o, shard, F.ceil(F.col(draws) / F.col(n)).cast("int").alias(n))
+    left = docs.withColumn(size, word_count(text_col))
+    same = left[id_col].eqNullSafe(copies[i]) & (left[size] == copies[z]) & left[source_col].eqNullSafe(copies[o])
+    drawn = left.join(copies, same).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n))))
+    shuffled = drawn.sortWithinPartitions(shard, F.xxhash64(F.lit(mix.seed + 2), F.col(i), F.col(each)))
     return shuffled.select(*[left[c] for c in docs.columns])

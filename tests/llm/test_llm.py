@@ -1,0 +1,445 @@
+"""The operators against brute force, the tokenizer library, exact round trips and held-out accuracy."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, queries, rans, substring_dedup, text, token_files, topk, url_filter
+from convoy.llm.byte_tokens import unit_encoder
+from convoy.llm.components import components
+from convoy.llm.queries import tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, _id string, key string"
+
+
+def words(t, lower=False):
+    return WORD.findall((t or "").translate(LOWER) if lower else t or "")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns whose names clash with inner ones."""
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [
+        (1, "The same text, twice over, and then some more of it.", "en", "a", "x", "k"),
+        (2, "The same  text, twice over,\nand then some more of it.", "en", "a", "x", "k"),
+        (2, "The same  text, twice over,\nand then some more of it.", "en", "a", "x", "k"),
+        (3, None, None, None, None, None),
+        (4, "", "en", "b", None, None),
+        (5, " \t\n", "fr", "b", None, None),
+        (6, long, "en", None, None, None),
+        (7, long + " end", "en", "c", None, None),
+        (8, "one", "fr", "c", None, None),
+        (9, "!!! 123 ...", None, "c", None, None),
+        (10, "straße é 日本 \x1c x", "fr", "é", None, None),
+        (None, "no id here", "en", "a", None, None),
+    ]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_kernel_finds_words_and_hashes_by_content():
+    texts = ["Hello  World foo", "", None, "a", "  \n", "x y z w v u", "foo hello WORLD foo é à　b", "A\tb\x0bC\x1cd"]
+    data, offs = text.raw(pa.array(texts))
+    s, e, bounds = text.spans(data, offs)
+    assert [[bytes(data[s[k] : e[k]]).decode() for k in range(bounds[i], bounds[i + 1])] for i in range(len(texts))] == [words(t) for t in texts]
+    h = text.word_hashes(data, s, e, lower=True)
+    by = collections.defaultdict(set)
+    for k in range(len(s)):
+        by[bytes(data[s[k] : e[k]]).decode().translate(LOWER)].add(int(h[k]))
+    assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+
+
+# 1 N-gram Jaccard join
+
+
+def jaccard(rows, n, least, per):
+    sets = {}
+    for i, t in rows:
+        w = words(t, lower=True)
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    held = collections.defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            held[g].append(i)
+    overlap = collections.Counter((a, b) for ids in held.values() for a in ids for b in ids if a < b)
+    up = {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), o in overlap.items():
+        if per * o >= least * (len(sets[a]) + len(sets[b]) - o):
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_ngram_join_matches_brute_force(spark, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_join(spark, SF).collect()}
+    assert got == jaccard([(r.doc_id, r.text) for r in docs.collect()], 4, 85, 100)
+
+
+def test_ngram_join_chains_and_hot_columns(spark):
+    random.seed(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in random.sample(range(120), i % 4):
+            w[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"{c}{j}" for j in range(9))) for i, c in enumerate("pqrs")]
+    rows += [(200 + i, "a very common line of words stands here " + " ".join(f"u{i}_{j}" for j in range(40))) for i in range(40)]
+    rows += [(300, "a b"), (301, "A B"), (302, "a b c"), (303, "b a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in (ngram_join.Likeness(), ngram_join.Likeness(words=5, least=80), ngram_join.Likeness(local_heavy=1000, meets=1, few=0), ngram_join.Likeness(hub_rounds=0)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, how).collect()}
+        assert got == jaccard(rows, how.words, how.least, how.per)
+
+
+def test_ngram_join_odd_rows(spark, odd):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd).collect()]
+    assert len(got) == 12
+    by = {i: (n, c) for i, n, c in got}
+    assert by[2] == by[1] == (8, 1) and by[3] == (0, 3) and by[5] == (0, 5) and by[7][1] == 6 and by[None] == (1, None)
+    assert ngram_join.jaccard_components(odd.limit(0)).count() == 0
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(5, 4), (4, 5), (4, 3), (9, 8), (7, 9), (2, 2)], "a long, b long")
+    assert {(r.node, r.component) for r in components(links).collect()} == {(3, 3), (4, 3), (5, 3), (7, 7), (8, 7), (9, 7)}
+    assert components(links.limit(0)).count() == 0
+
+
+# 2 Language model
+
+
+def test_lm_base_is_exact_and_the_model_is_better(spark, docs):
+    got = {r.doc_id: r for r in queries.op2_lm_scoring(spark, SF).collect()}
+    tokens = {r.doc_id: [*words(r.text, lower=True), None] for r in docs.collect()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    c = collections.Counter(w for i, t in tokens.items() if not out[i] for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(t), sum(c[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_lm_probabilities_sum_to_one():
+    tokens = [0, 1, 2, 0, 1, 3, 0, 1, 2, 4, 1, 2, 0]
+    k = 5
+    count = np.bincount(tokens, minlength=k)
+    two = collections.Counter(a * (k + 1) + b for a, b in zip(tokens, tokens[1:] + [k], strict=True))
+    key2 = np.array(sorted(two))
+    c2 = np.array([two[x] for x in key2.tolist()])
+    place = {x: i for i, x in enumerate(key2.tolist())}
+    seq = tokens + [k]
+    three = collections.Counter(place[a * (k + 1) + b] * (k + 1) + c for a, b, c in zip(seq, seq[1:], seq[2:], strict=False))
+    key3 = np.array(sorted(three))
+    c3 = np.array([three[x] for x in key3.tolist()])
+    total, distinct = len(tokens) + 1, k + 1
+    model = lm.build(np.arange(k, dtype=np.uint64), count, 1, total, distinct, (key2, c2), (key3, c3), lm.Order())
+    score = model.traversal()
+    unseen = 0.5 / (total + 0.5 * (distinct + 1))
+    for context in ([], [0], [0, 1], [1, 2], [3], [2, 0]):
+        before = score(context)
+        seen = sum(10 ** (score([*context, w]) - before) for w in range(k + 1))
+        assert seen + 10 ** (score([*context, -1]) - before) * unseen == pytest.approx(1)
+
+
+def test_lm_odd_rows(spark, odd):
+    held = language_id.in_fold("doc_id", 5, 1)
+    got = lm.score_documents(odd, held).collect()
+    assert len(got) == 12 and all(r.score <= 0 and not math.isnan(r.score) for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+    assert lm.score_documents(odd.limit(0), held).count() == 0
+    nothing = lm.score_documents(odd, F.lit(True)).collect()
+    assert all(r.train_tokens == 0 and r.base_score == pytest.approx(0) and r.n_known == 0 for r in nothing)
+
+
+# 3 BPE
+
+
+ALPHABET = [" ", " ", "a", "b", "The", "ing", "\n", "\t", "\xa0", "é", "É", "12", "'s", "'S", "!", "<|endoftext|>", "<|StartOfText|>", "　", "\x1c", "\x85", "日本", "’", "\r\n", "é", "Σ", "ΑΣ", "İ", "ß", "ﬁ", "Ω", "½", "٣", "\x00", "hello", "world", "𝒜", "🙂"]
+
+
+def test_bpe_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    ours, theirs = bpe.word_bpe(path), Tokenizer.from_file(path)
+    random.seed(1)
+    cases = ["".join(random.choice(ALPHABET) for _ in range(random.randint(0, 14))) for _ in range(3000)] + ["ab" * 5000 + "x1y2!?" * 300]
+    for case in cases:
+        ids = theirs.encode(case, add_special_tokens=False).ids
+        assert ours.encode(case).tolist() == ids, case
+        assert ours.decode(np.array(ids)) == theirs.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_query(spark, docs):
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    got = {r.doc_id: r for r in queries.op3_bpe(spark, SF).collect()}
+    for r in docs.collect():
+        ids = theirs.encode(r.text, add_special_tokens=False).ids
+        x = got[r.doc_id]
+        assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert x.decoded_sha256 == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_odd_rows(spark, odd):
+    path = tokenizer_path("word_bpe_49k.json")
+    two = {(r.doc_id, tuple(r.token_ids), r.decoded) for r in bpe.decode_ids(bpe.encode_texts(odd, path), path).collect()}
+    one = {(r.doc_id, tuple(r.token_ids), r.decoded) for r in bpe.round_trip(odd, path).collect()}
+    assert one == two and (3, (), "") in one and (5, (), "") in one
+    assert bpe.round_trip(odd.limit(0), path).count() == 0
+
+
+# 4 URL filter
+
+
+def test_url_filter_small_cases(spark):
+    urls = ["http://A.Org/x", "http://org", "https://m.example.org/es/1", "http://example.org/en/12", "http://x.com/fr/", "http://x.com/de/9?q", "ftp://notorg/", "no scheme", None, "", "http://y.net/", "http://example.org?x=/es/", "http:///es/"]
+    rows = [(i, u) for i, u in enumerate(urls)]
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), queries.URL_RULES).collect()}
+    assert got[0] == ("a.org", "/x", "org/", "allow")
+    assert got[1] == ("org", "", None, "allow")
+    assert got[2] == ("m.example.org", "/es/1", "example.org/es/", "block")
+    assert got[3][2:] == ("example.org/en/1", "block")
+    assert got[4][2:] == ("com/fr/", "allow") and got[5][1:] == ("/de/9", "com/de/", "block")
+    assert got[6][2] is None and got[7] == got[8] == got[9] == ("", "", None, "allow")
+    assert got[10][2] is None and got[11][:2] == ("example.org", "") and got[12] == ("", "/es/", None, "allow")
+
+
+def test_cascade_is_exact_over_its_universe():
+    listed, others = {f"in{i}" for i in range(400)}, {f"out{i}" for i in range(20_000)}
+    first = url_filter.Bloom(listed, 0.1, 0)
+    cascade = url_filter.Cascade(first)
+    cascade.finish(listed, {k for k in others if k in first})
+    assert len(cascade.levels) > 2
+    assert all(k in cascade for k in listed) and not any(k in cascade for k in others)
+
+
+# 5 Substring dedup
+
+
+def repeats(rows, n):
+    split = [(i, words(t)) for i, t in rows]
+    count = collections.Counter(tuple(w[k : k + n]) for _, w in split for k in range(len(w) - n + 1))
+    out = []
+    for i, w in split:
+        gone = [False] * len(w)
+        for k in range(len(w) - n + 1):
+            if count[tuple(w[k : k + n])] > 1:
+                gone[k : k + n] = [True] * n
+        out.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=repr)
+
+
+def test_substring_dedup_matches_brute_force(spark, docs):
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in queries.op5_substring_dedup(spark, SF).collect()), key=repr)
+    want = [(i, n, g, hashlib.sha256(t.encode()).hexdigest()) for i, n, g, t in repeats([(r.doc_id, r.text) for r in docs.collect()], 35)]
+    assert got == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("how", [substring_dedup.Windows(window=6, gram=3, batches=1), substring_dedup.Windows(window=6, gram=3, batches=4, most_runs=1), substring_dedup.Windows(window=7, gram=7, batches=3, most_runs=2, small=0), substring_dedup.Windows(window=9, gram=2)])
+def test_substring_dedup_small(spark, how):
+    random.seed(5)
+    rows = [(i, " ".join(random.choice("ab") if random.random() < 0.6 else random.choice("cdefgh") for _ in range(random.randint(0, 60)))) for i in range(60)] + [(100, "z " * 40), (101, None), (102, "p q r s t u v w x y"), (102, "p q r s t u v w x y")]
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), how, keep_text=True).collect()]
+    assert sorted(got, key=repr) == repeats(rows, how.window)
+
+
+def test_substring_dedup_odd_rows(spark, odd):
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(odd, keep_text=True).collect()]
+    assert sorted(got, key=repr) == repeats([(r.doc_id, r.text) for r in odd.collect()], 35)
+    assert substring_dedup.remove_repeats(odd.limit(0)).count() == 0
+
+
+# 6 Language ID
+
+
+def test_language_id_held_out(spark, docs):
+    got = {r.doc_id: r for r in queries.op6_language_id(spark, SF).collect()}
+    held = [(r.lang, got[r.doc_id]) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert all(x.held_out for _, x in held) and sum(x.held_out for x in got.values()) == len(held)
+    assert sum(lang == x.lang_pred for lang, x in held) >= 0.95 * len(held)
+    assert all(0 <= x.score <= 1 for x in got.values())
+
+
+def test_language_id_odd_rows(spark, odd):
+    model = language_id.fit(odd)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()}
+    assert got[3] == got[4] == got[5] == got[9] == ("und", 0.0) and got[1][0] in ("en", "fr")
+    nothing = language_id.fit(odd.limit(0))
+    assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
+    assert language_id.identify(odd.limit(0), model).count() == 0
+
+
+# 7 Top k
+
+
+def best(rows, k, every):
+    q = {i: np.floor(256 * np.array(v, np.float64)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = []
+    for i, v in q.items():
+        if i % every == 0:
+            ranked = sorted((-int(v @ w), j) for j, w in q.items() if j != i and len(w) == len(v))[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(ranked)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("how", [topk.Search(), topk.Search(block_rows=7, query_rows=3), topk.Search(block_rows=16, steep=0.0, focus=6), topk.Search(block_rows=8, steep=2.0)])
+def test_top_k_matches_brute_force(spark, how):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * rng.choice([0.2, 1, 5])).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[i][1]) for i in range(8)] + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [math.inf] * 6), (303, [math.nan] * 6), (304, [0.0] * 6), (305, [1.0, 2.0]), (310, [-1.0, 2.0]), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(df, 10, how).select("query_id", "rank", "vec_id", "score").collect()) == best(rows, how.k, 10)
+    assert topk.top_k(df.limit(0), 10, how).count() == 0
+
+
+# 8 Exact dedup
+
+
+def test_exact_dedup(spark, odd):
+    got = exact_dedup.exact_groups(odd).collect()
+    assert len(got) == 12
+    by = {r.doc_id: r for r in got}
+    assert (by[2].keep_id, by[2].group_size, by[2].kept) == (1, 3, False)
+    assert (by[4].keep_id, by[4].group_size) == (3, 2) and by[5].text_sha256 == hashlib.sha256(b" ").hexdigest()
+    kept = exact_dedup.drop_exact_copies(odd)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 5, 6, 7, 8, 9, 10, None]))
+    assert exact_dedup.exact_groups(odd.limit(0)).count() == 0
+
+
+# 9 Token files
+
+
+@pytest.mark.parametrize(("n", "k", "lanes", "every"), [(0, 1, 8, 4), (1, 5, 8, 4), (1000, 7, 16, 10), (70_000, 50_000, 256, 20), (999, 1, 32, 5)])
+def test_rans_round_trip_and_checkpoints(n, k, lanes, every):
+    ids = (np.random.default_rng(n).zipf(1.3, n) % k).astype(np.uint32)
+    content = rans.write_file([ids[:300], ids[300:]] if n > 300 else [ids] if n else [], lanes, every)
+    table, blocks = rans.read_file(content)
+    looked = rans.decoder(table)
+    assert np.concatenate([rans.decode(b, looked) for b in blocks] or [ids]).tolist() == ids.tolist()
+    for b in blocks:
+        whole = rans.decode(b, looked)
+        parts = [rans.decode(b, looked, i, i + 1) for i in range(len(b.steps))]
+        assert np.concatenate(parts).tolist() == whole.tolist()
+    if n:
+        broken = bytearray(content)
+        broken[len(broken) // 2] ^= 1
+        with pytest.raises(ValueError, match="whole token file"):
+            rans.read_file(bytes(broken))
+
+
+def test_unit_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    ours, theirs = unit_encoder(path), Tokenizer.from_file(path)
+    random.seed(2)
+    for _ in range(3000):
+        case = "".join(random.choice(ALPHABET) for _ in range(random.randint(0, 14)))
+        assert np.frombuffer(ours(case), np.uint16).tolist() == theirs.encode(case, add_special_tokens=False).ids, case
+
+
+def expected_files(rows, theirs):
+    out, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*theirs.encode(t or "", add_special_tokens=False).ids, 2]
+        out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+@pytest.mark.parametrize("how", [token_files.TokenFiles(), token_files.TokenFiles(docs_per_file=3, block_tokens=64, lanes=8, checkpoint_steps=4)])
+def test_token_files(spark, odd, docs, how):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    for df in (odd, docs.limit(40)):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = token_files.read_token_files(token_files.write_token_files(df, path, how), with_ids=True).collect()
+        key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+        assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=key) == sorted(expected_files(rows, theirs), key=key)
+        assert all(zlib.crc32(np.array(r.token_ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+    assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), path, how)).count() == 0
+
+
+# 10 Mixing
+
+
+def test_targets():
+    mix = mixing.Mix()
+    assert mixing.target_words([], mix) == [] and mixing.target_words([0, 0], mix) == [0, 0]
+    got = mixing.target_words([10, 1000, 100], mix)
+    assert got[0] == 20 and got[2] == 200 and got[1] == pytest.approx(1.5 * 1110 - 220)
+
+
+def test_splitting_tree_is_exact():
+    quotas = np.array([1000, 3, 0, 77, 123456])
+    out = mixing.shard_quotas(quotas, 7, 1)
+    assert out.sum(axis=0).tolist() == quotas.tolist() and (out >= 0).all()
+    sizes = out.sum(axis=1)
+    assert sizes.max() - sizes.min() <= 2
+    assert (mixing.shard_quotas(quotas, 7, 1) == out).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
+def test_permutation(n):
+    assert sorted(mixing.permuted(np.arange(n), n, 9).tolist()) == list(range(n))
+
+
+def test_mix(spark, docs):
+    got = queries.op10_mix_sources(spark, SF).toPandas()
+    rows = {r.doc_id: r for r in docs.collect()}
+    got["source"] = [rows[i].source for i in got.doc_id]
+    assert got["size"].tolist() == [len(words(rows[i].text)) for i in got.doc_id]
+    assert (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()
+    sizes = got.groupby("source")["size"].sum()
+    order = sorted(sizes.index, key=lambda s: s.encode())
+    want = dict(zip(order, mixing.target_words([int(sizes[s]) for s in order], mixing.Mix()), strict=True))
+    for s, group in got.groupby("source"):
+        assert group.source_size.iloc[0] == sizes[s] and group.target.iloc[0] == pytest.approx(want[s])
+        assert abs(group.taken.sum() - want[s]) <= 64
+    again = queries.op10_mix_sources(spark, SF).toPandas()
+    assert dict(zip(got.doc_id, got.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
+
+
+def test_mix_draws_and_odd_rows(spark, odd):
+    got = mixing.mix_sources(odd, mixing.Mix(block_words=16, shards=3, chunk_rows=2)).collect()
+    assert len(got) == 12
+    for r in got:
+        assert r.taken == sum(d.words for d in r.draws) <= 2 * r.size
+        spans = sorted((d["pass"], d["at"], d["words"]) for d in r.draws)
+        assert all(a[0] != b[0] or a[1] + a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
+    assert mixing.mix_sources(odd.limit(0)).count() == 0
+    mixed = mixing.mixed_documents(odd, mixing.Mix(block_words=16))
+    assert mixed.columns == odd.columns and all(r.doc_id not in (3, 4, 5) for r in mixed.collect())
