@@ -23,8 +23,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     model = language_id.fit(docs)
     if not model.languages:
         return docs
-    told = language_id.identify(docs, model, keep=tuple(docs.columns), names=("_told", "_told_score"))
-    return told.where((F.col("_told") != "und") & (F.col("_told_score") >= LEAST_SCORE)).select(*docs.columns)
+    told = language_id.identify(docs, model, keep=tuple(docs.columns), names=("__convoy_lang", "__convoy_score"))
+    return told.where((F.col("__convoy_lang") != "und") & (F.col("__convoy_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
