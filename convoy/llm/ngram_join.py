@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from convoy.llm.components import components
 from convoy.llm.shared import materialize
@@ -252,7 +253,10 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
     features = materialize(_features(rows, how, _frequent(rows, how)), "ngram_features")
     usable = features.where("n > 0 and _id is not null")
     classes = materialize(usable.groupBy("k1", "k2").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "ngram_classes")
-    shared = materialize(_shared_only(_postings(classes)), "ngram_postings")
+    shared = _shared_only(_postings(classes))
+    # before: columns of the first block ahead of this one that any other class holds; the rest ahead can't be shared.
+    before = F.row_number().over(W.partitionBy("id").orderBy("place")) - 1
+    shared = materialize(shared.withColumn("before", before), "ngram_postings")
     # The hub of a column is the document that meets most others over all its columns.
     sizes = shared.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     met = shared.join(sizes, "g").groupBy("id").agg(F.sum("df").alias("met"))
@@ -283,8 +287,12 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
             pairs = star.where(F.col("overlap") >= how.meetings(F.col("n"))).select("a", "b")
         else:
             # The product over the first block, across components: overlap so far, and what can follow the last shared place.
-            x, y = open_rows.select("g", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "place", "c")]), open_rows.select("g", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "place", "c")])
-            met_here = x.join(y, "g").where((F.col("c_x") != F.col("c_y")) & (F.col("id_x") > F.col("id_y")) & _sizes_fit("n_x", "n_y", how))
+            names = ("id", "n", "place", "before", "c")
+            x, y = open_rows.select("g", *[F.col(c).alias(f"{c}_x") for c in names]), open_rows.select("g", *[F.col(c).alias(f"{c}_y") for c in names])
+            # What two classes that meet in this column can share: ahead of it, here, and after it.
+            most = F.least("before_x", "before_y") + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+            can_reach = (how.per + how.least) * most >= how.least * (F.col("n_x") + F.col("n_y"))
+            met_here = x.join(y, "g").where((F.col("c_x") != F.col("c_y")) & (F.col("id_x") > F.col("id_y")) & _sizes_fit("n_x", "n_y", how) & can_reach)
             block = met_here.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(
                 F.count(F.lit(1)).alias("overlap"), F.max("place_x").alias("px"), F.max("place_y").alias("py"), F.min("n_x").alias("nx"), F.min("n_y").alias("ny")
             )
