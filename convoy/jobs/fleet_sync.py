@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from convoy.functions.rules import Rules
 from convoy.operators import drift, plan, snapshots
+from convoy.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -26,10 +27,11 @@ class Fleet:
 def sync_plan(fleet: Fleet, rules: Rules) -> DataFrame:
     """(repo, op, path, old_path, origin) for every repository of the fleet."""
     drifted = drift.local_drift(fleet.head, fleet.anchor, fleet.history, rules)
-    yielded = drift.yielded_paths(fleet.status, drifted, rules)
-    anchor_ops = snapshots.without_owned(snapshots.detect_renames(snapshots.snapshot_diff(fleet.anchor, fleet.tip, rules)), rules)
+    # Plans are small beside the snapshots: each part is computed once and written.
+    yielded = materialize(drift.yielded_paths(fleet.status, drifted, rules), "yielded")
+    anchor_ops = materialize(snapshots.without_owned(snapshots.detect_renames(snapshots.snapshot_diff(fleet.anchor, fleet.tip, rules)), rules), "anchor_ops")
     # Head to tip: deletions at head are the consumer's, so only what the tip has counts.
-    head_ops = snapshots.snapshot_diff(fleet.head, fleet.tip, rules).where("op <> 'D'")
+    head_ops = materialize(snapshots.snapshot_diff(fleet.head, fleet.tip, rules).where("op <> 'D'"), "head_ops")
     prune = plan.prune_private(fleet.head, rules, fleet.upstreams)
     return plan.sync_plan(anchor_ops, head_ops, prune, yielded)
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from convoy.functions.rules import Rules, is_delivered, matches
 from convoy.functions.text import eol_normalize
+from convoy.sources.shared import materialize
 
 
 
@@ -61,7 +62,8 @@ def exact_renames(ops: DataFrame) -> DataFrame:
 
 
 def detect_renames(ops: DataFrame) -> DataFrame:
-    """ops with exact renames paired to R."""
+    """ops with exact renames paired to R. The operations are few beside the files, and are written once for their several uses."""
+    ops = materialize(ops, "ops")
     return _paired(ops, exact_renames(ops))
 
 
@@ -107,7 +109,7 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def detect_similar_renames(ops: DataFrame, contents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """ops with exact renames, then similar ones, paired to R. Rewritten sources are not broken up first."""
-    exact = detect_renames(ops)
+    exact = materialize(detect_renames(ops), "exact_ops")
     scored = line_similarity(exact, contents, threshold)
     pairs = scored.groupBy("repo").applyInPandas(_greedy, "repo string, old_path string, path string")
     return _paired(exact, pairs)
