@@ -1,37 +1,5 @@
-"""Storage that the driver and every executor see."""
+"""Tables in the folder that the driver and every executor see."""
 
-from __future__ import annotations
+from convoy.sources.shared import fresh_path, materialize, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="convoy-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/convoy/{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: an executor lost later costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def documents(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names play no part."""
-    return docs.select(*columns)
+__all__ = ["fresh_path", "materialize", "shared_dir"]
