@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from convoy.functions import rules as R
 from convoy.functions import text as X
@@ -110,13 +109,10 @@ _RECORDS = """SELECT repo, CASE WHEN doc_id % 3 = 0 THEN substr(path, 7, 10) END
  concat('docs/specs/', CAST(doc_id AS STRING)) AS destination, doc_id, CAST(NULL AS STRING) AS note FROM spec_sources"""
 
 
-@register(f"""WITH r AS ({_RECORDS}) SELECT date, timestamp, action, type, source, destination, concat('#', CAST(doc_id AS STRING), ' #', CAST(doc_id + 1 AS STRING)) AS issues, note,
- row_number() OVER (ORDER BY date IS NULL, date, source) AS place FROM r""")
+@register(f"""WITH r AS ({_RECORDS}) SELECT date, timestamp, action, type, source, destination, concat('#', CAST(doc_id AS STRING), ' #', CAST(doc_id + 1 AS STRING)) AS issues, note FROM r""")
 def a8_manifest(spark: SparkSession, d: str) -> DataFrame:
     records = rows(spark, d, _RECORDS).withColumn("issues", F.array("doc_id", F.col("doc_id") + 1))
-    placed = consolidate.manifest(records)
-    order = F.struct(F.col("date").isNull(), "date", "source")
-    return placed.withColumn("place", F.row_number().over(W.orderBy(order)).cast("long"))
+    return consolidate.manifest(records)
 
 
 # Projections, filters, predicates
