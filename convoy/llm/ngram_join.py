@@ -44,7 +44,7 @@ class Likeness:
     per: int = 100
     local_heavy: int = 3
     known_heavy: int = 1 << 20
-    meets: int = 3
+    meets: int = 8
     hub_rounds: int = 3
     few: int = 400_000
 
@@ -58,7 +58,7 @@ class Likeness:
 
 
 #: Shingles that a task counts before it hands on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -197,6 +197,12 @@ def _shared_only(postings: DataFrame) -> DataFrame:
     return postings.repartition("g").sortWithinPartitions("g").mapInArrow(run, postings.schema)
 
 
+def _can_meet(postings: DataFrame, how: Likeness) -> DataFrame:
+    """Rows of classes that hold as many shared columns as a linked partner would meet them in."""
+    held = F.count(F.lit(1)).over(W.partitionBy("id"))
+    return postings.withColumn("held", held).where(F.col("held") >= how.meetings(F.col("n"))).drop("held")
+
+
 def _whole_sets(docs: DataFrame, wanted: DataFrame, how: Likeness) -> DataFrame:
     """(id, set): whole sets, ascending, of the wanted classes (id, k1, k2)."""
 
@@ -253,7 +259,10 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
     features = materialize(_features(rows, how, _frequent(rows, how)), "ngram_features")
     usable = features.where("n > 0 and _id is not null")
     classes = materialize(usable.groupBy("k1", "k2").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "ngram_classes")
-    shared = _shared_only(_postings(classes))
+    shared = _can_meet(_shared_only(_postings(classes)), how)
+    # What that leaves can have lost partners: once more.
+    left = shared.groupBy("g").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("g")
+    shared = _can_meet(shared.join(left, "g", "left_semi"), how)
     # before: columns of the first block ahead of this one that any other class holds; the rest ahead can't be shared.
     before = F.row_number().over(W.partitionBy("id").orderBy("place")) - 1
     shared = materialize(shared.withColumn("before", before), "ngram_postings")
