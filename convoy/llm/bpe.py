@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from convoy.llm.text import raw, slices
 
 #: Units that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Fixed: Unicode's White_Space characters, which the tokenizer's \s stands for.
 _WHITE_SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Characters that str.split() counts as white space but the tokenizer does not.
