@@ -45,7 +45,7 @@ class Likeness:
     local_heavy: int = 3
     known_heavy: int = 1 << 20
     meets: int = 8
-    hub_rounds: int = 3
+    hub_rounds: int = 1
     few: int = 400_000
 
     def needed(self, n: np.ndarray) -> np.ndarray:
