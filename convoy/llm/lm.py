@@ -1,36 +1,51 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Training counts cover all words. N-grams of relative frequency `share` or more become the
-model: each context with followers is a state, a follower is an arc with its discounted
-probability, and a failure arc with the backoff weight leads to the state of the next
-shorter context. One traversal from left to right carries the state and adds up. The
-automaton has at most 1 / share n-grams of each order, however large the corpus is; all
-other words fail down to the root, whose add-half unigram needs their exact counts. Those
-come from the full count table by a join and are added per document.
+All words, and all pairs and triples that come `least` times or more, are the model: each
+context with followers is a state, a follower is an arc with its discounted probability, and
+a failure arc with the backoff weight leads to the state of the next shorter context. The
+model grows with the corpus, so its states and arcs are Spark tables. The state before a
+word is the longest context in the model that ends there; hence a traversal's sum falls into
+one weight for each n-gram that a text passes: a word's own score and its backoff, what a
+pair's arc adds to its word's and the pair's own backoff, what a triple's arc adds to its
+pair's. Texts meet these weights in parts by the n-gram's hash. `build` makes the same
+automaton in memory, for small corpora and tests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoy.llm.shared import materialize
-from convoy.llm.text import U64, raw, slices, spans, word_hashes
+from convoy.llm.text import U64, from_binary, mix64, raw, slices, spans, word_hashes
 
 #: Words that a task counts before it hands on.
 FLUSH = 2_000_000
+#: Words of the corpus for each part of the n-grams.
+PART = 2_000_000
+#: A power of two. Pairs and triples are dealt in so many rounds, each with its share of the keys: a bound on shuffle files at one time.
+ROUNDS = 2
+#: Texts of a block, and of one slice of a batch: together below 2^16.
+MOST_TEXTS, BATCH_TEXTS = 50_000, 10_000
+#: Rows of a batch of counted n-grams.
+OUT_ROWS = 100_000
+#: Stands for the end of a text.
+END = U64(0x6C62272E07BB0142)
 
 
 @dataclass(frozen=True)
 class Order:
-    """share: the least relative frequency of the automaton's n-grams. discount: of each one's count."""
+    """least: how often a pair or triple of the model comes, whatever the corpus' size. discount: of each one's count."""
 
-    share: float = 2.0**-20
+    least: int = 2
     discount: float = 0.5
 
 
@@ -85,8 +100,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield i, j, word_hashes(data, s, e, lower=True), bounds
 
 
-def _counted(docs: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(k, c): how often each key of the training texts occurs; keys maps words and bounds to int64."""
+def _counted(docs: DataFrame) -> DataFrame:
+    """(k, c): how often each word of the training texts occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -94,11 +109,11 @@ def _counted(docs: DataFrame, keys: Callable[[np.ndarray, np.ndarray], np.ndarra
         def flush() -> pa.RecordBatch:
             k, c = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int64))], names=["k", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["k", "c"])
 
         for batch in batches:
-            for _, _, words, bounds in _texts(batch):
-                held.append(keys(words, bounds))
+            for _, _, words, _ in _texts(batch):
+                held.append(words)
                 if sum(map(len, held)) >= FLUSH:
                     yield flush()
         if held:
@@ -115,18 +130,6 @@ def _ids(vocabulary: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == words, at, -1)
 
 
-def _with_ends(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's ids followed by the end; and its new bounds."""
-    return np.insert(ids, bounds[1:], end), bounds + np.arange(len(bounds))
-
-
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = df.select("k", "c").toArrow()
-    k, c = (got.column(i).to_numpy() if got.num_rows else np.zeros(0, np.int64) for i in range(2))
-    order = np.argsort(k)
-    return k[order], c[order]
-
-
 def _log(p: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(p, 1e-300))
 
@@ -177,6 +180,257 @@ def build(words: np.ndarray, word_count: np.ndarray, ends: int, total: int, dist
     )
 
 
+def _with_end_words(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's words and the end, and which text each is of."""
+    every = np.insert(words, bounds[1:], END)
+    return every, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds) + 1)
+
+
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix64(left * U64(0x9E3779B97F4A7C15) + mix64(right ^ U64(0xD1342543DE82EF95)))
+
+
+def grams(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, text) of every n-gram, the end included.
+
+    A word is both its sides; a pair's sides are its words; a triple's are the keys of its two pairs.
+    """
+    every, text = _with_end_words(words, bounds)
+    if n == 1:
+        return every, every, text
+    left, right, fits = every[:-1], every[1:], text[:-1] == text[1:]
+    if n == 3:
+        pair, both = _joined(left, right), fits[:-1] & fits[1:]
+        left, right, fits, text = pair[:-1], pair[1:], both, text[:-1]
+    return left[fits], right[fits], text[:-1][fits]
+
+
+def _key(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    return left if n == 1 else _joined(left, right)
+
+
+def _starts(ascending: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ascending), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new)
+
+
+def _place(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key; ascends with the keys."""
+    return (((key >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int32)
+
+
+def _cells(place: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of the parts in an ascending array of places."""
+    return np.searchsorted(place, np.arange(parts + 1))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """(words, bounds, keys of the rows, which are held out) of slices, as lists of about FLUSH words."""
+    held, n = [], 0
+    for batch in (b.slice(i, BATCH_TEXTS) for b in batches for i in range(0, b.num_rows, BATCH_TEXTS)):
+        for i, j, words, bounds in _texts(batch):
+            part = batch.slice(i, j - i)
+            held.append((words, bounds, part.column("_key").to_numpy().view(U64), part.column("_out").to_numpy(zero_copy_only=False)))
+            n += len(words)
+            if n >= FLUSH or sum(len(h[2]) for h in held) >= MOST_TEXTS:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, left, right, text) of the block's n-grams that are dealt in this round."""
+    found, before = [], 0
+    for words, bounds, keys, _ in held:
+        left, right, text = grams(words, bounds, n)
+        key = _key(left, right, n)
+        if n > 1:
+            now = key % U64(ROUNDS) == turn
+            key, left, right, text = key[now], left[now], right[now], text[now]
+        found.append((key, left, right, (text + before).astype(np.uint16)))
+        before += len(keys)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def count_grams(rows: DataFrame, n: int, least: int, parts: int, turn: int = 0) -> DataFrame:
+    """(k, l, r, c): the n-grams that occur at least `least` times, with their key and sides.
+
+    A task sends each n-gram once per FLUSH words, in arrays; a part counts its own.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            key, left, right, _ = _block(held, n, turn)
+            by = np.argsort(key)
+            key, left, right = key[by], left[by], right[by]
+            at = _starts(key)
+            c = np.diff(np.append(at, len(key))).astype(np.uint32)
+            left, right, cut = left[at], right[at], _cells(_place(key[at], parts), parts)
+            has = np.flatnonzero(np.diff(cut))
+            cells = [[v[cut[p] : cut[p + 1]].tobytes() for p in has.tolist()] for v in (left, right, c)]
+            yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), *(pa.array(x, pa.binary()) for x in cells)], names=["p", "l", "r", "c"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        left, c = (np.concatenate([from_binary(b.column(x), kind)[0] for b in got]) for x, kind in (("l", U64), ("c", np.uint32)))
+        right = np.concatenate([from_binary(b.column("r"), U64)[0] for b in got]) if n > 1 else left
+        del got
+        if not len(left):
+            return
+        key = _key(left, right, n)
+        by = np.argsort(key)
+        at = _starts(key[by])
+        total = np.add.reduceat(c[by].astype(np.int64), at)
+        keep = total >= least
+        first, total = by[at][keep], total[keep]
+        for i in range(0, len(first), OUT_ROWS):
+            f = first[i : i + OUT_ROWS]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[f].view(np.int64)) for x in (key, left, right)), pa.array(total[i : i + OUT_ROWS])], names=["k", "l", "r", "c"])
+
+    sent = rows.where(~F.col("_out")).select("_text", "_key", "_out").mapInArrow(send, "p int, l binary, r binary, c binary")
+    return sent.repartition(parts, "p").mapInArrow(count, "k long, l long, r long, c long")
+
+
+def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: int = 0) -> DataFrame:
+    """(key, x, y, found, times): the weights x and y of each row's n-grams in the table (k, x, y), added up.
+
+    found counts the n-grams that are in the table, times the rows of one key. Rows' n-grams meet
+    the table in parts by the key's hash; what a part adds up goes back to the block of rows.
+    """
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, x, y = (batch.column(c).to_numpy() for c in ("k", "x", "y"))
+            by = np.argsort(k.view(U64))
+            k, x, y = k.view(U64)[by], x[by], y[by]
+            cut = _cells(_place(k, parts), parts)
+            has = np.flatnonzero(np.diff(cut))
+            cells = [[v[cut[p] : cut[p + 1]].tobytes() for p in has.tolist()] for v in (k, x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.nulls(len(has), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches):
+            key, _, _, text = _block(held, n, turn)
+            rows_of = np.concatenate([h[2] for h in held])
+            block = int(mix64(rows_of + np.arange(len(rows_of), dtype=U64)).sum(dtype=U64).view(np.int64))
+            by = np.argsort(key)
+            key, text = key[by], text[by]
+            at = _starts(key)
+            cut = _cells(_place(key, parts), parts)
+            own, times = key[at], np.diff(np.append(at, len(key))).astype(np.uint32)
+            start = _cells(_place(own, parts), parts)
+            has = np.flatnonzero(np.diff(start)).tolist()
+            # The rows' keys pass through any part.
+            cells = [
+                [*(own[start[p] : start[p + 1]].tobytes() for p in has), rows_of.tobytes()],
+                [*(times[start[p] : start[p + 1]].tobytes() for p in has), None],
+                [*(text[cut[p] : cut[p + 1]].tobytes() for p in has), None],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([*has, block % parts], pa.int32()), pa.array([block] * (len(has) + 1), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=names)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        mine = [b.filter(pc.is_null(b.column("block"))) for b in got]
+        k, x, y = (np.concatenate([np.zeros(0, t), *(from_binary(b.column(c), t)[0] for b in mine)]) for c, t in (("a", U64), ("b", np.float64), ("c", np.float64)))
+        by = np.argsort(k)
+        k, x, y = k[by], x[by], y[by]
+        for batch in got:
+            for row in batch.filter(pc.is_valid(batch.column("block"))).select(["block", "a", "b", "c"]).to_pylist():
+                if row["c"] is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["a"]], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(4))], names=back)
+                    continue
+                place = np.repeat(_ids(k, np.frombuffer(row["a"], U64)), np.frombuffer(row["b"], np.uint32))
+                met = place >= 0
+                text, place = np.frombuffer(row["c"], np.uint16)[met], place[met]
+                found = np.bincount(text)
+                has = np.flatnonzero(found)
+                sums = [np.bincount(text, v[place])[has] for v in (x, y)] if len(has) else [np.zeros(0)] * 2
+                values = (has.astype(np.uint16), *sums, found[has].astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.nulls(1, pa.binary()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=back)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's answers by text; the texts' keys come once for each block of the same rows."""
+        keys: dict[int, np.ndarray] = {}
+        times: dict[int, int] = {}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                i = row["block"]
+                if row["rows"] is not None:
+                    keys[i] = np.frombuffer(row["rows"], U64)
+                    times[i] = times.get(i, 0) + 1
+                    continue
+                at = np.frombuffer(row["t"], np.uint16)
+                if len(at):
+                    into = sums.setdefault(i, np.zeros((3, MOST_TEXTS + BATCH_TEXTS)))
+                    for j, (c, kind) in enumerate((("x", np.float64), ("y", np.float64), ("f", np.uint32))):
+                        into[j, at] += np.frombuffer(row[c], kind)
+        for i, own in keys.items():
+            x, y, found = sums.pop(i, np.zeros((3, len(own))))[:, : len(own)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(x), pa.array(y), pa.array(found.astype(np.int64)), pa.array(np.full(len(own), times[i]))], names=["key", "x", "y", "found", "times"])
+
+    names, back = ["p", "block", "a", "b", "c"], ["block", "rows", "t", "x", "y", "f"]
+    schema = "p int, block long, a binary, b binary, c binary"
+    asked = rows.select("_text", "_key", "_out").mapInArrow(ask, schema)
+    if n > 1:
+        weights = weights.where(F.pmod(F.col("k"), F.lit(ROUNDS)) == turn)
+    met = weights.select("k", "x", "y").mapInArrow(table, schema).unionByName(asked).repartition(parts, "p")
+    answers = met.mapInArrow(answer, "block long, rows binary, t binary, x binary, y binary, f binary")
+    return answers.repartition(parts, "block").mapInArrow(add, "key long, x double, y double, found long, times long")
+
+
+def _log_of(p: Column) -> Column:
+    return F.log10(F.greatest(p, F.lit(1e-300)))
+
+
+def _backoff(arcs: DataFrame, shorter: str) -> DataFrame:
+    """(l, b): each context's log backoff weight, from its arcs' p and the same followers' shorter p."""
+    left, rest = 1 - F.sum("p"), F.greatest(1 - F.sum(shorter), F.lit(1e-12))
+    return arcs.groupBy("l").agg(_log_of(left / rest).alias("b"))
+
+
+def _rounds(table_of: Callable[[int], DataFrame], n: int, name: str) -> DataFrame:
+    """The rounds' tables, each written before the next one starts."""
+    return reduce(DataFrame.unionByName, [materialize(table_of(turn), f"{name}_{n}") for turn in range(ROUNDS if n > 1 else 1)])
+
+
+def _weights(rows: DataFrame, words: DataFrame, one: Column, order: Order, parts: int) -> list[DataFrame]:
+    """Tables (k, x, y) for words, pairs and triples. words: (k, c). one: a word's probability by its c."""
+    words = words.withColumn("p1", one)
+    pairs = _rounds(lambda turn: count_grams(rows, 2, order.least, parts, turn), 2, "lm_counted")
+    pairs = pairs.join(words.select(F.col("k").alias("r"), "p1"), "r").join(words.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
+    two = materialize(pairs.select("k", "l", "c", "p1", ((F.col("c") - order.discount) / F.col("of")).alias("p")), "lm_pairs")
+    context = _backoff(two, "p1").select(F.col("l").alias("k"), "b")
+    own = words.join(context, "k", "left").select("k", F.coalesce("b", F.lit(0.0)).alias("b"), _log_of(F.col("p1")).alias("y"))
+    first = materialize(own.select("k", "b", (F.col("y") + F.col("b")).alias("x"), "y"), "lm_word_weights")
+    triples = _rounds(lambda turn: count_grams(rows, 3, order.least, parts, turn), 3, "lm_counted")
+    # A kept triple's two pairs are kept, as they are at least as frequent.
+    triples = triples.join(two.select(F.col("k").alias("r"), F.col("p").alias("p2")), "r").join(two.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
+    three = materialize(triples.select("k", "l", "p2", ((F.col("c") - order.discount) / F.col("of")).alias("p")), "lm_triples")
+    longer = materialize(_backoff(three, "p2"), "lm_pair_backoffs")
+    fails = F.col("b") + _log_of(F.col("p1"))
+    second = two.join(first.select(F.col("k").alias("l"), "b"), "l").join(longer.select(F.col("l").alias("k"), F.col("b").alias("b2")), "k", "left")
+    second = second.select("k", (_log_of(F.col("p")) - fails + F.coalesce("b2", F.lit(0.0))).alias("x"), F.lit(0.0).alias("y"))
+    third = three.join(longer, "l").select("k", (_log_of(F.col("p")) - F.col("b") - _log_of(F.col("p2"))).alias("x"), F.lit(0.0).alias("y"))
+    return [first, second, third]
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of what is written in here once it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def score_documents(docs: DataFrame, held_out: Column, order: Order = Order(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -186,96 +440,39 @@ def score_documents(docs: DataFrame, held_out: Column, order: Order = Order(), i
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_out"))
     train = rows.where(~F.col("_out"))
-    counts = materialize(_counted(train, lambda words, bounds: words.view(np.int64)), "lm_words")
+    counts = materialize(_counted(train), "lm_words")
     ends = train.count()
     seen = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = (seen["n"] or 0) + ends, seen["v"] + (ends > 0)
-    least = max(1, int(np.ceil(total * order.share)))
-    # At most 1 / share rows come to the driver, here and below: each takes that share of all tokens.
-    found, found_count = _arrays(counts.where(F.col("c") >= least))
-    words = found.view(U64)
-    by_value = np.argsort(words)
-    words, found_count = words[by_value], found_count[by_value]
-    k = len(words) + 1
-    vocabulary = spark.sparkContext.broadcast(words)
-
-    def pairs(text_words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        ids, _ = _with_ends(_ids(vocabulary.value, text_words), bounds, k - 1)
-        fits = (ids[:-1] >= 0) & (ids[:-1] < k - 1) & (ids[1:] >= 0)
-        return ids[:-1][fits] * k + ids[1:][fits]
-
-    two = _arrays(_counted(train, pairs).where(F.col("c") >= max(2, least)))
-    kept = spark.sparkContext.broadcast(two[0])
-
-    def triples(text_words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        ids, _ = _with_ends(_ids(vocabulary.value, text_words), bounds, k - 1)
-        fits = (ids[:-1] >= 0) & (ids[:-1] < k - 1) & (ids[1:] >= 0)
-        place = _ids(kept.value, np.where(fits, ids[:-1] * k + ids[1:], -1))
-        both = (place[:-1] >= 0) & (place[1:] >= 0)
-        return place[:-1][both] * k + ids[2:][both]
-
-    three = _arrays(_counted(train, triples).where(F.col("c") >= max(2, least)))
-    model = spark.sparkContext.broadcast(build(words, found_count, ends, total, distinct, two, three, order))
-
-    def locate(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Words, their ids and bounds, and 64 bits for each row's id and text."""
-        for i, j, text_words, bounds in _texts(batch):
-            ids = _ids(model.value.words, text_words)
-            own = batch.column("_key").to_numpy()[i:j].view(U64)
-            yield i, j, text_words, ids, bounds, own
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        traverse = model.value.traversal()
-        root = np.append(model.value.root_score, 0.0)  # the last is for -1
-        for batch in batches:
-            for i, j, _, ids, bounds, _ in locate(batch):
-                part = batch.slice(i, j - i)
-                all_ids, at = _with_ends(ids, bounds, k - 1)
-                base = np.add.reduceat(root[all_ids], at[:-1])
-                known = np.add.reduceat(((all_ids >= 0) & ((all_ids < k - 1) | (ends > 0))).astype(np.int64), at[:-1])
-                flat = all_ids.tolist()
-                score = [traverse(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), part.column("_out"), part.column("_key"), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(score, pa.float64())],
-                    names=["_id", "_out", "_key", "n_tokens", "known", "base", "score"],
-                )
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(k, key, m): a document's other words and how often they come; m = 0 once for each row."""
-        for batch in batches:
-            for _, _, text_words, ids, bounds, own in locate(batch):
-                row = np.repeat(np.arange(len(own)), np.diff(bounds))[ids < 0]
-                rare = text_words[ids < 0]
-                by = np.lexsort((rare, row))
-                row, rare = row[by], rare[by]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (rare[1:] != rare[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(row)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([rare[at], own]).view(np.int64)), pa.array(np.concatenate([own[row[at]], own]).view(np.int64)), pa.array(np.concatenate([times, np.zeros(len(own), np.int64)]).astype(np.int32))],
-                    names=["k", "key", "m"],
-                )
-
-    # Rows with one key are alike in id and text: their other words are added up and divided by their number.
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // PART))
+    end = spark.range(1 if ends else 0).select(F.lit(int(END.view(np.int64))).alias("k"), F.lit(ends).cast("long").alias("c"))
+    one = (F.col("c") + 0.5) / F.lit(total + 0.5 * (distinct + 1))
+    unseen = float(np.log10(0.5 / (total + 0.5 * (distinct + 1))))
+    # Rows with one key are alike in id and text: their sums are added up and divided by their number.
     keyed = rows.withColumn("_key", F.xxhash64("_id", F.lit(0), "_text"))
-    scored = keyed.mapInArrow(local, f"_id {docs.schema[id_col].dataType.simpleString()}, _out boolean, _key long, n_tokens long, known long, base double, score double")
-    rare = keyed.select("_text", "_key").mapInArrow(others, "k long, key long, m int")
-    found = rare.join(counts.where(F.col("c") < least), "k", "left")
-    log_p = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
-    added = found.groupBy("key").agg(
-        F.sum(F.col("m") * log_p).alias("rest"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("rest_known"),
-        F.sum(F.when(F.col("m") == 0, 1).otherwise(0)).alias("times"),
-    )
-    out = scored.join(added, F.col("_key") == F.col("key"))
-    rest = F.col("rest") / F.col("times")
+    with _shuffles_dropped(spark):
+        tables = enumerate(_weights(keyed, counts.unionByName(end), one, order, parts), 1)
+        added = [_rounds(lambda turn, n=n, table=table: sum_weights(keyed, table, n, parts, turn), n, "lm_sums") for n, table in tables]
+    zero = F.lit(0).cast("long")
+    added[1:] = [df.withColumns({"found": zero, "times": zero}) for df in added[1:]]
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = raw(batch.column("_text"))
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(spans(data, offsets[i : j + 1])[2]) for i, j in slices(offsets))])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_out"), batch.column("_key"), pa.array(n + 1)], names=["_id", "_out", "_key", "n_tokens"])
+
+    sized = keyed.mapInArrow(sizes, f"_id {docs.schema[id_col].dataType.simpleString()}, _out boolean, _key long, n_tokens long")
+    sums = added[0].unionByName(added[1]).unionByName(added[2]).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("x", "y", "found", "times")))
+    out = sized.join(sums, F.col("_key") == F.col("key"))
+    known = (F.col("found") / F.col("times")).cast("long")
+    rest = (F.col("n_tokens") - known) * F.lit(unseen)
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_out").alias("held_out"),
         "n_tokens",
-        (F.col("known") + (F.col("rest_known") / F.col("times")).cast("long")).alias("n_known"),
+        known.alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rest).alias("base_score"),
-        (F.col("score") + rest).alias("score"),
+        (F.col("y") / F.col("times") + rest).alias("base_score"),
+        (F.col("x") / F.col("times") + rest).alias("score"),
     )

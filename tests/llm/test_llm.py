@@ -180,6 +180,15 @@ def test_lm_odd_rows(spark, odd):
     assert all(r.train_tokens == 0 and r.base_score == pytest.approx(0) and r.n_known == 0 for r in nothing)
 
 
+def test_lm_keeps_rare_pairs_of_a_large_corpus(spark):
+    filler = 4_400_000
+    texts = [(0, "x " * filler), *((i, "alpha beta") for i in range(1, 5))]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") == 4).collect()}
+    total, distinct = filler + 1 + 9, 4
+    alpha = math.log10(3.5 / (total + 0.5 * (distinct + 1)))
+    assert got[4].score == pytest.approx(alpha + 2 * math.log10(2.5 / 3))
+
+
 # 3 BPE
 
 
