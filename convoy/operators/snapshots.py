@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -93,26 +92,30 @@ def line_similarity(ops: DataFrame, contents: DataFrame, threshold: float) -> Da
     return shared.withColumn("score", score).where(F.col("score") >= threshold).select("repo", "old_path", "path", "score")
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best score first, each path once."""
-    pdf = pdf.sort_values(["score", "old_path", "path"], ascending=[False, True, True])
-    old: set[str] = set()
-    new: set[str] = set()
-    keep = []
-    for row in pdf.itertuples():
-        if row.old_path not in old and row.path not in new:
-            old.add(row.old_path)
-            new.add(row.path)
-            keep.append(row.Index)
-    return pdf.loc[keep, ["repo", "old_path", "path"]]
+def greedy_pairs(scored: DataFrame) -> DataFrame:
+    """(repo, old_path, path): best score first, each path once.
+
+    A round takes the pairs that are the best open ones of both their paths, which the greedy
+    order would take too, and drops all others of those paths. Rounds are written to the shared folder.
+    """
+    rank = F.struct((-F.col("score")).alias("s"), "old_path", "path").alias("rank")
+    left = materialize(scored.select("repo", "old_path", "path", "score"), "scored")
+    taken = left.limit(0).select("repo", "old_path", "path")
+    while not left.isEmpty():
+        of_old = left.groupBy("repo", "old_path").agg(F.min(rank).alias("rank")).select("repo", "rank")
+        of_new = left.groupBy("repo", "path").agg(F.min(rank).alias("rank")).select("repo", "rank")
+        best = materialize(of_old.join(of_new, ["repo", "rank"]).select("repo", "rank.old_path", "rank.path"), "best_pairs")
+        taken = taken.unionByName(best)
+        left = left.join(best.select("repo", "old_path"), ["repo", "old_path"], "left_anti")
+        left = materialize(left.join(best.select("repo", "path"), ["repo", "path"], "left_anti"), "scored")
+    return taken
 
 
 def detect_similar_renames(ops: DataFrame, contents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """ops with exact renames, then similar ones, paired to R. Rewritten sources are not broken up first."""
     exact = materialize(detect_renames(ops), "exact_ops")
     scored = line_similarity(exact, contents, threshold)
-    pairs = scored.groupBy("repo").applyInPandas(_greedy, "repo string, old_path string, path string")
-    return _paired(exact, pairs)
+    return _paired(exact, greedy_pairs(scored))
 
 
 def without_owned(ops: DataFrame, rules: Rules) -> DataFrame:

@@ -352,3 +352,16 @@ def test_stream_tails(spark, tmp_path):
     query.awaitTermination(120)
     assert got["b1"][0] == 16
     assert got["b1"][1].split("\n") == [f"line {i}" for i in (8, 9, 11, 12, 13, 14, 16, 17, 18, 19)]
+
+
+def test_greedy_pairs_hold_no_repository_in_one_python_group(spark):
+    rows = [("r", f"o{i}", f"n{j}", ((i * 7 + j * 3) % 5) / 4) for i in range(5) for j in range(4)]
+    pairs = snapshots.greedy_pairs(spark.createDataFrame(rows, "repo string, old_path string, path string, score double"))
+    want, old, new = set(), set(), set()
+    for r, o, n, _ in sorted(rows, key=lambda x: (-x[3], x[1], x[2])):
+        if o not in old and n not in new:
+            want.add((r, o, n))
+            old.add(o)
+            new.add(n)
+    assert {tuple(r) for r in pairs.collect()} == want
+    assert "Pandas" not in pairs._jdf.queryExecution().toString()
