@@ -2,12 +2,13 @@
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D. Those bytes never occur
 inside a multi-byte UTF-8 character, so all work is done on the column's bytes. A word's
-64-bit hash is a polynomial over random per-byte values, mixed at the end; the table that
-maps A-Z to a-z lower-cases for free.
+64-bit hash takes its length and then eight bytes at a time, mixed bijectively at each step;
+a run's hash is the sum of its words' by unrelated odd factors. Hashes of two seeds make 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -15,8 +16,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes that are hashed at a time: the eight-byte temporaries stay in the CPU's cache.
-CHUNK = 1 << 18
 #: Bytes of text that one slice of a batch holds, unless a single text is longer.
 SLICE = 4 << 20
 _STEP = 0x9E3779B97F4A7C15 | 1
@@ -32,23 +31,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_STEP, -1, 1 << 64)
-    out = []
-    for base in (_STEP, inverse):
-        a = np.full(n, base, U64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What is left of eight bytes that hold the last 0 to 8 of a word.
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Blocks of eight bytes that are hashed for all words at once; the rest of longer ones is hashed word by word.
+_BLOCKS = 16
 
 
 @cache
-def _byte_values(seed: int, lower: bool) -> np.ndarray:
-    table = mix64(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95) + U64(seed + 1) * U64(0x9E3779B97F4A7C15))
-    if lower:
-        table[65:91] = table[97:123]
-    return table
+def _odd(length: int, seed: int) -> np.ndarray:
+    """Unrelated odd factors, one for each place in a run."""
+    return mix64(np.arange(1, length + 1, dtype=U64) * U64(_STEP) + mix64(np.array([seed + 1], U64))) | U64(1)
 
 
 _SPACE = np.zeros(256, bool)
@@ -97,20 +91,27 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, *, lower: bool, seed: int = 0) -> np.ndarray:
-    out = np.empty(len(s), U64)
-    table = _byte_values(seed, lower)
-    i, n = 0, len(s)
-    while i < n:
-        j = max(int(np.searchsorted(e, s[i] + CHUNK, "right")), i + 1)
-        a, b = int(s[i]), int(e[j - 1])
-        size = CHUNK + 1 if b - a <= CHUNK else b - a + 1
-        up, down = _powers(size) if size == CHUNK + 1 else _powers.__wrapped__(size)
-        total = np.zeros(b - a + 1, U64)
-        np.cumsum(table[data[a:b]] * up[: b - a], out=total[1:])
-        ws, we = s[i:j] - a, e[i:j] - a
-        out[i:j] = (total[we] - total[ws]) * down[ws]
-        i = j
-    return mix64(out)
+    """64 bits for each word data[s:e]; those of two seeds are independent of each other."""
+    if not len(s):
+        return np.zeros(0, U64)
+    first, n = int(s[0]), int(e[-1] - s[0])
+    held = np.zeros(n + 8, np.uint8)
+    held[:n] = _LOWER[data[first : first + n]] if lower else data[first : first + n]
+    eight = np.ndarray((n + 1,), "<u8", held, strides=(1,))
+    at, left = s - first, e - s
+    out = mix64(left.astype(U64) * U64(_STEP) + mix64(np.array([seed + 1], U64)))
+    out = mix64(out ^ (eight[at] & _LAST[np.minimum(left, 8)]))
+    more = np.flatnonzero(left > 8)
+    for k in range(1, _BLOCKS):
+        if not len(more):
+            return out
+        now = left[more] - 8 * k
+        out[more] = mix64(out[more] ^ (eight[at[more] + 8 * k] & _LAST[np.minimum(now, 8)]))
+        more = more[now > 8]
+    for i in more.tolist():
+        rest = held[at[i] + 8 * _BLOCKS : at[i] + left[i]].tobytes()
+        out[i] ^= U64(int.from_bytes(hashlib.blake2b(rest, digest_size=8, salt=seed.to_bytes(4, "little")).digest(), "little"))
+    return out
 
 
 def sequence_hashes(words: np.ndarray, bounds: np.ndarray, length: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -124,11 +125,9 @@ def sequence_hashes(words: np.ndarray, bounds: np.ndarray, length: int, seed: in
     out_bounds = np.concatenate([[0], np.cumsum(runs)])
     if n < length:
         return np.zeros(0, U64), out_bounds
-    if seed:
-        words = mix64(words + U64(seed))
     acc = np.zeros(n - length + 1, U64)
-    for k in range(length):
-        acc += words[k : n - length + 1 + k] * U64(pow(_STEP, k + 1, 1 << 64))
+    for k, factor in enumerate(_odd(length, seed)):
+        acc += words[k : n - length + 1 + k] * factor
     keep = np.zeros(n + 1, np.int8)
     has = runs > 0
     np.add.at(keep, bounds[:-1][has], 1)
