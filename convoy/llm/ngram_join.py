@@ -1,15 +1,18 @@
 """N-gram Jaccard join: a blocked sparse product of the document x n-gram incidence with its transpose.
 
 The columns (n-grams) are put in one global order, rare before frequent. By the size bound,
-two documents that are alike enough share a column among the first few of each; those
-columns are the first block, and the product over it yields the candidate pairs with
-their overlap so far. Pairs whose overlap so far plus what their sizes and places leave
-stays under the bound are discarded; for the others the remaining columns are accumulated,
-block by block of pairs, and the exact count decides.
-
-Only components are asked for, so the product need not be formed within a group whose
-documents are known to be linked: first each column's documents are held against one hub,
-the document that shares most; then only pairs across different components remain.
+two documents that are alike enough share columns among the first few of each; those
+columns are the first block. The product over it yields candidate pairs with their overlap so
+far; pairs whose overlap plus what sizes and places leave stays under the bound are discarded,
+and whole sets decide about the others.
+
+Within a group of near copies every document shares columns with every other, so the product
+is formed twice. Each document is first held against one hub, the document that meets most
+others in its columns; one that is half alike at least belongs to the hub's group, and is known
+by the few columns in which it differs from the hub. Two documents of one group differ by at
+least what their differences don't share. So the second product is over differences, again rare
+before frequent and with size-derived bounds, and only for pairs that the hub doesn't link
+already; the product over whole documents is left for pairs of different groups.
 """
 
 from __future__ import annotations
@@ -35,8 +38,8 @@ class Likeness:
     A shingle that local_heavy documents of one batch share counts as frequent, and about the
     known_heavy most frequent are ordered by how many documents hold them. Any order of
     shingles gives the same links; this one keeps frequent ones out of the first block.
-    meets: how many columns of the first block linked documents share at least. hub_rounds:
-    rounds against hubs before the exact rest. few: ids up to which a join is by broadcast.
+    meets: how many columns of the first block linked documents share at least. few: ids up to
+    which a join is by broadcast. hub_share: documents of a group that one copy of its hub serves.
     """
 
     words: int = 4
@@ -45,8 +48,8 @@ class Likeness:
     local_heavy: int = 3
     known_heavy: int = 1 << 20
     meets: int = 8
-    hub_rounds: int = 1
     few: int = 400_000
+    hub_share: int = 2_000
 
     def needed(self, n: np.ndarray) -> np.ndarray:
         """The smallest overlap with any partner that a set of n can be linked at."""
@@ -63,10 +66,17 @@ FLUSH = 2_000_000
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """By slice of the column: (from row, to row, distinct shingles ascending by text, bounds)."""
+    for i, j, flat, bounds, *_ in _keyed_sets(column, words):
+        yield i, j, flat, bounds
+
+
+def _keyed_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """shingle_sets, and 128 bits that stand for each text's words in their order."""
     data, offsets = raw(column)
     for i, j in slices(offsets):
         s, e, bounds = spans(data, offsets[i : j + 1])
         hashes = word_hashes(data, s, e, lower=True)
+        keys = _text_key(hashes, bounds), _text_key(word_hashes(data, s, e, lower=True, seed=1), bounds)
         runs, run_bounds = sequence_hashes(hashes, bounds, words)
         size = np.diff(bounds)
         out: list[np.ndarray] = []
@@ -78,17 +88,14 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.nd
                 own = np.unique(runs[run_bounds[k] : run_bounds[k + 1]])
             out.append(own)
         lengths = np.concatenate([[0], np.cumsum([len(x) for x in out])])
-        yield i, j, np.concatenate(out), lengths
+        yield i, j, np.concatenate(out), lengths, *keys
 
 
-def _set_keys(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits that stand for each set, whatever the order."""
-    keys = []
-    for seed in (1, 2):
-        total = np.zeros(len(flat) + 1, U64)
-        np.cumsum(mix64(flat + U64(seed * 0x9E3779B97F4A7C15 & (2**64 - 1))), out=total[1:])
-        keys.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-    return keys[0], keys[1]
+def _text_key(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    place = np.arange(len(hashes), dtype=U64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(U64)
+    total = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * (mix64(place + U64(1)) | U64(1)), out=total[1:])
+    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
 def _frequent(docs: DataFrame, how: Likeness) -> tuple[np.ndarray, np.ndarray]:
@@ -127,15 +134,14 @@ def _frequent(docs: DataFrame, how: Likeness) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(docs: DataFrame, how: Likeness, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(_id, n, k1, k2, first): a document's set size, its set's 128 bits, and its columns of the first block in order."""
+    """(_id, n, k1, k2, first): a document's set size, its words' 128 bits, and its columns of the first block in order."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, rank = shared.value
         for batch in batches:
-            for i, j, flat, bounds in shingle_sets(batch.column("_text"), how.words):
+            for i, j, flat, bounds, k1, k2 in _keyed_sets(batch.column("_text"), how.words):
                 n = np.diff(bounds)
-                k1, k2 = _set_keys(flat, bounds)
                 place = np.zeros(len(flat), np.int64)
                 if len(grams):
                     at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
@@ -208,9 +214,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, how: Likeness) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, flat, bounds in shingle_sets(batch.column("_text"), how.words):
+            for i, j, flat, bounds, k1, k2 in _keyed_sets(batch.column("_text"), how.words):
                 part = batch.slice(i, j - i)
-                k1, k2 = _set_keys(flat, bounds)
                 ours = (k1 == part.column("k1").to_numpy()) & (k2 == part.column("k2").to_numpy())
                 out = pa.RecordBatch.from_arrays([part.column("_id"), binary_column(flat, bounds)], names=["id", "set"])
                 yield out.filter(pa.array(ours))
@@ -221,6 +226,13 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, how: Likeness) -> DataFrame:
     return docs.join(keys, "_id").select("_id", "_text", "k1", "k2").mapInArrow(run, "id long, set binary")
 
 
+def _common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of p are in q; both ascend."""
+    if not len(q):
+        return np.zeros(len(p), bool)
+    return q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
     """Those of pairs (a, b) whose whole overlap reaches the bound."""
 
@@ -235,7 +247,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
                     p, q = q, p
                 if how.per * len(p) < how.least * len(q):
                     continue
-                overlap = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                overlap = int(_common(p, q).sum())
                 keep[k] = how.per * overlap >= how.least * (len(p) + len(q) - overlap)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -244,6 +256,96 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _held_against(chosen: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
+    """(id, hub, n, nh, linked, r, diff) of those chosen (id, hub) that are half alike at least; diff: the r columns that one of both has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, xb = from_binary(batch.column("set"), U64)
+            y, yb = from_binary(batch.column("hub_set"), U64)
+            n, nh = np.diff(xb), np.diff(yb)
+            overlap, diffs = np.zeros(len(n), np.int64), []
+            for k in range(len(n)):
+                p, q = x[xb[k] : xb[k + 1]], y[yb[k] : yb[k + 1]]
+                shared = _common(p, q)
+                overlap[k] = shared.sum()
+                diffs.append(np.concatenate([p[~shared], q[~_common(q, p)]]))
+            union = n + nh - overlap
+            r = union - overlap
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("hub"), pa.array(n), pa.array(nh), pa.array(how.per * overlap >= how.least * union), pa.array(r), binary_column(np.concatenate(diffs), np.concatenate([[0], np.cumsum(r)]))],
+                names=["id", "hub", "n", "nh", "linked", "r", "diff"],
+            )
+            yield out.filter(pa.array(2 * overlap >= union))
+
+    # A hub that a third of all documents name is copied, so that no task gets them all.
+    copies = chosen.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / how.hub_share).cast("int").alias("copies"))
+    hubs = sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set")).join(copies, "hub")
+    hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    dealt = chosen.join(copies, "hub").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")).drop("copies")
+    both = dealt.join(sets, "id").join(hubs, ["hub", "copy"]).select("id", "hub", "set", "hub_set")
+    return both.mapInArrow(run, "id long, hub long, n long, nh long, linked boolean, r long, diff binary")
+
+
+def _pairs_within(against: DataFrame, how: Likeness) -> DataFrame:
+    """(a, b): pairs of one hub's group that can be linked, one of which the hub doesn't link.
+
+    With t = least / per, two sets are linked if they differ in at most (1 - t) / (1 + t) of their
+    sizes' sum, and they differ in r + r' less twice what their differences share. If the other
+    isn't linked to the hub, that is more than (r + (1 - t) / (1 + t) * (nh - n)) / 2 columns, and
+    for the one that isn't linked r - n * (1 - t) / t at least: so many columns fewer, less one,
+    need be looked at.
+    """
+    apart, both = how.per - how.least, how.per + how.least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, bounds = from_binary(batch.column("diff"), U64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            rest = batch.select(["hub", "id", "n", "nh", "linked", "r"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *rest.columns], names=["e", "hub", "id", "n", "nh", "linked", "r"])
+
+    # Groups that their hub links whole are one component already.
+    asked = against.where(~F.col("linked")).select("hub").distinct()
+    rows = against.join(asked, "hub", "left_semi").mapInArrow(run, "e long, hub long, id long, n long, nh long, linked boolean, r long")
+    shared = rows.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    rows = rows.join(shared, ["hub", "e"])
+    own = W.partitionBy("id")
+    # Columns that nobody else of the group differs in come first.
+    rows = rows.withColumn("before", F.row_number().over(own.orderBy("holders", "e")) - 1).withColumn("place", F.col("r") - F.count(F.lit(1)).over(own) + F.col("before"))
+    short = F.col("r") - F.floor((both * F.col("r") + apart * (F.col("nh") - F.col("n"))) / (2 * both))
+    long = F.col("r") - F.greatest(F.lit(1), F.col("r") - F.floor(apart * F.col("n") / how.least)) + 1
+    rows = rows.withColumn("short", F.col("place") < short).withColumn("long", ~F.col("linked") & (F.col("place") < F.greatest(short, long))).where("short or long")
+    rows = materialize(rows.select("hub", "e", "id", "n", "r", "linked", "place", "before", "short", "long"), "ngram_differences")
+    names = ("id", "n", "r", "linked", "place", "before", "short")
+    x = rows.where("short").select("hub", "e", *[F.col(c).alias(f"{c}_x") for c in names])
+    y = rows.where("long").select("hub", "e", *[F.col(c).alias(f"{c}_y") for c in names])
+    most = F.least("before_x", "before_y") + F.least(F.col("r_x") - F.col("place_x"), F.col("r_y") - F.col("place_y"))
+    can_reach = 2 * both * most >= both * (F.col("r_x") + F.col("r_y")) - apart * (F.col("n_x") + F.col("n_y"))
+    once = F.when(F.col("linked_x"), True).otherwise(F.col("short_y") & (F.col("id_x") > F.col("id_y")))
+    met = x.join(y, ["hub", "e"]).where(once & _sizes_fit("n_x", "n_y", how) & can_reach)
+    return met.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b"))
+
+
+def _pairs_across(shared: DataFrame, against: DataFrame, how: Likeness) -> DataFrame:
+    """(a, b): pairs of different groups that the product over the first block leaves."""
+    rows = shared.join(against.select("id", "hub"), "id", "left").withColumn("grp", F.coalesce("hub", "id")).drop("hub")
+    groups = rows.groupBy("g", "grp").agg(F.count(F.lit(1)).alias("rows")).groupBy("g").agg(F.max_by("grp", F.struct("rows", "grp")).alias("main"), F.count(F.lit(1)).alias("groups"))
+    rows = materialize(rows.join(groups.where("groups > 1").drop("groups"), "g"), "ngram_open")
+    # A column's largest group meets the rest only, never itself.
+    names = ("id", "n", "place", "before", "grp")
+    x = rows.where("grp <> main").select("g", *[F.col(c).alias(f"{c}_x") for c in names])
+    y = rows.select("g", "main", *[F.col(c).alias(f"{c}_y") for c in names])
+    # What two classes that meet in this column can share: ahead of it, here, and after it.
+    most = F.least("before_x", "before_y") + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    can_reach = (how.per + how.least) * most >= how.least * (F.col("n_x") + F.col("n_y"))
+    once = (F.col("grp_y") == F.col("main")) | ((F.col("grp_x") != F.col("grp_y")) & (F.col("id_x") > F.col("id_y")))
+    met = x.join(y, "g").where(once & _sizes_fit("n_x", "n_y", how) & can_reach)
+    block = met.groupBy(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("n_x", "n_y")).alias("n"))
+    # Overlap so far: linked classes meet so often.
+    return block.where(F.col("overlap") >= how.meetings(F.col("n"))).select("a", "b")
+
+
 def _sizes_fit(a: str, b: str, how: Likeness) -> Column:
     return (F.lit(how.per) * F.least(a, b)) >= (F.lit(how.least) * F.greatest(a, b))
 
@@ -252,7 +354,7 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
     """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach).
 
     Words are lower-cased A-Z. A null text, or one without words, has no shingle and no link.
-    Rows with equal sets are one class and linked at once; rows that share an id count as one
+    Rows with the same words in the same order are one class and linked at once; rows that share an id count as one
     document. A row without an id is linked with nothing, and its component_id is null.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -266,59 +368,24 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
     # before: columns of the first block ahead of this one that any other class holds; the rest ahead can't be shared.
     before = F.row_number().over(W.partitionBy("id").orderBy("place")) - 1
     shared = materialize(shared.withColumn("before", before), "ngram_postings")
-    # The hub of a column is the document that meets most others over all its columns.
+    # The hub of a column is the document that meets most others over all its columns; a document takes the greatest of its columns' hubs.
+    # An id of several texts takes no part in that.
+    single = shared.join(classes.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "id", "left_anti")
     sizes = shared.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    met = shared.join(sizes, "g").groupBy("id").agg(F.sum("df").alias("met"))
-    links: DataFrame | None = None
-    tried: DataFrame | None = None
-    known: DataFrame | None = None
-    for turn in range(how.hub_rounds + 1):
-        open_rows = shared.join(met, "id")
-        if known is None:
-            open_rows = open_rows.withColumn("c", F.col("id"))
-        else:
-            open_rows = open_rows.join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            per_column = open_rows.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows"))
-            open_columns = per_column.where("low < high").select("g", "rows")
-            open_rows = materialize(open_rows.join(open_columns, "g"), "ngram_open")
-            total = open_rows.agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("pairs")).first()
-            if not total["n"]:
-                break
-            open_rows = open_rows.drop("rows")
-            if turn == how.hub_rounds or total["pairs"] <= 64 * total["n"]:
-                turn = how.hub_rounds
-        if turn < how.hub_rounds:
-            by = F.struct("met", F.xxhash64("id", F.lit(turn))) if turn == 0 else F.struct(F.xxhash64("c", F.lit(turn)), "met")
-            hubs = open_rows.groupBy("g").agg(F.max_by(F.struct("id", "n", "c"), by).alias("hub"))
-            star = open_rows.join(hubs, "g").where((F.col("hub.c") != F.col("c")) & _sizes_fit("n", "hub.n", how))
-            star = star.groupBy(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).agg(F.count(F.lit(1)).alias("overlap"), F.min(F.least("n", "hub.n")).alias("n"))
-            # A pair that meets too rarely here is left for another hub, or the exact rest.
-            pairs = star.where(F.col("overlap") >= how.meetings(F.col("n"))).select("a", "b")
-        else:
-            # The product over the first block, across components: overlap so far, and what can follow the last shared place.
-            names = ("id", "n", "place", "before", "c")
-            x, y = open_rows.select("g", *[F.col(c).alias(f"{c}_x") for c in names]), open_rows.select("g", *[F.col(c).alias(f"{c}_y") for c in names])
-            # What two classes that meet in this column can share: ahead of it, here, and after it.
-            most = F.least("before_x", "before_y") + F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-            can_reach = (how.per + how.least) * most >= how.least * (F.col("n_x") + F.col("n_y"))
-            met_here = x.join(y, "g").where((F.col("c_x") != F.col("c_y")) & (F.col("id_x") > F.col("id_y")) & _sizes_fit("n_x", "n_y", how) & can_reach)
-            block = met_here.groupBy(F.col("id_x").alias("a"), F.col("id_y").alias("b")).agg(
-                F.count(F.lit(1)).alias("overlap"), F.max("place_x").alias("px"), F.max("place_y").alias("py"), F.min("n_x").alias("nx"), F.min("n_y").alias("ny")
-            )
-            can_be = F.col("overlap") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
-            block = block.where(F.col("overlap") >= how.meetings(F.least("nx", "ny")))
-            pairs = block.where((how.per + how.least) * can_be >= how.least * (F.col("nx") + F.col("ny"))).select("a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "ngram_pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = materialize(_whole_sets(rows, classes.select("id", "k1", "k2").join(wanted, "id", "left_semi"), how), "ngram_sets")
-        new = materialize(_linked(pairs, sets, how), "ngram_links")
-        links = new if links is None else links.unionByName(new)
-        known = components(links)
-        if turn == how.hub_rounds:
-            break
+    met = materialize(single.join(sizes, "g").groupBy("id").agg(F.sum("df").alias("met")), "ngram_met")
+    hubs = single.join(met, "id").groupBy("g").agg(F.max(F.struct("met", F.col("id").alias("hub"), F.col("n").alias("nh"))).alias("top"))
+    fits = (F.col("top.hub") != F.col("id")) & (2 * F.least("n", "top.nh") >= F.greatest("n", "top.nh"))
+    chosen = single.join(hubs, "g").where(fits).groupBy("id").agg(F.max(F.struct("top.met", "top.hub")).alias("top")).select("id", "top.hub")
+    chosen = materialize(chosen, "ngram_chosen")
+    keys = classes.select("id", "k1", "k2")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return materialize(_whole_sets(rows, keys.join(wanted.distinct(), "id", "left_semi"), how), "ngram_sets")
+
+    against = materialize(_held_against(chosen, sets_of(chosen.select(F.explode(F.array("id", "hub")).alias("id"))), how), "ngram_against")
+    pairs = materialize(_pairs_within(against, how).unionByName(_pairs_across(shared, against, how)).distinct(), "ngram_pairs")
+    new = materialize(_linked(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))), how), "ngram_links")
+    known = components(new.unionByName(against.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))))
 
     own = features.join(classes.select("k1", "k2", "id"), ["k1", "k2"], "left").withColumn("id", F.when(F.col("_id").isNull() | (F.col("n") == 0), F.col("_id")).otherwise(F.col("id")))
     placed = own.join(known.select(F.col("node").alias("id"), "component"), "id", "left")

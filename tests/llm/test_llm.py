@@ -112,11 +112,67 @@ def test_ngram_join_chains_and_hot_columns(spark):
     rows += [(200 + i, "a very common line of words stands here " + " ".join(f"u{i}_{j}" for j in range(40))) for i in range(40)]
     rows += [(300, "a b"), (301, "A B"), (302, "a b c"), (303, "b a")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for how in (ngram_join.Likeness(), ngram_join.Likeness(words=5, least=80), ngram_join.Likeness(local_heavy=1000, meets=1, few=0), ngram_join.Likeness(hub_rounds=0)):
+    for how in (ngram_join.Likeness(), ngram_join.Likeness(words=5, least=80), ngram_join.Likeness(local_heavy=1000, meets=1, few=0)):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, how).collect()}
         assert got == jaccard(rows, how.words, how.least, how.per)
 
 
+def edited(rng, base, share, i):
+    """base with about that share of its words replaced, dropped or doubled."""
+    out = []
+    for k, w in enumerate(base):
+        roll = rng.random()
+        if roll < share / 2:
+            out.append(f"n{rng.randrange(40)}_{k}")
+        elif roll < share * 3 / 4:
+            out += [w, f"d{i}_{k}"]
+        elif roll >= share:
+            out.append(w)
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("seed", [True, False])
+def test_ngram_join_in_a_large_group_of_near_copies(spark, seed):
+    """Copies at all distances around the bound, with and without the text that they come from."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(90)]
+    rows = [(i + 1, edited(rng, base, rng.choice([0.005, 0.01, 0.02, 0.03, 0.05, 0.08]), i)) for i in range(700)]
+    # Pairs that are far from the middle of the group and near to each other.
+    for i in range(60):
+        far = edited(rng, base, 0.06, 1000 + i).split()
+        rows += [(2000 + 2 * i, " ".join(far)), (2001 + 2 * i, edited(rng, far, 0.01, 3000 + i))]
+    rows += [(0, " ".join(base))] if seed else []
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in (ngram_join.Likeness(), ngram_join.Likeness(words=5, least=80, hub_share=50)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df, how).collect()}
+        assert got == jaccard(rows, how.words, how.least, how.per)
+
+
+def thue_morse(k):
+    t = "a"
+    for _ in range(k):
+        t += t.translate(str.maketrans("ab", "ba"))
+    return t
+
+
+def test_words_that_collide_in_polynomials_stay_apart(spark):
+    one, other = thue_morse(10), thue_morse(10).translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()} == {1: 1, 2: 2, 3: 1}
+    rest = " ".join(f"w{i}" for i in range(34))
+    df = spark.createDataFrame([(1, f"{rest} {one}"), (2, f"{rest} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(df).collect()] == [0, 0]
+
+
+def test_ngram_join_ids_of_several_texts(spark):
+    base = [f"b{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    rows += [(5, " ".join(f"c{i}" for i in range(50))), (70, " ".join(f"c{i}" for i in range(51)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert got == {0}
+
+
 def test_ngram_join_odd_rows(spark, odd):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd).collect()]
     assert len(got) == 12
