@@ -1,33 +1,35 @@
 """BPE encoding and decoding by a priority queue of merge ranks over a linked symbol list.
 
-A text is cut at white space; each unit is normalised, split into pieces and merged once per
-Python worker, then remembered. Merging a piece starts with one symbol per byte; the queue
-holds adjacent pairs by (rank, place), a merge relinks its neighbours and pushes the pairs
-that it makes, and entries whose pair has changed meanwhile are skipped when they come up.
+A text is cut at white space, each unit into pieces, and each piece is merged once per Python
+worker; units and pieces are remembered.
+Merging a piece starts with one symbol per byte; the queue holds adjacent pairs by (rank,
+place), a merge relinks its neighbours and pushes the pairs that it makes, and entries whose
+pair has changed meanwhile are skipped when they come up. Plain units are cut here; for
+others the library says what is a letter, a digit or lower case, as its Unicode has it.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from convoy.llm.pieces import Remembered, is_plain, plain_pattern
 from convoy.llm.text import raw, slices
 
-#: Units that a worker remembers before it starts anew.
+#: Units, and pieces, that a worker has at hand; those used since the last turn stay for the next.
 REMEMBERED = 100_000
 #: Fixed: Unicode's White_Space characters, which the tokenizer's \s stands for.
-_WHITE_SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: Characters that str.split() counts as white space but the tokenizer does not.
-_SEPARATORS = regex.compile("[\x1c-\x1f]")
+_WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")#: Characters that str.split() counts as white space but the tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -48,25 +50,29 @@ class WordBpe:
         suffix = model["end_of_word_suffix"] or ""
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.specials.items()]}
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+        self.split = plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         symbols = byte_symbols()
+        self.bytes_of = {ord(s): b for b, s in enumerate(symbols)}
         self.inner = [self.vocab[s] for s in symbols]
         self.last = [self.vocab[s + suffix] for s in symbols]
         self.pairs: dict[int, tuple[int, int]] = {}
         for rank, (a, b) in enumerate(m.split(" ") if isinstance(m, str) else m for m in model["merges"]):
             self.pairs[self.vocab[a] << 20 | self.vocab[b]] = (rank, self.vocab[a + b])
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.table = np.full(max(self.strings) + 1, "", object)
+        self.table[list(self.strings)] = list(self.strings.values())
+        self.pieces = Remembered(lambda text: self.piece(text.encode()), REMEMBERED)
+        self.units = Remembered(self.unit, REMEMBERED)
+        from tokenizers import Tokenizer
 
-    def piece(self, piece: str) -> list[int]:
-        """Ids of one piece."""
-        data = piece.encode()
+        theirs = Tokenizer.from_file(path)
+        self.normal, self.cut = theirs.normalizer.normalize_str, theirs.pre_tokenizer.pre_tokenize_str
+
+    def piece(self, data: bytes) -> bytes:
+        """Ids of one piece, packed."""
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
         n = len(ids)
-        if n == 1:
-            return ids
         pair = self.pairs.get
         queue = [m[0] << 32 | i for i in range(n - 1) if (m := pair(ids[i] << 20 | ids[i + 1])) is not None]
         heapify(queue)
@@ -90,41 +96,30 @@ class WordBpe:
             h = before[i]
             if h >= 0 and (m := pair(ids[h] << 20 | new)) is not None:
                 heappush(queue, m[0] << 32 | h)
-        return [x for x in ids if x >= 0]
+        return array("H", [x for x in ids if x >= 0]).tobytes()
 
-    def unit(self, unit: str) -> list[int]:
+    def unit(self, unit: str) -> bytes:
         """Ids of text without white space; special tokens stand for themselves."""
-        out: list[int] = []
+        if is_plain(unit):
+            return b"".join(map(self.pieces.__getitem__, self.split(unit.lower())))
+        out: list[bytes] = []
         for part in self.special_pattern.split(unit) if self.special_pattern and "<" in unit else [unit]:
             if part in self.specials:
-                out.append(self.specials[part])
-                continue
-            text = part if part.isascii() else normalize("NFC", part)
-            # One character at a time where a word's end would change the result.
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-            for piece in self.pattern.findall(text):
-                if (ids := self.pieces.get(piece)) is None:
-                    ids = self.pieces[piece] = self.piece(piece)
-                out += ids
-        return out
+                out.append(array("H", [self.specials[part]]).tobytes())
+            elif part:
+                out += [self.piece(bytes(map(self.bytes_of.__getitem__, map(ord, symbols)))) for symbols, _ in self.cut(self.normal(part))]
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as int32."""
-        units = [u for u in _WHITE_SPACE.split(text) if u] if _SEPARATORS.search(text) else text.split()
-        known = self.units
-        new = {u for u in units if u not in known}
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                self.pieces.clear()
-                new = set(units)
-            for u in new:
-                known[u] = np.array(self.unit(u), np.int32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32)
+        self.pieces.turn()
+        self.units.turn()
+        units = filter(None, _WHITE_SPACE.split(text)) if _SEPARATORS.search(text) else text.split()
+        return np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.uint16).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """Vocabulary strings, joined by one space as this tokenizer, which names no decoder, does."""
-        return " ".join(map(self.strings.__getitem__, ids.tolist()))
+        return " ".join(self.table[np.asarray(ids, np.int64)].tolist())
 
 
 @cache
@@ -132,12 +127,14 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def _by_slice(batches: Iterator[pa.RecordBatch], column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_slice(bpe: WordBpe, batches: Iterator[pa.RecordBatch], column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Work on a few MB of text at a time, so that results stay small in memory."""
     for batch in batches:
         offsets = raw(batch.column(column))[1]
         for i, j in slices(offsets):
             yield work(batch.slice(i, j - i))
+    bpe.units.rest()
+    bpe.pieces.rest()
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +148,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))], names=[id_col, "token_ids"])
 
-        return _by_slice(batches, text_col, work)
+        return _by_slice(bpe, batches, text_col, work)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -186,7 +183,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             texts = pa.array([bpe.decode(x) for x in ids], pa.string())
             return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids))), texts], names=[id_col, "token_ids", "decoded"])
 
-        return _by_slice(batches, text_col, work)
+        return _by_slice(bpe, batches, text_col, work)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return docs.select(id_col, text_col).mapInArrow(run, schema)
