@@ -1,9 +1,10 @@
 """Token ids of whole texts by the public byte-level BPE, one encoder per Python worker.
 
-The vocabulary's pattern starts a piece at each single space between two other characters,
-so such a text can be cut there and its units encoded once each; a text in which a space
-meets other white space is encoded whole. Units in turn are cut into the pattern's pieces,
-which recur more often; the library's model encodes each new piece.
+A single space between two other characters always starts a piece, so most texts are cut
+there and each unit is encoded once. A plain unit is cut into the vocabulary's pieces, which
+recur more often, and the library's model encodes each new piece; the library encodes other
+units. Where a space meets other white space, a plain text is cut into pieces as it stands,
+and the library encodes any other whole.
 """
 
 from __future__ import annotations
@@ -14,42 +15,18 @@ from array import array
 from collections.abc import Callable
 from functools import cache
 
-import regex
-
 from convoy.llm.bpe import byte_symbols
+from convoy.llm.pieces import Remembered, is_plain, plain_pattern
 
-#: Units that a worker has at hand; those used since the last turn stay for the next.
+#: Units, and pieces, that a worker has at hand; those used since the last turn stay for the next.
 REMEMBERED = 400_000
 _NEXT_TO_SPACE = re.compile(r" \s|\s ")
-#: Units of these characters only are cut: letters and digits are the same in every version of Unicode.
-_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
 
 
 def _packed(ids: list[int]) -> bytes:
     return array("H", ids).tobytes()
 
 
-class _Remembered(dict):
-    """Values by key, made when first asked for. Of two generations the older goes when the newer is full."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
-        super().__init__()
-        self.make, self.most = make, most
-        self.before: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def turn(self) -> None:
-        if len(self) > self.most:
-            self.before = dict(self)
-            self.clear()
-
-
 @cache
 def unit_encoder(path: str) -> Callable[[str], bytes]:
     """A function from a text to its ids as uint16; path: the tokenizer's file."""
@@ -60,7 +37,7 @@ def unit_encoder(path: str) -> Callable[[str], bytes]:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    split = regex.compile(public_tokenizers.PATTERN).findall
+    split = plain_pattern(public_tokenizers.PATTERN)
     model, symbols = tokenizer.model, dict(enumerate(byte_symbols()))
 
     def whole(text: str) -> bytes:
@@ -69,22 +46,20 @@ def unit_encoder(path: str) -> Callable[[str], bytes]:
     def piece(text: str) -> bytes:
         return _packed([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(symbols))])
 
-    pieces = _Remembered(piece, REMEMBERED)
+    pieces = Remembered(piece, REMEMBERED)
 
-    def unit(text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or "<|" in text:
-            return whole(f" {text}")
-        found = split(f" {text}")
-        return pieces[found[0]] if len(found) == 1 else b"".join(map(pieces.__getitem__, found))
+    def plain(text: str) -> bytes:
+        return b"".join(map(pieces.__getitem__, split(text)))
 
-    units = _Remembered(unit, REMEMBERED)
+    units = Remembered(lambda unit: plain(f" {unit}") if is_plain(unit) else whole(f" {unit}"), REMEMBERED)
 
     def encode(text: str) -> bytes:
+        pieces.turn()
+        units.turn()
+        as_it_stands = plain if is_plain(text) else whole
         if _NEXT_TO_SPACE.search(text):
-            return whole(text)
+            return as_it_stands(text)
         first, *rest = text.split(" ")
-        units.turn()
-        pieces.turn()
-        return whole(first) + b"".join(map(units.__getitem__, rest))
+        return as_it_stands(first) + b"".join(map(units.__getitem__, rest))
 
     return encode
