@@ -2,46 +2,55 @@
 
 A window is a run of `window` words. Of the shorter grams inside each window the one with
 the least hash is the window's fingerprint; equal windows have equal fingerprints at equal
-places. A batch's fingerprints become an immutable run, sorted and with one row per
-fingerprint. Joining the new run with each older one tells which fingerprints repeat, in
-the batch or in history. Windows with a repeated fingerprint are then verified by 128 bits
-over all their words. Runs are merged into one when there are too many.
-
-What repeats inside one Arrow batch is settled where it is read, and one row stands for it
-in the exchange: a passage that a third of all texts share sends one row per batch.
+places. A batch's fingerprints become an immutable run with one row per fingerprint, in
+buckets by hash, each sorted. A new run is merge-joined with each older one, bucket by
+bucket, so old runs are never exchanged; that tells which fingerprints repeat, in the batch
+or in history. Windows with a repeated fingerprint are then verified by 128 bits over all
+their words. When there are too many runs, the two smallest are merged, again bucket by
+bucket. An index lives in a folder and can be opened again.
+
+What repeats inside some million rows is settled where it is read, and one row stands for it
+in the exchange; settled places go along in one list for each text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm.shared import materialize
+from convoy.llm.shared import fresh_path, materialize
 from convoy.llm.text import U64, raw, sequence_hashes, slices, spans, word_hashes
 
 
 #: Rows that a task settles together before it hands them on.
 FLUSH = 1_000_000
+#: Rows of a batch handed on.
+OUT_ROWS = 100_000
 
 
 @dataclass(frozen=True)
 class Windows:
     """window: words. gram: words of a fingerprint. batches: parts in which documents arrive. most_runs: more are compacted.
-    small: MB up to which the places of repeats are broadcast to the texts; beyond, both are shuffled."""
+    small: MB up to which the places of repeats are broadcast to the texts; beyond, both are shuffled. buckets: of a run;
+    0: as many as Spark's shuffle partitions when the index is made."""
 
     window: int = 35
     gram: int = 10
-    batches: int = 2
-    most_runs: int = 4
+    batches: int = 4
+    most_runs: int = 2
     small: int = 64
+    buckets: int = 0
 
 
+_ID = "_id"
 _PLACE_BITS = U64(28)
 _PLACE = U64((1 << 28) - 1)
 
@@ -65,22 +74,38 @@ def _selected(grams: np.ndarray, gram_bounds: np.ndarray, bounds: np.ndarray, ho
     return (least[gram_bounds[text] + start] & _PLACE).astype(np.int64), text, start
 
 
-def _settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """One candidate row for each pair of hashes, with its number; its other rows repeat for certain (kind 1)."""
+def _listed(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Settled places (kind 1): one row for each key, dealt by it."""
+    by = np.argsort(key, kind="stable")
+    key, at = key[by], at[by]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    m = len(first)
+    keys, zeros = pa.array(key[first]), np.zeros(m, np.int64)
+    places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(at.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), keys, pa.array(zeros), keys, pa.array(zeros.astype(np.int32)), pa.array(zeros), places], names=_NAMES)
+
+
+def _single(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Candidates (kind 0), dealt by their hash."""
+    m = len(h1)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), pa.array(h1), pa.array(h2), pa.array(key), pa.array(at.astype(np.int32)), pa.array(n), pa.nulls(m, pa.list_(pa.int32()))], names=_NAMES)
+
+
+def _settle(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One candidate for each pair of hashes, with its number; its other rows repeat for certain."""
     by = np.lexsort((h2, h1))
-    h1, h2, key, at = h1[by], h2[by], key[by], at[by]
+    h1, h2, key, at = h1[by].view(np.int64), h2[by].view(np.int64), key[by], at[by]
     new = np.ones(len(h1), bool)
     new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-    first = np.flatnonzero(new)
-    n = np.ones(len(h1), np.int64)
-    n[first] = np.diff(np.append(first, len(h1)))
-    kind = (~new).astype(np.int8)
-    a, b = h1.view(np.int64), h2.view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b), pa.array(key), pa.array(at.astype(np.int32)), pa.array(n)], names=_NAMES)
+    n = np.diff(np.append(np.flatnonzero(new), len(h1)))
+    for i in range(0, int(new.sum()), OUT_ROWS):
+        f = np.flatnonzero(new)[i : i + OUT_ROWS]
+        yield _single(h1[f], h2[f], key[f], at[f], n[i : i + OUT_ROWS])
+    yield _listed(key[~new], at[~new])
 
 
-_NAMES = ["kind", "h1", "h2", "key", "at", "n"]
-_ROWS = "kind byte, h1 long, h2 long, key long, at int, n long"
+_NAMES = ["kind", "h1", "h2", "key", "at", "n", "places"]
+_ROWS = "kind byte, h1 long, h2 long, key long, at int, n long, places array<int>"
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,51 +131,84 @@ def _tail(h1: np.ndarray, kind: np.ndarray) -> int:
     return int(other[-1]) + 1 if len(other) else 0
 
 
-def _meet(rows: DataFrame, keep_index: bool) -> DataFrame:
-    """Bring candidates of one hash together: kind 1 rows are those that repeat; kind 0, if kept, one per hash for the index."""
+def _meet(rows: DataFrame, parts: int, keep_index: bool) -> DataFrame:
+    """Bring candidates of one hash together: kind 1 rows list places that repeat; kind 0, if kept, one per hash for the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _whole_groups(batches):
-            kind, h1, h2, n = (batch.column(c).to_numpy() for c in ("kind", "h1", "h2", "n"))
+            h1, h2, key, at, n = (batch.column(c).to_numpy() for c in ("h1", "h2", "key", "at", "n"))
+            kind = batch.column("kind").to_numpy()
             new = np.ones(len(h1), bool)
             new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (kind[1:] != kind[:-1])
             group = np.cumsum(new) - 1
             total = np.bincount(group, n)[group].astype(np.int64)
-            place = (kind == 1) | (total > 1)
-            columns = [batch.column(c) for c in ("h1", "key", "at")]
-            out = [pa.RecordBatch.from_arrays([pa.array(np.ones(len(h1), np.int8)), *columns, pa.array(total)], names=names).filter(pa.array(place))]
+            again = (kind == 0) & (total > 1)
+            yield _listed(key[again], at[again])
+            yield batch.filter(pa.array(kind == 1))
             if keep_index:
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.zeros(len(h1), np.int8)), *columns, pa.array(total)], names=names).filter(pa.array(new & (kind == 0))))
-            yield from out
+                one = new & (kind == 0)
+                yield _single(h1[one], h2[one], key[one], at[one], total[one])
 
-    names = ["kind", "h1", "key", "at", "n"]
-    # Candidates meet by hash; settled rows can go anywhere.
-    where = F.when(F.col("kind") == 0, F.col("h1")).otherwise(F.xxhash64("key", "at"))
-    return rows.repartition(where).sortWithinPartitions("kind", "h1", "h2").mapInArrow(run, "kind byte, h1 long, key long, at int, n long")
+    return rows.repartition(parts, "h1").sortWithinPartitions("kind", "h1", "h2").mapInArrow(run, _ROWS)
 
 
-class FingerprintIndex:
-    """Runs of (h1, key, at, n): a fingerprint, one place of it, and how often it has come."""
+def _buckets(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The bucketed files below path, as a table that Spark knows to be so."""
+    name = f"convoy_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (h1 BIGINT, key BIGINT, at INT, n BIGINT, places ARRAY<INT>, kind TINYINT) USING parquet PARTITIONED BY (kind) CLUSTERED BY (h1) SORTED BY (h1) INTO {buckets} BUCKETS LOCATION '{path}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
+
 
-    def __init__(self, how: Windows = Windows()) -> None:
-        self.how = how
-        self.runs: list[DataFrame] = []
+class FingerprintIndex:
+    """Runs of (h1, key, at, n): a fingerprint, one place of it, and how often it has come. Kept below path, where `open` finds them."""
+
+    def __init__(self, spark: SparkSession, how: Windows = Windows(), path: str | None = None) -> None:
+        self.spark, self.how = spark, how
+        self.path = path or fresh_path(spark, "fingerprint_index")
+        self.buckets = how.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[str, int, DataFrame]] = []  # folder, batches in it, rows
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, how: Windows = Windows()) -> FingerprintIndex:
+        """The index that was left at path."""
+        index = cls(spark, how, path)
+        last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        index.buckets = last["buckets"]
+        index.runs = [(r["folder"], r["batches"], _buckets(spark, f"{path}/{r['folder']}", index.buckets).where("kind = 0")) for r in last["runs"]]
+        return index
+
+    def _write(self, rows: DataFrame, batches: int) -> DataFrame:
+        """Rows, dealt by h1, as one more folder of buckets; kind 0 of it is a run."""
+        folder = f"run-{uuid.uuid4().hex}"
+        writer = rows.select("h1", "key", "at", "n", "places", "kind").write.option("path", f"{self.path}/{folder}").partitionBy("kind").bucketBy(self.buckets, "h1").sortBy("h1")
+        name = f"convoy_{uuid.uuid4().hex}"
+        writer.format("parquet").saveAsTable(name)
+        written = self.spark.table(name)
+        self.runs.append((folder, batches, written.where("kind = 0")))
+        return written
+
+    def _note(self) -> None:
+        """What the index consists of now, appended: the last version holds."""
+        version = time.time_ns()
+        runs = [(folder, batches) for folder, batches, _ in self.runs]
+        self.spark.createDataFrame([(version, self.buckets, runs)], "version long, buckets int, runs array<struct<folder:string,batches:int>>").write.mode("append").parquet(f"{self.path}/manifest")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge-join a batch (key, text) with the index and take it in.
 
-        Returns (key, at): grams, of this batch or of earlier ones, that are now known to repeat
-        and weren't before. Places given twice do no harm.
+        Returns (key, places): grams, of this batch or of earlier ones, that are now known to
+        repeat. Places given twice do no harm.
         """
         how = self.how
 
         def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-            def flush() -> pa.RecordBatch:
+            def flush() -> Iterator[pa.RecordBatch]:
                 h, key, at = (np.concatenate([f[k] for f in found]) for k in range(3))
                 found.clear()
-                return _settle(h, np.zeros_like(h), key, at)
+                yield from _settle(h, np.zeros_like(h), key, at)
 
             for part in batches:
                 data, offsets = raw(part.column("text"))
@@ -164,45 +222,48 @@ class FingerprintIndex:
                     place, text = place[first], text[first]
                     found.append((grams[place], keys[i:j][text], place - gram_bounds[text]))
                     if sum(len(f[0]) for f in found) >= FLUSH:
-                        yield flush()
+                        yield from flush()
             if found:
-                yield flush()
-
-        met = materialize(_meet(batch.mapInArrow(fingerprints, _ROWS), keep_index=True), "fingerprints")
-        run = met.where("kind = 0").drop("kind")
-        places = met.where("kind = 1").select("key", "at")
-        for old in self.runs:
-            # One row per fingerprint on both sides.
+                yield from flush()
+
+        older = [run for _, _, run in self.runs]
+        written = self._write(_meet(batch.mapInArrow(fingerprints, _ROWS), self.buckets, keep_index=True), 1)
+        run = self.runs[-1][2]
+        places = written.where("kind = 1").select("key", "places")
+        for old in older:
+            # One row per fingerprint on both sides, in the same buckets.
             both = run.alias("x").join(old.alias("y"), F.col("x.h1") == F.col("y.h1"))
             sides = F.array(F.struct("x.key", "x.at", "x.n"), F.struct("y.key", "y.at", "y.n"))
-            again = both.select(F.explode(sides).alias("s")).where("s.n = 1").select("s.key", "s.at")
+            again = both.select(F.explode(sides).alias("s")).where("s.n = 1").select("s.key", F.array("s.at").alias("places"))
             places = places.unionByName(again)
-        self.runs.append(run)
         places = materialize(places, "fingerprint_places")
-        if len(self.runs) > how.most_runs:
+        while len(self.runs) > how.most_runs:
             self.compact()
+        self._note()
         return places
 
     def compact(self) -> None:
-        """One sorted run in place of all."""
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
-        one = F.min_by(F.struct("key", "at"), F.struct("key", "at"))
-        merged = rows.groupBy("h1").agg(one.alias("p"), F.sum("n").alias("n")).select("h1", "p.key", "p.at", "n")
-        self.runs = [materialize(merged.sortWithinPartitions("h1"), "fingerprint_run")]
+        """The two smallest runs become one, bucket by bucket."""
+        self.runs.sort(key=lambda r: -r[1])
+        (_, n, x), (_, m, y) = self.runs.pop(), self.runs.pop()
+        x, y = (run.select("h1", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "at", "n")]) for run, side in ((x, "x"), (y, "y")))
+        ours = F.col("key_x").isNotNull()
+        total = F.coalesce("n_x", F.lit(0).cast("long")) + F.coalesce("n_y", F.lit(0).cast("long"))
+        columns = [F.when(ours, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")).alias(c) for c in ("key", "at")]
+        nothing = F.lit(None).cast("array<int>").alias("places")
+        self._write(x.join(y, "h1", "full_outer").select("h1", *columns, total.alias("n"), nothing, F.lit(0).cast("byte").alias("kind")), n + m)
 
 
 def _verified(touched: DataFrame, how: Windows) -> DataFrame:
-    """(key, starts): first words of windows that occur again, by all their words."""
+    """(key, starts): first words of windows that occur again, by 128 bits over all their words."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate([f[k] for f in found]) for k in range(4)]
             found.clear()
-            return _settle(*columns)
+            yield from _settle(*columns)
 
         for part in batches:
             data, offsets = raw(part.column("text"))
@@ -218,16 +279,17 @@ def _verified(touched: DataFrame, how: Windows) -> DataFrame:
                     repeated[gram_bounds[k] + lists[i + k].values.to_numpy()] = True
                 asked = np.flatnonzero(repeated[place])
                 h1, window_bounds = sequence_hashes(words, bounds, how.window, seed=3)
-                h2, _ = sequence_hashes(words, bounds, how.window, seed=4)
+                h2, _ = sequence_hashes(word_hashes(data, s, e, lower=False, seed=1), bounds, how.window, seed=4)
                 at = window_bounds[text[asked]] + start[asked]
                 found.append((h1[at], h2[at], keys[i:j][text[asked]], start[asked]))
                 if sum(len(f[0]) for f in found) >= FLUSH:
-                    yield flush()
+                    yield from flush()
         if found:
-            yield flush()
+            yield from flush()
 
-    met = _meet(touched.select("key", "text", "places").mapInArrow(windows, _ROWS), keep_index=False)
-    return met.groupBy("key").agg(F.collect_list("at").alias("starts"))
+    parts = int(touched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = _meet(touched.select("key", "text", "places").mapInArrow(windows, _ROWS), parts, keep_index=False)
+    return met.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, how: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False) -> DataFrame:
@@ -238,57 +300,52 @@ def remove_repeats(docs: DataFrame, how: Windows = Windows(), id_col: str = "doc
     shorter than a window lose nothing. Rows that repeat an id and text are two documents.
     """
     kept_name = "kept_text" if keep_text else "kept_sha256"
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("_id", F.lit(0), "text"))
-    index = FingerprintIndex(how)
+    rows = docs.select(F.col(id_col).alias(_ID), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64(_ID, F.lit(0), "text"))
+    index = FingerprintIndex(docs.sparkSession, how)
     places: DataFrame | None = None
     for k in range(how.batches):
         arrived = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(how.batches)) == k).select("key", "text")
         new = index.add(arrived)
         places = new if places is None else places.unionByName(new)
-    by_text = places.groupBy("key").agg(F.collect_list("at").alias("places"))
-    by_text = materialize(by_text, "places_by_text")
+    by_text = materialize(places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places")), "places_by_text")
     size = by_text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
     if 32 * size["n"] + 4 * (size["places"] or 0) <= how.small << 20:
-        by_text = F.broadcast(by_text)
-    touched = materialize(rows.select("key", "text").join(by_text, "key"), "touched")
+        marked = rows.join(F.broadcast(by_text), "key", "left")
+    else:
+        marked = materialize(rows.join(by_text, "key", "left"), "marked")
+    touched = marked.where("places is not null")
     found = _verified(touched, how)
 
     def render(words: list[bytes]) -> str:
         joined = b" ".join(words)
         return joined.decode() if keep_text else hashlib.sha256(joined).hexdigest()
 
+    id_type = docs.schema[id_col].dataType.simpleString()
+    ranges = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    schema = f"{_ID} {id_type}, n_words long, n_removed long, removed array<struct<from:int,to:int>>, kept string"
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            out: list[list] = [[], [], []]
-            for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
-                words = text.encode().split()
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, np.array(starts, np.int64), 1)
-                np.add.at(change, np.array(starts, np.int64) + how.window, -1)
-                gone = np.cumsum(change)[:-1] > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                out[0].append(int(gone.sum()))
-                out[1].append([{"from": int(a), "to": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                out[2].append(render([words[i] for i in np.flatnonzero(~gone)]))
-            ranges = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(out[0], pa.int64()), pa.array(out[1], ranges), pa.array(out[2], pa.string())], names=["key", "n_removed", "removed", "cut"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                split = [t.encode().split() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("key"), pa.array([len(w) for w in split], pa.int64()), pa.array([render(w) for w in split], pa.string())], names=["_id", "key", "n_words", "all"])
-
-    # Rows alike in id and text are cut alike, so one of them stands for all.
-    cuts = touched.select("key", "text").dropDuplicates(["key"]).join(found, "key").select("key", "text", "starts").mapInArrow(cut, "key long, n_removed long, removed array<struct<from:int,to:int>>, cut string")
-    id_type = docs.schema[id_col].dataType.simpleString()
-    every = rows.mapInArrow(whole, f"_id {id_type}, key long, n_words long, all string")
-    return every.join(cuts, "key", "left").select(
-        F.col("_id").alias(id_col),
-        "n_words",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("removed", F.array().cast("array<struct<from:int,to:int>>")).alias("removed"),
-        F.coalesce("cut", "all").alias(kept_name),
-    )
+                out: list[list] = [[], [], [], []]
+                for text, starts in zip(part.column("text").to_pylist(), part.column("starts"), strict=True):
+                    words = text.encode().split()
+                    change = np.zeros(len(words) + 1, np.int64)
+                    if starts.is_valid:
+                        first = starts.values.to_numpy().astype(np.int64)
+                        np.add.at(change, first, 1)
+                        np.add.at(change, first + how.window, -1)
+                    gone = np.cumsum(change)[:-1] > 0
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                    out[0].append(len(words))
+                    out[1].append(int(gone.sum()))
+                    out[2].append([{"from": int(a), "to": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                    out[3].append(render([words[i] for i in np.flatnonzero(~gone)] if len(edges) else words))
+                yield pa.RecordBatch.from_arrays([part.column(_ID), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], ranges), pa.array(out[3], pa.string())], names=[_ID, "n_words", "n_removed", "removed", "kept"])
+
+    none = F.lit(None).cast("array<int>").alias("starts")
+    untouched = marked.where("places is null").select(_ID, "text", none).mapInArrow(cut, schema)
+    cuts = touched.select(_ID, "key", "text").join(found, "key", "left").select(_ID, "text", "starts").mapInArrow(cut, schema)
+    return untouched.unionByName(cuts).select(F.col(_ID).alias(id_col), "n_words", "n_removed", "removed", F.col("kept").alias(kept_name))
