@@ -1,9 +1,9 @@
 """Exact top-k search: norm-bucketed retrieval.
 
-Candidates are grouped by length into buckets and packed into blocks. A first block of the
-longest vectors gives each query a score that its k-th best surely reaches. For every
+Candidates are grouped by length into buckets and packed into blocks. First blocks of the
+longest vectors give each query a score that its k-th best surely reaches. For every
 other block that score is a cosine threshold local to the block's bucket: too high for
-any vector of that length, and the block is passed over; high, and the query's largest
+any vector of that length, and the block never meets the query; high, and the query's largest
 coordinates rule vectors out; low, and only the vectors' own lengths do. What is left is
 verified by exact integer products.
 """
@@ -27,6 +27,7 @@ class Search:
     """scale: components become floor(scale * x). ratio: of lengths within a bucket. block_rows, query_rows: rows packed together.
 
     From the cosine threshold `steep` up, the `focus` largest coordinates of a query prune.
+    together: blocks that one copy of a block of queries meets.
     """
 
     k: int = 5
@@ -36,6 +37,7 @@ class Search:
     query_rows: int = 1_024
     steep: float = 0.5
     focus: int = 3
+    together: int = 16
 
 
 def _quantised(vectors: DataFrame, id_col: str, vec_col: str, how: Search) -> DataFrame:
@@ -66,6 +68,8 @@ def _products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     most = float(np.abs(q).max(initial=0)) * float(np.abs(p).max(initial=0)) * max(1, q.shape[1])
     if most < 2**53:
         return (q.astype(np.float64) @ p.astype(np.float64).T).astype(np.int64)
+    if most >= 2**63 and np.abs(q.astype(np.float64) @ p.astype(np.float64).T).max(initial=0) >= 2**63 * (1 - 1e-9):
+        raise OverflowError("an inner product does not fit 64 bits")
     return q @ p.T
 
 
@@ -113,7 +117,7 @@ def top_k(vectors: DataFrame, every: int, how: Search = Search(), id_col: str =
 
     Vectors that are null or hold a null or non-finite component take no part, as rows without
     an id. Vectors meet those of their own dimension. Rows with the query's own id aren't its
-    candidates; a candidate id that rows repeat may come as often.
+    candidates; a candidate id that rows repeat may come as often. A product beyond 64 bits raises.
     """
     rows = materialize(_quantised(vectors, id_col, vec_col, how), "topk_vectors")
     queries = rows.where(F.col("id") % every == 0)
@@ -123,9 +127,11 @@ def top_k(vectors: DataFrame, every: int, how: Search = Search(), id_col: str =
     dealt = rows.join(full, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id", "norm2", F.lit(1)), F.col("blocks")))
     packed = materialize(_packed(dealt, ["dim", "bucket", "part"]), "topk_blocks")
     asked = materialize(_packed(queries.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int")), ["dim", "grp"]), "topk_queries").select("dim", "grp", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    # One block of the longest vectors for each dimension, block_rows at most: a bounded size.
-    longest = rows.withColumn("r", F.row_number().over(W.partitionBy("dim").orderBy(F.desc("norm2"), "id"))).where(F.col("r") <= how.block_rows)
-    first = _packed(longest, ["dim"]).select("dim", F.col("ids").alias("f_ids"), F.col("vecs").alias("f_vecs"))
+    # Blocks are narrow rows here: of each dimension those of the longest vectors, with query_rows rows or as few more as whole blocks allow.
+    sized = packed.select("dim", "bucket", "part", F.size("ids").alias("rows"))
+    ahead = F.coalesce(F.sum("rows").over(W.partitionBy("dim").orderBy(F.desc("bucket"), "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    longest = sized.withColumn("ahead", ahead).where(F.col("ahead") < how.query_rows).select("dim", "bucket", "part")
+    first = packed.join(longest, ["dim", "bucket", "part"]).groupBy("dim").agg(F.flatten(F.collect_list("ids")).alias("f_ids"), F.flatten(F.collect_list("vecs")).alias("f_vecs"))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,9 +143,13 @@ def top_k(vectors: DataFrame, every: int, how: Search = Search(), id_col: str =
                 score[q_ids[:, None] == f_ids[None, :]] = -np.inf
                 score.sort(axis=1)
                 floor = score[:, -how.k] if score.shape[1] >= how.k else np.full(len(q_ids), -np.inf)
-                yield pa.RecordBatch.from_arrays([batch.column("dim").slice(k, 1), batch.column("grp").slice(k, 1), batch.column("q_ids").slice(k, 1), batch.column("q_vecs").slice(k, 1), pa.array([floor], pa.list_(pa.float64()))], names=["dim", "grp", "q_ids", "q_vecs", "floor"])
+                # The length from which on a vector can reach the floor of any of these queries.
+                length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+                need = float(np.where(floor > 0, floor * (1 - 1e-9) / np.maximum(length, 1e-300), 0.0).min(initial=np.inf))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("dim", "grp", "q_ids", "q_vecs")), pa.array([floor], pa.list_(pa.float64())), pa.array([need])], names=["dim", "grp", "q_ids", "q_vecs", "floor", "need"])
 
-    started = materialize(asked.join(first, "dim").mapInArrow(start, "dim int, grp int, q_ids array<long>, q_vecs array<long>, floor array<double>"), "topk_started")
+    # Few rows, one for query_rows queries, and one set of first blocks for each dimension.
+    started = materialize(asked.join(first, "dim").mapInArrow(start, "dim int, grp int, q_ids array<long>, q_vecs array<long>, floor array<double>, need double"), "topk_started")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +160,12 @@ def top_k(vectors: DataFrame, every: int, how: Search = Search(), id_col: str =
                 found = search_block(q_ids, q, get("floor"), p_ids, p, how)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    # Every candidate block meets every block of the stated queries, by the query block's number.
-    dealt = packed.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    met = dealt.join(started, ["dim", "grp"]).mapInArrow(verify, "query_id long, vec_id long, score long")
+    # Which blocks a block of queries must meet is told from narrow rows; vectors travel for those pairs only.
+    longest_in = sized.select("dim", "bucket", "part", F.pow(F.lit(how.ratio), F.col("bucket") + 1).alias("most"))
+    pairs = longest_in.join(started.select("dim", "grp", "need"), "dim").where(F.col("most") * (1 + 1e-9) >= F.col("need")).select("dim", "bucket", "part", "grp")
+    copies = pairs.groupBy("dim", "grp").agg(F.ceil(F.count(F.lit(1)) / how.together).cast("int").alias("copies"))
+    dealt = pairs.join(copies, ["dim", "grp"]).withColumn("copy", F.pmod(F.xxhash64("bucket", "part"), F.col("copies")).cast("int")).drop("copies")
+    copied = started.drop("need").join(copies, ["dim", "grp"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    met = packed.join(dealt, ["dim", "bucket", "part"]).join(copied, ["dim", "grp", "copy"]).mapInArrow(verify, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= how.k).select("query_id", "rank", "vec_id", "score")
