@@ -29,12 +29,11 @@ FEATURES = len(ORDERS) << BITS
 
 @dataclass(frozen=True)
 class Fit:
-    """The bounds of what is learned from: at most per_language rows of each of at most most_languages
-    (the most frequent) languages, and sample_rows in all; landmarks of them stand for the kernel."""
+    """The bounds of what is learned from: at most per_language rows of each language, and about sample_rows in
+    all, though one of each language at least; landmarks of them stand for the kernel."""
 
     per_language: int = 300
     sample_rows: int = 1_200
-    most_languages: int = 100
     landmarks: int = 256
     ridge: float = 1e-2
     sharpness: float = 4.0
@@ -78,14 +77,20 @@ def in_fold(id_col: str, parts: int, part: int) -> Column:
 
 
 def fit(labelled: DataFrame, how: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
-    """Learn from labelled; rows with a null label or text don't count. Counts cover all rows, texts a bounded sample."""
+    """Learn from labelled; rows with a null label, or a text that is null or has no letter, don't count.
+
+    Counts cover all rows, texts a bounded sample, drawn by id and text; rows alike in both are drawn
+    once. Every label is learned that has a text with a letter; without any, the model is empty.
+    """
     rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(label_col).cast("string").alias("_label"))
-    counts = rows.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(how.most_languages).collect()
+    rows = rows.where(F.col("_text").rlike(r"\p{L}"))
+    # One row per label.
+    counts = rows.groupBy("_label").count().collect()
     if not counts:
         return Model([], np.zeros((FEATURES, 0), np.float32), how.sharpness)
     each = max(1, min(how.per_language, how.sample_rows // len(counts)))
     # Rows are drawn where they are read: those whose hash falls in the share that gives a third more than needed.
-    draw = F.xxhash64(F.lit(how.seed), F.coalesce("_id", F.lit("")))
+    draw = F.xxhash64(F.lit(how.seed), F.coalesce("_id", F.lit("")), "_text")
     below = F.create_map(*[x for r in counts for x in (F.lit(r["_label"]), F.lit(min(1.0, (1.33 * each + 20) / r["count"])))])
     sample = rows.withColumn("_draw", draw).where(F.pmod("_draw", F.lit(1 << 30)) < below[F.col("_label")] * (1 << 30))
 
@@ -98,11 +103,20 @@ def fit(labelled: DataFrame, how: Fit = Fit(), id_col: str = "doc_id", text_col:
                 bits.append(np.packbits(held).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("_draw"), pa.array(bits, pa.binary())], names=["label", "draw", "bits"])
 
-    got = sample.select("_text", "_label", "_draw").mapInArrow(read, "label string, draw long, bits binary").collect()
+    schema = "label string, draw long, bits binary"
+    got = sample.select("_text", "_label", "_draw").mapInArrow(read, schema).dropDuplicates(["label", "draw"]).collect()
+    missed = {r["_label"] for r in counts} - {r["label"] for r in got if any(r["bits"])}
+    if missed:
+        # A label of few different rows: the first of them.
+        first = rows.where(F.col("_label").isin(sorted(missed))).groupBy("_label").agg(F.min_by("_text", draw).alias("_text"), F.min(draw).alias("_draw"))
+        got += first.select("_text", "_label", "_draw").mapInArrow(read, schema).collect()
     chosen: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["draw"] % (1 << 30), r["draw"], r["bits"])):
         if any(r["bits"]) and len(own := chosen.setdefault(r["label"], [])) < each:
             own.append(bytes(r["bits"]))
+    chosen = {name: own for name, own in chosen.items() if own}
+    if not chosen:
+        return Model([], np.zeros((FEATURES, 0), np.float32), how.sharpness)
     languages = sorted(chosen)
     bits = [(i, b) for rank in range(each) for i, name in enumerate(languages) for b in chosen[name][rank : rank + 1]]
     labels = np.array([i for i, _ in bits])
