@@ -44,10 +44,11 @@ def host_and_path(url: str) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(host: str, path: str, lengths: tuple[int, ...]) -> list[str]:
-    """Longest first; of equals, the longer host first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+def candidate_keys(host: str, path: str, lengths: tuple[int, ...], depths: tuple[int, ...]) -> list[str]:
+    """Longest first; of equals, the longer host first. depths: how many labels a rule's host can have."""
+    labels = host.rsplit(".", max(depths, default=1))
+    last = labels if host.count(".") < len(labels) else labels[1:]
+    hosts = [".".join(last[-n:]) for n in sorted(depths, reverse=True) if n <= len(last)]
     starts = [path[:n] for n in lengths if n <= len(path)]
     return sorted((h + p for h in hosts if h for p in starts), key=len, reverse=True)
 
@@ -106,6 +107,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_i
     host, path = host_and_path("_url")
     parsed = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).select("_id", host.alias("host"), path.alias("path"))
     lengths = tuple(sorted({len(r.path) for r in rules}))
+    depths = tuple(sorted({r.host.count(".") + 1 for r in rules}))
     listed = {r.key for r in rules}
     blocked = {r.key for r in rules if r.action == "block"}
     universe = max(1, pages.count() * max(1, len(lengths)) * 4)
@@ -114,7 +116,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_i
     def mistaken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = set(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True))
-            keys = {k for h, p in pairs for k in candidate_keys(h, p, lengths)}
+            keys = {k for h, p in pairs for k in candidate_keys(h, p, lengths, depths)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k in keys if k in first and k not in listed], pa.string())], names=["key"])
 
     cascade = Cascade(first)
@@ -129,7 +131,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_i
         for batch in batches:
             rule: list[str | None] = []
             for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                rule.append(next((k for k in candidate_keys(h, p, lengths) if k in by_list), None))
+                rule.append(next((k for k in candidate_keys(h, p, lengths, depths) if k in by_list), None))
             verdict = ["block" if k is not None and k in by_block else "allow" for k in rule]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["_id", "host", "path", "rule", "verdict"])
 

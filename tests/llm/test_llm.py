@@ -339,6 +339,29 @@ def test_substring_dedup_small(spark, how):
     assert sorted(got, key=repr) == repeats(rows, how.window)
 
 
+def test_fingerprint_index_is_opened_again_and_compacted(spark, docs):
+    """Batch by batch, each time from its folder, an index tells the same as in one go; old runs are joined without an exchange."""
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    how = substring_dedup.Windows(window=12, gram=5, most_runs=2, buckets=4)
+
+    def tell(batches, again):
+        index, found = substring_dedup.FingerprintIndex(spark, how), set()
+        for k in range(batches):
+            if again and k:
+                index = substring_dedup.FingerprintIndex.open(spark, index.path, how)
+            places = index.add(rows.where(F.pmod("key", F.lit(batches)) == k))
+            found |= {(r.key, at) for r in places.collect() for at in r.places}
+        return index, found
+
+    index, one = tell(5, True)
+    assert one == tell(1, False)[1] and len(index.runs) == 2 and sum(n for _, n, _ in index.runs) == 5
+    x, y = (r.alias(a) for (_, _, r), a in zip(index.runs, "xy", strict=True))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = x.join(y, F.col("x.h1") == F.col("y.h1"))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_substring_dedup_odd_rows(spark, odd):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(odd, keep_text=True).collect()]
     assert sorted(got, key=repr) == repeats([(r.doc_id, r.text) for r in odd.collect()], 35)
@@ -365,6 +388,16 @@ def test_language_id_odd_rows(spark, odd):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_id_of_odd_labels(spark):
+    """No letters at all, one row a million times alike, more labels than the sample has rows."""
+    letterless = spark.createDataFrame([(1, "123", "en"), (2, "!!!", "fr")], "doc_id long, text string, lang string")
+    assert language_id.fit(letterless).languages == []
+    alike = spark.createDataFrame([(None, "the same words", "en")] * 3000 + [(1, "autres mots ici", "fr")], "doc_id long, text string, lang string")
+    assert language_id.fit(alike, language_id.Fit(per_language=3)).languages == ["en", "fr"]
+    many = spark.createDataFrame([(i, f"text number {i}", f"l{i:03}") for i in range(150)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(many, language_id.Fit(sample_rows=100)).languages) == 150
+
+
 # 7 Top k
 
 
@@ -388,6 +421,12 @@ def test_top_k_matches_brute_force(spark, how):
     assert topk.top_k(df.limit(0), 10, how).count() == 0
 
 
+def test_top_k_beyond_64_bits(spark):
+    assert topk._products(np.array([[2**40]]), np.array([[2**20]])).tolist() == [[2**60]]
+    with pytest.raises(OverflowError):
+        topk._products(np.array([[2**40]]), np.array([[2**40]]))
+
+
 # 8 Exact dedup
 
 
@@ -508,3 +547,68 @@ def test_mix_draws_and_odd_rows(spark, odd):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
     mixed = mixing.mixed_documents(odd, mixing.Mix(block_words=16))
     assert mixed.columns == odd.columns and all(r.doc_id not in (3, 4, 5) for r in mixed.collect())
+
+
+def test_shards_take_what_the_tree_gives_them(spark, docs):
+    """A recount of the drawn blocks by source and shard, from the draws alone."""
+    mix = mixing.Mix(shards=5, chunk_rows=40)
+    rows = mixing.mix_sources(docs, mix).collect()
+    drawn = collections.defaultdict(set)
+    for r in rows:
+        for d in r.draws:
+            drawn[r.source].add((d.shard, d.place))
+    order = sorted(drawn, key=lambda s: (s is None, s or ""))
+    counted = [[sum(k == shard for k, _ in drawn[s]) for s in order] for shard in range(5)]
+    quotas = np.array([len(drawn[s]) for s in order])
+    assert counted == mixing.shard_quotas(quotas, 5, mix.seed).tolist()
+    for s in order:  # disjoint, and every place of the order once
+        assert sorted(p for _, p in drawn[s]) == list(range(len(drawn[s])))
+    assert sum(r.taken for r in rows) == sum(d.words for r in rows for d in r.draws)
+
+
+def test_hypergeometric_beyond_the_generator():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((3 * 10**9, 5 * 10**9, 10**5), (10**10, 10, 10**10)):
+        got = [mixing._hypergeometric(rng, good, bad, n) for _ in range(40)]
+        mean, total = n * good / (good + bad), good + bad
+        sd = (mean * bad / total * (total - n) / total) ** 0.5
+        assert all(max(0, n - bad) <= x <= min(n, good) for x in got) and abs(np.mean(got) - mean) < sd
+
+
+def test_mixed_rows_without_own_ids(spark):
+    """Rows alike, and rows without ids, are delivered as planned, and together by shard."""
+    rows = [(7, " ".join(f"w{i}" for i in range(16)), "a", "x")] * 300 + [(None, f"n{i} " * 11, "b", "y") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _s string")
+    mix = mixing.Mix(block_words=16, shards=3, chunk_rows=60)
+    plan = mixing.mix_sources(df, mix, whole_documents=True).collect()
+    planned = collections.Counter(d.shard for r in plan for d in r.draws)
+    got = mixing.mixed_shards(df, mix)
+    placed = got.select(F.spark_partition_id().alias("p"), F.col("__convoy_shard").alias("s"), "text").collect()
+    assert collections.Counter(r.s for r in placed) == planned
+    assert sum(len(r.text.split()) for r in placed) == sum(r.taken for r in plan)
+    assert len({(r.p, r.s) for r in placed}) == len(planned)
+    assert mixing.mixed_documents(df, mix).columns == df.columns
+    few = mixing.mixed_shards(df, mixing.Mix(block_words=16, shards=2, part_words=1_000))
+    assert few.select(F.spark_partition_id().alias("p"), "__convoy_shard").distinct().count() > 2
+
+
+def test_bpe_equals_the_library_at_every_character():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    ours, theirs = bpe.word_bpe(path), Tokenizer.from_file(path)
+    for begin in range(0, 0x20000, 0x1000):
+        chars = [chr(c) for c in range(begin, begin + 0x1000) if not 0xD800 <= c < 0xE000]
+        for case in (" ".join(f"A{c}b" for c in chars), " ".join(f"{c}1" for c in chars), "".join(chars)):
+            assert ours.encode(case).tolist() == theirs.encode(case, add_special_tokens=False).ids, begin
+
+
+def test_unit_encoder_equals_the_library_at_every_character():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    ours, theirs = unit_encoder(path), Tokenizer.from_file(path)
+    for begin in range(0, 0x20000, 0x1000):
+        chars = [chr(c) for c in range(begin, begin + 0x1000) if not 0xD800 <= c < 0xE000]
+        for case in (" ".join(f"A{c}b" for c in chars), " ".join(f"{c}1" for c in chars), "".join(chars), "  ".join(chars)):
+            assert np.frombuffer(ours(case), np.uint16).tolist() == theirs.encode(case, add_special_tokens=False).ids, begin
