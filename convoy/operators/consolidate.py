@@ -31,24 +31,23 @@ def route_document(path: Column) -> Column:
     )
 
 
-def first_added(commit_files: DataFrame, most_hops: int = 64) -> DataFrame:
+def first_added(commit_files: DataFrame) -> DataFrame:
     """(repo, path, author_date): when a path's oldest ancestor was first added, following renames back.
 
-    One hop back per round; every round joins only the chains still open, and ends when none is.
+    Each round doubles how far every path looks back, so a chain of n renames takes log2(n) rounds,
+    whatever their number. A path whose chain runs in a circle keeps its own date.
     """
-    born = commit_files.groupBy("repo", "path").agg(F.min_by(F.struct("author_date", "old_path"), "seq").alias("b")).select("repo", "path", "b.author_date", "b.old_path")
-    step = born.select("repo", F.col("path").alias("at"), F.col("author_date").alias("next_date"), F.col("old_path").alias("next_old"))
-    open_chains = born
-    done: DataFrame | None = None
-    for _ in range(most_hops):
-        ended = open_chains.where("old_path is null")
-        done = ended if done is None else done.unionByName(ended)
-        going = open_chains.where("old_path is not null")
-        hop = going.join(step, (going["repo"] == step["repo"]) & (going["old_path"] == step["at"]), "left").select(going["repo"], going["path"], F.coalesce("next_date", "author_date").alias("author_date"), F.col("next_old").alias("old_path"))
-        open_chains = materialize(hop, "first_added")
-        if open_chains.isEmpty():
-            break
-    return done.unionByName(open_chains).select("repo", "path", "author_date")
+    born = commit_files.groupBy("repo", "path").agg(F.min_by(F.struct("author_date", "old_path"), "seq").alias("b")).select("repo", "path", F.col("b.author_date").alias("own"), F.col("b.author_date").alias("date"), F.col("b.old_path").alias("up"))
+    chains = materialize(born, "first_added")
+    left = chains.where("up is not null").count()
+    while left:
+        far = chains.select("repo", F.col("path").alias("up"), F.col("date").alias("far_date"), F.col("up").alias("far_up"))
+        going = chains.where("up is not null").join(far, ["repo", "up"], "left").select("repo", "path", "own", F.coalesce("far_date", "date").alias("date"), F.col("far_up").alias("up"))
+        chains = materialize(chains.where("up is null").unionByName(going), "first_added")
+        before, left = left, chains.where("up is not null").count()
+        if left == before:
+            break  # what is left runs in circles
+    return chains.select("repo", "path", F.when(F.col("up").isNull(), F.col("date")).otherwise(F.col("own")).alias("author_date"))
 
 
 def source_dates(docs: DataFrame, commit_files: DataFrame) -> DataFrame:
@@ -59,12 +58,15 @@ def source_dates(docs: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def resolve_destinations(docs: DataFrame) -> DataFrame:
-    """docs (repo, dest_dir, base, extension, rank, path, content) with destination and action.
+    """docs (repo, dest_dir, base, extension, rank, path, content, and kind if any) with destination, action and note.
 
-    Rank 0 is the archive itself. Of one name the first claimant gets it bare; equal content is
-    skipped; other content gets its short hash, and a second one of that skips too. Contents
-    are compared by hash, case counting.
+    Rank 0 is the archive itself. A name is the base with the kind's suffix. Of one name the first
+    claimant gets it bare; equal content is skipped, with a note and the place that has the name;
+    other content gets its short hash, and a second one of that skips too. Contents are compared by
+    hash, case counting.
     """
+    if "kind" in docs.columns:
+        docs = docs.withColumn("base", F.concat("base", F.coalesce("kind", F.lit("")))).drop("kind")
     digest = F.sha1("content")
     claim = W.partitionBy("repo", "dest_dir", "base", "extension").orderBy("rank", "path")
     same = W.partitionBy("repo", "dest_dir", "base", "extension", "_hash").orderBy("rank", "path")
@@ -72,8 +74,9 @@ def resolve_destinations(docs: DataFrame) -> DataFrame:
     bare = F.concat("dest_dir", F.lit("/"), "base", "extension")
     suffixed = F.concat(F.col("dest_dir"), F.lit("/"), F.col("base"), F.lit("-"), F.substring("_hash", 1, 8), F.col("extension"))
     action = F.when(F.col("rank") == 0, "keep").when(F.col("_n") == 1, "move").when((F.col("_hash") == F.col("_first")) | (F.col("_again") > 1), "skip").otherwise("move")
-    destination = F.when(action == "skip", None).when(F.col("_n") == 1, bare).when(F.col("rank") == 0, F.concat("dest_dir", F.lit("/"), "base", "extension")).otherwise(suffixed)
-    return ranked.withColumn("action", action).withColumn("destination", destination).drop("_hash", "_first", "_n", "_again")
+    destination = F.when((action == "skip") | (F.col("_n") == 1) | (F.col("rank") == 0), bare).otherwise(suffixed)
+    note = F.when(action == "skip", "same content is in place")
+    return ranked.withColumn("action", action).withColumn("destination", destination).withColumn("note", note).drop("_hash", "_first", "_n", "_again")
 
 
 def repo_issues(docs: DataFrame, key: str = "repo", text: str = "content") -> DataFrame:
@@ -85,17 +88,20 @@ def repo_issues(docs: DataFrame, key: str = "repo", text: str = "content") -> Da
 def match_sessions(sessions: DataFrame, repos: DataFrame) -> DataFrame:
     """(session_id, repo): by equal origin or root in any case, or by the root's leaf name inside either datum.
 
-    repos: (repo, origin_url, root). The containment part is a join on a condition; its
-    right side is one short row per repository, which Spark broadcasts if it is small.
+    repos: (repo, origin_url, root). For the containment each distinct datum is taken apart into its
+    substrings of the lengths that leaf names have, which are then joined by equality.
     """
     data = sessions.select("session_id", F.explode(F.array("repository", "cwd")).alias("datum")).where("datum is not null and trim(datum) <> ''").select("session_id", F.lower(F.trim("datum")).alias("datum"))
     by_url = data.join(repos.select("repo", F.lower("origin_url").alias("datum")), "datum").select("session_id", "repo")
     by_root = data.join(repos.select("repo", F.lower("root").alias("datum")), "datum").select("session_id", "repo")
     names = repos.select("repo", F.lower(leaf(F.regexp_replace(F.col("root"), r"\\", "/"))).alias("leaf")).where("leaf <> ''")
-    # Sessions share few distinct values; each distinct value meets the names once.
+    # File names have some hundred lengths at most, whatever the number of repositories.
+    lengths = F.array(*[F.lit(r["n"]) for r in names.select(F.length("leaf").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
     values = data.select("datum").distinct()
-    inside = values.join(names, F.expr("instr(datum, leaf) > 0")).select("datum", "repo")
-    by_leaf = data.join(inside, "datum").select("session_id", "repo")
+    fitting = values.select("datum", F.explode(F.filter(lengths, lambda n: n <= F.length("datum"))).alias("n"))
+    starts = fitting.select("datum", "n", F.explode(F.sequence(F.lit(1), F.length("datum") - F.col("n") + 1)).alias("at"))
+    parts = starts.select("datum", F.substring(F.col("datum"), F.col("at"), F.col("n")).alias("leaf")).distinct()
+    by_leaf = data.join(parts.join(names, "leaf").select("datum", "repo"), "datum").select("session_id", "repo")
     return by_url.unionByName(by_root).unionByName(by_leaf).distinct()
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -71,10 +69,11 @@ def line_similarity(ops: DataFrame, contents: DataFrame, threshold: float) -> Da
 
     contents: (blob, content). Pairs are found by shared lines within a repository.
     """
-    texts = contents.select("blob", "content").dropDuplicates(["blob"])
+    # Only contents of deleted and added files go on, each once.
+    asked = ops.where("op in ('A', 'D')").select(F.when(F.col("op") == "A", F.col("blob")).otherwise(F.col("old_blob")).alias("blob")).distinct()
+    texts = contents.select("blob", "content").join(asked, "blob", "left_semi").dropDuplicates(["blob"])
 
     def lines(side: DataFrame) -> DataFrame:
-        # A line travels as its hash and length.
         # A line travels as its hash and its width.
         each = side.select("repo", "path", "size", F.explode(F.split(eol_normalize(F.col("content")), "\n")).alias("text"))
         hashed = each.select("repo", "path", "size", F.xxhash64("text").alias("line"), F.length("text").alias("width"))
@@ -142,12 +141,12 @@ def op_counts(ops: DataFrame) -> DataFrame:
 
 
 #: The words that stand for operations in reports.
-OP_WORDS = {"A": "add", "M": "modify", "D": "delete", "T": "retype", "R": "rename", "C": "copy"}
+OP_WORDS = {"A": "add", "M": "update", "D": "delete", "R": "rename", "C": "copy"}
 
 
 def op_labels(ops: DataFrame) -> DataFrame:
-    """ops with a label: the word, padded to eight, and the path or `old -> new`."""
-    word = F.create_map(*[F.lit(x) for pair in OP_WORDS.items() for x in pair])[F.col("op")]
+    """ops with a label: the word, or the operation where it has none, padded to eight, and the path or `old -> new`."""
+    word = F.coalesce(F.create_map(*[F.lit(x) for pair in OP_WORDS.items() for x in pair])[F.col("op")], F.col("op"))
     where = F.when(F.col("op").isin("R", "C"), F.concat_ws(" -> ", "old_path", "path")).otherwise(F.col("path"))
     return ops.withColumn("label", F.concat(F.rpad(word, 8, " "), where))
 

@@ -10,25 +10,27 @@ from pyspark.sql import functions as F
 
 from convoy.functions import rules as R
 from convoy.functions import text as X
-from convoy.jobs import fleet_sync
+from convoy.jobs import consolidation, fleet_sync
 from convoy.jobs.rules import FLEET_RULES as RULES
 from convoy.operators import builds, cleanup, consolidate, drift, lines, links, plan, snapshots
 from convoy.sources import dumps
+from convoy.sources.shared import fresh_path
 from convoy.sources.views import rows, view, with_views
 from convoy.streaming import build_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_LATER: dict[str, str | Callable[[], str]] = {}
 
 
-def register(sql: str | None) -> Callable[[Query], Query]:
+def register(sql: str | Callable[[], str] | None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its oracle where SQL can express it."""
 
     def keep(query: Query) -> Query:
         QUERIES[query.__name__] = query
         if sql is not None:
-            ORACLES[query.__name__] = re.sub(r"^WITH ", "WITH RECURSIVE ", with_views(sql)) if " walk " in sql else with_views(sql)
+            _LATER[query.__name__] = sql
         return query
 
     return keep
@@ -36,11 +38,11 @@ def register(sql: str | None) -> Callable[[Query], Query]:
 
 # The rule set as SQL conditions on a path.
 def _local(p: str) -> str:
-    return f"((lower({p}) LIKE 'docs/specs/%' OR regexp_matches({p}, '(?i)^\\.github/skills/project-[^/]+/')) AND NOT regexp_matches(lower({p}), '(\\.template|(^|/)\\.gitkeep)$'))"
+    return f"((lower({p}) LIKE 'docs/specs/%' OR regexp_matches({p}, '(?i)/project-[a-z]+/')) AND NOT regexp_matches(lower({p}), '(\\.template|(^|/)\\.gitkeep)$'))"
 
 
 def _private(p: str) -> str:
-    return f"(NOT {_local(p)} AND regexp_matches({p}, '(?i)^\\.github/(?:[^/]+/)*(?:tests|fixtures)/'))"
+    return f"(NOT {_local(p)} AND regexp_matches({p}, '(?i)/(tests|fixtures)/'))"
 
 
 def _delivered(p: str) -> str:
@@ -90,14 +92,15 @@ _STATES = """SELECT CAST(c_custkey AS STRING) AS repo, CASE CAST(c_custkey % 4 A
  ELSE concat('{"remote":"up","ref":"main","lastSyncCommit":"c', CAST(c_custkey AS STRING), '","syncedAt":"2024-05-06T07:08:09Z"}') END AS json FROM customer"""
 
 
-@register("""SELECT CAST(c_custkey AS STRING) AS repo, CASE WHEN c_custkey % 5 = 0 THEN concat('t', CAST(c_custkey AS STRING)) WHEN c_custkey % 4 >= 2 THEN concat('c', CAST(c_custkey AS STRING)) END AS last_sync_commit,
- c_custkey % 5 = 0 AS advanced FROM customer""")
+@register("""WITH s AS (SELECT c_custkey AS k, CAST(c_custkey AS STRING) AS repo, c_custkey % 4 AS m, c_custkey % 5 = 0 AND c_custkey % 4 <> 0 AS advanced FROM customer)
+ SELECT repo, CASE WHEN m = 0 THEN 'corrupt' WHEN m = 1 THEN 'no-commit' ELSE 'known' END AS status, CASE WHEN advanced THEN concat('t', repo) WHEN m >= 2 THEN concat('c', repo) END AS last_sync_commit, advanced,
+ CASE WHEN advanced THEN concat('{"remote":"up","ref":"main","lastSyncCommit":"t', repo, '","syncedAt":"2025-06-07T08:09:10Z"}') END AS json FROM s""")
 def a6_sync_state(spark: SparkSession, d: str) -> DataFrame:
     state = dumps.read_sync_state(rows(spark, d, _STATES))
     ops = rows(spark, d, "SELECT CAST(c_custkey AS STRING) AS repo FROM customer WHERE c_custkey % 10 = 0")
     merges = rows(spark, d, "SELECT CAST(c_custkey AS STRING) AS repo FROM customer WHERE c_custkey % 10 = 5")
     tips = rows(spark, d, "SELECT CAST(c_custkey AS STRING) AS repo, concat('t', CAST(c_custkey AS STRING)) AS tip_commit FROM customer")
-    return dumps.advance_sync_state(state, ops, merges, tips)
+    return dumps.advance_sync_state(state, ops, merges, tips, F.lit("2025-06-07 08:09:10").cast("timestamp"))
 
 
 @register("""SELECT repo, path FROM inventory WHERE regexp_matches(path, '(?i)(\\.cs|\\.csproj)$|(^|/)nuget\\.config$') AND NOT regexp_matches(path, '(?i)(^|/)(bin|obj|\\.git|\\.worktrees|\\.claude|\\.vs|node_modules)/')""")
@@ -357,39 +360,63 @@ def c12_merge_changes_nothing(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.merge_changes_nothing(view(spark, d, "anchor_files"), view(spark, d, "head_files"), view(spark, d, "tip_files"))
 
 
-_ACCOUNTED = f"""SELECT repo, branch, CAST(substr(branch, 6) AS BIGINT) % 13 = 0 AS anc, CAST(substr(branch, 6) AS BIGINT) % 17 = 0 AS mrg, n_commits, n_missing FROM ({_PATCHES}) t"""
-_CHECKED = f"""SELECT repo, branch, CASE WHEN repo = 'r3' THEN NULL WHEN anc THEN 'ancestry' WHEN n_commits > 0 AND n_missing = 0 THEN 'patch' WHEN mrg THEN 'merge' END AS "check" FROM ({_ACCOUNTED}) a"""
+_BRANCH_FILES = "SELECT repo, branch, concat('p', substr(patch_id, 1, 2)) AS path, max(patch_id) AS blob FROM branch_commits GROUP BY repo, branch, concat('p', substr(patch_id, 1, 2))"
+_MAIN_COMMITS = "SELECT * FROM integration_commits WHERE repo <> 'r3'"
+_MAIN_FILES = f"SELECT repo, concat('p', substr(patch_id, 1, 2)) AS path, max(patch_id) AS blob FROM ({_MAIN_COMMITS}) i GROUP BY repo, concat('p', substr(patch_id, 1, 2))"
+_WALK = f"""h AS (SELECT *, max(seq) OVER (PARTITION BY repo, branch) AS top FROM ({_HISTORY}) x), tips AS (SELECT repo, sha FROM h WHERE seq = top AND CAST(substr(branch, 6) AS BIGINT) % 13 = 0),
+ walk AS (SELECT repo, sha FROM tips UNION SELECT h.repo, h.parent FROM walk JOIN h ON h.repo = walk.repo AND h.sha = walk.sha WHERE h.parent IS NOT NULL),
+ anc AS (SELECT DISTINCT h.repo, h.branch FROM h JOIN walk w ON w.repo = h.repo AND w.sha = h.sha WHERE h.seq = h.top),
+ pt AS ({_PATCHES.replace('FROM integration_commits', f'FROM ({_MAIN_COMMITS}) mc')}),
+ mrg AS (SELECT f.repo, f.branch FROM ({_BRANCH_FILES}) f LEFT JOIN ({_MAIN_FILES}) m ON m.repo = f.repo AND m.path = f.path GROUP BY f.repo, f.branch HAVING bool_and(f.blob IS NOT DISTINCT FROM m.blob)),
+ ck AS (SELECT pt.repo, pt.branch, pt.missing, CASE WHEN pt.repo NOT IN (SELECT repo FROM ({_MAIN_COMMITS}) r) THEN NULL WHEN anc.repo IS NOT NULL THEN 'ancestry' WHEN pt.n_commits > 0 AND pt.n_missing = 0 THEN 'patch' WHEN mrg.repo IS NOT NULL THEN 'merge' END AS "check"
+  FROM pt LEFT JOIN anc ON anc.repo = pt.repo AND anc.branch = pt.branch LEFT JOIN mrg ON mrg.repo = pt.repo AND mrg.branch = pt.branch)"""
 
 
 def _accounting(spark: SparkSession, d: str) -> DataFrame:
-    patches = cleanup.patch_equivalence(view(spark, d, "branch_commits"), view(spark, d, "integration_commits"))
-    branches = view(spark, d, "branch_commits").select("repo", "branch").distinct()
-    number = F.expr("cast(substr(branch, 6) as bigint)")
-    return cleanup.branch_accounting(
-        branches.withColumn("resolvable", F.col("repo") != "r3"),
-        branches.withColumn("is_ancestor", number % 13 == 0),
-        patches,
-        branches.withColumn("merged", number % 17 == 0),
-    )
-
-
-@register(f"""SELECT repo, branch, "check" IS NOT NULL AS accounted, "check" FROM ({_CHECKED}) c""")
+    """Ancestry, patches and merge of the same branches, each from the commits."""
+    commits, main = view(spark, d, "branch_commits"), rows(spark, d, _MAIN_COMMITS)
+    history = rows(spark, d, f"SELECT *, max(seq) OVER (PARTITION BY repo, branch) AS top FROM ({_HISTORY}) x")
+    tops = history.where("seq = top")
+    tips = tops.where("cast(substr(branch, 6) as bigint) % 13 = 0").select("repo", F.col("sha").alias("tip_commit"))
+    reached = cleanup.ancestry(tops.select("repo", "branch", F.col("sha").alias("tip_sha")), history.select("repo", "sha", F.array_compact(F.array("parent")).alias("parent_shas")), tips)
+    # The dumps name several tops for some branches: one of them reached is enough.
+    reached = reached.groupBy("repo", "branch").agg(F.bool_or("is_ancestor").alias("is_ancestor"))
+    files = rows(spark, d, _BRANCH_FILES)
+    merges = cleanup.merge_changes_nothing(files.limit(0), files, rows(spark, d, _MAIN_FILES), keys=("repo", "branch"))
+    with_main = main.select("repo").distinct().withColumn("resolvable", F.lit(True))
+    branches = commits.select("repo", "branch").distinct().join(with_main, "repo", "left").select("repo", "branch", F.coalesce("resolvable", F.lit(False)).alias("resolvable"))
+    return cleanup.branch_accounting(branches, reached, cleanup.patch_equivalence(commits, main), merges)
+
+
+@register(f"""WITH {_WALK} SELECT repo, branch, "check" IS NOT NULL AS accounted, "check", CASE WHEN "check" IS NULL THEN coalesce(missing, '') END AS missing FROM ck""")
 def c12_branch_accounting(spark: SparkSession, d: str) -> DataFrame:
-    return _accounting(spark, d).select("repo", "branch", "accounted", "check")
+    return _accounting(spark, d).select("repo", "branch", "accounted", "check", F.array_join("missing", " ").alias("missing"))
+
 
+_TREE_OF = "CAST(substr(path, 4) AS BIGINT)"
 
-@register(f"""WITH rf AS (SELECT repo, split_part(line, ' ', 1) AS branch, line LIKE '%[gone]' AS gone FROM ref_lines),
+
+@register(lambda: f"""WITH {_WALK}, rf AS (SELECT repo, split_part(line, ' ', 1) AS branch, line LIKE '%[gone]' AS gone FROM ref_lines),
  wt AS (SELECT p.repo, substr(p.line, 10) AS path, substr(b.line, 19) AS branch FROM worktree_lines p JOIN worktree_lines b ON b.repo = p.repo AND b.line_no = p.line_no + 1 AND b.line LIKE 'branch %' WHERE p.line LIKE 'worktree %'),
- ck AS ({_CHECKED})
- SELECT rf.repo, rf.branch, wt.path, CASE WHEN ck."check" = 'ancestry' THEN 'delete -d' WHEN ck."check" IS NOT NULL THEN 'delete -D' ELSE 'left-in-place' END AS outcome
- FROM rf LEFT JOIN wt ON wt.repo = rf.repo AND wt.branch = rf.branch LEFT JOIN ck ON ck.repo = rf.repo AND ck.branch = rf.branch WHERE rf.gone
- UNION ALL SELECT wt.repo, wt.branch, wt.path, 'orphan' FROM wt WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.repo = wt.repo AND rf.branch = wt.branch)""")
+ dt AS (SELECT worktree, n_tracked > 0 OR unknown AS at_risk FROM ({_DIRTY}) t),
+ cp AS (SELECT repo, count(*) AS n FROM inventory WHERE path LIKE '%.har' AND (CAST(repo AS BIGINT) % 2 = 0 OR path = '.har-captures/s1.har') AND CAST(repo AS BIGINT) % 9 <> 0 GROUP BY repo),
+ gt AS (SELECT wt.*, CASE WHEN cp.n > 0 THEN 'blocked-captures' WHEN coalesce(dt.at_risk, true) THEN 'blocked-dirty' END AS gate FROM wt LEFT JOIN cp ON cp.repo = CAST({_TREE_OF} % 50 AS STRING) LEFT JOIN dt ON dt.worktree = concat('w', CAST({_TREE_OF} % 400 AS STRING)))
+ SELECT rf.repo, rf.branch, gt.path, coalesce(gt.gate, CASE WHEN ck.repo IS NULL THEN 'absent' WHEN ck."check" = 'ancestry' THEN 'delete -d' WHEN ck."check" IS NOT NULL THEN 'delete -D' ELSE 'left-in-place' END) AS outcome,
+  CASE WHEN gt.gate IS NULL AND ck.repo IS NOT NULL AND ck."check" IS NULL THEN coalesce(ck.missing, '') END AS missing
+ FROM rf LEFT JOIN gt ON gt.repo = rf.repo AND gt.branch = rf.branch LEFT JOIN ck ON ck.repo = rf.repo AND ck.branch = rf.branch WHERE rf.gone
+ UNION ALL SELECT gt.repo, gt.branch, gt.path, coalesce(gt.gate, 'orphan'), NULL FROM gt WHERE NOT EXISTS (SELECT 1 FROM rf WHERE rf.repo = gt.repo AND rf.branch = gt.branch)""")
 def c13_cleanup_plan(spark: SparkSession, d: str) -> DataFrame:
     branches, trees = dumps.parse_refs(view(spark, d, "ref_lines")), dumps.parse_worktrees(view(spark, d, "worktree_lines"))
-    return cleanup.cleanup_plan(branches, trees, _accounting(spark, d), "main")
+    number = F.expr(_TREE_OF)
+    dirty = trees.withColumn("worktree", F.concat(F.lit("w"), (number % 400).cast("string"))).join(_dirty(spark, d), "worktree").select("repo", "path", "at_risk")
+    files = view(spark, d, "inventory").withColumn("is_link", F.col("repo").cast("long") % 9 == 0)
+    held = cleanup.capture_artifacts(rows(spark, d, _IGNORED), files).select(F.col("repo").alias("of"), "n")
+    captures = trees.withColumn("of", (number % 50).cast("string")).join(held, "of").select("repo", "path", "n")
+    plan_of = cleanup.cleanup_plan(branches, trees, _accounting(spark, d), "main", dirty, captures)
+    return plan_of.withColumn("missing", F.array_join("missing", " "))
 
 
-_SESSION_REPOS = "SELECT CAST(p_partkey AS STRING) AS repo, concat('HTTPS://github.com/acme/widget', CAST(p_partkey AS STRING), '.git') AS origin_url, concat('/home/u/widget', CAST(p_partkey AS STRING)) AS root FROM part WHERE p_partkey <= 12"
+_SESSION_REPOS = "SELECT CAST(p_partkey AS STRING) AS repo, concat('HTTPS://github.com/acme/widget', CAST(p_partkey AS STRING), '.git') AS origin_url, concat('/home/u/widget', CAST(p_partkey AS STRING)) AS root FROM part"
 
 
 @register(f"""WITH r AS ({_SESSION_REPOS}), v AS (SELECT session_id, lower(trim(repository)) AS x FROM sessions UNION ALL SELECT session_id, lower(trim(cwd)) FROM sessions)
@@ -414,6 +441,11 @@ def d1_op_counts(spark: SparkSession, d: str) -> DataFrame:
     return fleet_sync.summary(_fleet(spark, d), RULES)
 
 
+@register(f"""WITH {_PLAN} SELECT repo, concat(rpad(CASE op WHEN 'A' THEN 'add' WHEN 'M' THEN 'update' WHEN 'D' THEN 'delete' WHEN 'R' THEN 'rename' WHEN 'C' THEN 'copy' ELSE op END, 8, ' '), CASE WHEN op IN ('R', 'C') THEN concat(old_path, ' -> ', path) ELSE path END) AS label FROM pl""")
+def d1_op_labels(spark: SparkSession, d: str) -> DataFrame:
+    return snapshots.op_labels(fleet_sync.sync_plan(_fleet(spark, d), RULES)).select("repo", "label")
+
+
 _TREES = "SELECT concat('w', CAST(s_suppkey AS STRING)) AS worktree, s_suppkey % 6 <> 0 AS on_disk, s_suppkey % 5 <> 0 AS status_ok FROM supplier"
 _DIRTY = f"""SELECT w.worktree, coalesce(CASE WHEN w.on_disk AND w.status_ok THEN p.tracked END, '') AS tracked, coalesce(CASE WHEN w.on_disk AND w.status_ok THEN p.untracked END, '') AS untracked,
  coalesce(CASE WHEN w.on_disk AND w.status_ok THEN p.nt END, 0) AS n_tracked, coalesce(CASE WHEN w.on_disk AND w.status_ok THEN p.nu END, 0) AS n_untracked, w.on_disk AND NOT w.status_ok AS unknown
@@ -476,9 +508,13 @@ def d6_repo_issues(spark: SparkSession, d: str) -> DataFrame:
     return got.select("conv_id", F.array_join(F.array_sort(F.col("issues").cast("array<string>")), ",").alias("issues"))
 
 
-@register(f"SELECT DISTINCT repo FROM anchor_files WHERE doc_id < 60 EXCEPT SELECT repo FROM anchor_files WHERE doc_id < 60 AND {_delivered('path')}")
+_SMALL_REPOS = "SELECT concat(repo, '/', CAST(CAST(floor(doc_id / 3) AS BIGINT) AS STRING)) AS repo, path FROM anchor_files"
+
+
+@register(f"SELECT DISTINCT repo FROM ({_SMALL_REPOS}) x EXCEPT SELECT repo FROM ({_SMALL_REPOS}) y WHERE {_delivered('path')}")
 def d7_unmanaged_repos(spark: SparkSession, d: str) -> DataFrame:
-    return plan.unmanaged_repos(rows(spark, d, "SELECT * FROM anchor_files WHERE doc_id < 60"), RULES)
+    """Every file of the table, in repositories of a few files each."""
+    return plan.unmanaged_repos(rows(spark, d, _SMALL_REPOS), RULES)
 
 
 # Window functions
@@ -504,15 +540,33 @@ def e2_source_dates(spark: SparkSession, d: str) -> DataFrame:
     return consolidate.source_dates(docs, view(spark, d, "commit_files")).select("repo", "path", "source_date")
 
 
-_TO_PLACE = """SELECT repo, doc_id, CASE WHEN path LIKE '%-plan.md' THEN 'docs/designs' ELSE 'docs/specs' END AS dest_dir, regexp_replace(regexp_replace(path, '^tasks/', ''), '(-plan|-prd)[.]md$', '') AS base, '.md' AS extension,
+_TO_PLACE = """SELECT repo, doc_id, CASE WHEN path LIKE '%-plan.md' THEN 'docs/designs' ELSE 'docs/specs' END AS dest_dir, regexp_replace(regexp_replace(path, '^tasks/', ''), '(-plan|-prd)[.]md$', '') AS base, CASE WHEN path LIKE '%-plan.md' THEN '-plan' ELSE '-prd' END AS kind, '.md' AS extension,
  CASE WHEN doc_id % 10 = 0 THEN 0 ELSE 1 END AS rank, concat(path, '#', CAST(doc_id AS STRING)) AS path, content FROM spec_sources"""
 
 
-@register(f"""WITH p AS (SELECT *, sha1(content) AS h FROM ({_TO_PLACE}) x), w AS (SELECT *, first_value(h) OVER (PARTITION BY repo, dest_dir, base ORDER BY rank, path) AS f, row_number() OVER (PARTITION BY repo, dest_dir, base ORDER BY rank, path) AS n,
+@register(f"""WITH p AS (SELECT *, sha1(content) AS h FROM ({_TO_PLACE}) x), w AS (SELECT *, concat(dest_dir, '/', base, kind) AS name, first_value(h) OVER (PARTITION BY repo, dest_dir, base ORDER BY rank, path) AS f, row_number() OVER (PARTITION BY repo, dest_dir, base ORDER BY rank, path) AS n,
  row_number() OVER (PARTITION BY repo, dest_dir, base, h ORDER BY rank, path) AS k FROM p), a AS (SELECT *, CASE WHEN rank = 0 THEN 'keep' WHEN n = 1 THEN 'move' WHEN h = f OR k > 1 THEN 'skip' ELSE 'move' END AS action FROM w)
- SELECT repo, path, action, CASE WHEN action = 'skip' THEN NULL WHEN n = 1 OR rank = 0 THEN concat(dest_dir, '/', base, extension) ELSE concat(dest_dir, '/', base, '-', substr(h, 1, 8), extension) END AS destination FROM a""")
+ SELECT repo, path, action, CASE WHEN action = 'skip' OR n = 1 OR rank = 0 THEN concat(name, extension) ELSE concat(name, '-', substr(h, 1, 8), extension) END AS destination, CASE WHEN action = 'skip' THEN 'same content is in place' END AS note FROM a""")
 def e3_resolve_destinations(spark: SparkSession, d: str) -> DataFrame:
-    return consolidate.resolve_destinations(rows(spark, d, _TO_PLACE)).select("repo", "path", "action", "destination")
+    return consolidate.resolve_destinations(rows(spark, d, _TO_PLACE)).select("repo", "path", "action", "destination", "note")
+
+
+_SCATTERED = """SELECT source AS repo, CASE WHEN doc_id % 2 = 0 THEN concat('tasks/n', CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING), '-prd.md') ELSE concat('docs/prd/n', CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING), '.md') END AS path,
+ CASE WHEN CAST(floor(doc_id / 2) AS BIGINT) % 3 = 0 THEN concat('closes #', CAST(CAST(floor(doc_id / 2) AS BIGINT) AS STRING)) ELSE coalesce(text, '') END AS content, CAST(floor(doc_id / 2) AS BIGINT) AS pair, doc_id % 2 AS late, doc_id FROM documents"""
+_IN_PLACE = f"SELECT repo, 'docs/specs' AS dest_dir, concat('n', CAST(pair AS STRING), '-prd') AS base, '.md' AS extension, concat('docs/specs/n', CAST(pair AS STRING), '-prd.md') AS path, content FROM ({_SCATTERED}) s WHERE doc_id % 10 = 0"
+_ADDED = f"SELECT repo, path, CAST(NULL AS STRING) AS old_path, 1 AS seq, '2021-02-03' AS author_date FROM ({_SCATTERED}) s WHERE pair % 5 = 1"
+
+
+@register(lambda: f"""WITH d AS (SELECT repo, path, content, pair, late + 1 AS rank FROM ({_SCATTERED}) s UNION ALL SELECT repo, path, content, CAST(substr(base, 2, length(base) - 5) AS BIGINT), 0 FROM ({_IN_PLACE}) a),
+ w AS (SELECT *, sha1(content) AS h, first_value(sha1(content)) OVER (PARTITION BY repo, pair ORDER BY rank) AS f, row_number() OVER (PARTITION BY repo, pair ORDER BY rank) AS n, row_number() OVER (PARTITION BY repo, pair, sha1(content) ORDER BY rank) AS k FROM d),
+ x AS (SELECT *, n > 1 AND (h = f OR k > 1) AS skip FROM w WHERE rank > 0)
+ SELECT repo, CASE WHEN pair % 5 = 1 THEN '2021-02-03' ELSE '2025-06-07' END AS date, CASE WHEN skip THEN 'skip' ELSE 'move' END AS action, CASE WHEN rank = 1 THEN 'legacy-tasks' ELSE 'docs/prd' END AS type, path AS source,
+  CASE WHEN skip OR n = 1 THEN concat('docs/specs/n', CAST(pair AS STRING), '-prd.md') ELSE concat('docs/specs/n', CAST(pair AS STRING), '-prd-', substr(h, 1, 8), '.md') END AS destination,
+  CASE WHEN skip THEN '' ELSE array_to_string({_ISSUES.replace('(text', '(content')}, ',') END AS issues, CASE WHEN skip THEN 'same content is in place' END AS note FROM x""")
+def w2_consolidation(spark: SparkSession, d: str) -> DataFrame:
+    docs = rows(spark, d, _SCATTERED).select("repo", "path", "content", F.lit("2025-06-07 08:09:10").cast("timestamp_ntz").alias("mtime"))
+    got = consolidation.consolidation(docs, rows(spark, d, _IN_PLACE), rows(spark, d, _ADDED))
+    return got.select("repo", "date", "action", "type", "source", "destination", F.array_join(F.col("issues").cast("array<string>"), ",").alias("issues"), "note")
 
 
 @register(f"SELECT file_id, line_no, line, kind, CAST(chunk_id AS BIGINT) AS chunk_id FROM ({_CHUNKS.format('SELECT * FROM ignore_upstream_lines')}) x WHERE kind <> 'blank'")
@@ -544,9 +598,9 @@ def e8_log_tail(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(f"""WITH p AS (SELECT *, string_split(tracked, '|') AS t, string_split(untracked, '|') AS u FROM ({_DIRTY}) q)
- SELECT worktree, array_to_string(list_concat(CASE WHEN unknown THEN [concat('Cannot determine what ''', worktree, ''' would lose -- git status failed there.')] ELSE [] END,
- CASE WHEN n_tracked > 0 THEN list_concat([concat(CAST(n_tracked AS STRING), ' uncommitted change(s) to TRACKED files in ''', worktree, ''':')], list_transform(t[1:20], lambda x: concat('    ', x)), CASE WHEN n_tracked > 20 THEN [concat('    ... and ', CAST(n_tracked - 20 AS STRING), ' more')] ELSE [] END) ELSE [] END,
- CASE WHEN n_untracked > 0 THEN list_concat([concat(CAST(n_untracked AS STRING), ' untracked file(s):')], list_transform(u[1:20], lambda x: concat('    ', x)), CASE WHEN n_untracked > 20 THEN [concat('    ... and ', CAST(n_untracked - 20 AS STRING), ' more')] ELSE [] END) ELSE [] END), chr(10)) AS report FROM p""")
+ SELECT worktree, array_to_string(list_concat(CASE WHEN unknown THEN [concat('unknown: no status of ', worktree)] ELSE [] END,
+ CASE WHEN n_tracked > 0 THEN list_concat([concat(worktree, ', tracked and changed: ', CAST(n_tracked AS STRING))], list_transform(t[1:20], lambda x: concat('    ', x)), CASE WHEN n_tracked > 20 THEN [concat('    and as many more: ', CAST(n_tracked - 20 AS STRING))] ELSE [] END) ELSE [] END,
+ CASE WHEN n_untracked > 0 THEN list_concat([concat('not tracked: ', CAST(n_untracked AS STRING))], list_transform(u[1:20], lambda x: concat('    ', x)), CASE WHEN n_untracked > 20 THEN [concat('    and as many more: ', CAST(n_untracked - 20 AS STRING))] ELSE [] END) ELSE [] END), chr(10)) AS report FROM p""")
 def f1_dirty_report(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.dirty_report(_dirty(spark, d))
 
@@ -615,7 +669,7 @@ def h5_display_name(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "issue_docs").select("conv_id", "turn", X.display_name(t, 40).alias("name"), X.display_name(t, 2).alias("dots"))
 
 
-_ASKED = "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(NULL AS INT) ELSE CAST(conv_id AS INT) END AS number, substr(text, 1, 60) AS title, CASE WHEN turn % 2 = 0 THEN concat('  more', chr(13), chr(10), 'context ') ELSE '  ' END AS context FROM issue_docs"
+_ASKED = "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN CAST(NULL AS INT) ELSE CAST(conv_id AS INT) END AS number, text AS title, CASE WHEN turn % 2 = 0 THEN concat('  more', chr(13), chr(10), 'context ') ELSE '  ' END AS context FROM issue_docs"
 _TITLE = r"trim(regexp_replace(title, '\s+', ' ', 'g'))"
 
 
@@ -644,6 +698,21 @@ def i1_stream_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return build_logs.stream_diagnostics(view(spark, d, "build_lines")).select("build_id", "line_no", "line")
 
 
+@register(r"""WITH s AS (SELECT CAST(build_id AS STRING) AS build_id, line_no, line, row_number() OVER (PARTITION BY build_id ORDER BY line_no DESC) AS back, count(*) OVER (PARTITION BY build_id) AS n FROM build_lines WHERE trim(line) <> '')
+ SELECT build_id, CAST(max(n) AS BIGINT) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS tail FROM s WHERE back <= 10 GROUP BY build_id""")
+def i1_stream_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The stateful stream over files of lines, as far as they go: each build's last update."""
+    now, path = view(spark, d, "build_lines").select("build_id", "line_no", "line"), fresh_path(spark, "build_lines")
+    now.write.parquet(path)
+    stream = spark.readStream.schema(now.schema).parquet(path)
+    return build_logs.latest_tails(stream, fresh_path(spark, "build_tails"))
+
+
 @register(f"WITH {_PLAN.replace('WITH ', '')}, dr AS ({_DRIFT}) SELECT repo, count(*) AS n_drifted FROM dr WHERE NOT EXISTS (SELECT 1 FROM yl WHERE yl.repo = dr.repo AND yl.path = dr.path) GROUP BY repo")
 def w1_blocked_repos(spark: SparkSession, d: str) -> DataFrame:
     return fleet_sync.blocked(_fleet(spark, d), RULES)
+
+
+for _name, _sql in _LATER.items():
+    _text = _sql if isinstance(_sql, str) else _sql()
+    ORACLES[_name] = re.sub(r"^WITH ", "WITH RECURSIVE ", with_views(_text)) if " walk " in _text else with_views(_text)

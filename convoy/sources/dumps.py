@@ -64,19 +64,27 @@ STATE = "struct<remote:string,ref:string,lastSyncCommit:string,syncedAt:string>"
 
 
 def read_sync_state(states: DataFrame, json: str = "json") -> DataFrame:
-    """(repo, remote, ref, last_sync_commit, synced_at); text that doesn't parse, or has no commit, is no state: all null."""
-    s = F.from_json(F.col(json), STATE)
+    """(repo, status, remote, ref, last_sync_commit, synced_at). status: absent (null or blank), corrupt (doesn't parse), no-commit, or known."""
+    text = F.col(json)
+    s = F.from_json(text, STATE)
     found = F.nullif(F.trim(s["lastSyncCommit"]), F.lit(""))
-    return states.select("repo", *[F.when(found.isNotNull(), s[a]).alias(b) for a, b in (("remote", "remote"), ("ref", "ref"))], found.alias("last_sync_commit"), F.when(found.isNotNull(), F.try_to_timestamp(s["syncedAt"])).alias("synced_at"))
+    status = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "absent").when(F.get_json_object(text, "$").isNull(), "corrupt").when(found.isNull(), "no-commit").otherwise("known")
+    return states.select("repo", status.alias("status"), s["remote"].alias("remote"), s["ref"].alias("ref"), found.alias("last_sync_commit"), F.when(found.isNotNull(), F.try_to_timestamp(s["syncedAt"])).alias("synced_at"))
 
 
-def advance_sync_state(state: DataFrame, ops: DataFrame, merges: DataFrame, tips: DataFrame) -> DataFrame:
-    """(repo, last_sync_commit, advanced): the anchor moves to the tip only if operations or merges took effect."""
+def advance_sync_state(state: DataFrame, ops: DataFrame, merges: DataFrame, tips: DataFrame, now: Column | None = None) -> DataFrame:
+    """(repo, status, last_sync_commit, advanced, json): the anchor moves to the tip only if operations or merges took effect.
+
+    json is the new state's text where it moved, else null: then the old text stays. A corrupt
+    state never moves. now: the time of the sync in UTC.
+    """
     n_ops = ops.groupBy("repo").agg(F.count(F.lit(1)).alias("n_ops"))
     n_merges = merges.groupBy("repo").agg(F.count(F.lit(1)).alias("n_merges"))
-    joined = state.select("repo", "last_sync_commit").join(tips.select("repo", "tip_commit"), "repo", "left").join(n_ops, "repo", "left").join(n_merges, "repo", "left")
-    moves = (F.coalesce("n_ops", F.lit(0)) > 0) | (F.coalesce("n_merges", F.lit(0)) > 0)
-    return joined.select("repo", F.when(moves, F.col("tip_commit")).otherwise(F.col("last_sync_commit")).alias("last_sync_commit"), moves.alias("advanced"))
+    joined = state.select("repo", "status", "remote", "ref", "last_sync_commit").join(tips.select("repo", "tip_commit"), "repo", "left").join(n_ops, "repo", "left").join(n_merges, "repo", "left")
+    moves = ((F.coalesce("n_ops", F.lit(0)) > 0) | (F.coalesce("n_merges", F.lit(0)) > 0)) & (F.col("status") != "corrupt")
+    at = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = F.to_json(F.struct("remote", "ref", F.col("tip_commit").alias("lastSyncCommit"), at.alias("syncedAt")))
+    return joined.select("repo", "status", F.when(moves, F.col("tip_commit")).otherwise(F.col("last_sync_commit")).alias("last_sync_commit"), moves.alias("advanced"), F.when(moves, text).alias("json"))
 
 
 def in_pruned(path: Column, pruned: Sequence[str]) -> Column:

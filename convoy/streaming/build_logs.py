@@ -47,3 +47,23 @@ def stream_build_tails(lines: DataFrame) -> DataFrame:
     """
     solid = lines.where(trimmed(F.col("line")) != "").select(F.col("build_id").cast("string").alias("build_id"), F.col("line_no").cast("long").alias("line_no"), "line")
     return solid.groupBy("build_id").applyInPandasWithState(_advance, TAIL_SCHEMA, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def latest_tails(lines: DataFrame, folder: str) -> DataFrame:
+    """(build_id, n_lines, tail): each build's last word after all that a stream has now; updates are kept below folder."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/updates/batch={number}")
+
+    spark = lines.sparkSession
+    spark.createDataFrame([], TAIL_SCHEMA).write.parquet(f"{folder}/updates/batch=-1")
+    # With a processing-time timeout every batch asks for another one, and a run over what there is now would never end.
+    no_data = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(no_data)
+    spark.conf.set(no_data, "false")
+    writer = stream_build_tails(lines).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    query = writer.foreachBatch(keep).start()
+    spark.conf.set(no_data, before)
+    query.awaitTermination()
+    updates = spark.read.schema(f"{TAIL_SCHEMA}, batch int").parquet(f"{folder}/updates")
+    return updates.groupBy("build_id").agg(F.max("n_lines").alias("n_lines"), F.max_by("tail", "n_lines").alias("tail"))

@@ -159,7 +159,7 @@ def test_state_moves_only_with_effect(spark):
     tips = spark.createDataFrame([(r, "tip") for r in "abcd"], "repo string, tip_commit string")
     ops, merges = spark.createDataFrame([("a",)], "repo string"), spark.createDataFrame([("c",)], "repo string")
     got = {r.repo: (r.last_sync_commit, r.advanced) for r in dumps.advance_sync_state(state, ops, merges, tips).collect()}
-    assert got == {"a": ("tip", True), "b": ("c", False), "c": ("tip", True), "d": (None, False)}
+    assert got == {"a": ("tip", True), "b": ("c", False), "c": (None, False), "d": (None, False)}
 
 
 def numbered(spark, *texts, key="f"):
@@ -220,7 +220,7 @@ def test_dates_and_destinations(spark):
     assert {r.path: r.source_date for r in consolidate.source_dates(docs, files).collect()} == {"c": "2020-01-01", "2023-05-06-x.md": "2023-05-06", "z": "2025-01-01"}
     rows = [("r", "d", "n", ".md", 0, "p0", "A"), ("r", "d", "n", ".md", 1, "p1", "A"), ("r", "d", "n", ".md", 1, "p2", "B"), ("r", "d", "n", ".md", 1, "p3", "B"), ("r", "d", "m", ".md", 1, "p4", "C")]
     got = {r.path: (r.action, r.destination) for r in consolidate.resolve_destinations(spark.createDataFrame(rows, "repo string, dest_dir string, base string, extension string, rank int, path string, content string")).collect()}
-    assert got["p0"] == ("keep", "d/n.md") and got["p1"] == ("skip", None) and got["p3"] == ("skip", None) and got["p4"] == ("move", "d/m.md")
+    assert got["p0"] == ("keep", "d/n.md") and got["p1"] == ("skip", "d/n.md") and got["p3"] == ("skip", "d/n.md") and got["p4"] == ("move", "d/m.md")
     assert got["p2"][0] == "move" and got["p2"][1].startswith("d/n-") and len(got["p2"][1]) == len("d/n-12345678.md")
 
 
@@ -263,6 +263,39 @@ def test_accounting_order(spark):
     assert got["none"][1] == ["s4"]
 
 
+def test_dates_follow_long_chains_and_end_in_circles(spark):
+    chain = [("r", f"p{i}", f"p{i - 1}" if i else None, i + 1, f"20{i % 25:02}-01-01") for i in range(200)]
+    circle = [("r", "a", "b", 1, "2011-01-01"), ("r", "b", "a", 1, "2012-01-01"), ("r", "c", "gone", 1, "2013-01-01")]
+    got = {r.path: r.author_date for r in consolidate.first_added(spark.createDataFrame(chain + circle, "repo string, path string, old_path string, seq int, author_date string")).collect()}
+    assert {got[f"p{i}"] for i in range(200)} == {"2000-01-01"}
+    assert (got["a"], got["b"], got["c"]) == ("2011-01-01", "2012-01-01", "2013-01-01")
+
+
+def test_ancestry_of_a_long_line_with_a_merge(spark):
+    line = [("r", f"c{i}", [f"c{i - 1}"] if i else []) for i in range(300)]
+    side = [("r", "s0", ["c5"]), ("r", "s1", ["s0"]), ("r", "top", ["c299", "s1"]), ("r", "other", ["c9"]), ("r", "x", ["y"]), ("r", "y", ["x"])]
+    commits = spark.createDataFrame(line + side, "repo string, sha string, parent_shas array<string>")
+    branches = spark.createDataFrame([("r", s, s) for s in ("c0", "c150", "s0", "s1", "top", "other", "x")], "repo string, branch string, tip_sha string")
+    tips = spark.createDataFrame([("r", "top")], "repo string, tip_commit string")
+    assert {r.branch for r in cleanup.ancestry(branches, commits, tips).where("is_ancestor").collect()} == {"c0", "c150", "s0", "s1", "top"}
+
+
+def test_cleanup_gates_come_before_branches(spark):
+    branches = spark.createDataFrame([("r", b, b != "main") for b in ("main", "anc", "patch", "none", "dirty", "har", "unknown", "lost")], "repo string, branch string, gone boolean")
+    trees = spark.createDataFrame([("r", b, f"/w/{b}") for b in ("anc", "dirty", "har", "unknown", "orphan", "dirty-orphan")], "repo string, branch string, path string")
+    told = [("r", "anc", True, "ancestry", None), ("r", "patch", True, "patch", None), ("r", "none", False, None, ["s4"])] + [("r", b, True, "ancestry", None) for b in ("dirty", "har", "unknown")]
+    accounting = spark.createDataFrame(told, "repo string, branch string, accounted boolean, check string, missing array<string>")
+    dirty = spark.createDataFrame([("r", f"/w/{b}", "dirty" in b) for b in ("anc", "dirty", "har", "orphan", "dirty-orphan")], "repo string, path string, at_risk boolean")
+    captures = spark.createDataFrame([("r", "/w/har", 2)], "repo string, path string, n long")
+    got = {r.branch: (r.outcome, r.missing) for r in cleanup.cleanup_plan(branches, trees, accounting, "main", dirty, captures).collect()}
+    assert got == {
+        "anc": ("delete -d", None), "patch": ("delete -D", None), "none": ("left-in-place", ["s4"]), "dirty": ("blocked-dirty", None), "har": ("blocked-captures", None),
+        "unknown": ("blocked-dirty", None), "lost": ("absent", None), "orphan": ("orphan", None), "dirty-orphan": ("blocked-dirty", None),
+    }
+    forced = {r.branch: r.outcome for r in cleanup.cleanup_plan(branches, trees, accounting, "main", dirty, captures, force=True).collect()}
+    assert forced["dirty"] == forced["none"] == "delete -D" and forced["har"] == "blocked-captures" and forced["dirty-orphan"] == "orphan"
+
+
 def test_ancestry_walks_merges(spark):
     commits = spark.createDataFrame([("r", "m", ["a", "b"]), ("r", "a", ["0"]), ("r", "b", ["0"]), ("r", "0", []), ("r", "x", ["0"])], "repo string, sha string, parent_shas array<string>")
     branches = spark.createDataFrame([("r", s, s) for s in ("a", "b", "0", "x", "m")], "repo string, branch string, tip_sha string")
