@@ -144,6 +144,8 @@ class _Line:
 
 #: Of the columns added here, so that the columns of docs keep their names.
 _P = "__convoy_"
+#: Sources up to which their table, of some 100 bytes a row, is broadcast; beyond, it is joined as Spark sees fit.
+FEW_SOURCES = 50_000
 
 
 def _lay_out(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...]) -> _Line:
@@ -161,6 +163,9 @@ def _lay_out(docs: DataFrame, mix: Mix, id_col: str, text_col: str, source_col:
         "_source string, _s int, _chunks int, source_size long, target double",
     ).select(F.col("_source"), *[F.col(c).alias(_P + c.strip("_")) for c in ("_s", "_chunks", "source_size", "target")])
 
+    # Spark can't tell the size of rows from the driver, and would shuffle the documents by source.
+    table = F.broadcast(table) if len(sources) <= FEW_SOURCES else table
+
     def dealt(rows: DataFrame) -> DataFrame:
         # A source is laid out in chunks of bounded size, so the hot one is spread over many tasks.
         placed = rows.join(table, rows[_P + "source"].eqNullSafe(table["_source"])).drop("_source")
