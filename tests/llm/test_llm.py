@@ -226,6 +226,44 @@ def test_lm_probabilities_sum_to_one():
         assert seen + 10 ** (score([*context, -1]) - before) * unseen == pytest.approx(1)
 
 
+def test_lm_scores_match_brute_force(spark, docs):
+    tokens = {r.doc_id: [*words(r.text, lower=True), None] for r in docs.collect()}
+    held_out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in tokens.items():
+        if not held_out[i]:
+            one.update(t)
+            two.update(zip(t, t[1:]))
+            three.update(zip(t, t[1:], t[2:]))
+    two, three = ({g: c for g, c in held.items() if c >= 2} for held in (two, three))
+    n = sum(one.values())
+    p1 = lambda w: (one[w] + 0.5) / (n + 0.5 * (len(one) + 1))
+    p2 = {g: (c - 0.5) / one[g[0]] for g, c in two.items()}
+    p3 = {g: (c - 0.5) / two[g[:2]] for g, c in three.items()}
+    left, rest = collections.Counter(), collections.Counter()
+    for (a, b), p in p2.items():
+        left[a,] += p
+        rest[a,] += p1(b)
+    for (a, b, c), p in p3.items():
+        left[a, b] += p
+        rest[a, b] += p2[b, c]
+
+    def probability(context, w):
+        if not context:
+            return p1(w)
+        if context not in left:
+            return probability(context[1:], w)
+        own = (p2 if len(context) == 1 else p3).get((*context, w))
+        return own if own is not None else (1 - left[context]) / max(1 - rest[context], 1e-12) * probability(context[1:], w)
+
+    got = {r.doc_id: r for r in queries.op2_lm_scoring(spark, SF).collect()}
+    assert got.keys() == tokens.keys()
+    for i, t in tokens.items():
+        wanted = sum(math.log10(probability(tuple(t[max(0, k - 2) : k]), w)) for k, w in enumerate(t))
+        assert got[i].score == pytest.approx(wanted, rel=1e-9)
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known) == (held_out[i], len(t), sum(w in one for w in t))
+
+
 def test_lm_odd_rows(spark, odd):
     held = language_id.in_fold("doc_id", 5, 1)
     got = lm.score_documents(odd, held).collect()
@@ -379,6 +417,33 @@ def test_language_id_held_out(spark, docs):
     assert all(0 <= x.score <= 1 for x in got.values())
 
 
+def test_language_id_matches_kernel_ridge_regression(spark, docs):
+    """Where every labelled row is a landmark, the model is kernel ridge regression; here over sets of strings."""
+    rows = [(r.doc_id, r.text[:80], r.lang) for r in docs.where("text is not null and lang is not null").orderBy("doc_id").limit(240).collect()]
+    small = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(small.where("doc_id % 4 <> 1"))
+    got = {r.doc_id: r for r in language_id.identify(small, model).collect()}
+
+    def grams(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower())
+        t = f" {re.sub(' +', ' ', t).lstrip()} "
+        return {t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+
+    rows = [(i, grams(t), lang) for i, t, lang in rows if any(map(str.isalpha, t))]
+    taught = [r for r in rows if r[0] % 4 != 1]
+    kernel = lambda some: np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for _, b, _ in taught] for _, a, _ in some])
+    langs = sorted({r[2] for r in taught})
+    wanted = np.where(np.array([r[2] for r in taught])[:, None] == np.array(langs), 1.0, -1.0)
+    value = kernel(rows) @ np.linalg.solve(kernel(taught) + language_id.Fit().ridge * np.eye(len(taught)), wanted)
+    power = np.exp(language_id.Fit().sharpness * value)
+    score = power / power.sum(axis=1, keepdims=True)
+    assert model.languages == langs and len(taught) <= language_id.Fit().landmarks
+    # The operator hashes n-grams, so a few of them share a place.
+    for (i, _, _), s in zip(rows, score, strict=True):
+        assert got[i].score == pytest.approx(s.max(), abs=0.05)
+        assert got[i].lang_pred == langs[s.argmax()] or np.sort(s)[-1] - np.sort(s)[-2] < 0.1
+
+
 def test_language_id_odd_rows(spark, odd):
     model = language_id.fit(odd)
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()}

@@ -57,6 +57,57 @@ def test_mix_repeats_whole_documents(stages):
     assert size(stages[4]) == pytest.approx(1.5 * size(stages[3]), rel=0.15)
 
 
+CLASHING = "doc_id long, text string, lang string, source string, component_id long, keep_id string, size long, _id string, _h string, draws string, lang_pred string, token_ids string, file int"
+
+
+def through(spark, rows):
+    """The rows before the first stage and after each, and the columns after each."""
+    df = spark.createDataFrame(rows, CLASHING)
+    found, columns = [df.collect()], [df.columns]
+    for name, stage in C.STAGES:
+        df = C.materialize(stage(spark, df, "nowhere"), name.replace(" ", "_"))
+        found.append(df.collect())
+        columns.append(df.columns)
+    return found, columns
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    other = (5, "k", 7, None, "h", "d", "l", "t", 1)
+    rows = [
+        (1, "The same text, twice over, and then some more of it.", "en", "a", *other),
+        (2, "The same  text, twice over,\nand then some more of it.", "en", "a", *other),
+        (2, "The same  text, twice over,\nand then some more of it.", "en", "a", *other),
+        (3, None, None, None, *[None] * 9),
+        (4, "", "en", "b", *other),
+        (5, " \t\n", "fr", "b", *other),
+        (6, long, "en", None, *[None] * 9),
+        (7, long + " end", "en", "c", *other),
+        (8, "un", "fr", "c", *other),
+        (9, "!!! 123 ...", None, "c", *other),
+        (10, "straße é 日本 \x1c x", "fr", "é", *other),
+        (None, "pas de nombre ici", "fr", "a", *other),
+    ]
+    found, columns = through(spark, rows)
+    assert all(c == columns[0] for c in columns[:-1])
+    norm = lambda r: re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")
+    # Two languages: one has half of the score at least, so only texts without a letter go.
+    assert Counter(found[1]) == Counter(r for r in found[0] if re.search(r"[^\W\d_]", r.text or ""))
+    assert Counter(map(norm, found[2])) == Counter(set(map(norm, found[1])))
+    assert {r.doc_id for r in found[2]} == {1, 6, 7, 8, 10, None}
+    # 7 is 6 and one word more; a row without an id stays.
+    assert {r.doc_id for r in found[3]} == {1, 6, 8, 10, None} and len(found[3]) == 5
+    assert set(found[4]) <= set(found[3]) and max(Counter(found[4]).values()) <= 2
+    assert Counter(r.doc_id for r in found[5]) == Counter(r.doc_id for r in found[4])
+
+
+def test_no_labels_and_no_rows(spark):
+    found, columns = through(spark, [(1, "some words", None, None, *[None] * 9), (2, None, None, None, *[None] * 9)])
+    assert len(found[1]) == 2 and {r.doc_id for r in found[3]} == {1, 2}
+    found, columns = through(spark, [])
+    assert found == [[]] * 6 and columns[-1] == ["doc_id", "n_tokens", "token_ids", "decoded_sha256"]
+
+
 def test_encoding(stages):
     from tokenizers import Tokenizer
 
