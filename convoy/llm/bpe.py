@@ -28,7 +28,8 @@ from convoy.llm.text import raw, slices
 #: Units, and pieces, that a worker has at hand; those used since the last turn stay for the next.
 REMEMBERED = 100_000
 #: Fixed: Unicode's White_Space characters, which the tokenizer's \s stands for.
-_WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")#: Characters that str.split() counts as white space but the tokenizer does not.
+_WHITE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Characters that str.split() counts as white space but the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
