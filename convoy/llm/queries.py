@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, substring_dedup, token_files, topk, url_filter
+from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, substring_dedup, suffix_dedup, token_files, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -118,6 +118,24 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_sort(F.array_distinct("draws.shard")).alias("shards"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, 2 * s + 1, 200)) AS t FROM (SELECT doc_id, x, unnest(range(n - 99)) AS s FROM d) u),
+r AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS p FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS k FROM w) o WHERE k > 1),
+i AS (SELECT doc_id, s, sum(CASE WHEN s <= p + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM r),
+c AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, g),
+l AS (SELECT c.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM c),
+k AS (SELECT l.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(d.x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) AS x, max(b) AS b FROM l JOIN d ON d.doc_id = l.doc_id GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(concat(coalesce(k.x, ''), substr(d.x, 2 * coalesce(k.b, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
@@ -130,12 +148,14 @@ def queries() -> dict[str, Query]:
         "op7_top_k": op7_top_k,
         "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
+        "op11_suffix_dedup": op11_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": OP4_SQL,
+        "op11_suffix_dedup": OP11_SQL,
         "op7_top_k": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
