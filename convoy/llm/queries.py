@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm import bpe, exact_dedup, language_id, lm, mixing, ngram_join, substring_dedup, suffix_dedup, token_files, topk, url_filter
+from convoy.llm import bpe, centroids, exact_dedup, language_id, lm, mixing, negatives, ngram_join, substring_dedup, suffix_dedup, token_files, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is in memory on both sides.
 BATCH_ROWS = 2_000
+#: The same for rows that hold blocks of vectors.
+BLOCK_ROWS = 8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,6 +138,48 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) A
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    # A row of a block is some megabytes.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BLOCK_ROWS)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label))
+
+
+OP12_SQL = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, x.vec_id, x.label, CAST(list_sum(list_transform(list_zip(a.v, x.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+ FROM v a JOIN v x ON a.vec_id % 50 = 0 AND x.vec_id <> a.vec_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE label = own) q WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+ row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS rank
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    away = "CAST(list_sum(list_transform(list_zip(v.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    near = "SELECT vec_id, any_value(v) AS v, min({{'d': d, 'k': k}}) AS b FROM (SELECT v.vec_id, v.v, c.k, {away} AS d FROM v CROSS JOIN c{r} c) t GROUP BY vec_id"
+    # A quotient rounds toward zero; taking off the remainder first makes it a floor.
+    mean = "SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT b.k AS k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}) u GROUP BY k, i) w GROUP BY k"
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, c FROM (SELECT sha256(concat('3:', CAST(vec_id AS STRING))) AS h, v AS c FROM v ORDER BY h LIMIT 8) f)",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({near.format(away=away, r=r)})")
+        if r < rounds:
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN ({mean.format(r=r)}) m ON m.k = o.k)")
+    told = f"SELECT a.vec_id, CAST(a.b.k AS INTEGER) AS cluster, a.b.d AS distance, CAST(sum(a.b.d) OVER (PARTITION BY a.b.k) AS BIGINT) AS cluster_inertia, CAST(sum(a.b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.k = a.b.k"
+    return f"WITH {', '.join(parts)} {told}"
+
+
 def queries() -> dict[str, Query]:
     return {
         "op8_exact_dedup": op8_exact_dedup,
@@ -149,6 +193,8 @@ def queries() -> dict[str, Query]:
         "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
         "op11_suffix_dedup": op11_suffix_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_centroids": op13_centroids,
     }
 
 
@@ -156,6 +202,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": OP4_SQL,
         "op11_suffix_dedup": OP11_SQL,
+        "op12_hard_negatives": OP12_SQL,
+        "op13_centroids": _op13_sql(),
         "op7_top_k": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
