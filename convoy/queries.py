@@ -12,10 +12,10 @@ from convoy.functions import rules as R
 from convoy.functions import text as X
 from convoy.jobs import consolidation, fleet_sync
 from convoy.jobs.rules import FLEET_RULES as RULES
-from convoy.operators import builds, cleanup, consolidate, drift, lines, links, plan, snapshots
+from convoy.operators import ancestry, builds, cleanup, consolidate, drift, lines, links, plan, snapshots
 from convoy.sources import dumps
-from convoy.sources.shared import fresh_path
-from convoy.sources.views import rows, view, with_views
+from convoy.sources.shared import fresh_path, materialize
+from convoy.sources.views import LINES, rows, view, with_views
 from convoy.streaming import build_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,32 +360,49 @@ def c12_merge_changes_nothing(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.merge_changes_nothing(view(spark, d, "anchor_files"), view(spark, d, "head_files"), view(spark, d, "tip_files"))
 
 
-_BRANCH_FILES = "SELECT repo, branch, concat('p', substr(patch_id, 1, 2)) AS path, max(patch_id) AS blob FROM branch_commits GROUP BY repo, branch, concat('p', substr(patch_id, 1, 2))"
-_MAIN_COMMITS = "SELECT * FROM integration_commits WHERE repo <> 'r3'"
-_MAIN_FILES = f"SELECT repo, concat('p', substr(patch_id, 1, 2)) AS path, max(patch_id) AS blob FROM ({_MAIN_COMMITS}) i GROUP BY repo, concat('p', substr(patch_id, 1, 2))"
-_WALK = f"""h AS (SELECT *, max(seq) OVER (PARTITION BY repo, branch) AS top FROM ({_HISTORY}) x), tips AS (SELECT repo, sha FROM h WHERE seq = top AND CAST(substr(branch, 6) AS BIGINT) % 13 = 0),
- walk AS (SELECT repo, sha FROM tips UNION SELECT h.repo, h.parent FROM walk JOIN h ON h.repo = walk.repo AND h.sha = walk.sha WHERE h.parent IS NOT NULL),
- anc AS (SELECT DISTINCT h.repo, h.branch FROM h JOIN walk w ON w.repo = h.repo AND w.sha = h.sha WHERE h.seq = h.top),
- pt AS ({_PATCHES.replace('FROM integration_commits', f'FROM ({_MAIN_COMMITS}) mc')}),
- mrg AS (SELECT f.repo, f.branch FROM ({_BRANCH_FILES}) f LEFT JOIN ({_MAIN_FILES}) m ON m.repo = f.repo AND m.path = f.path GROUP BY f.repo, f.branch HAVING bool_and(f.blob IS NOT DISTINCT FROM m.blob)),
- ck AS (SELECT pt.repo, pt.branch, pt.missing, CASE WHEN pt.repo NOT IN (SELECT repo FROM ({_MAIN_COMMITS}) r) THEN NULL WHEN anc.repo IS NOT NULL THEN 'ancestry' WHEN pt.n_commits > 0 AND pt.n_missing = 0 THEN 'patch' WHEN mrg.repo IS NOT NULL THEN 'merge' END AS "check"
-  FROM pt LEFT JOIN anc ON anc.repo = pt.repo AND anc.branch = pt.branch LEFT JOIN mrg ON mrg.repo = pt.repo AND mrg.branch = pt.branch)"""
+def _each_line(condition: str, pairs: bool = False) -> str:
+    """A condition on every line j of a file, or on every two lines j and i that follow each other, in both orders."""
+    couples = [(j, j) for j in LINES] if not pairs else [(j, i) for j in LINES for i in (j - 1, j + 1) if i in LINES]
+    return " AND ".join(condition.format(j=j, i=i) for j, i in couples)
+
+
+# Main is as the branch on every line that the branch changed, and main's change ends where the branch's does.
+_KEEPS = _each_line("(x.v{j} = b.v{j} OR x.v{j} = t.v{j})") + " AND " + _each_line("(x.v{j} = b.v{j} OR x.v{i} <> b.v{i} OR t.v{i} = b.v{i})", pairs=True)
+_SAME = _each_line("x.v{j} = b.v{j}")
+_TIPS = "SELECT DISTINCT repo, concat('m', CAST(tip_k AS STRING)) AS sha FROM order_graph WHERE tip_k IS NOT NULL AND repo <> 'r3'"
+_WALK = f"""pa AS (SELECT repo, sha, p1 AS p FROM graph_commits WHERE p1 IS NOT NULL UNION ALL SELECT repo, sha, p2 FROM graph_commits WHERE p2 IS NOT NULL), mt AS ({_TIPS}),
+ iw AS (SELECT repo, sha FROM mt UNION SELECT iw.repo, pa.p FROM iw JOIN pa ON pa.repo = iw.repo AND pa.sha = iw.sha), im AS (SELECT DISTINCT iw.repo, iw.sha FROM iw JOIN graph_commits c ON c.repo = iw.repo AND c.sha = iw.sha),
+ walk AS (SELECT repo, branch, tip_sha AS sha FROM branch_ends UNION SELECT w.repo, w.branch, pa.p FROM walk w JOIN pa ON pa.repo = w.repo AND pa.sha = w.sha),
+ wk AS (SELECT w.repo, w.branch, w.sha, im.sha IS NOT NULL AS known FROM walk w JOIN graph_commits c ON c.repo = w.repo AND c.sha = w.sha LEFT JOIN im ON im.repo = w.repo AND im.sha = w.sha),
+ best AS (SELECT w.repo, w.branch, w.sha FROM wk w WHERE w.known AND NOT EXISTS (SELECT 1 FROM wk y JOIN pa ON pa.repo = y.repo AND pa.sha = y.sha WHERE y.known AND y.repo = w.repo AND y.branch = w.branch AND pa.p = w.sha)),
+ base AS (SELECT repo, branch, max(sha) AS sha FROM best GROUP BY repo, branch HAVING count(*) = 1),
+ mp AS (SELECT DISTINCT c.repo, c.patch_id FROM im JOIN graph_commits c ON c.repo = im.repo AND c.sha = im.sha),
+ pt AS (SELECT w.repo, w.branch, count(*) AS n_commits, count(*) FILTER (WHERE mp.patch_id IS NULL) AS n_missing, string_agg(substr(w.sha, 1, 12), ' ' ORDER BY c.seq, w.sha) FILTER (WHERE mp.patch_id IS NULL) AS missing
+  FROM wk w JOIN graph_commits c ON c.repo = w.repo AND c.sha = w.sha LEFT JOIN mp ON mp.repo = c.repo AND mp.patch_id = c.patch_id WHERE NOT w.known AND c.p2 IS NULL GROUP BY w.repo, w.branch),
+ mrg AS (SELECT e.repo, e.branch FROM base JOIN branch_ends e ON e.repo = base.repo AND e.branch = base.branch JOIN branch_lines x ON x.repo = e.repo AND x.sha = e.tip_sha JOIN main_lines b ON b.repo = e.repo AND b.sha = base.sha AND b.f = x.f
+  JOIN mt ON mt.repo = e.repo JOIN main_lines t ON t.repo = e.repo AND t.sha = mt.sha AND t.f = x.f WHERE NOT ({_SAME}) GROUP BY e.repo, e.branch HAVING bool_and({_KEEPS})),
+ ck AS (SELECT e.repo, e.branch, e.tip_sha, base.sha AS base_sha, CASE WHEN im.sha IS NULL THEN pt.missing END AS missing, CASE WHEN mt.repo IS NULL THEN NULL WHEN im.sha IS NOT NULL THEN 'ancestry' WHEN pt.n_commits > 0 AND pt.n_missing = 0 THEN 'patch' WHEN mrg.repo IS NOT NULL THEN 'merge' END AS "check"
+  FROM branch_ends e LEFT JOIN mt ON mt.repo = e.repo LEFT JOIN im ON im.repo = e.repo AND im.sha = e.tip_sha LEFT JOIN pt ON pt.repo = e.repo AND pt.branch = e.branch LEFT JOIN mrg ON mrg.repo = e.repo AND mrg.branch = e.branch LEFT JOIN base ON base.repo = e.repo AND base.branch = e.branch)"""
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The commit graph's branches, commits and tips of integration."""
+    # Several passes read the commits, which the view would derive again each time.
+    commits = materialize(view(spark, d, "graph_commits").select("repo", "sha", F.array_compact(F.array("p1", "p2")).alias("parent_shas"), "patch_id", "seq"), "graph_commits")
+    return view(spark, d, "branch_ends").select("repo", "branch", "tip_sha"), commits, rows(spark, d, _TIPS).withColumnRenamed("sha", "tip_commit")
+
+
+@register(f"WITH {_WALK} SELECT e.repo, e.branch, best.sha AS base_sha FROM branch_ends e JOIN best ON best.repo = e.repo AND best.branch = e.branch")
+def c12_merge_base(spark: SparkSession, d: str) -> DataFrame:
+    branches, commits, tips = _graph(spark, d)
+    past = ancestry.history(commits)
+    known = ancestry.reached(past, tips)
+    return ancestry.merge_bases(past, ancestry.own_walk(past, ancestry.contained(past, branches, known), known), known)
 
 
 def _accounting(spark: SparkSession, d: str) -> DataFrame:
-    """Ancestry, patches and merge of the same branches, each from the commits."""
-    commits, main = view(spark, d, "branch_commits"), rows(spark, d, _MAIN_COMMITS)
-    history = rows(spark, d, f"SELECT *, max(seq) OVER (PARTITION BY repo, branch) AS top FROM ({_HISTORY}) x")
-    tops = history.where("seq = top")
-    tips = tops.where("cast(substr(branch, 6) as bigint) % 13 = 0").select("repo", F.col("sha").alias("tip_commit"))
-    reached = cleanup.ancestry(tops.select("repo", "branch", F.col("sha").alias("tip_sha")), history.select("repo", "sha", F.array_compact(F.array("parent")).alias("parent_shas")), tips)
-    # The dumps name several tops for some branches: one of them reached is enough.
-    reached = reached.groupBy("repo", "branch").agg(F.bool_or("is_ancestor").alias("is_ancestor"))
-    files = rows(spark, d, _BRANCH_FILES)
-    merges = cleanup.merge_changes_nothing(files.limit(0), files, rows(spark, d, _MAIN_FILES), keys=("repo", "branch"))
-    with_main = main.select("repo").distinct().withColumn("resolvable", F.lit(True))
-    branches = commits.select("repo", "branch").distinct().join(with_main, "repo", "left").select("repo", "branch", F.coalesce("resolvable", F.lit(False)).alias("resolvable"))
-    return cleanup.branch_accounting(branches, reached, cleanup.patch_equivalence(commits, main), merges)
+    trees = materialize(view(spark, d, "graph_trees"), "graph_trees")
+    return cleanup.accounting(*_graph(spark, d), trees, trees.select("blob", "content"))
 
 
 @register(f"""WITH {_WALK} SELECT repo, branch, "check" IS NOT NULL AS accounted, "check", CASE WHEN "check" IS NULL THEN coalesce(missing, '') END AS missing FROM ck""")

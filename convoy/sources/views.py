@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: A file of the commit graph has so many lines, each with the number of the commit that wrote it.
+LINES = range(8)
+_VERSIONS = ", ".join(f"coalesce(max(CASE WHEN own AND line = {j} THEN k END) OVER (PARTITION BY repo, f ORDER BY k), 0) AS v{j}" for j in LINES)
+_TOUCHED = ", ".join(f"max(CASE WHEN l_suppkey % 8 = {j} THEN 1 ELSE 0 END) AS e{j}" for j in LINES)
+# Every fourth branch brings what main has in the end, the others lines of their own.
+_EDITED = ", ".join(f"CASE WHEN coalesce(s.e{j}, 0) = 0 THEN b.v{j} WHEN e.k % 4 = 0 THEN t.v{j} ELSE -e.k END AS v{j}" for j in LINES)
+_CONTENT = "concat(" + ", chr(10), ".join(f"'line {j} of ', CAST(f AS STRING), ' by ', CAST(v{j} AS STRING)" for j in LINES) + ")"
+
 #: In order: a view uses tables and views above it only.
 VIEWS: dict[str, str] = {
     "base_docs": r"""SELECT doc_id, source AS repo, text,
@@ -25,6 +33,19 @@ FROM base_docs WHERE doc_id % 17 <> 0""",
     "head_files": r"""SELECT repo, path, doc_id, sha1(content) AS blob, content FROM (SELECT repo, path, doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, chr(10), concat(chr(13), chr(10))) WHEN doc_id % 23 = 0 THEN concat(text, chr(10), 'local edit') WHEN doc_id % 31 = 0 THEN concat('old ', text) ELSE text END AS content FROM base_docs WHERE doc_id % 29 <> 0) t""",
     "branch_commits": r"""SELECT concat('r', CAST(o_custkey % 20 AS STRING)) AS repo, concat('feat/', CAST(o_orderkey AS STRING)) AS branch, sha1(concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))) AS sha, l_linenumber AS seq, CAST(l_partkey % 400 AS STRING) AS patch_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 <> 0""",
     "integration_commits": r"""SELECT concat('r', CAST(o_custkey % 20 AS STRING)) AS repo, sha1(concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))) AS sha, l_linenumber AS seq, CAST(l_partkey % 400 AS STRING) AS patch_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0""",
+    # A commit graph: main lines, branches that leave them, take them in and are taken in.
+    "order_graph": r"""SELECT concat('r', CAST(o_custkey % 20 AS STRING)) AS repo, o_orderkey AS k, o_orderkey % 10 = 0 AS is_main, lag(o_orderkey) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS before_k,
+ max(CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fork_k,
+ min(CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_k,
+ max(CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey END) OVER (PARTITION BY o_custkey % 20) AS tip_k FROM orders""",
+    "branch_steps": r"""SELECT g.repo, g.k, concat('feat/', CAST(g.k AS STRING)) AS branch, g.fork_k, g.next_k, g.tip_k, row_number() OVER (PARTITION BY g.k ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, count(*) OVER (PARTITION BY g.k) AS steps, l_partkey, l_suppkey FROM order_graph g JOIN lineitem ON g.k = l_orderkey WHERE NOT g.is_main""",
+    "branch_ends": r"""SELECT repo, k, branch, tip_k, concat('b', CAST(k AS STRING), '-', CAST(steps AS STRING)) AS tip_sha, CASE WHEN k % 7 = 1 AND steps >= 3 AND next_k IS NOT NULL THEN next_k ELSE fork_k END AS base_k FROM branch_steps WHERE n = 1""",
+    "graph_commits": r"""SELECT g.repo, concat('m', CAST(g.k AS STRING)) AS sha, CASE WHEN g.fork_k IS NOT NULL THEN concat('m', CAST(g.fork_k AS STRING)) END AS p1, CASE WHEN g.fork_k IS NOT NULL AND g.k % 30 = 0 AND g.before_k % 7 <> 1 THEN e.tip_sha END AS p2, CAST(CAST(floor(g.k / 10) AS BIGINT) % 400 AS STRING) AS patch_id, g.k AS seq FROM order_graph g LEFT JOIN branch_ends e ON e.repo = g.repo AND e.k = g.before_k WHERE g.is_main
+UNION ALL SELECT repo, concat('b', CAST(k AS STRING), '-', CAST(n AS STRING)), CASE WHEN n > 1 THEN concat('b', CAST(k AS STRING), '-', CAST(n - 1 AS STRING)) WHEN fork_k IS NOT NULL THEN concat('m', CAST(fork_k AS STRING)) END, CASE WHEN k % 7 = 1 AND n = 3 AND next_k IS NOT NULL THEN concat('m', CAST(next_k AS STRING)) END, CAST(l_partkey % 400 AS STRING), n FROM branch_steps""",
+    "main_lines": f"""SELECT repo, k, concat('m', CAST(k AS STRING)) AS sha, f, {_VERSIONS} FROM (SELECT repo, k, f, CAST(floor(k / 10) AS BIGINT) % 3 = f AS own, CAST(floor(k / 30) AS BIGINT) % 8 AS line FROM order_graph CROSS JOIN (VALUES (0), (1), (2)) AS t(f) WHERE is_main) x""",
+    "branch_lines": f"""SELECT e.repo, e.k, e.tip_sha AS sha, b.f, {_EDITED} FROM branch_ends e JOIN main_lines b ON b.repo = e.repo AND b.k = e.base_k JOIN main_lines t ON t.repo = e.repo AND t.k = e.tip_k AND t.f = b.f
+ LEFT JOIN (SELECT k, l_partkey % 3 AS f, {_TOUCHED} FROM branch_steps WHERE NOT (k % 7 = 1 AND n = 3) GROUP BY k, l_partkey % 3) s ON s.k = e.k AND s.f = b.f""",
+    "graph_trees": f"""SELECT repo, sha, path, sha1(content) AS blob, content FROM (SELECT repo, sha, concat('src/f', CAST(f AS STRING)) AS path, {_CONTENT} AS content FROM (SELECT * FROM main_lines UNION ALL SELECT * FROM branch_lines) l) c""",
     "remotes": r"""SELECT c_custkey AS repo_id, CASE CAST(c_custkey % 6 AS INT) WHEN 0 THEN concat('https://github.com/Org', CAST(c_nationkey AS STRING), '/Repo', CAST(c_custkey % 50 AS STRING), '.git') WHEN 1 THEN concat('git@github.com:org', CAST(c_nationkey AS STRING), '/repo', CAST(c_custkey % 50 AS STRING)) WHEN 2 THEN concat('ssh://git@ssh.github.com/org', CAST(c_nationkey AS STRING), '/repo', CAST(c_custkey % 50 AS STRING), '.git/') WHEN 3 THEN 'https://gitlab.com/o/r.git' WHEN 4 THEN concat('C:', chr(92), 'git', chr(92), 'R', CAST(c_custkey % 50 AS STRING), '.git') ELSE '' END AS origin_url FROM customer""",
     "build_lines": r"""SELECT user_id AS build_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS line_no, ts, CASE event_type WHEN 'error' THEN concat('P.cs(1,1): error CS', lpad(CAST(event_id % 10000 AS STRING), 4, '0'), ': boom') WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 'error NETSDK1004: Assets file not found.' ELSE 'P.cs(1,5): Warnung CS0168: x' END WHEN 'view' THEN '   ' WHEN 'click' THEN '    0 Warning(s)' ELSE 'Build succeeded.' END AS line FROM events""",
     "inventory": r"""SELECT CAST(user_id AS STRING) AS repo, path, max(ts) AS mtime, max(event_id) AS size FROM (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN concat('src/App/A', CAST(event_id % 20 AS STRING), '.cs') WHEN 'view' THEN 'src/App/obj/Gen.cs' WHEN 'purchase' THEN 'src/App/bin/Debug/App.dll' WHEN 'error' THEN 'src/App/App.csproj' ELSE CASE WHEN event_id % 2 = 0 THEN 'NuGet.Config' ELSE concat('.har-captures/s', CAST(event_id % 5 AS STRING), '.har') END END AS path FROM events) t GROUP BY user_id, path""",
