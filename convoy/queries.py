@@ -223,6 +223,20 @@ def c2_similar_renames(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.detect_similar_renames(_diff(spark, d), contents).select("repo", "op", "path", "old_path")
 
 
+# Of every four files of a repository the first takes over what the second held, which goes or is written anew.
+_MOVED_ON = "SELECT repo, doc_id, concat('.github/agents/d', CAST(doc_id AS STRING), '.md') AS path, text, lead(text) OVER (PARTITION BY repo ORDER BY doc_id) AS next, row_number() OVER (PARTITION BY repo ORDER BY doc_id) % 4 AS k FROM base_docs WHERE text IS NOT NULL"
+_REWRITTEN = f"SELECT repo, path, sha1(content) AS blob, content FROM (SELECT repo, path, CASE WHEN k = 1 AND next IS NOT NULL THEN concat(next, chr(10), 'taken over') WHEN k = 2 THEN concat('new ', replace(text, ' ', ' new ')) ELSE text END AS content FROM ({_MOVED_ON}) m WHERE NOT (k = 2 AND doc_id % 2 = 0)) c"
+_HELD = f"SELECT repo, path, sha1(text) AS blob, text AS content FROM ({_MOVED_ON}) m"
+
+
+@register(None)
+def c2_broken_renames(spark: SparkSession, d: str) -> DataFrame:
+    """Rewritten files are divided before pairs are sought."""
+    before, after = rows(spark, d, _HELD), rows(spark, d, _REWRITTEN)
+    contents = before.select("blob", "content").unionByName(after.select("blob", "content"))
+    return snapshots.detect_similar_renames(snapshots.snapshot_diff(before, after, RULES), contents).select("repo", "op", "path", "old_path")
+
+
 _DRIFT = f"""SELECT h.repo, h.path FROM (SELECT repo, path, blob, {_KEY} AS k FROM head_files WHERE {_delivered('path')}) h LEFT JOIN (SELECT repo, path, blob, {_KEY} AS k FROM anchor_files) a ON h.repo = a.repo AND h.path = a.path
  WHERE (a.blob IS NULL OR (h.blob <> a.blob AND h.k <> a.k)) AND NOT EXISTS (SELECT 1 FROM (SELECT repo, path, {_KEY} AS k FROM history_files) v WHERE v.repo = h.repo AND v.path = h.path AND v.k = h.k)"""
 
