@@ -732,11 +732,13 @@ def i1_stream_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 @register(r"""WITH s AS (SELECT CAST(build_id AS STRING) AS build_id, line_no, line, row_number() OVER (PARTITION BY build_id ORDER BY line_no DESC) AS back, count(*) OVER (PARTITION BY build_id) AS n FROM build_lines WHERE trim(line) <> '')
  SELECT build_id, CAST(max(n) AS BIGINT) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS tail FROM s WHERE back <= 10 GROUP BY build_id""")
 def i1_stream_tails(spark: SparkSession, d: str) -> DataFrame:
-    """The stateful stream over files of lines, as far as they go: each build's last update."""
-    now, path = view(spark, d, "build_lines").select("build_id", "line_no", "line"), fresh_path(spark, "build_lines")
-    now.write.parquet(path)
-    stream = spark.readStream.schema(now.schema).parquet(path)
-    return build_logs.latest_tails(stream, fresh_path(spark, "build_tails"))
+    """The stateful stream over files of lines, stopped half way and taken up again as more come: each build's last lines."""
+    now = view(spark, d, "build_lines").select("build_id", "line_no", "line")
+    source, folder = fresh_path(spark, "build_lines"), fresh_path(spark, "build_tails")
+    for half in (0, 1):
+        now.where(F.pmod(F.xxhash64("build_id", "line_no"), F.lit(2)) == half).write.mode("append").parquet(source)
+        tails = build_logs.latest_tails(spark, lambda own: own.readStream.schema(now.schema).parquet(source), folder)
+    return tails
 
 
 @register(f"WITH {_PLAN.replace('WITH ', '')}, dr AS ({_DRIFT}) SELECT repo, count(*) AS n_drifted FROM dr WHERE NOT EXISTS (SELECT 1 FROM yl WHERE yl.repo = dr.repo AND yl.path = dr.path) GROUP BY repo")

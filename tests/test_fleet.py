@@ -369,22 +369,45 @@ def test_file_cleanup(spark):
     assert got == {"t": "revert", "p": "keep-pin", "u": "delete", "l": "keep-local"}
 
 
-def test_stream_tails(spark, tmp_path):
-    source, out = tmp_path / "in", tmp_path / "out"
+def test_stream_tails_go_on_where_they_stopped(spark, tmp_path):
+    """Two calls on one folder, with lines that come late and files that come in between, equal one look at all lines."""
+    source, folder = tmp_path / "in", (tmp_path / "out").as_uri()
     schema = "build_id string, line_no int, line string"
-    for part in range(2):
-        rows = [("b1", part * 10 + i, f"line {part * 10 + i}" if i % 5 else " ") for i in range(10)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    got: dict[str, tuple[int, str]] = {}
+    before = {k: spark.conf.get(k, None) for k in build_logs.SETTINGS}
 
-    def keep(df, _):
-        got.update({r.build_id: (r.n_lines, r.tail) for r in df.collect()})
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
 
-    query = build_logs.stream_build_tails(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(out)).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert got["b1"][0] == 16
-    assert got["b1"][1].split("\n") == [f"line {i}" for i in (8, 9, 11, 12, 13, 14, 16, 17, 18, 19)]
+    def tails():
+        got = build_logs.latest_tails(spark, lambda own: own.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source)), folder)
+        return {r.build_id: (r.n_lines, r.tail.split("\n")) for r in got.collect()}
+
+    all_lines = [(f"b{b}", i, f"line {i}" if i % 5 else " ") for b in range(3) for i in range(30)]
+    arrive([r for r in all_lines if r[1] % 3 == 2])
+    first = tails()
+    assert first["b1"] == (8, [f"line {i}" for i in (2, 8, 11, 14, 17, 23, 26, 29)])
+    assert tails() == first, "nothing new"
+    arrive([r for r in all_lines if r[1] % 3 == 0])
+    arrive([r for r in all_lines if r[1] % 3 == 1] + [("new", 1, "only")])
+    want = {f"b{b}": (24, [f"line {i}" for i in range(30) if i % 5][-10:]) for b in range(3)}
+    assert tails() == want | {"new": (1, ["only"])}
+    # A batch that is done again replaces what it wrote.
+    spark.read.parquet(f"{folder}/updates/batch=1").write.mode("overwrite").parquet(f"{folder}/again")
+    spark.read.parquet(f"{folder}/again").write.mode("overwrite").parquet(f"{folder}/updates/batch=1")
+    assert tails()["b0"] == want["b0"]
+    assert {k: spark.conf.get(k, None) for k in build_logs.SETTINGS} == before
+
+
+def test_runs_of_a_build_are_put_together(spark, tmp_path, monkeypatch):
+    """State that went between two calls begins a new run; its lines and the older ones make one tail."""
+    monkeypatch.setattr(build_logs, "KEPT_MS", 1)
+    source, folder = str(tmp_path / "in"), (tmp_path / "out").as_uri()
+    schema = "build_id string, line_no int, line string"
+    for part in range(2):
+        spark.createDataFrame([("b", part * 8 + i, f"l{part * 8 + i}") for i in range(8)], schema).coalesce(1).write.mode("append").json(source)
+        got = build_logs.latest_tails(spark, lambda own: own.readStream.schema(schema).json(source), folder)
+    row = got.collect()[0]
+    assert (row.n_lines, row.tail.split("\n")) == (16, [f"l{i}" for i in range(6, 16)])
 
 
 def test_greedy_pairs_hold_no_repository_in_one_python_group(spark):
