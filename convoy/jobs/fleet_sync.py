@@ -46,3 +46,8 @@ def blocked(fleet: Fleet, rules: Rules) -> DataFrame:
 def summary(fleet: Fleet, rules: Rules) -> DataFrame:
     """(repo, op, n) over the plan."""
     return snapshots.op_counts(sync_plan(fleet, rules))
+
+
+def verdicts(fleet: Fleet, rules: Rules, repos: DataFrame) -> DataFrame:
+    """(repo, op, n, verdict) over the plan, for every repository of repos (repo, anchor_label, tip_label)."""
+    return snapshots.op_totals(sync_plan(fleet, rules), repos)

@@ -6,7 +6,7 @@ from convoy.functions.rules import PathRule, Rules
 
 FLEET_RULES: Rules = (
     PathRule("always_local", "prefix", "docs/specs/"),
-    PathRule("always_local", "regex", r"/project-[a-z]+/"),
+    PathRule("always_local", "regex", r"/own-[a-z]+/"),
     PathRule("managed", "prefix", ".github/"),
     PathRule("private", "regex", r"/(tests|fixtures)/"),
     PathRule("yield", "prefix", ".github/agents/"),

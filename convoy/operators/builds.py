@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from convoy.functions.text import ancestors, assembly_name, is_diagnostic, is_restore_failure, is_runnable, leaf, severity, trimmed
-from convoy.sources.dumps import file_inventory, in_pruned
+from convoy.sources.dumps import file_inventory
 
 #: What a build and a restore read, and the folders that neither looks into.
 SOURCES = (".cs", ".csproj", ".props", ".targets", ".sln", ".slnx", ".razor", ".cshtml", ".resx", ".vb", ".vbproj", ".fs", ".fsproj")
@@ -79,12 +79,6 @@ def build_log_flags(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"is_diagnostic": is_diagnostic(line), "is_restore_failure": is_restore_failure(line), "severity": severity(line)})
 
 
-def build_summary(lines: DataFrame) -> DataFrame:
-    """(build_id, n_diagnostics, restore_failed)."""
-    flagged = build_log_flags(lines)
-    return flagged.groupBy("build_id").agg(F.count_if("is_diagnostic").alias("n_diagnostics"), F.bool_or("is_restore_failure").alias("restore_failed"))
-
-
 def shown(line: Column, width: int) -> Column:
     flat = F.replace(trimmed(line), F.lit("\t"), F.lit("    "))
     return F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width - 3), F.lit("..."))).otherwise(flat)
@@ -97,34 +91,29 @@ def log_tail(lines: DataFrame, n: int = 10, width: int = 80) -> DataFrame:
     return solid.withColumn("_r", last).where(F.col("_r") <= n).select("build_id", "line_no", shown(F.col("line"), width).alias("shown"))
 
 
-def suite_verdict(files: DataFrame) -> DataFrame:
-    """(run_id, reasons): why a test run isn't green, empty if it is.
+def suite_verdict(runs: DataFrame, expected: DataFrame, containers: DataFrame) -> DataFrame:
+    """(run_id, reasons, missing): why a test run isn't green, empty if it is, and the expected files that made no container.
 
-    files: (run_id, file, has_container, total, failed, result), one row per expected file.
+    runs: (run_id, total, failed, result), null where there is no result. expected: (run_id, file), the files that
+    were found; containers: (run_id, file), the files that ran. Files that ran without being expected are no fault.
+    A run that only expected names has no result.
     """
-    per = files.groupBy("run_id").agg(
-        F.sum("total").alias("total"),
-        F.sum("failed").alias("failed"),
-        F.max("result").alias("high"),
-        F.min("result").alias("low"),
-        F.count_if(~F.col("has_container")).alias("absent"),
-    )
-    none = F.col("high").isNull()
+    lost = expected.select("run_id", "file").distinct().join(containers.select("run_id", "file"), ["run_id", "file"], "left_anti")
+    missing = lost.groupBy("run_id").agg(F.array_sort(F.collect_list("file")).alias("missing"))
+    every = runs.select("run_id").unionByName(expected.select("run_id")).distinct()
+    per = every.join(runs, "run_id", "left").join(missing, "run_id", "left")
+    none = F.col("result").isNull()
     reasons = [
         (none, "no-result"),
         (~none & (F.coalesce("total", F.lit(0)) < 1), "no-tests"),
         (~none & (F.coalesce("failed", F.lit(0)) > 0), "failed"),
-        (~none & ((F.col("high") != "Passed") | (F.col("low") != "Passed")), "not-passed"),
-        (F.col("absent") > 0, "missing-files"),
+        (~none & (F.col("result") != "Passed"), "not-passed"),
+        (F.col("missing").isNotNull(), "missing-files"),
     ]
-    return per.select("run_id", F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons])).alias("reasons"))
+    listed = F.coalesce("missing", F.array().cast(expected.select(F.array("file")).schema[0].dataType))
+    return per.select("run_id", F.array_compact(F.array(*[F.when(c, F.lit(r)) for c, r in reasons])).alias("reasons"), listed.alias("missing"))
 
 
 def runnable_projects(projects: DataFrame) -> DataFrame:
     """(repo, path, assembly): project files that build something to run."""
     return projects.where(is_runnable(F.col("content"))).select("repo", "path", assembly_name(F.col("content"), F.col("path")).alias("assembly"))
-
-
-def pruned_away(files: DataFrame, names: Sequence[str] = PRUNED) -> DataFrame:
-    """Files that an inventory leaves out."""
-    return files.where(in_pruned(F.col("path"), names))

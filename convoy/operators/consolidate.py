@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,22 +32,33 @@ def route_document(path: Column) -> Column:
 
 
 def first_added(commit_files: DataFrame) -> DataFrame:
-    """(repo, path, author_date): when a path's oldest ancestor was first added, following renames back.
+    """(repo, path, author_date): when the file that a path has now was first added, following renames back as of their time.
 
-    Each round doubles how far every path looks back, so a chain of n renames takes log2(n) rounds,
-    whatever their number. A path whose chain runs in a circle keeps its own date.
+    A rename leads to its old name as it was then: to the last rename into that name before it, else to the
+    oldest event of that name before it. So a name that was used before, or is used again, isn't taken for
+    another file's. Each round doubles how far every rename looks back, so a chain of n takes log2(n) rounds.
     """
-    born = commit_files.groupBy("repo", "path").agg(F.min_by(F.struct("author_date", "old_path"), "seq").alias("b")).select("repo", "path", F.col("b.author_date").alias("own"), F.col("b.author_date").alias("date"), F.col("b.old_path").alias("up"))
-    chains = materialize(born, "first_added")
-    left = chains.where("up is not null").count()
-    while left:
-        far = chains.select("repo", F.col("path").alias("up"), F.col("date").alias("far_date"), F.col("up").alias("far_up"))
-        going = chains.where("up is not null").join(far, ["repo", "up"], "left").select("repo", "path", "own", F.coalesce("far_date", "date").alias("date"), F.col("far_up").alias("up"))
+    events = commit_files.select("repo", "path", "old_path", "seq", "author_date")
+    renames = events.where("old_path is not null").groupBy("repo", "path", "seq").agg(F.max_by(F.struct("old_path", "author_date"), F.struct("author_date", "old_path")).alias("e"))
+    renames = materialize(renames.select("repo", "path", "seq", "e.old_path", F.col("e.author_date").alias("own")), "renames")
+    # An as-of join in one pass by name: who asks for a name, and when, beside what happened to it.
+    asks = renames.select("repo", F.col("old_path").alias("name"), "seq", F.lit(0).alias("kind"), F.struct("path", "own").alias("asker"), F.lit(None).cast(events.schema["author_date"].dataType).alias("date"), F.lit(False).alias("into"))
+    happened = events.select("repo", F.col("path").alias("name"), "seq", F.lit(1).alias("kind"), F.lit(None).cast(asks.schema["asker"].dataType).alias("asker"), F.col("author_date").alias("date"), F.col("old_path").isNotNull().alias("into"))
+    before = W.partitionBy("repo", "name").orderBy("seq", "kind").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("into"), F.col("seq")), ignorenulls=True).over(before)
+    oldest = F.first("date", ignorenulls=True).over(before)
+    placed = asks.unionByName(happened).withColumns({"last": last, "oldest": oldest}).where("kind = 0")
+    up = F.when(F.col("last").isNotNull(), F.struct(F.col("name").alias("path"), F.col("last").alias("seq")))
+    chains = placed.select("repo", F.col("asker.path").alias("path"), "seq", F.when(up.isNotNull(), F.col("asker.own")).otherwise(F.coalesce("oldest", F.col("asker.own"))).alias("date"), up.alias("up"))
+    chains = materialize(chains, "first_added")
+    # Time goes back at each step, so nothing runs in a circle.
+    while not chains.where("up is not null").isEmpty():
+        far = chains.select("repo", F.struct("path", "seq").alias("up"), F.col("date").alias("far_date"), F.col("up").alias("far_up"))
+        going = chains.where("up is not null").join(far, ["repo", "up"]).select("repo", "path", "seq", F.col("far_date").alias("date"), F.col("far_up").alias("up"))
         chains = materialize(chains.where("up is null").unionByName(going), "first_added")
-        before, left = left, chains.where("up is not null").count()
-        if left == before:
-            break  # what is left runs in circles
-    return chains.select("repo", "path", F.when(F.col("up").isNull(), F.col("date")).otherwise(F.col("own")).alias("author_date"))
+    now = chains.groupBy("repo", "path").agg(F.max_by("date", "seq").alias("date"))
+    born = events.groupBy("repo", "path").agg(F.min_by("author_date", "seq").alias("born"))
+    return born.join(now, ["repo", "path"], "left").select("repo", "path", F.coalesce("date", "born").alias("author_date"))
 
 
 def source_dates(docs: DataFrame, commit_files: DataFrame) -> DataFrame:
@@ -111,10 +122,25 @@ def manifest(records: DataFrame) -> DataFrame:
     return records.select("date", "timestamp", "action", "type", "source", "destination", issues.alias("issues"), "note").orderBy(F.col("date").isNull(), "date", "source")
 
 
+MANIFEST = ("date", "timestamp", "action", "type", "source", "destination", "issues", "note")
+
+
 def write_manifest(records: DataFrame, path: str) -> None:
-    """The manifest as Parquet, one folder per repository, each sorted within: no global sort."""
-    rows = records.withColumn("issues", F.array_join(F.transform("issues", lambda n: F.concat(F.lit("#"), n.cast("string"))), " "))
-    rows.repartition("repo").sortWithinPartitions("repo", F.col("date").isNull(), "date", "source").write.partitionBy("repo").parquet(path)
+    """The manifest as Parquet, one folder per repository, each in order. Written again, a repository's folder is replaced and others stay.
+
+    Rows of a large repository are ordered over several files, by ranges of (undated, date, source), so that no task
+    holds a repository.
+    """
+    issues = F.array_join(F.transform("issues", lambda n: F.concat(F.lit("#"), n.cast("string"))), " ")
+    order = [F.col("date").isNull().alias("undated"), F.col("date"), F.col("source")]
+    rows = records.select("repo", *MANIFEST).withColumn("issues", issues)
+    ranged = rows.repartitionByRange("repo", *order).sortWithinPartitions("repo", *order)
+    ranged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_manifest` left: repo and the manifest's columns."""
+    return spark.read.schema(", ".join(f"{c} string" for c in (*MANIFEST, "repo"))).parquet(path).select("repo", *MANIFEST)
 
 
 def issue_prompts(issues: DataFrame, most: int = 0, opening: str = "@dev-loop gh issue ") -> DataFrame:

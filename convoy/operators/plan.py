@@ -11,6 +11,10 @@ from convoy.operators.drift import content_key
 from convoy.operators.snapshots import covered_paths
 
 
+#: Entries of a scaffold map up to which it is broadcast.
+MOST_SCAFFOLDS = 10_000
+
+
 def sync_plan(anchor_ops: DataFrame, head_ops: DataFrame, prune_ops: DataFrame, yielded: DataFrame) -> DataFrame:
     """(repo, op, path, old_path, origin): anchor-to-tip operations, then head-to-tip ones that they don't cover, then prunes.
 
@@ -48,8 +52,9 @@ def scaffold_plan(scaffolds: DataFrame, tip: DataFrame, consumer: DataFrame, ups
     A scaffold of its own name comes from the tip; a template from the consumer's synced tree.
     """
     repos = consumer.select("repo").distinct().join(upstreams.select("repo").distinct(), "repo", "left_anti")
-    # The scaffold map is a short constant list.
-    wanted = repos.join(F.broadcast(scaffolds.select("template", "target")))
+    # Every repository has every entry of the map. A longer map is dealt by Spark, not sent to each task.
+    listed = scaffolds.select("template", "target").distinct()
+    wanted = repos.crossJoin(F.broadcast(listed) if listed.limit(MOST_SCAFFOLDS + 1).count() <= MOST_SCAFFOLDS else listed)
     missing = wanted.join(consumer.select("repo", F.col("path").alias("target")), ["repo", "target"], "left_anti")
     own = F.col("template") == F.col("target")
     in_tip = missing.where(own).join(tip.select("repo", F.col("path").alias("template")), ["repo", "template"], "left_semi")

@@ -218,6 +218,19 @@ def op_counts(ops: DataFrame) -> DataFrame:
     return ops.groupBy("repo", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
+def op_totals(ops: DataFrame, repos: DataFrame) -> DataFrame:
+    """(repo, op, n, verdict): a repository's operations by kind, and one row with a null op for all of them.
+
+    repos: (repo, anchor_label, tip_label), every repository of the fleet. Without operations its one row tells why:
+    at-head where both labels are the same, else moved, as upstream went on but changed nothing managed. With any:
+    syncing. Unknown labels are not the same.
+    """
+    counts = ops.rollup("repo", "op").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level")).where("level < 3").drop("level")
+    told = repos.select("repo", "anchor_label", "tip_label").join(counts, "repo", "left")
+    verdict = F.when(F.col("n").isNotNull(), "syncing").when(F.coalesce(F.col("anchor_label") == F.col("tip_label"), F.lit(False)), "at-head").otherwise("moved")
+    return told.select("repo", "op", F.coalesce("n", F.lit(0).cast("long")).alias("n"), verdict.alias("verdict"))
+
+
 #: The words that stand for operations in reports.
 OP_WORDS = {"A": "add", "M": "update", "D": "delete", "R": "rename", "C": "copy"}
 

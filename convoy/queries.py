@@ -13,7 +13,7 @@ from convoy.functions import text as X
 from convoy.jobs import consolidation, fleet_sync
 from convoy.jobs.rules import FLEET_RULES as RULES
 from convoy.operators import ancestry, builds, cleanup, consolidate, drift, lines, links, plan, snapshots
-from convoy.sources import dumps
+from convoy.sources import dumps, readers
 from convoy.sources.shared import fresh_path, materialize
 from convoy.sources.views import LINES, rows, view, with_views
 from convoy.streaming import build_logs
@@ -38,7 +38,7 @@ def register(sql: str | Callable[[], str] | None) -> Callable[[Query], Query]:
 
 # The rule set as SQL conditions on a path.
 def _local(p: str) -> str:
-    return f"((lower({p}) LIKE 'docs/specs/%' OR regexp_matches({p}, '(?i)/project-[a-z]+/')) AND NOT regexp_matches(lower({p}), '(\\.template|(^|/)\\.gitkeep)$'))"
+    return f"((lower({p}) LIKE 'docs/specs/%' OR regexp_matches({p}, '(?i)/own-[a-z]+/')) AND NOT regexp_matches(lower({p}), '(\\.template|(^|/)\\.gitkeep)$'))"
 
 
 def _private(p: str) -> str:
@@ -88,6 +88,46 @@ def a5_has_exact_branch(spark: SparkSession, d: str) -> DataFrame:
     return dumps.has_exact_branch(view(spark, d, "ls_remote_lines"), "main", key="repo_id")
 
 
+def _dumped(spark: SparkSession, d: str, name: str, key: str = "repo") -> DataFrame:
+    """A view of dump lines, written as text and read again."""
+    lines, path = view(spark, d, name), fresh_path(spark, "dumps")
+    number = F.col("line_no") if "line_no" in lines.columns else F.col("line")
+    readers.write_dump(lines.select(F.col(key).cast("string").alias("repo"), number.alias("line_no"), "line"), path, name)
+    return readers.read_dump(spark, path, name)
+
+
+@register("""SELECT repo, line_no, upper(substr(line, 1, 1)) AS op,
+ CASE WHEN upper(substr(line, 1, 1)) IN ('R', 'C') THEN split_part(line, chr(9), 3) ELSE split_part(line, chr(9), 2) END AS path,
+ CASE WHEN upper(substr(line, 1, 1)) IN ('R', 'C') THEN split_part(line, chr(9), 2) END AS old_path
+ FROM (SELECT repo, line, row_number() OVER (PARTITION BY repo ORDER BY line_no) AS line_no FROM name_status_lines) n WHERE (upper(substr(line, 1, 1)) IN ('A', 'M', 'D', 'T') AND len(string_split(line, chr(9))) >= 2)
+ OR (upper(substr(line, 1, 1)) IN ('R', 'C') AND len(string_split(line, chr(9))) >= 3)""")
+def a1_read_name_status(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.parse_name_status(_dumped(spark, d, "name_status_lines")).select("repo", "line_no", "op", "path", "old_path")
+
+
+@register("""SELECT worktree, CAST(line_no AS BIGINT) AS line_no, substr(line, 1, 2) AS xy, trim(substr(line, 4), '"') AS path,
+ CASE substr(line, 1, 2) WHEN '??' THEN 'untracked' WHEN '!!' THEN 'ignored' ELSE 'tracked' END AS class FROM status_lines WHERE length(line) > 3""")
+def a2_read_status(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.parse_status(_dumped(spark, d, "status_lines", "worktree")).select(F.col("repo").alias("worktree"), "line_no", "xy", "path", "class")
+
+
+@register("""SELECT p.repo, substr(p.line, 10) AS path, substr(b.line, 19) AS branch, l.line IS NOT NULL AS locked
+ FROM worktree_lines p LEFT JOIN worktree_lines b ON b.repo = p.repo AND b.line_no = p.line_no + 1 AND b.line LIKE 'branch %'
+ LEFT JOIN worktree_lines l ON l.repo = p.repo AND l.line_no = p.line_no + 2 AND l.line LIKE 'locked%' WHERE p.line LIKE 'worktree %'""")
+def a3_read_worktrees(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.parse_worktrees(_dumped(spark, d, "worktree_lines"))
+
+
+@register("SELECT repo, split_part(line, ' ', 1) AS branch, line LIKE '%[gone]' AS gone FROM ref_lines")
+def a4_read_refs(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.parse_refs(_dumped(spark, d, "ref_lines"))
+
+
+@register("SELECT CAST(repo_id AS STRING) AS repo, bool_or(trim(split_part(line, chr(9), 2)) = 'refs/heads/main') AS has_branch FROM ls_remote_lines GROUP BY repo_id")
+def a5_read_ls_remote(spark: SparkSession, d: str) -> DataFrame:
+    return dumps.has_exact_branch(_dumped(spark, d, "ls_remote_lines", "repo_id"), "main")
+
+
 _STATES = """SELECT CAST(c_custkey AS STRING) AS repo, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'not json' WHEN 1 THEN '{"remote":"up","ref":"main"}'
  ELSE concat('{"remote":"up","ref":"main","lastSyncCommit":"c', CAST(c_custkey AS STRING), '","syncedAt":"2024-05-06T07:08:09Z"}') END AS json FROM customer"""
 
@@ -108,10 +148,30 @@ def a7_file_inventory(spark: SparkSession, d: str) -> DataFrame:
     return dumps.file_inventory(view(spark, d, "inventory"), (".cs", ".csproj"), ("nuget.config",), builds.PRUNED).select("repo", "path")
 
 
+@register("""SELECT repo, path, size % 100 AS size FROM inventory WHERE regexp_matches(path, '(?i)(\\.cs|\\.csproj)$|(^|/)nuget\\.config$') AND NOT regexp_matches(path, '(?i)(^|/)(bin|obj|\\.git|\\.worktrees|\\.claude|\\.vs|node_modules)/')""")
+def a7_walk_files(spark: SparkSession, d: str) -> DataFrame:
+    """The inventory's files written as a tree, which is then walked."""
+    path = fresh_path(spark, "trees")
+    files = view(spark, d, "inventory").select(F.concat(F.lit(path + "/"), "repo").alias("root"), "repo", "path", (F.col("size") % 100).alias("size"))
+    roots = materialize(files.mapInPandas(readers.write_files, "repo string, root string"), "tree_roots").distinct()
+    found = readers.walk_files(roots, builds.PRUNED)
+    return dumps.file_inventory(found, (".cs", ".csproj"), ("nuget.config",), ()).select("repo", "path", "size")
+
+
 _RECORDS = """SELECT repo, CASE WHEN doc_id % 3 = 0 THEN substr(path, 7, 10) END AS date, CAST(NULL AS STRING) AS timestamp, 'move' AS action, 'legacy-tasks' AS type, concat(path, '#', CAST(doc_id AS STRING)) AS source,
  concat('docs/specs/', CAST(doc_id AS STRING)) AS destination, doc_id, CAST(NULL AS STRING) AS note FROM spec_sources"""
 
 
+@register(f"""WITH r AS ({_RECORDS}) SELECT repo, date, timestamp, action, type, source, destination, concat('#', CAST(doc_id AS STRING), ' #', CAST(doc_id + 1 AS STRING)) AS issues, note FROM r WHERE repo IS NOT NULL""")
+def a8_written_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Written in folders by repository, some of them twice, and read back."""
+    records = rows(spark, d, _RECORDS).where("repo is not null").withColumn("issues", F.array("doc_id", F.col("doc_id") + 1))
+    path = fresh_path(spark, "manifest")
+    consolidate.write_manifest(records, path)
+    consolidate.write_manifest(records.where("repo in ('src1', 'src2')"), path)
+    return consolidate.read_manifest(spark, path)
+
+
 @register(f"""WITH r AS ({_RECORDS}) SELECT date, timestamp, action, type, source, destination, concat('#', CAST(doc_id AS STRING), ' #', CAST(doc_id + 1 AS STRING)) AS issues, note FROM r""")
 def a8_manifest(spark: SparkSession, d: str) -> DataFrame:
     records = rows(spark, d, _RECORDS).withColumn("issues", F.array("doc_id", F.col("doc_id") + 1))
@@ -134,9 +194,15 @@ def b2_classify_paths(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "base_docs").select("doc_id", "path", R.owner_class(p, RULES).alias("owner_class"), R.is_private(p, RULES).alias("is_private"))
 
 
-_SLUG = """CASE WHEN regexp_matches(origin_url, '(?i)^https?://github\\.com/') THEN regexp_extract(origin_url, '(?i)^https?://github\\.com/([^/]+/[^/]+?)(?:\\.git)?/?$', 1)
- WHEN regexp_matches(origin_url, '(?i)^ssh://git@') THEN regexp_extract(origin_url, '(?i)^ssh://git@(?:[^/]*\\.)?github\\.com/([^/]+/[^/]+?)(?:\\.git)?/?$', 1)
- WHEN regexp_matches(origin_url, '(?i)^git@') THEN regexp_extract(origin_url, '(?i)^git@(?:[^:]*\\.)?github\\.com:([^/]+/[^/]+?)(?:\\.git)?/?$', 1) END"""
+# A url is taken apart at its separators: the host, and what follows it without slashes and .git at the end.
+_PLACE = "CASE WHEN contains(origin_url, '://') THEN split_part(origin_url, '://', 2) ELSE replace(origin_url, ':', '/') END"
+_USER = f"(lower({_PLACE}) LIKE 'git@%')"
+_HOST = f"lower(split_part(CASE WHEN {_USER} THEN substr({_PLACE}, 5) ELSE {_PLACE} END, '/', 1))"
+_WEB = "(lower(split_part(origin_url, '://', 1)) IN ('http', 'https') AND contains(origin_url, '://'))"
+_AT_HOME = f"(({_WEB} AND NOT {_USER} AND {_HOST} = 'github.com') OR (NOT {_WEB} AND {_USER} AND ({_HOST} = 'github.com' OR {_HOST} LIKE '%.github.com')))"
+_TAIL = f"rtrim(substr({_PLACE}, strpos({_PLACE}, '/') + 1), '/')"
+_OWNER_REPO = f"CASE WHEN lower({_TAIL}) LIKE '%.git' THEN substr({_TAIL}, 1, length({_TAIL}) - 4) ELSE {_TAIL} END"
+_SLUG = f"CASE WHEN {_AT_HOME} AND len(string_split({_OWNER_REPO}, '/')) = 2 THEN {_OWNER_REPO} END"
 _REMOTE = f"coalesce(lower(nullif({_SLUG}, '')), nullif(lower(regexp_replace(regexp_replace(rtrim(replace(origin_url, chr(92), '/'), '/'), '(?i)\\.git$', ''), '/+$', '')), ''))"
 
 
@@ -301,7 +367,7 @@ def c8_replay_ops(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.replay_ops(view(spark, d, "anchor_files"), snapshots.detect_renames(_diff(spark, d)), view(spark, d, "tip_files"))
 
 
-_SCAFFOLDS = (("src/d5.md", "src/d5.md"), (".github/agents/d0.md", ".github/agents/d0.md"), (".github/skills/project-x/d3.template", "src/own.md"), (".github/skills/d7.md", "src/d11.md"), ("none.md", "else.md"), ("src/d29.md", "src/d29.md"), ("src/d203.md", "src/d203.md"))
+_SCAFFOLDS = (("src/d5.md", "src/d5.md"), (".github/agents/d0.md", ".github/agents/d0.md"), (".github/skills/own-x/d3.template", "src/own.md"), (".github/skills/d7.md", "src/d11.md"), ("none.md", "else.md"), ("src/d29.md", "src/d29.md"), ("src/d203.md", "src/d203.md"))
 _SCAFFOLD_SQL = ", ".join(f"('{a}', '{b}')" for a, b in _SCAFFOLDS)
 
 
@@ -472,6 +538,16 @@ def d1_op_counts(spark: SparkSession, d: str) -> DataFrame:
     return fleet_sync.summary(_fleet(spark, d), RULES)
 
 
+_LABELS = "SELECT DISTINCT source AS repo, 'v1' AS anchor_label, 'v2' AS tip_label FROM documents WHERE source IS NOT NULL UNION ALL SELECT concat('idle', CAST(s_suppkey AS STRING)), 'v1', CASE WHEN s_suppkey % 3 = 0 THEN 'v1' WHEN s_suppkey % 3 = 1 THEN 'v2' END FROM supplier"
+
+
+@register(f"""WITH {_PLAN}, lb AS ({_LABELS}), ct AS (SELECT repo, op, count(*) AS n FROM pl GROUP BY repo, op UNION ALL SELECT repo, NULL, count(*) FROM pl GROUP BY repo)
+ SELECT lb.repo, ct.op, coalesce(ct.n, 0) AS n, CASE WHEN ct.n IS NOT NULL THEN 'syncing' WHEN lb.anchor_label = lb.tip_label THEN 'at-head' ELSE 'moved' END AS verdict FROM lb LEFT JOIN ct ON ct.repo = lb.repo""")
+def d1_sync_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Counts with totals for the whole fleet; repositories without operations appear and are told apart."""
+    return fleet_sync.verdicts(_fleet(spark, d), RULES, rows(spark, d, _LABELS))
+
+
 @register(f"""WITH {_PLAN} SELECT repo, concat(rpad(CASE op WHEN 'A' THEN 'add' WHEN 'M' THEN 'update' WHEN 'D' THEN 'delete' WHEN 'R' THEN 'rename' WHEN 'C' THEN 'copy' ELSE op END, 8, ' '), CASE WHEN op IN ('R', 'C') THEN concat(old_path, ' -> ', path) ELSE path END) AS label FROM pl""")
 def d1_op_labels(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.op_labels(fleet_sync.sync_plan(_fleet(spark, d), RULES)).select("repo", "label")
@@ -525,7 +601,11 @@ def d5_restore_required(spark: SparkSession, d: str) -> DataFrame:
     return builds.restore_required(rows(spark, d, _PROJECTS), rows(spark, d, _WITH_OBJ), "stamp")
 
 
-_ISSUES = r"""list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(text, '(?i)(?:closes|fixes|refs?|resolves)\s+#(\d+)', 1), regexp_extract_all(text, '(?:^|[^A-Za-z0-9])#(\d+)\b', 1)), lambda x: CAST(x AS INTEGER))))"""
+# Each # with what stands before it and after it: a number counts after a linking word and a space, or where it stands alone.
+_LINKING = "['closes', 'fixes', 'ref', 'refs', 'resolves']"
+_ISSUES = rf"""list_sort(list_distinct(list_transform(list_filter(list_zip(string_split(text, '#')[:-2], string_split(text, '#')[2:]), lambda z: regexp_matches(z[2], '^[0-9]') AND (
+ (NOT regexp_matches(z[1], '[A-Za-z0-9]$') AND NOT regexp_matches(z[2], '^[0-9]+[A-Za-z_]')) OR (regexp_matches(z[1], '\s$') AND len(list_filter({_LINKING}, lambda w: ends_with(lower(regexp_replace(z[1], '\s+$', '')), w))) > 0))),
+ lambda z: CAST(regexp_extract(z[2], '^[0-9]+') AS INTEGER))))"""
 
 
 @register(f"SELECT conv_id, turn, array_to_string({_ISSUES}, ',') AS issues FROM issue_docs")
@@ -564,10 +644,17 @@ def e1_resolve_anchor(spark: SparkSession, d: str) -> DataFrame:
     return plan.resolve_anchor(repos, state, rows(spark, d, _COMMITS), managed, r"^chore.*sync.*Tooling")
 
 
-@register("SELECT 'r0' AS repo, path, '2020-01-01' AS source_date FROM commit_files UNION ALL SELECT 'r0', concat('2024-02-03-', CAST(p_partkey AS STRING), '.md'), '2024-02-03' FROM part UNION ALL SELECT 'r0', concat('new', CAST(p_partkey AS STRING)), '2025-06-07' FROM part")
+_DATED = "SELECT DISTINCT repo, path FROM commit_files UNION ALL SELECT 'r0', concat('2024-02-03-', CAST(p_partkey AS STRING), '.md') FROM part UNION ALL SELECT 'r0', concat('new', CAST(p_partkey AS STRING)) FROM part"
+
+
+@register(f"""WITH ev AS (SELECT * FROM commit_files), ren AS (SELECT repo, path, old_path, seq, author_date FROM ev WHERE old_path IS NOT NULL),
+ pv AS (SELECT r.repo, r.path, r.seq, r.old_path, r.author_date, max(q.seq) AS back FROM ren r LEFT JOIN ren q ON q.repo = r.repo AND q.path = r.old_path AND q.seq < r.seq GROUP BY r.repo, r.path, r.seq, r.old_path, r.author_date),
+ walk AS (SELECT repo, path AS doc, path, seq FROM (SELECT repo, path, max(seq) AS seq FROM ren GROUP BY repo, path) t UNION SELECT w.repo, w.doc, p.old_path, p.back FROM walk w JOIN pv p ON p.repo = w.repo AND p.path = w.path AND p.seq = w.seq WHERE p.back IS NOT NULL),
+ old AS (SELECT w.repo, w.doc, coalesce(min_by(e.author_date, e.seq), any_value(p.author_date)) AS d FROM walk w JOIN pv p ON p.repo = w.repo AND p.path = w.path AND p.seq = w.seq AND p.back IS NULL LEFT JOIN ev e ON e.repo = p.repo AND e.path = p.old_path AND e.seq < p.seq GROUP BY w.repo, w.doc),
+ own AS (SELECT repo, path, min_by(author_date, seq) AS d FROM ev GROUP BY repo, path)
+ SELECT t.repo, t.path, CASE WHEN t.path LIKE '2024-%' THEN substr(t.path, 1, 10) ELSE coalesce(old.d, own.d, '2025-06-07') END AS source_date FROM ({_DATED}) t LEFT JOIN old ON old.repo = t.repo AND old.doc = t.path LEFT JOIN own ON own.repo = t.repo AND own.path = t.path""")
 def e2_source_dates(spark: SparkSession, d: str) -> DataFrame:
-    docs = rows(spark, d, "SELECT 'r0' AS repo, path FROM commit_files UNION ALL SELECT 'r0', concat('2024-02-03-', CAST(p_partkey AS STRING), '.md') FROM part UNION ALL SELECT 'r0', concat('new', CAST(p_partkey AS STRING)) FROM part")
-    docs = docs.withColumn("mtime", F.lit("2025-06-07 08:09:10").cast("timestamp_ntz"))
+    docs = rows(spark, d, _DATED).withColumn("mtime", F.lit("2025-06-07 08:09:10").cast("timestamp_ntz"))
     return consolidate.source_dates(docs, view(spark, d, "commit_files")).select("repo", "path", "source_date")
 
 
@@ -651,13 +738,17 @@ def g2_launch_plan_current(spark: SparkSession, d: str) -> DataFrame:
     return builds.launch_plan_current(plans, view(spark, d, "inventory"))
 
 
-_RUNS = "SELECT run_id, file_no AS file, has_container, total, failed, CASE WHEN run_id % 11 = 0 THEN CAST(NULL AS STRING) WHEN run_id % 13 = 0 THEN 'Failed' ELSE 'Passed' END AS result FROM test_files"
+_FILE = "concat('t', CAST(file_no AS STRING), '.Tests')"
+_RUNS = "SELECT run_id, CAST(sum(total) AS BIGINT) AS total, CAST(sum(failed) AS BIGINT) AS failed, CASE WHEN run_id % 11 = 0 THEN CAST(NULL AS STRING) WHEN run_id % 13 = 0 THEN 'Failed' ELSE 'Passed' END AS result FROM test_files WHERE run_id % 17 <> 0 GROUP BY run_id"
 
 
-@register(f"""SELECT run_id, array_to_string(list_filter([CASE WHEN n THEN 'no-result' END, CASE WHEN NOT n AND t < 1 THEN 'no-tests' END, CASE WHEN NOT n AND f > 0 THEN 'failed' END, CASE WHEN NOT n AND (h <> 'Passed' OR l <> 'Passed') THEN 'not-passed' END, CASE WHEN a > 0 THEN 'missing-files' END], lambda x: x IS NOT NULL), ',') AS reasons
- FROM (SELECT run_id, max(result) IS NULL AS n, sum(total) AS t, sum(failed) AS f, max(result) AS h, min(result) AS l, count(*) FILTER (WHERE NOT has_container) AS a FROM ({_RUNS}) r GROUP BY run_id) g""")
+@register(f"""WITH r AS ({_RUNS}), lost AS (SELECT run_id, string_agg(DISTINCT file, ',' ORDER BY file) AS missing FROM (SELECT run_id, {_FILE} AS file FROM test_files EXCEPT SELECT run_id, {_FILE} FROM test_files WHERE has_container) x GROUP BY run_id),
+ g AS (SELECT k.run_id, r.result IS NULL AS n, coalesce(r.total, 0) AS t, coalesce(r.failed, 0) AS f, r.result, coalesce(lost.missing, '') AS missing FROM (SELECT DISTINCT run_id FROM test_files) k LEFT JOIN r ON r.run_id = k.run_id LEFT JOIN lost ON lost.run_id = k.run_id)
+ SELECT run_id, missing, array_to_string(list_filter([CASE WHEN n THEN 'no-result' END, CASE WHEN NOT n AND t < 1 THEN 'no-tests' END, CASE WHEN NOT n AND f > 0 THEN 'failed' END, CASE WHEN NOT n AND result <> 'Passed' THEN 'not-passed' END, CASE WHEN missing <> '' THEN 'missing-files' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g""")
 def g3_suite_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return builds.suite_verdict(rows(spark, d, _RUNS)).withColumn("reasons", F.array_join("reasons", ","))
+    expected = rows(spark, d, f"SELECT run_id, {_FILE} AS file, has_container FROM test_files")
+    got = builds.suite_verdict(rows(spark, d, _RUNS), expected, expected.where("has_container"))
+    return got.select("run_id", F.array_join("reasons", ",").alias("reasons"), F.array_join("missing", ",").alias("missing"))
 
 
 # Scalar functions

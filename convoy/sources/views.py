@@ -22,7 +22,7 @@ _CONTENT = "concat(" + ", chr(10), ".join(f"'line {j} of ', CAST(f AS STRING), '
 #: In order: a view uses tables and views above it only.
 VIEWS: dict[str, str] = {
     "base_docs": r"""SELECT doc_id, source AS repo, text,
- concat(CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN '.github/agents/' WHEN 1 THEN '.github/skills/' WHEN 2 THEN 'docs/specs/' WHEN 3 THEN '.github/skills/project-x/' WHEN 4 THEN '.github/ci/tests/' ELSE 'src/' END, 'd', CAST(doc_id AS STRING), CASE WHEN doc_id % 12 = 3 THEN '.template' ELSE '.md' END) AS path
+ concat(CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN '.github/agents/' WHEN 1 THEN '.github/skills/' WHEN 2 THEN 'docs/specs/' WHEN 3 THEN '.github/skills/own-x/' WHEN 4 THEN '.github/ci/tests/' ELSE 'src/' END, 'd', CAST(doc_id AS STRING), CASE WHEN doc_id % 12 = 3 THEN '.template' ELSE '.md' END) AS path
 FROM documents""",
     "anchor_files": r"""SELECT repo, path, doc_id, sha1(text) AS blob, text AS content FROM base_docs WHERE doc_id % 11 <> 0""",
     "tip_files": r"""SELECT repo, CASE WHEN doc_id % 19 = 0 THEN concat('.github/agents/moved-', CAST(doc_id AS STRING), '.md') ELSE path END AS path, doc_id,
@@ -58,12 +58,19 @@ UNION ALL SELECT repo, concat('b', CAST(k AS STRING), '-', CAST(n AS STRING)), C
     "worktree_lines": r"""SELECT concat('r', CAST(o_custkey % 20 AS STRING)) AS repo, o_orderkey * 4 AS line_no, concat('worktree /w/', CAST(o_orderkey AS STRING)) AS line FROM orders UNION ALL SELECT concat('r', CAST(o_custkey % 20 AS STRING)), o_orderkey * 4 + 1, concat('branch refs/heads/feat/', CAST(o_orderkey AS STRING)) FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT concat('r', CAST(o_custkey % 20 AS STRING)), o_orderkey * 4 + 2, 'locked because' FROM orders WHERE o_orderkey % 7 = 0""",
     "ref_lines": r"""SELECT concat('r', CAST(o_custkey % 20 AS STRING)) AS repo, concat('feat/', CAST(o_orderkey AS STRING), ' ', CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '[gone]' WHEN 1 THEN '[ahead 1]' ELSE '' END) AS line FROM orders WHERE o_orderkey % 9 <> 0""",
     "ls_remote_lines": r"""SELECT c_custkey AS repo_id, concat(sha1(c_name), chr(9), CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'refs/heads/main' WHEN 1 THEN 'refs/heads/Main' WHEN 2 THEN 'refs/heads/release/main' ELSE 'refs/tags/main' END, CASE WHEN c_custkey % 8 = 0 THEN ' ' ELSE '' END) AS line FROM customer""",
-    "commit_files": r"""SELECT 'r0' AS repo, concat('p', CAST(p_partkey AS STRING), '-0') AS path, CAST(NULL AS STRING) AS old_path, 1 AS seq, '2020-01-01' AS author_date, concat('aaaaaa', CAST(p_partkey AS STRING)) AS sha FROM part UNION ALL SELECT 'r0', concat('p', CAST(p_partkey AS STRING), '-1'), concat('p', CAST(p_partkey AS STRING), '-0'), 2, '2022-02-02', concat('bbbbbb', CAST(p_partkey AS STRING)) FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'r0', concat('p', CAST(p_partkey AS STRING), '-2'), concat('p', CAST(p_partkey AS STRING), '-1'), 3, '2024-03-03', concat('cccccc', CAST(p_partkey AS STRING)) FROM part WHERE p_partkey % 4 = 0""",
+    # Names are used before, taken by a rename, and used again.
+    "commit_files": r"""SELECT concat('r', CAST(p_partkey % 7 AS STRING)) AS repo, path, old_path, seq, author_date, concat(sha, CAST(p_partkey AS STRING)) AS sha FROM (
+SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-0') AS path, CAST(NULL AS STRING) AS old_path, 10 AS seq, '2020-01-01' AS author_date, 'aaaaaa' AS sha FROM part
+UNION ALL SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-1'), CAST(NULL AS STRING), 5, '2019-05-05', 'dddddd' FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-1'), concat('p', CAST(p_partkey AS STRING), '-0'), 20, '2022-02-02', 'bbbbbb' FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-2'), concat('p', CAST(p_partkey AS STRING), '-1'), 30, '2024-03-03', 'cccccc' FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-1'), concat('p', CAST(p_partkey + 7 AS STRING), '-0'), 40, '2025-04-04', 'eeeeee' FROM part WHERE p_partkey % 8 = 0
+UNION ALL SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-0'), concat('p', CAST(p_partkey AS STRING), '-1'), 50, '2026-05-05', 'ffffff' FROM part WHERE p_partkey % 5 = 0) e""",
     "sessions": r"""SELECT conv_id AS session_id, CASE CAST(conv_id % 4 AS INT) WHEN 0 THEN concat('https://github.com/Acme/Widget', CAST(conv_id % 10 AS STRING), '.git') WHEN 1 THEN CAST(NULL AS STRING) ELSE 'other' END AS repository, CASE CAST(conv_id % 3 AS INT) WHEN 0 THEN concat('/home/u/WIDGET', CAST(conv_id % 10 AS STRING)) WHEN 1 THEN concat('/x/widget', CAST(conv_id % 10 AS STRING), '/sub') ELSE CAST(NULL AS STRING) END AS cwd FROM conversations GROUP BY conv_id""",
     "project_files": r"""SELECT concat('r', CAST(p_partkey % 20 AS STRING)) AS repo, concat('src/P', CAST(p_partkey AS STRING), '/P', CAST(p_partkey AS STRING), '.csproj') AS path, concat('<Project>', CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN '<OutputType> Exe </OutputType>' WHEN 1 THEN '<outputtype>WinExe</outputtype>' WHEN 2 THEN '<OutputType>Library</OutputType>' ELSE '' END, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN concat('<AssemblyName> asm', CAST(p_partkey AS STRING), ' </AssemblyName>') WHEN 1 THEN '<AssemblyName>$(X)</AssemblyName>' ELSE '' END, '</Project>') AS content FROM part""",
     "managed_texts": r"""SELECT doc_id, CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN text WHEN 2 THEN concat(text, chr(10), '<!-- BEGIN -->', chr(10), 'old', chr(10), '<!-- END -->', chr(10)) WHEN 3 THEN concat('<!-- BEGIN -->', chr(13), chr(10), 'new', chr(13), chr(10), '<!-- END -->') WHEN 4 THEN concat('<!-- END -->', text, '<!-- BEGIN -->') ELSE concat(text, '<!-- BEGIN -->') END AS text FROM documents""",
-    "link_desired": r"""SELECT concat('h', CAST(s_suppkey AS STRING)) AS home, concat('skill', CAST(p_partkey AS STRING)) AS name, concat('/clone/skills/skill', CAST(p_partkey AS STRING)) AS source, p_partkey % 11 <> 0 AS source_exists FROM supplier CROSS JOIN part WHERE p_partkey < 20""",
-    "link_actual": r"""SELECT concat('h', CAST(s_suppkey AS STRING)) AS home, concat('skill', CAST(p_partkey AS STRING)) AS name, (p_partkey + s_suppkey) % 5 <> 0 AS is_link, concat(CASE WHEN p_partkey % 3 = 0 THEN '/elsewhere/' ELSE '/clone/skills/' END, 'skill', CAST(p_partkey AS STRING)) AS target, p_partkey < 20 AS target_exists FROM supplier CROSS JOIN part WHERE p_partkey < 26 AND (p_partkey + s_suppkey) % 4 <> 0""",
+    "link_desired": r"""SELECT concat('h', CAST(p_partkey % 50 AS STRING)) AS home, concat('skill', CAST(p_partkey AS STRING)) AS name, concat('/clone/skills/skill', CAST(p_partkey AS STRING)) AS source, p_partkey % 11 <> 0 AS source_exists FROM part WHERE p_partkey % 13 <> 0""",
+    "link_actual": r"""SELECT concat('h', CAST(p_partkey % 50 AS STRING)) AS home, concat('skill', CAST(p_partkey AS STRING)) AS name, p_size % 5 <> 0 AS is_link, concat(CASE WHEN p_partkey % 3 = 0 THEN '/elsewhere/' ELSE '/clone/skills/' END, 'skill', CAST(p_partkey AS STRING)) AS target, p_partkey % 13 <> 0 OR p_size % 2 = 0 AS target_exists FROM part WHERE p_size % 4 <> 0""",
     "test_files": r"""SELECT o_orderkey AS run_id, l_linenumber AS file_no, l_returnflag <> 'R' AS has_container, CAST(l_quantity AS INT) AS total, CASE WHEN l_discount > 0.09 THEN 1 ELSE 0 END AS failed FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 <> 0""",
 }
 

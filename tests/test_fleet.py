@@ -67,8 +67,8 @@ OWN = (PathRule("always_local", "exact", "README.md"), PathRule("always_local",
         ("docs/specs/x.md", "always_local", False),
         ("docs/specs/x.template", "other", False),
         ("docs/specs/.gitkeep", "other", False),
-        (".github/skills/project-x/tests/a.ps1", "always_local", False),
-        (".github/skills/project-x/a.template", "managed", False),
+        (".github/skills/own-x/tests/a.ps1", "always_local", False),
+        (".github/skills/own-x/a.template", "managed", False),
         (".github/a/b/tests/x", "managed", True),
         (".github/mytests/x", "managed", False),
         (".GITHUB/fixtures/x", "managed", True),
@@ -347,10 +347,48 @@ def test_tail_and_flags(spark):
     assert flags == [(False, False), (False, False), (False, False), (True, False), (False, False), (True, True)]
 
 
-def test_suite_verdict(spark):
-    rows = [("ok", "f", True, 3, 0, "Passed"), ("none", "f", True, None, None, None), ("zero", "f", True, 0, 0, "Passed"), ("bad", "f", True, 3, 1, "Failed"), ("lost", "f", False, 3, 0, "Passed")]
-    got = {r.run_id: r.reasons for r in builds.suite_verdict(spark.createDataFrame(rows, "run_id string, file string, has_container boolean, total int, failed int, result string")).collect()}
-    assert got == {"ok": [], "none": ["no-result"], "zero": ["no-tests"], "bad": ["failed", "not-passed"], "lost": ["missing-files"]}
+def test_suite_verdict_names_missing_files(spark):
+    runs = spark.createDataFrame([("ok", 3, 0, "Passed"), ("none", None, None, None), ("zero", 0, 0, "Passed"), ("bad", 3, 1, "Failed"), ("odd", 3, 0, "Failed"), ("lost", 3, 0, "Passed")], "run_id string, total int, failed int, result string")
+    names = ("ok", "none", "zero", "bad", "odd", "lost", "thrown")
+    expected = spark.createDataFrame([(r, f) for r in names for f in ("b", "a", "a")], "run_id string, file string")
+    seen = spark.createDataFrame([(r, f) for r in names for f in ("a", "b", "more") if (r, f) not in {("lost", "a"), ("thrown", "a"), ("thrown", "b")}], "run_id string, file string")
+    got = {r.run_id: (r.reasons, r.missing) for r in builds.suite_verdict(runs, expected, seen).collect()}
+    assert got == {
+        "ok": ([], []), "none": (["no-result"], []), "zero": (["no-tests"], []), "bad": (["failed", "not-passed"], []), "odd": (["not-passed"], []),
+        "lost": (["missing-files"], ["a"]), "thrown": (["no-result", "missing-files"], ["a", "b"]),
+    }
+
+
+def test_totals_tell_why_nothing_moves(spark):
+    ops = spark.createDataFrame([("r", "A", "a", None), ("r", "A", "b", None), ("r", "D", "c", None)], "repo string, op string, path string, old_path string")
+    repos = spark.createDataFrame([("r", "v1", "v2"), ("same", "v2", "v2"), ("moved", "v1", "v2"), ("unknown", None, None)], "repo string, anchor_label string, tip_label string")
+    got = {(r.repo, r.op): (r.n, r.verdict) for r in snapshots.op_totals(ops, repos).collect()}
+    assert got == {("r", "A"): (2, "syncing"), ("r", "D"): (1, "syncing"), ("r", None): (3, "syncing"), ("same", None): (0, "at-head"), ("moved", None): (0, "moved"), ("unknown", None): (0, "moved")}
+    assert {r.verdict for r in snapshots.op_totals(ops.limit(0), repos).collect()} == {"at-head", "moved"}
+
+
+def test_dates_of_names_that_are_used_again(spark):
+    """A rename is followed as of its time: not into what its names held before or hold later."""
+    rows = [
+        ("a", None, 1, "2001"), ("b", None, 2, "2002"), ("b", "a", 5, "2005"),  # b held another file before
+        ("a", None, 7, "2007"), ("c", "a", 9, "2009"), ("d", "b", 8, "2008"),  # a is used again, and that one goes to c
+        ("b", None, 10, "2010"), ("e", "gone", 3, "2003"), ("f", "f", 4, "2004"), ("g", "e", 3, "2003b"),
+    ]
+    files = spark.createDataFrame([("r", *x) for x in rows], "repo string, path string, old_path string, seq int, author_date string")
+    got = {r.path: r.author_date for r in consolidate.first_added(files).collect()}
+    assert got == {"a": "2001", "b": "2001", "c": "2001", "d": "2001", "e": "2003", "f": "2004", "g": "2003b"}
+
+
+def test_manifest_is_written_again_by_repository(spark, tmp_path):
+    schema = "repo string, date string, timestamp string, action string, type string, source string, destination string, issues array<int>, note string"
+    row = lambda repo, date, source: (repo, date, None, "move", "t", source, "d", [1, 2], None)
+    path = (tmp_path / "manifest").as_uri()
+    consolidate.write_manifest(spark.createDataFrame([row("r", None, "z"), row("r", "2024", "b"), row("r", "2023", "c"), row("q", "2020", "a")], schema), path)
+    consolidate.write_manifest(spark.createDataFrame([row("q", "2021", "n")], schema), path)
+    got = consolidate.read_manifest(spark, path)
+    assert sorted((r.repo, r.date, r.source, r.issues) for r in got.collect() if r.date) == [("q", "2021", "n", "#1 #2"), ("r", "2023", "c", "#1 #2"), ("r", "2024", "b", "#1 #2")]
+    # One file here: its rows are in order.
+    assert [r.source for r in spark.read.parquet(f"{path}/repo=r").coalesce(1).collect()] == ["c", "b", "z"]
 
 
 def test_prompts(spark):
