@@ -12,7 +12,13 @@ others in its columns; one that is half alike at least belongs to the hub's grou
 by the few columns in which it differs from the hub. Two documents of one group differ by at
 least what their differences don't share. So the second product is over differences, again rare
 before frequent and with size-derived bounds, and only for pairs that the hub doesn't link
-already; the product over whole documents is left for pairs of different groups.
+already; the product over whole documents is left for pairs of different groups. Documents of a group
+that its hub doesn't link may be near copies of each other and differ from the hub alike: they are held
+against hubs of their own, round by round, until none finds a partner so, and what is one family then
+doesn't meet itself in the second product.
+
+All this is done once for each class of texts of the same words, under a number of its own; rows that repeat
+are one class, and texts that share an id are classes that the id links in the end.
 """
 
 from __future__ import annotations
@@ -209,21 +215,35 @@ def _can_meet(postings: DataFrame, how: Likeness) -> DataFrame:
     return postings.withColumn("held", held).where(F.col("held") >= how.meetings(F.col("n"))).drop("held")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, how: Likeness) -> DataFrame:
-    """(id, set): whole sets, ascending, of the wanted classes (id, k1, k2)."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, shared_ids: DataFrame | None, how: Likeness) -> DataFrame:
+    """(id, set): whole sets, ascending, of the wanted classes (id, _id, k1, k2), each once; _id: of a document of the class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared_ids (_id): those of several rows, if any. Their rows find their class by their words.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, flat, bounds, *_ in _keyed_sets(batch.column("_text"), how.words):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i), binary_column(flat, bounds)], names=["id", "set"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, flat, bounds, k1, k2 in _keyed_sets(batch.column("_text"), how.words):
-                part = batch.slice(i, j - i)
-                ours = (k1 == part.column("k1").to_numpy()) & (k2 == part.column("k2").to_numpy())
-                out = pa.RecordBatch.from_arrays([part.column("_id"), binary_column(flat, bounds)], names=["id", "set"])
-                yield out.filter(pa.array(ours))
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(k1), pa.array(k2), binary_column(flat, bounds)], names=["_id", "k1", "k2", "set"])
 
-    keys = materialize(wanted.select(F.col("id").alias("_id"), "k1", "k2"), "ngram_wanted")
-    if keys.count() <= how.few:
-        keys = F.broadcast(keys)  # 24 bytes a row; beyond, both sides are shuffled
-    return docs.join(keys, "_id").select("_id", "_text", "k1", "k2").mapInArrow(run, "id long, set binary")
+    def few(df: DataFrame) -> DataFrame:
+        # 32 bytes a row; beyond, both sides are shuffled.
+        df = materialize(df, "ngram_wanted")
+        return F.broadcast(df) if df.count() <= how.few else df
+
+    keys = wanted.select("id", "_id", "k1", "k2")
+    if shared_ids is None:
+        return docs.join(few(keys.select("id", "_id")), "_id").select("id", "_text").mapInArrow(sets, "id long, set binary")
+    one = docs.join(few(keys.join(shared_ids, "_id", "left_anti").select("id", "_id")), "_id").select("id", "_text").mapInArrow(sets, "id long, set binary")
+    theirs = keys.join(shared_ids, "_id", "left_semi")
+    rows = docs.join(few(theirs.select("_id").distinct()), "_id").mapInArrow(keyed, "_id long, k1 long, k2 long, set binary")
+    more = rows.join(theirs, ["_id", "k1", "k2"]).select("id", "set").dropDuplicates(["id"])
+    return one.unionByName(more)
 
 
 def _common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -287,8 +307,51 @@ def _held_against(chosen: DataFrame, sets: DataFrame, how: Likeness) -> DataFram
     return both.mapInArrow(run, "id long, hub long, n long, nh long, linked boolean, r long, diff binary")
 
 
-def _pairs_within(against: DataFrame, how: Likeness) -> DataFrame:
-    """(a, b): pairs of one hub's group that can be linked, one of which the hub doesn't link.
+def _differences(against: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """One row for each column in which a document differs from its hub: (e, names)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, bounds = from_binary(batch.column("diff"), U64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            rest = batch.select(list(names)).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *rest.columns], names=["e", *names])
+
+    types = {c: t for c, t in against.dtypes}
+    return against.select(*names, "diff").mapInArrow(run, ", ".join(["e long", *(f"{c} {types[c]}" for c in names)]))
+
+
+def _families(against: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
+    """(a, b): links among documents that their hub doesn't link, found by hubs of their own.
+
+    In each round a document is held against the one that meets most others of its group in its rarest
+    shared difference. Those linked are done; the others, and the hubs, go into the next round, until
+    one links nothing. So a family of near copies comes together in few rounds, whatever its size.
+    """
+    alive = materialize(_differences(against.where(~F.col("linked")), ("hub", "id", "n")), "ngram_apart")
+    found: DataFrame | None = None
+    while True:
+        shared = alive.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+        rows = materialize(alive.join(shared, ["hub", "e"]), "ngram_apart_shared")
+        if rows.isEmpty():
+            break
+        met = rows.groupBy("id").agg(F.sum("holders").alias("met"))
+        top = rows.join(met, "id").groupBy("hub", "e").agg(F.max(F.struct("met", "id", "n")).alias("top"))
+        rarest = rows.groupBy("id").agg(F.min(F.struct("holders", "e", "hub", "n")).alias("of")).select("id", "of.hub", "of.e", "of.n")
+        near = (F.col("top.id") != F.col("id")) & _sizes_fit("n", "top.n", how)
+        chosen = materialize(rarest.join(top, ["hub", "e"]).where(near).select("id", F.col("top.id").alias("hub")), "ngram_apart_chosen")
+        linked = materialize(_held_against(chosen, sets, how).where("linked").select("id", "hub"), "ngram_apart_linked")
+        if linked.isEmpty():
+            break
+        # A hub meets more than those that choose it, so never all of a family go.
+        found = linked if found is None else found.unionByName(linked)
+        alive = materialize(alive.join(linked.select("id"), "id", "left_anti"), "ngram_apart")
+    links = against.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    return links if found is None else links.unionByName(found.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+
+
+def _pairs_within(against: DataFrame, family: DataFrame, how: Likeness) -> DataFrame:
+    """(a, b): pairs of one hub's group that can be linked, one of which the hub doesn't link, and of different families (id, family).
 
     With t = least / per, two sets are linked if they differ in at most (1 - t) / (1 + t) of their
     sizes' sum, and they differ in r + r' less twice what their differences share. If the other
@@ -297,33 +360,31 @@ def _pairs_within(against: DataFrame, how: Likeness) -> DataFrame:
     need be looked at.
     """
     apart, both = how.per - how.least, how.per + how.least
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, bounds = from_binary(batch.column("diff"), U64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            rest = batch.select(["hub", "id", "n", "nh", "linked", "r"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *rest.columns], names=["e", "hub", "id", "n", "nh", "linked", "r"])
-
     # Groups that their hub links whole are one component already.
     asked = against.where(~F.col("linked")).select("hub").distinct()
-    rows = against.join(asked, "hub", "left_semi").mapInArrow(run, "e long, hub long, id long, n long, nh long, linked boolean, r long")
+    rows = _differences(against.join(asked, "hub", "left_semi"), ("hub", "id", "n", "nh", "linked", "r"))
     shared = rows.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
     rows = rows.join(shared, ["hub", "e"])
-    own = W.partitionBy("id")
+    own = W.partitionBy("id", "hub")
     # Columns that nobody else of the group differs in come first.
     rows = rows.withColumn("before", F.row_number().over(own.orderBy("holders", "e")) - 1).withColumn("place", F.col("r") - F.count(F.lit(1)).over(own) + F.col("before"))
     short = F.col("r") - F.floor((both * F.col("r") + apart * (F.col("nh") - F.col("n"))) / (2 * both))
     long = F.col("r") - F.greatest(F.lit(1), F.col("r") - F.floor(apart * F.col("n") / how.least)) + 1
     rows = rows.withColumn("short", F.col("place") < short).withColumn("long", ~F.col("linked") & (F.col("place") < F.greatest(short, long))).where("short or long")
-    rows = materialize(rows.select("hub", "e", "id", "n", "r", "linked", "place", "before", "short", "long"), "ngram_differences")
-    names = ("id", "n", "r", "linked", "place", "before", "short")
-    x = rows.where("short").select("hub", "e", *[F.col(c).alias(f"{c}_x") for c in names])
-    y = rows.where("long").select("hub", "e", *[F.col(c).alias(f"{c}_y") for c in names])
+    rows = rows.join(family, "id", "left").withColumn("family", F.coalesce("family", "id"))
+    rows = materialize(rows.select("hub", "e", "id", "n", "r", "linked", "place", "before", "short", "long", "family"), "ngram_differences")
+    # A column's largest family meets the rest only, never itself.
+    of = rows.groupBy("hub", "e", "family").agg(F.count(F.lit(1)).alias("rows"))
+    main = of.groupBy("hub", "e").agg(F.max_by("family", F.struct("rows", "family")).alias("main"), F.count(F.lit(1)).alias("families")).where("families > 1").drop("families")
+    rows = materialize(rows.join(main, ["hub", "e"]), "ngram_differences_open")
+    names = ("id", "n", "r", "linked", "place", "before", "short", "family")
+    side = lambda df, s: df.select("hub", "e", *[F.col(c).alias(f"{c}_{s}") for c in names])
+    x, y, rest = rows.where("short"), rows.where("long"), F.col("family") != F.col("main")
+    met = side(x, "x").join(side(y.where(rest), "y"), ["hub", "e"]).unionByName(side(x.where(rest), "x").join(side(y.where(~rest), "y"), ["hub", "e"]))
     most = F.least("before_x", "before_y") + F.least(F.col("r_x") - F.col("place_x"), F.col("r_y") - F.col("place_y"))
     can_reach = 2 * both * most >= both * (F.col("r_x") + F.col("r_y")) - apart * (F.col("n_x") + F.col("n_y"))
     once = F.when(F.col("linked_x"), True).otherwise(F.col("short_y") & (F.col("id_x") > F.col("id_y")))
-    met = x.join(y, ["hub", "e"]).where(once & _sizes_fit("n_x", "n_y", how) & can_reach)
+    met = met.where((F.col("family_x") != F.col("family_y")) & once & _sizes_fit("n_x", "n_y", how) & can_reach)
     return met.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b"))
 
 
@@ -355,12 +416,19 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
 
     Words are lower-cased A-Z. A null text, or one without words, has no shingle and no link.
     Rows with the same words in the same order are one class and linked at once; rows that share an id count as one
-    document. A row without an id is linked with nothing, and its component_id is null.
+    document, linked with whatever one of their texts is. A row without an id is linked with nothing, and its component_id is null.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     features = materialize(_features(rows, how, _frequent(rows, how)), "ngram_features")
     usable = features.where("n > 0 and _id is not null")
-    classes = materialize(usable.groupBy("k1", "k2").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "ngram_classes")
+    classes = usable.groupBy("k1", "k2").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("first").alias("first"))
+    # A class has a number of its own, fixed once it is written.
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "ngram_classes")
+    # Ids of several rows, whose texts may be alike or not: narrow rows.
+    key = F.struct("k1", "k2")
+    per_id = usable.groupBy("_id").agg(F.count(F.lit(1)).alias("rows"), (F.min(key) != F.max(key)).alias("several")).where("rows > 1")
+    per_id = materialize(per_id.select("_id", "several"), "ngram_shared_ids")
+    shared_ids = None if per_id.isEmpty() else per_id.select("_id")
     shared = _can_meet(_shared_only(_postings(classes)), how)
     # What that leaves can have lost partners: once more.
     left = shared.groupBy("g").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("g")
@@ -368,25 +436,35 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
     # before: columns of the first block ahead of this one that any other class holds; the rest ahead can't be shared.
     before = F.row_number().over(W.partitionBy("id").orderBy("place")) - 1
     shared = materialize(shared.withColumn("before", before), "ngram_postings")
-    # The hub of a column is the document that meets most others over all its columns; a document takes the greatest of its columns' hubs.
-    # An id of several texts takes no part in that.
-    single = shared.join(classes.groupBy("id").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "id", "left_anti")
+    # The hub of a column is the class that meets most others over all its columns; a class takes the greatest of its columns' hubs.
     sizes = shared.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    met = materialize(single.join(sizes, "g").groupBy("id").agg(F.sum("df").alias("met")), "ngram_met")
-    hubs = single.join(met, "id").groupBy("g").agg(F.max(F.struct("met", F.col("id").alias("hub"), F.col("n").alias("nh"))).alias("top"))
+    met = materialize(shared.join(sizes, "g").groupBy("id").agg(F.sum("df").alias("met")), "ngram_met")
+    hubs = shared.join(met, "id").groupBy("g").agg(F.max(F.struct("met", F.col("id").alias("hub"), F.col("n").alias("nh"))).alias("top"))
     fits = (F.col("top.hub") != F.col("id")) & (2 * F.least("n", "top.nh") >= F.greatest("n", "top.nh"))
-    chosen = single.join(hubs, "g").where(fits).groupBy("id").agg(F.max(F.struct("top.met", "top.hub")).alias("top")).select("id", "top.hub")
+    chosen = shared.join(hubs, "g").where(fits).groupBy("id").agg(F.max(F.struct("top.met", "top.hub")).alias("top")).select("id", "top.hub")
     chosen = materialize(chosen, "ngram_chosen")
-    keys = classes.select("id", "k1", "k2")
+    keys = classes.select("id", "_id", "k1", "k2")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return materialize(_whole_sets(rows, keys.join(wanted.distinct(), "id", "left_semi"), how), "ngram_sets")
-
-    against = materialize(_held_against(chosen, sets_of(chosen.select(F.explode(F.array("id", "hub")).alias("id"))), how), "ngram_against")
-    pairs = materialize(_pairs_within(against, how).unionByName(_pairs_across(shared, against, how)).distinct(), "ngram_pairs")
-    new = materialize(_linked(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))), how), "ngram_links")
-    known = components(new.unionByName(against.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))))
-
-    own = features.join(classes.select("k1", "k2", "id"), ["k1", "k2"], "left").withColumn("id", F.when(F.col("_id").isNull() | (F.col("n") == 0), F.col("_id")).otherwise(F.col("id")))
-    placed = own.join(known.select(F.col("node").alias("id"), "component"), "id", "left")
-    return placed.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        return materialize(_whole_sets(rows, keys.join(wanted.distinct(), "id", "left_semi"), shared_ids, how), "ngram_sets")
+
+    sets = sets_of(chosen.select(F.explode(F.array("id", "hub")).alias("id")))
+    against = materialize(_held_against(chosen, sets, how), "ngram_against")
+    links = materialize(_families(against, sets, how), "ngram_families")
+    family = components(links).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    pairs = materialize(_pairs_within(against, family, how).unionByName(_pairs_across(shared, against, how)).distinct(), "ngram_pairs")
+    new = _linked(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))), how)
+    links = links.unionByName(new)
+    if shared_ids is not None:
+        # An id that several classes hold is one document of all of them.
+        of = usable.join(per_id.where("several"), "_id", "left_semi").select("_id", "k1", "k2").distinct().join(keys.select("k1", "k2", "id"), ["k1", "k2"])
+        least = of.groupBy("_id").agg(F.min("id").alias("b"))
+        links = links.unionByName(of.join(least, "_id").where("id <> b").select(F.col("id").alias("a"), "b"))
+    known = components(materialize(links, "ngram_links")).select(F.col("node").alias("id"), "component")
+    # Of each component the smallest document; classes that link with nothing are their own.
+    named = known.join(keys.select("id", "_id"), "id").groupBy("component").agg(F.min("_id").alias("least"))
+    placed = classes.select("id", "k1", "k2", "_id").join(known, "id", "left").join(named, "component", "left").select("k1", "k2", F.coalesce("least", "_id").alias("component_id"))
+    mine = features.where("n > 0 and _id is not null").join(placed, ["k1", "k2"]).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    # Texts without a word, and rows without an id, meet nobody.
+    alone = features.where("n = 0 or _id is null").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"))
+    return mine.unionByName(alone)
