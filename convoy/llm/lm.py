@@ -43,10 +43,14 @@ END = U64(0x6C62272E07BB0142)
 
 @dataclass(frozen=True)
 class Order:
-    """least: how often a pair or triple of the model comes, whatever the corpus' size. discount: of each one's count."""
+    """least: how often a pair or triple of the model comes, whatever the corpus' size. discount: of each one's count.
+
+    hot: an n-gram with at least one of so many training tokens is answered where it is read; there are no more of them than that.
+    """
 
     least: int = 2
     discount: float = 0.5
+    hot: int = 1_024
 
 
 @dataclass(frozen=True)
@@ -295,12 +299,29 @@ def count_grams(rows: DataFrame, n: int, least: int, parts: int, turn: int = 0)
     return sent.repartition(parts, "p").mapInArrow(count, "k long, l long, r long, c long")
 
 
-def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: int = 0) -> DataFrame:
+def hot_weights(weights: DataFrame, total: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k, x, y) of the n-grams with a large share of all tokens, ascending: order.hot at most, as their counts add up to no more than all."""
+    top = weights.where(F.col("c") * order.hot >= max(1, total)).select("k", "x", "y").toArrow()
+    k, x, y = (top.column(c).to_numpy() for c in ("k", "x", "y"))
+    by = np.argsort(k.view(U64)) if len(k) else np.zeros(0, np.int64)
+    return k.view(U64)[by], x[by], y[by]
+
+
+def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: int = 0, hot: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(key, x, y, found, times): the weights x and y of each row's n-grams in the table (k, x, y), added up.
 
     found counts the n-grams that are in the table, times the rows of one key. Rows' n-grams meet
-    the table in parts by the key's hash; what a part adds up goes back to the block of rows.
+    the table in parts by the key's hash; what a part adds up goes back to the block of rows. Frequent
+    n-grams, of which `hot` has the weights, don't travel: each block adds them up itself.
     """
+    hot_k, hot_x, hot_y = hot if hot is not None else (np.zeros(0, U64), np.zeros(0), np.zeros(0))
+
+    def added(text: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Texts, and the sums over their n-grams."""
+        found = np.bincount(text)
+        has = np.flatnonzero(found)
+        sums = [np.bincount(text, v)[has] for v in (x, y)] if len(has) else [np.zeros(0)] * 2
+        return [has.astype(np.uint16), *sums, found[has].astype(np.uint32)]
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,6 +338,10 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
             key, _, _, text = _block(held, n, turn)
             rows_of = np.concatenate([h[2] for h in held])
             block = int(mix64(rows_of + np.arange(len(rows_of), dtype=U64)).sum(dtype=U64).view(np.int64))
+            place = _ids(hot_k, key)
+            here = place >= 0
+            own_sums = added(text[here], hot_x[place[here]], hot_y[place[here]])
+            key, text = key[~here], text[~here]
             by = np.argsort(key)
             key, text = key[by], text[by]
             at = _starts(key)
@@ -324,33 +349,45 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
             own, times = key[at], np.diff(np.append(at, len(key))).astype(np.uint32)
             start = _cells(_place(own, parts), parts)
             has = np.flatnonzero(np.diff(start)).tolist()
-            # The rows' keys pass through any part.
+            # The rows' keys, and what is added up already, pass through any part.
+            through = [block % parts] * 2
             cells = [
-                [*(own[start[p] : start[p + 1]].tobytes() for p in has), rows_of.tobytes()],
-                [*(times[start[p] : start[p + 1]].tobytes() for p in has), None],
-                [*(text[cut[p] : cut[p + 1]].tobytes() for p in has), None],
+                [*(own[start[p] : start[p + 1]].tobytes() for p in has), rows_of.tobytes(), own_sums[0].tobytes()],
+                [*(times[start[p] : start[p + 1]].tobytes() for p in has), None, None],
+                [*(text[cut[p] : cut[p + 1]].tobytes() for p in has), None, b"".join(v.tobytes() for v in own_sums[1:])],
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([*has, block % parts], pa.int32()), pa.array([block] * (len(has) + 1), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([*has, *through], pa.int32()), pa.array([block] * (len(has) + 2), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=names)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        mine = [b.filter(pc.is_null(b.column("block"))) for b in got]
-        k, x, y = (np.concatenate([np.zeros(0, t), *(from_binary(b.column(c), t)[0] for b in mine)]) for c, t in (("a", U64), ("b", np.float64), ("c", np.float64)))
-        by = np.argsort(k)
-        k, x, y = k[by], x[by], y[by]
-        for batch in got:
-            for row in batch.filter(pc.is_valid(batch.column("block"))).select(["block", "a", "b", "c"]).to_pylist():
+        """The part's table comes first and is held; blocks then pass one by one."""
+        mine: list[pa.RecordBatch] = []
+        table_of: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            is_table = pc.is_null(batch.column("block"))
+            if table_of is None:
+                mine.append(batch.filter(is_table))
+            asked = batch.filter(pc.invert(is_table))
+            if not asked.num_rows:
+                continue
+            if table_of is None:
+                k, x, y = (np.concatenate([np.zeros(0, t), *(from_binary(b.column(c), t)[0] for b in mine)]) for c, t in (("a", U64), ("b", np.float64), ("c", np.float64)))
+                by = np.argsort(k)
+                table_of = k[by], x[by], y[by]
+                mine.clear()
+            k, x, y = table_of
+            for row in asked.select(["block", "a", "b", "c"]).to_pylist():
                 if row["c"] is None:
                     yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["a"]], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(4))], names=back)
                     continue
-                place = np.repeat(_ids(k, np.frombuffer(row["a"], U64)), np.frombuffer(row["b"], np.uint32))
-                met = place >= 0
-                text, place = np.frombuffer(row["c"], np.uint16)[met], place[met]
-                found = np.bincount(text)
-                has = np.flatnonzero(found)
-                sums = [np.bincount(text, v[place])[has] for v in (x, y)] if len(has) else [np.zeros(0)] * 2
-                values = (has.astype(np.uint16), *sums, found[has].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.nulls(1, pa.binary()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=back)
+                if row["b"] is None:
+                    m = len(row["a"]) // 2
+                    parts_of = [row["a"], row["c"][: 8 * m], row["c"][8 * m : 16 * m], row["c"][16 * m :]]
+                else:
+                    place = np.repeat(_ids(k, np.frombuffer(row["a"], U64)), np.frombuffer(row["b"], np.uint32))
+                    met = place >= 0
+                    text, place = np.frombuffer(row["c"], np.uint16)[met], place[met]
+                    parts_of = [v.tobytes() for v in added(text, x[place], y[place])]
+                yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.nulls(1, pa.binary()), *(pa.array([v], pa.binary()) for v in parts_of)], names=back)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's answers by text; the texts' keys come once for each block of the same rows."""
@@ -378,7 +415,7 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
     asked = rows.select("_text", "_key", "_out").mapInArrow(ask, schema)
     if n > 1:
         weights = weights.where(F.pmod(F.col("k"), F.lit(ROUNDS)) == turn)
-    met = weights.select("k", "x", "y").mapInArrow(table, schema).unionByName(asked).repartition(parts, "p")
+    met = weights.select("k", "x", "y").mapInArrow(table, schema).unionByName(asked).repartition(parts, "p").sortWithinPartitions(F.col("block").asc_nulls_first())
     answers = met.mapInArrow(answer, "block long, rows binary, t binary, x binary, y binary, f binary")
     return answers.repartition(parts, "block").mapInArrow(add, "key long, x double, y double, found long, times long")
 
@@ -399,23 +436,23 @@ def _rounds(table_of: Callable[[int], DataFrame], n: int, name: str) -> DataFram
 
 
 def _weights(rows: DataFrame, words: DataFrame, one: Column, order: Order, parts: int) -> list[DataFrame]:
-    """Tables (k, x, y) for words, pairs and triples. words: (k, c). one: a word's probability by its c."""
+    """Tables (k, c, x, y) for words, pairs and triples. words: (k, c). one: a word's probability by its c."""
     words = words.withColumn("p1", one)
     pairs = _rounds(lambda turn: count_grams(rows, 2, order.least, parts, turn), 2, "lm_counted")
     pairs = pairs.join(words.select(F.col("k").alias("r"), "p1"), "r").join(words.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
     two = materialize(pairs.select("k", "l", "c", "p1", ((F.col("c") - order.discount) / F.col("of")).alias("p")), "lm_pairs")
     context = _backoff(two, "p1").select(F.col("l").alias("k"), "b")
-    own = words.join(context, "k", "left").select("k", F.coalesce("b", F.lit(0.0)).alias("b"), _log_of(F.col("p1")).alias("y"))
-    first = materialize(own.select("k", "b", (F.col("y") + F.col("b")).alias("x"), "y"), "lm_word_weights")
+    own = words.join(context, "k", "left").select("k", "c", F.coalesce("b", F.lit(0.0)).alias("b"), _log_of(F.col("p1")).alias("y"))
+    first = materialize(own.select("k", "c", "b", (F.col("y") + F.col("b")).alias("x"), "y"), "lm_word_weights")
     triples = _rounds(lambda turn: count_grams(rows, 3, order.least, parts, turn), 3, "lm_counted")
     # A kept triple's two pairs are kept, as they are at least as frequent.
     triples = triples.join(two.select(F.col("k").alias("r"), F.col("p").alias("p2")), "r").join(two.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
-    three = materialize(triples.select("k", "l", "p2", ((F.col("c") - order.discount) / F.col("of")).alias("p")), "lm_triples")
+    three = materialize(triples.select("k", "l", "c", "p2", ((F.col("c") - order.discount) / F.col("of")).alias("p")), "lm_triples")
     longer = materialize(_backoff(three, "p2"), "lm_pair_backoffs")
     fails = F.col("b") + _log_of(F.col("p1"))
     second = two.join(first.select(F.col("k").alias("l"), "b"), "l").join(longer.select(F.col("l").alias("k"), F.col("b").alias("b2")), "k", "left")
-    second = second.select("k", (_log_of(F.col("p")) - fails + F.coalesce("b2", F.lit(0.0))).alias("x"), F.lit(0.0).alias("y"))
-    third = three.join(longer, "l").select("k", (_log_of(F.col("p")) - F.col("b") - _log_of(F.col("p2"))).alias("x"), F.lit(0.0).alias("y"))
+    second = second.select("k", "c", (_log_of(F.col("p")) - fails + F.coalesce("b2", F.lit(0.0))).alias("x"), F.lit(0.0).alias("y"))
+    third = three.join(longer, "l").select("k", "c", (_log_of(F.col("p")) - F.col("b") - _log_of(F.col("p2"))).alias("x"), F.lit(0.0).alias("y"))
     return [first, second, third]
 
 
@@ -451,8 +488,10 @@ def score_documents(docs: DataFrame, held_out: Column, order: Order = Order(), i
     # Rows with one key are alike in id and text: their sums are added up and divided by their number.
     keyed = rows.withColumn("_key", F.xxhash64("_id", F.lit(0), "_text"))
     with _shuffles_dropped(spark):
-        tables = enumerate(_weights(keyed, counts.unionByName(end), one, order, parts), 1)
-        added = [_rounds(lambda turn, n=n, table=table: sum_weights(keyed, table, n, parts, turn), n, "lm_sums") for n, table in tables]
+        added = []
+        for n, table in enumerate(_weights(keyed, counts.unionByName(end), one, order, parts), 1):
+            hot = hot_weights(table, total, order)
+            added.append(_rounds(lambda turn, n=n, table=table, hot=hot: sum_weights(keyed, table, n, parts, turn, hot), n, "lm_sums"))
     zero = F.lit(0).cast("long")
     added[1:] = [df.withColumns({"found": zero, "times": zero}) for df in added[1:]]
 

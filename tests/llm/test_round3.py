@@ -231,3 +231,20 @@ def test_queries_agree_with_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = {k[0]: v for k, v in brute_repeats(docs, 100).items()}
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == want
+
+
+def test_frequent_words_are_answered_where_they_are_read(spark):
+    """A word that is half of all tokens, and its pairs, stay with their blocks; scores are the same as when they travel."""
+    from convoy.llm import lm
+
+    r = random.Random(4)
+    rows = [(i, " ".join(w for _ in range(r.randint(0, 40)) for w in ("the", f"w{r.randint(0, 200)}"))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 5 == 1
+    got, plain = ({x.doc_id: tuple(x) for x in lm.score_documents(df, held, order).collect()} for order in (lm.Order(), lm.Order(hot=1)))
+    assert got.keys() == plain.keys()
+    for i in got:
+        assert got[i][:5] == plain[i][:5] and got[i][5:] == pytest.approx(plain[i][5:], abs=1e-9)
+    counted = spark.createDataFrame([(5, 600, 1.0, 2.0), (9, 400, 3.0, 4.0), (7, 1, 0.0, 0.0)], "k long, c long, x double, y double")
+    k, x, y = lm.hot_weights(counted, 5_000, lm.Order())
+    assert (k.tolist(), x.tolist(), y.tolist()) == ([5, 9], [1.0, 3.0], [2.0, 4.0])
