@@ -227,7 +227,12 @@ _PLACES = r"""SELECT repo, path AS raw, concat('C:', chr(92), 'w', chr(92), repo
  FROM (SELECT repo, substr(line, 10) AS path FROM worktree_lines WHERE line LIKE 'worktree %') t"""
 
 
-@register(f"""WITH w AS ({_PLACES}) SELECT repo, path, CASE CAST(length(raw) % 3 AS INT) WHEN 0 THEN true WHEN 1 THEN length(raw) % 2 = 0 ELSE false END AS safe FROM w""")
+_AS_WINDOWS = "lower(rtrim(replace({}, '/', chr(92)), chr(92)))"
+
+
+@register(f"""WITH w AS (SELECT repo, raw, path, {_AS_WINDOWS.format('path')} AS p, {_AS_WINDOWS.format('root')} AS r FROM ({_PLACES}) x), known AS (SELECT DISTINCT repo, p FROM w WHERE length(raw) % 2 = 0),
+ l AS (SELECT w.*, concat(r, chr(92), '.worktrees') AS own, concat(chr(92), 'copilot-worktrees', chr(92), split_part(r, chr(92), -1), chr(92)) AS layout, known.p IS NOT NULL AS registered FROM w LEFT JOIN known ON known.repo = w.repo AND known.p = w.p)
+ SELECT repo, path, p = own OR starts_with(p, concat(own, chr(92))) OR (registered AND strpos(p, layout) > 0 AND strpos(p, layout) + length(layout) <= length(p)) AS safe FROM l""")
 def b6_worktree_safe(spark: SparkSession, d: str) -> DataFrame:
     places = rows(spark, d, _PLACES)
     registered = places.where("length(raw) % 2 = 0").select("repo", F.lower("path").alias("path"))
@@ -430,12 +435,11 @@ def c12_ancestry(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.ancestry(history.where("seq = 1").select("repo", "branch", F.col("sha").alias("tip_sha")), commits, tips)
 
 
-_MERGED = """SELECT x.repo, coalesce(bool_and(x.xb IS NOT DISTINCT FROM i.blob), false) AS merged FROM (SELECT coalesce(a.repo, h.repo) AS repo, coalesce(a.path, h.path) AS path, a.blob AS ab, h.blob AS xb
- FROM (SELECT * FROM anchor_files WHERE doc_id % 40 < 8) a FULL JOIN (SELECT * FROM tip_files WHERE doc_id % 40 < 8) h ON a.repo = h.repo AND a.path = h.path) x LEFT JOIN tip_files i ON i.repo = x.repo AND i.path = x.path
- WHERE x.ab IS DISTINCT FROM x.xb GROUP BY x.repo"""
+_CHANGED = """SELECT coalesce(a.repo, h.repo) AS repo, coalesce(a.path, h.path) AS path, h.blob AS blob FROM anchor_files a FULL JOIN head_files h ON a.repo = h.repo AND a.path = h.path WHERE a.blob IS DISTINCT FROM h.blob"""
 
 
-@register(f"WITH r AS (SELECT DISTINCT repo FROM (SELECT repo FROM anchor_files UNION ALL SELECT repo FROM head_files) u), m AS ({_MERGED.replace('(SELECT * FROM anchor_files WHERE doc_id % 40 < 8)', 'anchor_files').replace('(SELECT * FROM tip_files WHERE doc_id % 40 < 8)', 'head_files')}) SELECT r.repo, coalesce(m.merged, false) AS merged FROM r LEFT JOIN m ON m.repo = r.repo")
+@register(f"""WITH r AS (SELECT repo FROM anchor_files UNION SELECT repo FROM head_files), m AS (SELECT x.repo, bool_and(x.blob IS NOT DISTINCT FROM i.blob) AS merged FROM ({_CHANGED}) x LEFT JOIN tip_files i ON i.repo = x.repo AND i.path = x.path GROUP BY x.repo)
+ SELECT r.repo, coalesce(m.merged, false) AS merged FROM r LEFT JOIN m ON m.repo = r.repo""")
 def c12_merge_changes_nothing(spark: SparkSession, d: str) -> DataFrame:
     return cleanup.merge_changes_nothing(view(spark, d, "anchor_files"), view(spark, d, "head_files"), view(spark, d, "tip_files"))
 

@@ -5,9 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Below which folder of the shared one tables are written now; none: the whole of it.
+_scope: ContextVar[str] = ContextVar("convoy_scope", default="")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where none is set and all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,8 +25,28 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/convoy/{uuid.uuid4().hex}/{name}"
+    return f"{shared_dir(spark)}/convoy/{_scope.get()}{uuid.uuid4().hex}/{name}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what is at path, if anything, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at its end: a job writes its result, or collects it, before that."""
+    own = f"{_scope.get()}job-{uuid.uuid4().hex}/"
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        remove(spark, f"{shared_dir(spark)}/convoy/{own}")
+
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back.

@@ -7,7 +7,7 @@ import os
 import pytest
 
 from convoy.operators import builds
-from convoy.sources import dumps, readers
+from convoy.sources import dumps, readers, shared
 
 
 @pytest.fixture
@@ -54,3 +54,14 @@ def test_walk_prunes_and_does_not_follow_links(spark, tmp_path, spread):
     wanted = dumps.file_inventory(got.where("not is_link"), (".cs", ".csproj"), ("nuget.config",), ())
     assert {r.path for r in wanted.where("repo = 'r'").collect()} == {"src/a.cs", "x/y/z/d.csproj", "NuGet.config"}
     assert readers.walk_files(roots.limit(0), ()).count() == 0
+
+
+def test_scratch_tables_go_with_their_job(spark):
+    with shared.scratch(spark):
+        kept = shared.materialize(spark.range(5), "inner")
+        place = shared.fresh_path(spark, "own")
+        spark.range(2).write.parquet(place)
+        assert kept.count() == 5
+    assert not os.path.exists(place.removeprefix("file:"))
+    after = shared.materialize(spark.range(3), "outer")
+    assert after.count() == 3 and "/job-" not in shared.fresh_path(spark, "x")
