@@ -1,5 +1,5 @@
 """Tables in the folder that the driver and every executor see."""
 
-from convoy.sources.shared import fresh_path, materialize, shared_dir
+from convoy.sources.shared import fresh_path, materialize, remove, shared_dir
 
-__all__ = ["fresh_path", "materialize", "shared_dir"]
+__all__ = ["fresh_path", "materialize", "remove", "shared_dir"]

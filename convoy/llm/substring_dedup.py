@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoy.llm.shared import fresh_path, materialize
+from convoy.llm.shared import fresh_path, materialize, remove
 from convoy.llm.text import U64, raw, sequence_hashes, slices, spans, word_hashes
 
 
@@ -152,12 +152,12 @@ def _meet(rows: DataFrame, parts: int, keep_index: bool) -> DataFrame:
     return rows.repartition(parts, "h1").sortWithinPartitions("kind", "h1", "h2").mapInArrow(run, _ROWS)
 
 
-def _buckets(spark: SparkSession, path: str, buckets: int) -> DataFrame:
-    """The bucketed files below path, as a table that Spark knows to be so."""
+def _buckets(spark: SparkSession, path: str, buckets: int) -> tuple[str, DataFrame]:
+    """The bucketed files below path, as a table that Spark knows to be so, and its name."""
     name = f"convoy_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} (h1 BIGINT, key BIGINT, at INT, n BIGINT, places ARRAY<INT>, kind TINYINT) USING parquet PARTITIONED BY (kind) CLUSTERED BY (h1) SORTED BY (h1) INTO {buckets} BUCKETS LOCATION '{path}'")
     spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
-    return spark.table(name)
+    return name, spark.table(name)
 
 
 class FingerprintIndex:
@@ -168,6 +168,7 @@ class FingerprintIndex:
         self.path = path or fresh_path(spark, "fingerprint_index")
         self.buckets = how.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[str, int, DataFrame]] = []  # folder, batches in it, rows
+        self.tables: dict[str, str] = {}  # by folder, while Spark's catalog knows it
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, how: Windows = Windows()) -> FingerprintIndex:
@@ -175,9 +176,23 @@ class FingerprintIndex:
         index = cls(spark, how, path)
         last = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
         index.buckets = last["buckets"]
-        index.runs = [(r["folder"], r["batches"], _buckets(spark, f"{path}/{r['folder']}", index.buckets).where("kind = 0")) for r in last["runs"]]
+        for r in last["runs"]:
+            name, rows = _buckets(spark, f"{path}/{r['folder']}", index.buckets)
+            index.tables[r["folder"]] = name
+            index.runs.append((r["folder"], r["batches"], rows.where("kind = 0")))
         return index
 
+    def _forget(self, folder: str) -> None:
+        """Take a run's table from the catalog; its files stay."""
+        if (name := self.tables.pop(folder, None)) is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def close(self) -> None:
+        """Leave nothing in the catalog. The index can be opened again from its folder."""
+        for folder in list(self.tables):
+            self._forget(folder)
+        self.runs = []
+
     def _write(self, rows: DataFrame, batches: int) -> DataFrame:
         """Rows, dealt by h1, as one more folder of buckets; kind 0 of it is a run."""
         folder = f"run-{uuid.uuid4().hex}"
@@ -185,6 +200,7 @@ class FingerprintIndex:
         name = f"convoy_{uuid.uuid4().hex}"
         writer.format("parquet").saveAsTable(name)
         written = self.spark.table(name)
+        self.tables[folder] = name
         self.runs.append((folder, batches, written.where("kind = 0")))
         return written
 
@@ -237,24 +253,40 @@ class FingerprintIndex:
             again = both.select(F.explode(sides).alias("s")).where("s.n = 1").select("s.key", F.array("s.at").alias("places"))
             places = places.unionByName(again)
         places = materialize(places, "fingerprint_places")
+        merged: list[str] = []
         while len(self.runs) > how.most_runs:
-            self.compact()
+            merged += self.compact()
         self._note()
+        # What was merged is no longer in the index.
+        for folder in merged:
+            self._forget(folder)
+            remove(self.spark, f"{self.path}/{folder}")
         return places
 
-    def compact(self) -> None:
-        """The two smallest runs become one, bucket by bucket."""
+    def compact(self) -> list[str]:
+        """The two smallest runs become one, bucket by bucket; returns the folders of the two."""
         self.runs.sort(key=lambda r: -r[1])
-        (_, n, x), (_, m, y) = self.runs.pop(), self.runs.pop()
+        (first, n, x), (second, m, y) = self.runs.pop(), self.runs.pop()
         x, y = (run.select("h1", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "at", "n")]) for run, side in ((x, "x"), (y, "y")))
         ours = F.col("key_x").isNotNull()
         total = F.coalesce("n_x", F.lit(0).cast("long")) + F.coalesce("n_y", F.lit(0).cast("long"))
         columns = [F.when(ours, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")).alias(c) for c in ("key", "at")]
         nothing = F.lit(None).cast("array<int>").alias("places")
         self._write(x.join(y, "h1", "full_outer").select("h1", *columns, total.alias("n"), nothing, F.lit(0).cast("byte").alias("kind")), n + m)
+        return [first, second]
+
+
+def _by_text(places: DataFrame, again: DataFrame | None) -> DataFrame:
+    """(key, places) in one list for each text. again (key): texts of several rows, if any, each of which tells the same places."""
+    if again is None:
+        return places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    # One place is one row, however many rows of the text tell it, so no list is longer than its text.
+    each = places.join(again, "key", "left_semi").select("key", F.explode("places").alias("at")).distinct()
+    several = each.groupBy("key").agg(F.collect_list("at").alias("places"))
+    return _by_text(places.join(again, "key", "left_anti"), None).unionByName(several)
 
 
-def _verified(touched: DataFrame, how: Windows) -> DataFrame:
+def _verified(touched: DataFrame, how: Windows, again: DataFrame | None) -> DataFrame:
     """(key, starts): first words of windows that occur again, by 128 bits over all their words."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +321,7 @@ def _verified(touched: DataFrame, how: Windows) -> DataFrame:
 
     parts = int(touched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = _meet(touched.select("key", "text", "places").mapInArrow(windows, _ROWS), parts, keep_index=False)
-    return met.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("starts"))
+    return _by_text(met.select("key", "places"), again).withColumnRenamed("places", "starts")
 
 
 def remove_repeats(docs: DataFrame, how: Windows = Windows(), id_col: str = "doc_id", text_col: str = "text", *, keep_text: bool = False) -> DataFrame:
@@ -302,20 +334,26 @@ def remove_repeats(docs: DataFrame, how: Windows = Windows(), id_col: str = "doc
     kept_name = "kept_text" if keep_text else "kept_sha256"
     rows = docs.select(F.col(id_col).alias(_ID), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64(_ID, F.lit(0), "text"))
+    again: DataFrame | None = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "texts_of_several_rows")
+    several = again.count()
+    again = None if not several else F.broadcast(again) if 16 * several <= how.small << 20 else again
     index = FingerprintIndex(docs.sparkSession, how)
     places: DataFrame | None = None
     for k in range(how.batches):
         arrived = rows.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(how.batches)) == k).select("key", "text")
         new = index.add(arrived)
         places = new if places is None else places.unionByName(new)
-    by_text = materialize(places.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places")), "places_by_text")
+    by_text = materialize(_by_text(places, again), "places_by_text")
+    # This index is the job's own, and done.
+    index.close()
+    remove(docs.sparkSession, index.path)
     size = by_text.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("places")).alias("places")).first()
     if 32 * size["n"] + 4 * (size["places"] or 0) <= how.small << 20:
         marked = rows.join(F.broadcast(by_text), "key", "left")
     else:
         marked = materialize(rows.join(by_text, "key", "left"), "marked")
     touched = marked.where("places is not null")
-    found = _verified(touched, how)
+    found = _verified(touched, how, again)
 
     def render(words: list[bytes]) -> str:
         joined = b" ".join(words)
