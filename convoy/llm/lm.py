@@ -14,17 +14,16 @@ automaton in memory, for small corpora and tests.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.llm.shared import materialize
+from convoy.llm.shared import materialize, shuffles_dropped
 from convoy.llm.text import U64, from_binary, mix64, raw, slices, spans, word_hashes
 
 #: Words that a task counts before it hands on.
@@ -456,18 +455,6 @@ def _weights(rows: DataFrame, words: DataFrame, one: Column, order: Order, parts
     return [first, second, third]
 
 
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Spark drops the shuffle files of what is written in here once it is written."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def score_documents(docs: DataFrame, held_out: Column, order: Order = Order(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -487,7 +474,7 @@ def score_documents(docs: DataFrame, held_out: Column, order: Order = Order(), i
     unseen = float(np.log10(0.5 / (total + 0.5 * (distinct + 1))))
     # Rows with one key are alike in id and text: their sums are added up and divided by their number.
     keyed = rows.withColumn("_key", F.xxhash64("_id", F.lit(0), "_text"))
-    with _shuffles_dropped(spark):
+    with shuffles_dropped(spark):
         added = []
         for n, table in enumerate(_weights(keyed, counts.unionByName(end), one, order, parts), 1):
             hot = hot_weights(table, total, order)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from convoy.llm.components import components
-from convoy.llm.shared import materialize
+from convoy.llm.shared import materialize, shuffles_dropped
 from convoy.llm.text import U64, binary_column, from_binary, mix64, raw, sequence_hashes, slices, spans, word_hashes
 
 
@@ -46,6 +46,7 @@ class Likeness:
     shingles gives the same links; this one keeps frequent ones out of the first block.
     meets: how many columns of the first block linked documents share at least. few: ids up to
     which a join is by broadcast. hub_share: documents of a group that one copy of its hub serves.
+    hub_columns: how many columns of the first block name a hub at least for a document to be held against it.
     """
 
     words: int = 4
@@ -56,6 +57,7 @@ class Likeness:
     meets: int = 8
     few: int = 400_000
     hub_share: int = 2_000
+    hub_columns: int = 3
 
     def needed(self, n: np.ndarray) -> np.ndarray:
         """The smallest overlap with any partner that a set of n can be linked at."""
@@ -246,6 +248,11 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shared_ids: DataFrame | None
     return one.unionByName(more)
 
 
+def _few(narrow: DataFrame, rows: int, how: Likeness) -> DataFrame:
+    """Narrow rows that sets are to meet: broadcast, so that sets stay where they are, or shuffled with them beyond how.few."""
+    return F.broadcast(narrow) if rows <= how.few else narrow
+
+
 def _common(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Which of p are in q; both ascend."""
     if not len(q):
@@ -271,7 +278,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
                 keep[k] = how.per * overlap >= how.least * (len(p) + len(q) - overlap)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")).join(_few(pairs, pairs.count(), how), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(run, "a long, b long")
 
@@ -303,7 +310,7 @@ def _held_against(chosen: DataFrame, sets: DataFrame, how: Likeness) -> DataFram
     hubs = sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set")).join(copies, "hub")
     hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     dealt = chosen.join(copies, "hub").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")).drop("copies")
-    both = dealt.join(sets, "id").join(hubs, ["hub", "copy"]).select("id", "hub", "set", "hub_set")
+    both = sets.join(_few(dealt, chosen.count(), how), "id").join(hubs, ["hub", "copy"]).select("id", "hub", "set", "hub_set")
     return both.mapInArrow(run, "id long, hub long, n long, nh long, linked boolean, r long, diff binary")
 
 
@@ -321,8 +328,8 @@ def _differences(against: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return against.select(*names, "diff").mapInArrow(run, ", ".join(["e long", *(f"{c} {types[c]}" for c in names)]))
 
 
-def _families(against: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
-    """(a, b): links among documents that their hub doesn't link, found by hubs of their own.
+def _families(against: DataFrame, sets: DataFrame, how: Likeness) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with hubs, also among documents that their hub doesn't link, by hubs of their own; and (id, family) of those linked.
 
     In each round a document is held against the one that meets most others of its group in its rarest
     shared difference. Those linked are done; the others, and the hubs, go into the next round, until
@@ -330,6 +337,7 @@ def _families(against: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
     """
     alive = materialize(_differences(against.where(~F.col("linked")), ("hub", "id", "n")), "ngram_apart")
     found: DataFrame | None = None
+    family: DataFrame | None = None
     while True:
         shared = alive.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
         rows = materialize(alive.join(shared, ["hub", "e"]), "ngram_apart_shared")
@@ -345,9 +353,17 @@ def _families(against: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
             break
         # A hub meets more than those that choose it, so never all of a family go.
         found = linked if found is None else found.unionByName(linked)
+        new = linked.withColumnRenamed("hub", "family")
+        if family is not None:
+            # A family whose hub is linked now is its hub's.
+            new = family.join(new.select(F.col("id").alias("family"), F.col("family").alias("to")), "family", "left").select("id", F.coalesce("to", "family").alias("family")).unionByName(new)
+        family = materialize(new, "ngram_family")
         alive = materialize(alive.join(linked.select("id"), "id", "left_anti"), "ngram_apart")
-    links = against.where("linked").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    return links if found is None else links.unionByName(found.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    linked = against.where("linked").select("id", "hub")
+    of = linked.select("id", F.col("hub").alias("family"))
+    if found is not None:
+        linked, of = linked.unionByName(found), of.unionByName(family)
+    return linked.select(F.col("id").alias("a"), F.col("hub").alias("b")), of
 
 
 def _pairs_within(against: DataFrame, family: DataFrame, how: Likeness) -> DataFrame:
@@ -411,14 +427,8 @@ def _sizes_fit(a: str, b: str, how: Likeness) -> Column:
     return (F.lit(how.per) * F.least(a, b)) >= (F.lit(how.least) * F.greatest(a, b))
 
 
-def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach).
-
-    Words are lower-cased A-Z. A null text, or one without words, has no shingle and no link.
-    Rows with the same words in the same order are one class and linked at once; rows that share an id count as one
-    document, linked with whatever one of their texts is. A row without an id is linked with nothing, and its component_id is null.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+def _joined(rows: DataFrame, how: Likeness) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of rows (_id, _text), classes, and the component (id, component) of each class that links with any other."""
     features = materialize(_features(rows, how, _frequent(rows, how)), "ngram_features")
     usable = features.where("n > 0 and _id is not null")
     classes = usable.groupBy("k1", "k2").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("first").alias("first"))
@@ -441,7 +451,9 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
     met = materialize(shared.join(sizes, "g").groupBy("id").agg(F.sum("df").alias("met")), "ngram_met")
     hubs = shared.join(met, "id").groupBy("g").agg(F.max(F.struct("met", F.col("id").alias("hub"), F.col("n").alias("nh"))).alias("top"))
     fits = (F.col("top.hub") != F.col("id")) & (2 * F.least("n", "top.nh") >= F.greatest("n", "top.nh"))
-    chosen = shared.join(hubs, "g").where(fits).groupBy("id").agg(F.max(F.struct("top.met", "top.hub")).alias("top")).select("id", "top.hub")
+    # One that shares only a column or two with its hub is hardly half alike, and stays by itself.
+    named = shared.join(hubs, "g").where(fits).groupBy("id", F.col("top.hub").alias("hub")).agg(F.max("top.met").alias("met"), F.count(F.lit(1)).alias("columns"))
+    chosen = named.where(F.col("columns") >= how.hub_columns).groupBy("id").agg(F.max(F.struct("met", "hub")).alias("top")).select("id", "top.hub")
     chosen = materialize(chosen, "ngram_chosen")
     keys = classes.select("id", "_id", "k1", "k2")
 
@@ -450,8 +462,7 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
 
     sets = sets_of(chosen.select(F.explode(F.array("id", "hub")).alias("id")))
     against = materialize(_held_against(chosen, sets, how), "ngram_against")
-    links = materialize(_families(against, sets, how), "ngram_families")
-    family = components(links).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    links, family = _families(against, sets, how)
     pairs = materialize(_pairs_within(against, family, how).unionByName(_pairs_across(shared, against, how)).distinct(), "ngram_pairs")
     new = _linked(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id"))), how)
     links = links.unionByName(new)
@@ -461,8 +472,21 @@ def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str
         least = of.groupBy("_id").agg(F.min("id").alias("b"))
         links = links.unionByName(of.join(least, "_id").where("id <> b").select(F.col("id").alias("a"), "b"))
     known = components(materialize(links, "ngram_links")).select(F.col("node").alias("id"), "component")
+    return features, classes, known
+
+
+def jaccard_components(docs: DataFrame, how: Likeness = Likeness(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (the smallest id that links reach).
+
+    Words are lower-cased A-Z. A null text, or one without words, has no shingle and no link.
+    Rows with the same words in the same order are one class and linked at once; rows that share an id count as one
+    document, linked with whatever one of their texts is. A row without an id is linked with nothing, and its component_id is null.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    with shuffles_dropped(docs.sparkSession):
+        features, classes, known = _joined(rows, how)
     # Of each component the smallest document; classes that link with nothing are their own.
-    named = known.join(keys.select("id", "_id"), "id").groupBy("component").agg(F.min("_id").alias("least"))
+    named = known.join(classes.select("id", "_id"), "id").groupBy("component").agg(F.min("_id").alias("least"))
     placed = classes.select("id", "k1", "k2", "_id").join(known, "id", "left").join(named, "component", "left").select("k1", "k2", F.coalesce("least", "_id").alias("component_id"))
     mine = features.where("n > 0 and _id is not null").join(placed, ["k1", "k2"]).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     # Texts without a word, and rows without an id, meet nobody.

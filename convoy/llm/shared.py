@@ -1,5 +1,22 @@
 """Tables in the folder that the driver and every executor see."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import SparkSession
+
 from convoy.sources.shared import fresh_path, materialize, remove, shared_dir
 
-__all__ = ["fresh_path", "materialize", "remove", "shared_dir"]
+__all__ = ["fresh_path", "materialize", "remove", "shared_dir", "shuffles_dropped"]
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark drops the shuffle files of what is written in here once it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
