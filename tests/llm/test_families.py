@@ -65,8 +65,7 @@ def linked_by_brute_force(rows, how):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("sizes", [(140, 60), (120, 70, 50), (90, 60, 50, 40)])
-@pytest.mark.parametrize("apart", [6, 24])
+@pytest.mark.parametrize(("sizes", "apart"), [((120, 70, 50), 24), ((60, 40, 30, 30), 6)])
 def test_families_half_alike(spark, monkeypatch, sizes, apart):
     told = families(random.Random(sum(sizes) + apart), sizes, apart)
     rows = [(i, t) for i, (_, t) in enumerate(told)]
