@@ -21,9 +21,10 @@ def in_upstream_history(files: DataFrame, history: DataFrame, keys: tuple[str, .
 
 
 def last_commit_touching(commit_files: DataFrame) -> DataFrame:
-    """(repo, path, sha, seq): the newest commit of each path."""
-    newest = F.max_by(F.struct("sha", "seq"), "seq")
-    return commit_files.groupBy("repo", "path").agg(newest.alias("c")).select("repo", "path", "c.sha", "c.seq")
+    """(repo, path, sha, seq, and subject if the dump has it): the newest commit of each path."""
+    own = ["sha", "seq", *(["subject"] if "subject" in commit_files.columns else [])]
+    newest = F.max_by(F.struct(*own), "seq")
+    return commit_files.groupBy("repo", "path").agg(newest.alias("c")).select("repo", "path", *[f"c.{c}" for c in own])
 
 
 def local_drift(head: DataFrame, anchor: DataFrame, history: DataFrame, rules: Rules, commit_files: DataFrame | None = None) -> DataFrame:

@@ -701,7 +701,7 @@ def e5_strip_marker_blocks(spark: SparkSession, d: str) -> DataFrame:
     return lines.strip_marker_blocks(view(spark, d, "ignore_upstream_lines"), lines.OPENS, lines.CLOSES)
 
 
-@register("SELECT repo, path, max_by(sha, seq) AS sha, max(seq) AS seq FROM commit_files GROUP BY repo, path")
+@register("SELECT repo, path, max_by(sha, seq) AS sha, max(seq) AS seq, max_by(subject, seq) AS subject FROM commit_files GROUP BY repo, path")
 def e6_last_commit_touching(spark: SparkSession, d: str) -> DataFrame:
     return drift.last_commit_touching(view(spark, d, "commit_files"))
 

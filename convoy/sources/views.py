@@ -59,7 +59,7 @@ UNION ALL SELECT repo, concat('b', CAST(k AS STRING), '-', CAST(n AS STRING)), C
     "ref_lines": r"""SELECT concat('r', CAST(o_custkey % 20 AS STRING)) AS repo, concat('feat/', CAST(o_orderkey AS STRING), ' ', CASE CAST(o_orderkey % 3 AS INT) WHEN 0 THEN '[gone]' WHEN 1 THEN '[ahead 1]' ELSE '' END) AS line FROM orders WHERE o_orderkey % 9 <> 0""",
     "ls_remote_lines": r"""SELECT c_custkey AS repo_id, concat(sha1(c_name), chr(9), CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'refs/heads/main' WHEN 1 THEN 'refs/heads/Main' WHEN 2 THEN 'refs/heads/release/main' ELSE 'refs/tags/main' END, CASE WHEN c_custkey % 8 = 0 THEN ' ' ELSE '' END) AS line FROM customer""",
     # Names are used before, taken by a rename, and used again.
-    "commit_files": r"""SELECT concat('r', CAST(p_partkey % 7 AS STRING)) AS repo, path, old_path, seq, author_date, concat(sha, CAST(p_partkey AS STRING)) AS sha FROM (
+    "commit_files": r"""SELECT concat('r', CAST(p_partkey % 7 AS STRING)) AS repo, path, old_path, seq, author_date, concat(sha, CAST(p_partkey AS STRING)) AS sha, concat('work on ', path, ' at ', CAST(seq AS STRING)) AS subject FROM (
 SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-0') AS path, CAST(NULL AS STRING) AS old_path, 10 AS seq, '2020-01-01' AS author_date, 'aaaaaa' AS sha FROM part
 UNION ALL SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-1'), CAST(NULL AS STRING), 5, '2019-05-05', 'dddddd' FROM part WHERE p_partkey % 3 = 0
 UNION ALL SELECT p_partkey, concat('p', CAST(p_partkey AS STRING), '-1'), concat('p', CAST(p_partkey AS STRING), '-0'), 20, '2022-02-02', 'bbbbbb' FROM part WHERE p_partkey % 2 = 0
