@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,13 +21,14 @@ from convoy.llm.shared import fresh_path
 
 @dataclass(frozen=True)
 class TokenFiles:
-    """docs_per_file: about how many documents one file holds. block_tokens: a block ends with the document that reaches it.
+    """docs_per_file: about how many documents one file holds, and half of the most. file_tokens, block_tokens: a file, a block, ends with the document that reaches it.
 
     lanes: interleaved coders in a block. checkpoint_steps: steps between checkpoints.
     """
 
     end_id: int = 2
     docs_per_file: int = 2_000
+    file_tokens: int = 1 << 23
     block_tokens: int = 1 << 17
     lanes: int = 1_024
     checkpoint_steps: int = 64
@@ -37,27 +39,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, how: TokenFiles = TokenFi
 
     Columns: file (ascending as the ids), n_tokens, ids and sizes (of the documents inside),
     content (the file's bytes). Null texts are empty; each document ends with end_id. Null
-    ids come first; rows with one id are ordered by their tokens.
+    ids come first; rows with one id are ordered by a hash of their texts, and alike ones by
+    where they are read, so that neither share a file beyond its bounds.
     """
     spark = docs.sparkSession
-    n_files = max(1, -(-docs.count() // how.docs_per_file))
-    cuts = [(i + 1) / n_files for i in range(n_files - 1)]
-    bounds = np.array((docs.agg(F.percentile_approx(id_col, cuts, 100_000).alias("b")).first()["b"] if cuts else None) or [], np.int64)
-    bounds = np.unique(bounds)
+    # Spark finds the ranges from a sample of the rows' keys; a task's range is one file, unless it reaches a file's bounds.
+    ranges = max(1, -(-docs.count() // how.docs_per_file))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = rows.withColumn("_tie", F.xxhash64("_text")).withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col("_id").asc_nulls_first(), F.col("_tie"), F.col("_row")]
     end = np.uint16(how.end_id).tobytes()
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = unit_encoder(tokenizer)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column("_id")
-                file = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "left"))
-                tokens = [encode(t or "") + end for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(file.astype(np.int32)), ids, pa.array(tokens, pa.binary())], names=["file", "_id", "_tokens"])
-
-    tokens = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(tokenise, "file int, _id long, _tokens binary")
-
     def pack(file: int, ids: list[int | None], docs_tokens: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(t) // 2 for t in docs_tokens], np.int64)
         flat = np.frombuffer(b"".join(docs_tokens), np.uint16).astype(np.uint32)
@@ -69,29 +61,33 @@ def write_token_files(docs: DataFrame, tokenizer: str, how: TokenFiles = TokenFi
             begin = int(ends[k])
         content = rans.write_file(blocks, how.lanes, how.checkpoint_steps)
         return pa.RecordBatch.from_arrays(
-            [pa.array([file], pa.int32()), pa.array([len(flat)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([content], pa.binary())],
+            [pa.array([file], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([content], pa.binary())],
             names=["file", "n_tokens", "ids", "sizes", "content"],
         )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by file and id: one file's documents are held at a time."""
-        now: int | None = None
+        """Rows come sorted: one file's documents are held at a time."""
+        encode = unit_encoder(tokenizer)
+        # The task's place in the order of ranges, then the file's place in it.
+        file = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         held: list[bytes] = []
+        size = 0
         for batch in batches:
-            for file, i, t in zip(batch.column("file").to_pylist(), batch.column("_id").to_pylist(), batch.column("_tokens").to_pylist(), strict=True):
-                if file != now and held:
-                    yield pack(now, ids, held)
-                    ids, held = [], []
-                now = file
+            for i, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
+                tokens = encode(text.as_py() or "") + end
                 ids.append(i)
-                held.append(t)
+                held.append(tokens)
+                size += len(tokens) // 2
+                if size >= how.file_tokens or len(held) >= 2 * how.docs_per_file:
+                    yield pack(file, ids, held)
+                    file, ids, held, size = file + 1, [], [], 0
         if held:
-            yield pack(now, ids, held)
+            yield pack(file, ids, held)
 
-    schema = "file int, n_tokens long, ids array<long>, sizes array<long>, content binary"
+    schema = "file long, n_tokens long, ids array<long>, sizes array<long>, content binary"
     path = fresh_path(spark, "token_files")
-    tokens.repartition(n_files, "file").sortWithinPartitions("file", F.col("_id").asc_nulls_first(), "_tokens").mapInArrow(write, schema).write.parquet(path)
+    rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("_id", "_text").mapInArrow(write, schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -117,13 +113,13 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool =
                     stop = int(np.searchsorted(ends, begin + len(flat), "right"))
                     lo, hi = (ends - sizes)[done:stop] - begin, ends[done:stop] - begin
                     crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(lo, hi, strict=True)]
-                    out = [pa.array([batch.column("file")[k].as_py()] * len(crc), pa.int32()), pa.array(ids[done:stop], pa.int64()), pa.array(lo + begin), pa.array(sizes[done:stop]), pa.array(crc, pa.int64())]
+                    out = [pa.array([batch.column("file")[k].as_py()] * len(crc), pa.int64()), pa.array(ids[done:stop], pa.int64()), pa.array(lo + begin), pa.array(sizes[done:stop]), pa.array(crc, pa.int64())]
                     if with_ids:
                         out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([lo, hi[-1:]]).astype(np.int32)), pa.array(flat.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays(out, names=names)
                     done, begin = stop, begin + len(flat)
 
-    fields = [("file", T.IntegerType()), ("_id", T.LongType()), ("_local", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())]
+    fields = [("file", T.LongType()), ("_id", T.LongType()), ("_local", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())]
     if with_ids:
         fields.append(("token_ids", T.ArrayType(T.IntegerType())))
     names = [n for n, _ in fields]

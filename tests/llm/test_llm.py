@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -562,6 +563,21 @@ def test_token_files(spark, odd, docs, how):
     assert token_files.read_token_files(token_files.write_token_files(odd.limit(0), path, how)).count() == 0
 
 
+def test_token_files_of_hot_ids(spark):
+    """Rows without an id, of one id, and alike in all don't meet in one file; texts of any length bound it."""
+    rows = [(None, f"no id {i}") for i in range(900)] + [(None, "alike")] * 900 + [(7, "seven")] * 600 + [(i, f"text {i}") for i in range(600)] + [(1_000 + i, "word " * 500) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    how = token_files.TokenFiles(docs_per_file=100, file_tokens=2_000, block_tokens=64, lanes=8, checkpoint_steps=4)
+    written = token_files.write_token_files(df, tokenizer_path("byte_bpe_50k.json"), how)
+    files = sorted(written.collect(), key=lambda r: r.file)
+    assert len(files) >= 30 and all(len(r.ids) <= 200 and sum(r.sizes[:-1]) < 2_000 for r in files)
+    order = [(i is not None, i or 0) for r in files for i in r.ids]
+    assert order == sorted(order) and len({r.file for r in files}) == len(files)
+    got = token_files.read_token_files(written).orderBy("start").collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in rows)
+    assert [r.start for r in got] == list(itertools.accumulate([r.n_tokens for r in got[:-1]], initial=0))
+
+
 # 10 Mixing
 
 
