@@ -27,7 +27,8 @@ class Search:
     """scale: components become floor(scale * x). ratio: of lengths within a bucket. block_rows, query_rows: rows packed together.
 
     From the cosine threshold `steep` up, the `focus` largest coordinates of a query prune.
-    together: blocks that one copy of a block of queries meets.
+    together: blocks that one copy of a block of queries meets. slice_blocks: blocks of a bucket, or
+    of queries, that meet others under one key. first_bytes: first blocks are broadcast up to this size over all dimensions.
     """
 
     k: int = 5
@@ -38,6 +39,8 @@ class Search:
     steep: float = 0.5
     focus: int = 3
     together: int = 16
+    slice_blocks: int = 256
+    first_bytes: int = 64 << 20
 
 
 def _quantised(vectors: DataFrame, id_col: str, vec_col: str, how: Search) -> DataFrame:
@@ -124,14 +127,33 @@ def top_k(vectors: DataFrame, every: int, how: Search = Search(), id_col: str =
     groups = max(1, -(-queries.count() // how.query_rows))
     # One narrow row per bucket, of which the range of lengths allows some thousands: a full bucket is dealt over many blocks.
     full = rows.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / how.block_rows).cast("long").alias("blocks"))
-    dealt = rows.join(full, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id", "norm2", F.lit(1)), F.col("blocks")))
+    # Rows are dealt by their place in the written table: rows alike don't share a block beyond its size.
+    place = lambda seed: F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))
+    dealt = rows.withColumn("_place", place(1)).join(full, ["dim", "bucket"]).withColumn("part", F.pmod("_place", F.col("blocks"))).drop("_place")
     packed = materialize(_packed(dealt, ["dim", "bucket", "part"]), "topk_blocks")
-    asked = materialize(_packed(queries.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(groups)).cast("int")), ["dim", "grp"]), "topk_queries").select("dim", "grp", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    asked = materialize(_packed(queries.withColumn("grp", F.pmod(place(2), F.lit(groups)).cast("int")), ["dim", "grp"]), "topk_queries").select("dim", "grp", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
     # Blocks are narrow rows here: of each dimension those of the longest vectors, with query_rows rows or as few more as whole blocks allow.
     sized = packed.select("dim", "bucket", "part", F.size("ids").alias("rows"))
-    ahead = F.coalesce(F.sum("rows").over(W.partitionBy("dim").orderBy(F.desc("bucket"), "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    longest = sized.withColumn("ahead", ahead).where(F.col("ahead") < how.query_rows).select("dim", "bucket", "part")
-    first = packed.join(longest, ["dim", "bucket", "part"]).groupBy("dim").agg(F.flatten(F.collect_list("ids")).alias("f_ids"), F.flatten(F.collect_list("vecs")).alias("f_vecs"))
+    by_bucket = sized.groupBy("dim", "bucket").agg(F.sum("rows").alias("rows"))
+    longer = F.coalesce(F.sum("rows").over(W.partitionBy("dim").orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = by_bucket.withColumn("longer", longer).where(F.col("longer") < how.query_rows).select("dim", "bucket", "longer")
+    # Of a bucket the first query_rows parts suffice: no block is empty.
+    inside = sized.where(F.col("part") < how.query_rows).join(tops, ["dim", "bucket"])
+    ahead = F.col("longer") + F.coalesce(F.sum("rows").over(W.partitionBy("dim", "bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    longest = inside.withColumn("ahead", ahead).where(F.col("ahead") < how.query_rows).select("dim", "bucket", "part", "rows")
+    # One row per dimension: its first blocks, and how many slices of blocks each of its buckets has.
+    slices = F.ceil(F.col("blocks") / how.slice_blocks).cast("int").alias("slices")
+    spans = full.groupBy("dim").agg(F.collect_list(F.struct("bucket", slices)).alias("spans"))
+    first = packed.join(longest.drop("rows"), ["dim", "bucket", "part"]).groupBy("dim").agg(F.flatten(F.collect_list("ids")).alias("f_ids"), F.flatten(F.collect_list("vecs")).alias("f_vecs")).join(spans, "dim")
+    size = longest.agg(F.sum(F.col("rows") * (F.col("dim") + 1) * 8)).first()[0] or 0
+    if size <= how.first_bytes:
+        begun = asked.join(F.broadcast(first), "dim")
+    else:
+        # Many dimensions: each with a copy of its first blocks for every slice of its blocks of queries.
+        salted = asked.withColumn("salt", F.floor(F.col("grp") / how.slice_blocks))
+        begun = salted.join(first.join(salted.select("dim", "salt").distinct(), "dim"), ["dim", "salt"]).drop("salt")
+
+    kept = ["dim", "grp", "q_ids", "q_vecs", "spans"]
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +168,11 @@ def top_k(vectors: DataFrame, every: int, how: Search = Search(), id_col: str =
                 # The length from which on a vector can reach the floor of any of these queries.
                 length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
                 need = float(np.where(floor > 0, floor * (1 - 1e-9) / np.maximum(length, 1e-300), 0.0).min(initial=np.inf))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("dim", "grp", "q_ids", "q_vecs")), pa.array([floor], pa.list_(pa.float64())), pa.array([need])], names=["dim", "grp", "q_ids", "q_vecs", "floor", "need"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in kept), pa.array([floor], pa.list_(pa.float64())), pa.array([need])], names=[*kept, "floor", "need"])
 
-    # Few rows, one for query_rows queries, and one set of first blocks for each dimension.
-    started = materialize(asked.join(first, "dim").mapInArrow(start, "dim int, grp int, q_ids array<long>, q_vecs array<long>, floor array<double>, need double"), "topk_started")
+    # Few rows, one for query_rows queries.
+    schema = "dim int, grp int, q_ids array<long>, q_vecs array<long>, spans array<struct<bucket:int,slices:int>>, floor array<double>, need double"
+    started = materialize(begun.mapInArrow(start, schema), "topk_started")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +184,12 @@ def top_k(vectors: DataFrame, every: int, how: Search = Search(), id_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
     # Which blocks a block of queries must meet is told from narrow rows; vectors travel for those pairs only.
-    longest_in = sized.select("dim", "bucket", "part", F.pow(F.lit(how.ratio), F.col("bucket") + 1).alias("most"))
-    pairs = longest_in.join(started.select("dim", "grp", "need"), "dim").where(F.col("most") * (1 + 1e-9) >= F.col("need")).select("dim", "bucket", "part", "grp")
+    enough = F.filter("spans", lambda s: F.pow(F.lit(how.ratio), s["bucket"] + 1) * (1 + 1e-9) >= F.col("need"))
+    told = started.select("dim", "grp", F.explode(enough).alias("_span")).select("dim", "grp", "_span.bucket", F.explode(F.sequence(F.lit(0), F.col("_span.slices") - 1)).alias("slice"))
+    pairs = sized.select("dim", "bucket", "part", F.floor(F.col("part") / how.slice_blocks).cast("int").alias("slice")).join(told, ["dim", "bucket", "slice"]).drop("slice")
     copies = pairs.groupBy("dim", "grp").agg(F.ceil(F.count(F.lit(1)) / how.together).cast("int").alias("copies"))
     dealt = pairs.join(copies, ["dim", "grp"]).withColumn("copy", F.pmod(F.xxhash64("bucket", "part"), F.col("copies")).cast("int")).drop("copies")
-    copied = started.drop("need").join(copies, ["dim", "grp"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    copied = started.drop("need", "spans").join(copies, ["dim", "grp"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     met = packed.join(dealt, ["dim", "bucket", "part"]).join(copied, ["dim", "grp", "copy"]).mapInArrow(verify, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= how.k).select("query_id", "rank", "vec_id", "score")

@@ -477,7 +477,7 @@ def best(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("how", [topk.Search(), topk.Search(block_rows=7, query_rows=3), topk.Search(block_rows=16, steep=0.0, focus=6), topk.Search(block_rows=8, steep=2.0)])
+@pytest.mark.parametrize("how", [topk.Search(), topk.Search(block_rows=7, query_rows=3), topk.Search(block_rows=16, steep=0.0, focus=6), topk.Search(block_rows=8, steep=2.0), topk.Search(block_rows=4, query_rows=2, slice_blocks=2, first_bytes=0)])
 def test_top_k_matches_brute_force(spark, how):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=6) * rng.choice([0.2, 1, 5])).tolist()) for i in range(120)]
@@ -487,6 +487,14 @@ def test_top_k_matches_brute_force(spark, how):
     assert topk.top_k(df.limit(0), 10, how).count() == 0
 
 
+def test_top_k_of_rows_alike(spark):
+    """Rows alike in id, length and vector are dealt over blocks; each comes as often as it is there."""
+    rows = [(7, [1.0, 2.0])] * 600 + [(10, [1.0, 0.0]), (20, [0.0, 1.0])] + [(i, [0.5, 0.5]) for i in range(31, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = topk.top_k(df, 10, topk.Search(block_rows=20, query_rows=2)).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(q, k, 7, s * 65_536) for q, s in ((10, 1), (20, 2)) for k in range(1, 6)]
+
+
 def test_top_k_beyond_64_bits(spark):
     assert topk._products(np.array([[2**40]]), np.array([[2**20]])).tolist() == [[2**60]]
     with pytest.raises(OverflowError):
