@@ -1,10 +1,11 @@
 """Token ids of whole texts by the public byte-level BPE, one encoder per Python worker.
 
-A single space between two other characters always starts a piece, so most texts are cut
-there and each unit is encoded once. A plain unit is cut into the vocabulary's pieces, which
-recur more often, and the library's model encodes each new piece; the library encodes other
-units. Where a space meets other white space, a plain text is cut into pieces as it stands,
-and the library encodes any other whole.
+A single space between two other characters always starts a piece, and a single line end is
+one, so most texts are cut there and each unit is encoded once. A plain unit is cut into the
+vocabulary's pieces, which recur more often, and the library's model encodes each new piece;
+the library encodes other units. Where white space meets other white space, line ends aren't
+cut at; where a space is among it, a plain text is cut into pieces as it stands, and the
+library encodes any other whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from convoy.llm.pieces import Remembered, is_plain, plain_pattern
 
 #: Units, and pieces, that a worker has at hand; those used since the last turn stay for the next.
 REMEMBERED = 400_000
+_TWO_SPACES = re.compile(r"\s\s")
 _NEXT_TO_SPACE = re.compile(r" \s|\s ")
 
 
@@ -51,13 +53,18 @@ def unit_encoder(path: str) -> Callable[[str], bytes]:
     def plain(text: str) -> bytes:
         return b"".join(map(pieces.__getitem__, split(text)))
 
-    units = Remembered(lambda unit: plain(f" {unit}") if is_plain(unit) else whole(f" {unit}"), REMEMBERED)
+    def as_it_stands(text: str) -> bytes:
+        return plain(text) if is_plain(text) else whole(text)
+
+    # A unit stood after its line end, or else after a space.
+    units = Remembered(lambda unit: as_it_stands(unit if unit.startswith("\n") else f" {unit}"), REMEMBERED)
 
     def encode(text: str) -> bytes:
         pieces.turn()
         units.turn()
-        as_it_stands = plain if is_plain(text) else whole
-        if _NEXT_TO_SPACE.search(text):
+        if not _TWO_SPACES.search(text):
+            text = text.replace("\n", " \n")
+        elif _NEXT_TO_SPACE.search(text):
             return as_it_stands(text)
         first, *rest = text.split(" ")
         return as_it_stands(first) + b"".join(map(units.__getitem__, rest))
