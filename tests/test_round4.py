@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from convoy.functions.text import human_size
-from convoy.sources import readers
+from convoy.operators import ancestry
+from convoy.sources import readers, views
 
 
 def test_sizes_up_to_the_largest_unit(spark):
@@ -40,3 +42,31 @@ def test_small_dumps_share_files(spark, tmp_path):
         assert told() == sorted(map(repr, [*rows, ("r1", 1, "new"), ("r2", 1, "short"), ("ext", 1, "x"), ("ext", 2, "y")]))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_no_view_looks_at_all_later_rows_for_each_row(spark):
+    """Spark's own text of the order graph has no such frame, and the rows of the shared text."""
+    assert "UNBOUNDED FOLLOWING" not in " ".join(views.SPARK_VIEWS.values())
+    d = "/root/testdata/sf0.001"
+    shared = spark.sql(f"WITH orders AS (SELECT * FROM parquet.`{d}/orders.parquet`) {views.VIEWS['order_graph']}")
+    own = views.view(spark, d, "order_graph")
+    assert own.count() == shared.count() and own.exceptAll(shared).isEmpty()
+
+
+def test_blocks_in_any_order_give_the_same_ancestry(spark):
+    """Lines in order and in none, over many blocks, with a commit told twice: places hold, and a dump in order leaves few commits to joins."""
+    line = [("r", f"m{i}", [f"m{i - 1}"] if i else []) for i in range(200)]
+    side = [("r", f"a{i}-{k}", [f"a{i}-{k - 1}" if k else f"m{i}"]) for i in range(0, 190, 3) for k in range(3)]
+    rows = line + side + [line[7]]
+    random.Random(5).shuffle(rows)
+    schema = "repo string, sha string, parent_shas array<string>"
+    for df in (spark.createDataFrame(rows, schema).repartition(16), spark.createDataFrame(line + side, schema).coalesce(1)):
+        past = ancestry.history(df)
+        places = {r.sha: (r.chain, r.place) for r in past.places.collect()}
+        assert past.places.count() == len(places) == len(line) + len(side)
+        assert len({places[f"m{i}"][0] for i in range(200)}) == 1
+        assert [places[f"m{i}"][1] - places["m0"][1] for i in range(200)] == list(range(200))
+        known = ancestry.reached(past, spark.createDataFrame([("r", "a30-2")], "repo string, tip_commit string"))
+        branches = spark.createDataFrame([("r", s, s) for _, s, _ in line + side], "repo string, branch string, tip_sha string")
+        told = {r.branch for r in ancestry.contained(past, branches, known).where("is_ancestor").collect()}
+        assert told == {f"m{i}" for i in range(31)} | {f"a30-{k}" for k in range(3)}
