@@ -5,9 +5,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
-from convoy.sources.shared import fresh_path, materialize, remove, shared_dir
+from convoy.sources.shared import fresh_path, materialize, remove, settled, shared_dir
 
-__all__ = ["fresh_path", "materialize", "remove", "shared_dir", "shuffles_dropped"]
+__all__ = ["fresh_path", "materialize", "remove", "settled", "shared_dir", "shuffles_dropped"]
 
 
 @contextmanager

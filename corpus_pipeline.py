@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convoy.llm import bpe, exact_dedup, language_id, mixing, ngram_join
 from convoy.llm.queries import BATCH_ROWS, tokenizer_path
-from convoy.llm.shared import materialize
+from convoy.llm.shared import materialize, settled, shuffles_dropped
 
 #: The language model must prefer a language by so much; four equal ones would have a quarter each.
 LEAST_SCORE = 0.3
@@ -33,9 +33,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays; rows without an id stay."""
-    placed = ngram_join.jaccard_components(docs, NEAR)
-    gone = placed.where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays; rows without an id stay.
+
+    The join's tables, some 1.5 times the documents, go before the next stage shuffles texts.
+    """
+    copies = lambda: ngram_join.jaccard_components(docs, NEAR).where("doc_id <> component_id").select("doc_id").distinct()
+    with shuffles_dropped(spark):
+        gone = settled(spark, "near_copies", copies)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

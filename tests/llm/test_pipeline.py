@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline as C
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from test_llm import jaccard
 
 from convoy.llm.queries import tokenizer_path
+from convoy.llm.shared import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,3 +118,12 @@ def test_encoding(stages):
     assert Counter(r.doc_id for r in stages[5]) == Counter(r.doc_id for r in stages[4])
     for r in stages[5]:
         assert np.array_equal(r.token_ids, theirs.encode(texts[r.doc_id], add_special_tokens=False).ids) and r.n_tokens == len(r.token_ids)
+
+
+def test_near_copies_leave_only_their_ids(spark):
+    """What the join writes on the way would stand beside the next stage's shuffles."""
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine {i % 2}") for i in range(6)], "doc_id long, text string")
+    written = lambda: {p.parent for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet")}
+    before = written()
+    assert [r.doc_id for r in C.drop_near_copies(spark, docs, "nowhere").orderBy("doc_id").collect()] == [0, 1]
+    assert {p.name for p in written() - before} == {"near_copies"}
