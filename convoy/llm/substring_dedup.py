@@ -74,15 +74,16 @@ def _selected(grams: np.ndarray, gram_bounds: np.ndarray, bounds: np.ndarray, ho
     return (least[gram_bounds[text] + start] & _PLACE).astype(np.int64), text, start
 
 
-def _listed(key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Settled places (kind 1): one row for each key, dealt by it."""
+def _listed(key: np.ndarray, at: np.ndarray, beside: int | None = None) -> pa.RecordBatch:
+    """Settled places (kind 1): one row for each key, dealt by it, or kept where the hash `beside` lies."""
     by = np.argsort(key, kind="stable")
     key, at = key[by], at[by]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     m = len(first)
     keys, zeros = pa.array(key[first]), np.zeros(m, np.int64)
+    hashes = keys if beside is None else pa.array(np.full(m, beside))
     places = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), pa.array(at.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), keys, pa.array(zeros), keys, pa.array(zeros.astype(np.int32)), pa.array(zeros), places], names=_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int8)), hashes, pa.array(zeros), keys, pa.array(zeros.astype(np.int32)), pa.array(zeros), places], names=_NAMES)
 
 
 def _single(h1: np.ndarray, h2: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -143,7 +144,8 @@ def _meet(rows: DataFrame, parts: int, keep_index: bool) -> DataFrame:
             group = np.cumsum(new) - 1
             total = np.bincount(group, n)[group].astype(np.int64)
             again = (kind == 0) & (total > 1)
-            yield _listed(key[again], at[again])
+            # Of this task's bucket: by their keys they would go to all buckets, in a file for each.
+            yield _listed(key[again], at[again], int(h1[0]))
             yield batch.filter(pa.array(kind == 1))
             if keep_index:
                 one = new & (kind == 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -248,3 +249,16 @@ def test_frequent_words_are_answered_where_they_are_read(spark):
     counted = spark.createDataFrame([(5, 600, 1.0, 2.0), (9, 400, 3.0, 4.0), (7, 1, 0.0, 0.0)], "k long, c long, x double, y double")
     k, x, y = lm.hot_weights(counted, 5_000, lm.Order())
     assert (k.tolist(), x.tolist(), y.tolist()) == ([5, 9], [1.0, 3.0], [2.0, 4.0])
+
+
+def test_settled_places_are_one_file_to_a_bucket(spark):
+    """By their keys each would be written to a bucket of its own: a file for nearly every row."""
+    from convoy.llm import substring_dedup
+    from convoy.llm.shared import fresh_path
+
+    rows = spark.createDataFrame([(i, " ".join(f"w{i % 40}x{j}" for j in range(30))) for i in range(80)], "key long, text string")
+    index = substring_dedup.FingerprintIndex(spark, substring_dedup.Windows(window=12, gram=5, buckets=8), fresh_path(spark, "own_index"))
+    assert {r.key for r in index.add(rows).collect()} == set(range(80))
+    root = Path(index.path.removeprefix("file:"))
+    assert 0 < len(list(root.glob("run-*/kind=1/*.parquet"))) <= 8
+    index.close()
