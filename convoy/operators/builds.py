@@ -98,10 +98,13 @@ def suite_verdict(runs: DataFrame, expected: DataFrame, containers: DataFrame) -
     were found; containers: (run_id, file), the files that ran. Files that ran without being expected are no fault.
     A run that only expected names has no result.
     """
-    lost = expected.select("run_id", "file").distinct().join(containers.select("run_id", "file"), ["run_id", "file"], "left_anti")
-    missing = lost.groupBy("run_id").agg(F.array_sort(F.collect_list("file")).alias("missing"))
-    every = runs.select("run_id").unionByName(expected.select("run_id")).distinct()
-    per = every.join(runs, "run_id", "left").join(missing, "run_id", "left")
+    # One row per file and one per run: no join holds both sides' files at once. A null name is equal to none.
+    both = expected.select("run_id", "file", F.lit(True).alias("wanted"), F.lit(False).alias("ran")).unionByName(containers.select("run_id", "file", F.lit(False).alias("wanted"), F.lit(True).alias("ran")))
+    files = both.groupBy("run_id", "file").agg(F.max("wanted").alias("wanted"), (F.max("ran") & F.col("file").isNotNull()).alias("ran")).where("wanted")
+    lost = ~F.col("ran") & F.col("run_id").isNotNull()
+    names = F.array_sort(F.collect_list(F.when(lost, F.col("file"))))
+    found = files.groupBy("run_id").agg(F.when(F.max(lost), names).alias("missing"))
+    per = found.join(runs, "run_id", "full")
     none = F.col("result").isNull()
     reasons = [
         (none, "no-result"),

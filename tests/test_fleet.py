@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 import pytest
@@ -359,6 +360,16 @@ def test_suite_verdict_names_missing_files(spark):
     }
 
 
+def test_suite_verdict_takes_files_by_aggregation(spark):
+    """The files of both sides are one aggregation and meet in no join; names that are null are equal to none."""
+    runs = spark.createDataFrame([("r", 3, 0, "Passed"), ("only", 1, 0, "Passed")], "run_id string, total int, failed int, result string")
+    expected = spark.createDataFrame([("r", "a"), ("r", None), ("x", "b")], "run_id string, file string")
+    got = builds.suite_verdict(runs, expected, expected)
+    assert {r.run_id: (r.reasons, r.missing) for r in got.collect()} == {"r": (["missing-files"], []), "only": ([], []), "x": (["no-result"], [])}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\bJoin ", plan)) == 1
+
+
 def test_totals_tell_why_nothing_moves(spark):
     ops = spark.createDataFrame([("r", "A", "a", None), ("r", "A", "b", None), ("r", "D", "c", None)], "repo string, op string, path string, old_path string")
     repos = spark.createDataFrame([("r", "v1", "v2"), ("same", "v2", "v2"), ("moved", "v1", "v2"), ("unknown", None, None)], "repo string, anchor_label string, tip_label string")
