@@ -70,7 +70,10 @@ def _lined(files: DataFrame, contents: DataFrame) -> DataFrame:
     # Only contents that are asked for go on, each once.
     texts = contents.select("blob", "content").join(files.select("blob").distinct(), "blob", "left_semi").dropDuplicates(["blob"])
     text = eol_normalize(F.col("content"))
-    each = files.join(texts, "blob").select("repo", "side", "path", (F.length(text) + 1).cast("long").alias("total"), F.explode(F.split(text, "\n")).alias("text"))
+    whole = files.join(texts, "blob").select("repo", "side", "path", text.alias("text"))
+    # The total is taken before lines part; else it would go over the whole text again for each line.
+    whole = whole.select("repo", "side", "path", (F.length("text") + 1).cast("long").alias("total"), F.split("text", "\n").alias("lines"))
+    each = whole.select("repo", "side", "path", "total", F.explode("lines").alias("text"))
     return each.groupBy("repo", "side", "path", "total", F.xxhash64("text").alias("line"), F.length("text").alias("width")).agg(F.count(F.lit(1)).alias("n"))
 
 

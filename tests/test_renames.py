@@ -113,6 +113,14 @@ def test_a_line_of_all_files_forms_no_pair(spark):
     assert met == 0 and first.groupBy("repo", "side", "path").count().count() == n
 
 
+def test_a_text_is_measured_once_and_not_for_each_line(spark):
+    files = spark.createDataFrame([("r", "D", "p", "b")], "repo string, side string, path string, blob string")
+    lined = snapshots._lined(files, spark.createDataFrame([("b", "one\r\ntwo\ntwo")], "blob string, content string"))
+    assert sorted((r.total, r.width, r.n) for r in lined.collect()) == [(12, 3, 1), (12, 3, 2)]
+    above = lined._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "Aggregate" in above and "content" not in above and "regexp_replace" not in above
+
+
 def test_interleaved_scores_take_few_rounds(spark, monkeypatch):
     """A chain in which each pair waits for the one before: settled at once, or in rounds where pairs are many."""
     pairs = [("r", f"o{i:02}", f"n{i + k:02}", 1.0 - (2 * i + k) / 100) for i in range(20) for k in (0, 1)]
