@@ -23,15 +23,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.llm.shared import materialize, shuffles_dropped
+from convoy.llm.shared import materialize, settled, shuffles_dropped
 from convoy.llm.text import U64, from_binary, mix64, raw, slices, spans, word_hashes
 
 #: Words that a task counts before it hands on.
 FLUSH = 2_000_000
 #: Words of the corpus for each part of the n-grams.
 PART = 2_000_000
-#: A power of two. Pairs and triples are dealt in so many rounds, each with its share of the keys: a bound on shuffle files at one time.
-ROUNDS = 2
+#: Powers of two, by n. N-grams are dealt in so many rounds, each with its share of the keys: a bound on shuffle files at one time. A round reads all texts.
+COUNT_ROUNDS = {1: 1, 2: 1, 3: 2}
+SUM_ROUNDS = {1: 1, 2: 2, 3: 2}
+#: Bytes of text that are hashed at a time: what that takes stays near the core.
+NEAR = 512 << 10
 #: Texts of a block, and of one slice of a batch: together below 2^16.
 MOST_TEXTS, BATCH_TEXTS = 50_000, 10_000
 #: Rows of a batch of counted n-grams.
@@ -98,7 +101,7 @@ class Automaton:
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = raw(batch.column("_text"))
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, NEAR):
         s, e, bounds = spans(data, offsets[i : j + 1])
         yield i, j, word_hashes(data, s, e, lower=True), bounds
 
@@ -243,16 +246,17 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray,
         yield held
 
 
-def _block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, left, right, text) of the block's n-grams that are dealt in this round."""
+def _block(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int, turn: int, rounds: int, *, sides: bool) -> tuple[np.ndarray, ...]:
+    """(key, text) of the block's n-grams that are dealt in this round, or with their sides (key, left, right)."""
     found, before = [], 0
     for words, bounds, keys, _ in held:
         left, right, text = grams(words, bounds, n)
         key = _key(left, right, n)
-        if n > 1:
-            now = key % U64(ROUNDS) == turn
-            key, left, right, text = key[now], left[now], right[now], text[now]
-        found.append((key, left, right, (text + before).astype(np.uint16)))
+        columns = (key, left, right) if sides else (key, (text + before).astype(np.uint16))
+        if rounds > 1:
+            now = key & U64(rounds - 1) == turn
+            columns = tuple(c[now] for c in columns)
+        found.append(columns)
         before += len(keys)
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
@@ -265,7 +269,7 @@ def count_grams(rows: DataFrame, n: int, least: int, parts: int, turn: int = 0)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
-            key, left, right, _ = _block(held, n, turn)
+            key, left, right = _block(held, n, turn, COUNT_ROUNDS[n], sides=True)
             by = np.argsort(key)
             key, left, right = key[by], left[by], right[by]
             at = _starts(key)
@@ -307,9 +311,9 @@ def hot_weights(weights: DataFrame, total: int, order: Order) -> tuple[np.ndarra
 
 
 def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: int = 0, hot: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """(key, x, y, found, times): the weights x and y of each row's n-grams in the table (k, x, y), added up.
+    """(key, x, y, found, grams, times): the weights x and y of each row's n-grams in the table (k, x, y), added up.
 
-    found counts the n-grams that are in the table, times the rows of one key. Rows' n-grams meet
+    found counts the n-grams that are in the table, grams all of this round, times the rows of one key. Rows' n-grams meet
     the table in parts by the key's hash; what a part adds up goes back to the block of rows. Frequent
     n-grams, of which `hot` has the weights, don't travel: each block adds them up itself.
     """
@@ -334,25 +338,31 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
-            key, _, _, text = _block(held, n, turn)
+            key, text = _block(held, n, turn, SUM_ROUNDS[n], sides=False)
             rows_of = np.concatenate([h[2] for h in held])
             block = int(mix64(rows_of + np.arange(len(rows_of), dtype=U64)).sum(dtype=U64).view(np.int64))
-            place = _ids(hot_k, key)
-            here = place >= 0
-            own_sums = added(text[here], hot_x[place[here]], hot_y[place[here]])
-            key, text = key[~here], text[~here]
+            grams_of = np.bincount(text, minlength=len(rows_of)).astype(np.uint32)
             by = np.argsort(key)
             key, text = key[by], text[by]
             at = _starts(key)
-            cut = _cells(_place(key, parts), parts)
             own, times = key[at], np.diff(np.append(at, len(key))).astype(np.uint32)
+            # The few frequent ones are looked for among the block's, in place of each of the block's among them.
+            place = np.full(len(own), -1)
+            met = np.flatnonzero(_ids(own, hot_k) >= 0)
+            place[_ids(own, hot_k[met])] = met
+            here = place >= 0
+            everywhere = np.repeat(here, times)
+            hot_of = np.repeat(place[here], times[here])
+            own_sums = added(text[everywhere], hot_x[hot_of], hot_y[hot_of])
+            own, times, text = own[~here], times[~here], text[~everywhere]
+            cut = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])[_cells(_place(own, parts), parts)]
             start = _cells(_place(own, parts), parts)
             has = np.flatnonzero(np.diff(start)).tolist()
-            # The rows' keys, and what is added up already, pass through any part.
+            # The rows' keys and sizes, and what is added up already, pass through any part.
             through = [block % parts] * 2
             cells = [
                 [*(own[start[p] : start[p + 1]].tobytes() for p in has), rows_of.tobytes(), own_sums[0].tobytes()],
-                [*(times[start[p] : start[p + 1]].tobytes() for p in has), None, None],
+                [*(times[start[p] : start[p + 1]].tobytes() for p in has), grams_of.tobytes(), None],
                 [*(text[cut[p] : cut[p + 1]].tobytes() for p in has), None, b"".join(v.tobytes() for v in own_sums[1:])],
             ]
             yield pa.RecordBatch.from_arrays([pa.array([*has, *through], pa.int32()), pa.array([block] * (len(has) + 2), pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=names)
@@ -376,7 +386,7 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
             k, x, y = table_of
             for row in asked.select(["block", "a", "b", "c"]).to_pylist():
                 if row["c"] is None:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([row["a"]], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(4))], names=back)
+                    yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), *(pa.array([row[c]], pa.binary()) for c in ("a", "b")), *(pa.nulls(1, pa.binary()) for _ in range(3))], names=back)
                     continue
                 if row["b"] is None:
                     m = len(row["a"]) // 2
@@ -391,6 +401,7 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's answers by text; the texts' keys come once for each block of the same rows."""
         keys: dict[int, np.ndarray] = {}
+        grams_of: dict[int, np.ndarray] = {}
         times: dict[int, int] = {}
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -398,6 +409,7 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
                 i = row["block"]
                 if row["rows"] is not None:
                     keys[i] = np.frombuffer(row["rows"], U64)
+                    grams_of[i] = np.frombuffer(row["t"], np.uint32).astype(np.int64)
                     times[i] = times.get(i, 0) + 1
                     continue
                 at = np.frombuffer(row["t"], np.uint16)
@@ -407,16 +419,16 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
                         into[j, at] += np.frombuffer(row[c], kind)
         for i, own in keys.items():
             x, y, found = sums.pop(i, np.zeros((3, len(own))))[:, : len(own)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(x), pa.array(y), pa.array(found.astype(np.int64)), pa.array(np.full(len(own), times[i]))], names=["key", "x", "y", "found", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(x), pa.array(y), pa.array(found.astype(np.int64)), pa.array(grams_of[i] * times[i]), pa.array(np.full(len(own), times[i]))], names=["key", "x", "y", "found", "grams", "times"])
 
     names, back = ["p", "block", "a", "b", "c"], ["block", "rows", "t", "x", "y", "f"]
     schema = "p int, block long, a binary, b binary, c binary"
     asked = rows.select("_text", "_key", "_out").mapInArrow(ask, schema)
-    if n > 1:
-        weights = weights.where(F.pmod(F.col("k"), F.lit(ROUNDS)) == turn)
+    if SUM_ROUNDS[n] > 1:
+        weights = weights.where(F.pmod(F.col("k"), F.lit(SUM_ROUNDS[n])) == turn)
     met = weights.select("k", "x", "y").mapInArrow(table, schema).unionByName(asked).repartition(parts, "p").sortWithinPartitions(F.col("block").asc_nulls_first())
     answers = met.mapInArrow(answer, "block long, rows binary, t binary, x binary, y binary, f binary")
-    return answers.repartition(parts, "block").mapInArrow(add, "key long, x double, y double, found long, times long")
+    return answers.repartition(parts, "block").mapInArrow(add, "key long, x double, y double, found long, grams long, times long")
 
 
 def _log_of(p: Column) -> Column:
@@ -429,24 +441,29 @@ def _backoff(arcs: DataFrame, shorter: str) -> DataFrame:
     return arcs.groupBy("l").agg(_log_of(left / rest).alias("b"))
 
 
-def _rounds(table_of: Callable[[int], DataFrame], n: int, name: str) -> DataFrame:
+def _rounds(table_of: Callable[[int], DataFrame], rounds: int, name: str) -> DataFrame:
     """The rounds' tables, each written before the next one starts."""
-    return reduce(DataFrame.unionByName, [materialize(table_of(turn), f"{name}_{n}") for turn in range(ROUNDS if n > 1 else 1)])
+    return reduce(DataFrame.unionByName, [materialize(table_of(turn), name) for turn in range(rounds)])
 
 
 def _weights(rows: DataFrame, words: DataFrame, one: Column, order: Order, parts: int) -> list[DataFrame]:
     """Tables (k, c, x, y) for words, pairs and triples. words: (k, c). one: a word's probability by its c."""
+    spark = rows.sparkSession
     words = words.withColumn("p1", one)
-    pairs = _rounds(lambda turn: count_grams(rows, 2, order.least, parts, turn), 2, "lm_counted")
-    pairs = pairs.join(words.select(F.col("k").alias("r"), "p1"), "r").join(words.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
-    two = materialize(pairs.select("k", "l", "c", "p1", ((F.col("c") - order.discount) / F.col("of")).alias("p")), "lm_pairs")
+
+    def discounted(n: int, shorter: DataFrame, of: DataFrame, own: str) -> DataFrame:
+        """(k, l, c, own, p): counted n-grams, with own of what is right in them and their share of what is left."""
+        counted = _rounds(lambda turn: count_grams(rows, n, order.least, parts, turn), COUNT_ROUNDS[n], f"lm_counted_{n}")
+        both = counted.join(shorter, "r").join(of.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
+        return both.select("k", "l", "c", own, ((F.col("c") - order.discount) / F.col("of")).alias("p"))
+
+    # What was counted goes once it is joined, so that the disk holds it and the later rounds' shuffles at no time.
+    two = settled(spark, "lm_pairs", lambda: discounted(2, words.select(F.col("k").alias("r"), "p1"), words, "p1"))
     context = _backoff(two, "p1").select(F.col("l").alias("k"), "b")
     own = words.join(context, "k", "left").select("k", "c", F.coalesce("b", F.lit(0.0)).alias("b"), _log_of(F.col("p1")).alias("y"))
     first = materialize(own.select("k", "c", "b", (F.col("y") + F.col("b")).alias("x"), "y"), "lm_word_weights")
-    triples = _rounds(lambda turn: count_grams(rows, 3, order.least, parts, turn), 3, "lm_counted")
     # A kept triple's two pairs are kept, as they are at least as frequent.
-    triples = triples.join(two.select(F.col("k").alias("r"), F.col("p").alias("p2")), "r").join(two.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
-    three = materialize(triples.select("k", "l", "c", "p2", ((F.col("c") - order.discount) / F.col("of")).alias("p")), "lm_triples")
+    three = settled(spark, "lm_triples", lambda: discounted(3, two.select(F.col("k").alias("r"), F.col("p").alias("p2")), two, "p2"))
     longer = materialize(_backoff(three, "p2"), "lm_pair_backoffs")
     fails = F.col("b") + _log_of(F.col("p1"))
     second = two.join(first.select(F.col("k").alias("l"), "b"), "l").join(longer.select(F.col("l").alias("k"), F.col("b").alias("b2")), "k", "left")
@@ -478,25 +495,17 @@ def score_documents(docs: DataFrame, held_out: Column, order: Order = Order(), i
         added = []
         for n, table in enumerate(_weights(keyed, counts.unionByName(end), one, order, parts), 1):
             hot = hot_weights(table, total, order)
-            added.append(_rounds(lambda turn, n=n, table=table, hot=hot: sum_weights(keyed, table, n, parts, turn, hot), n, "lm_sums"))
+            added.append(_rounds(lambda turn, n=n, table=table, hot=hot: sum_weights(keyed, table, n, parts, turn, hot), SUM_ROUNDS[n], f"lm_sums_{n}"))
     zero = F.lit(0).cast("long")
-    added[1:] = [df.withColumns({"found": zero, "times": zero}) for df in added[1:]]
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = raw(batch.column("_text"))
-            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(spans(data, offsets[i : j + 1])[2]) for i, j in slices(offsets))])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_out"), batch.column("_key"), pa.array(n + 1)], names=["_id", "_out", "_key", "n_tokens"])
-
-    sized = keyed.mapInArrow(sizes, f"_id {docs.schema[id_col].dataType.simpleString()}, _out boolean, _key long, n_tokens long")
-    sums = added[0].unionByName(added[1]).unionByName(added[2]).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("x", "y", "found", "times")))
-    out = sized.join(sums, F.col("_key") == F.col("key"))
-    known = (F.col("found") / F.col("times")).cast("long")
-    rest = (F.col("n_tokens") - known) * F.lit(unseen)
+    added[1:] = [df.withColumns({"found": zero, "grams": zero, "times": zero}) for df in added[1:]]
+    sums = added[0].unionByName(added[1]).unionByName(added[2]).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("x", "y", "found", "grams", "times")))
+    out = keyed.select("_id", "_out", "_key").join(sums, F.col("_key") == F.col("key"))
+    tokens, known = ((F.col(c) / F.col("times")).cast("long") for c in ("grams", "found"))
+    rest = (tokens - known) * F.lit(unseen)
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_out").alias("held_out"),
-        "n_tokens",
+        tokens.alias("n_tokens"),
         known.alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("y") / F.col("times") + rest).alias("base_score"),
