@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from convoy.llm.pieces import Remembered, is_plain, plain_pattern
+from convoy.llm.shared import give_back, lean
 from convoy.llm.text import raw, slices
 
 #: Units, and pieces, that a worker has at hand; those used since the last turn stay for the next.
@@ -125,7 +126,9 @@ class WordBpe:
 
 @cache
 def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    made = WordBpe(path)
+    give_back()  # reading the file takes twice what is kept
+    return made
 
 
 def _by_slice(bpe: WordBpe, batches: Iterator[pa.RecordBatch], column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +155,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         return _by_slice(bpe, batches, text_col, work)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def decode_ids(tokens: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
@@ -169,7 +172,7 @@ def decode_ids(tokens: DataFrame, path: str, ids_col: str = "token_ids") -> Data
                 texts = [bpe.decode(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
+    return tokens.mapInArrow(lean(run), T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,4 +190,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         return _by_slice(bpe, batches, text_col, work)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)

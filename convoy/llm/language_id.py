@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from convoy.llm.shared import lean
 from convoy.llm.text import mix64
 
 U64 = np.uint64
@@ -104,12 +105,12 @@ def fit(labelled: DataFrame, how: Fit = Fit(), id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("_label"), batch.column("_draw"), pa.array(bits, pa.binary())], names=["label", "draw", "bits"])
 
     schema = "label string, draw long, bits binary"
-    got = sample.select("_text", "_label", "_draw").mapInArrow(read, schema).dropDuplicates(["label", "draw"]).collect()
+    got = sample.select("_text", "_label", "_draw").mapInArrow(lean(read), schema).dropDuplicates(["label", "draw"]).collect()
     missed = {r["_label"] for r in counts} - {r["label"] for r in got if any(r["bits"])}
     if missed:
         # A label of few different rows: the first of them.
         first = rows.where(F.col("_label").isin(sorted(missed))).groupBy("_label").agg(F.min_by("_text", draw).alias("_text"), F.min(draw).alias("_draw"))
-        got += first.select("_text", "_label", "_draw").mapInArrow(read, schema).collect()
+        got += first.select("_text", "_label", "_draw").mapInArrow(lean(read), schema).collect()
     chosen: dict[str, list[bytes]] = {}
     for r in sorted(got, key=lambda r: (r["draw"] % (1 << 30), r["draw"], r["bits"])):
         if any(r["bits"]) and len(own := chosen.setdefault(r["label"], [])) < each:
@@ -161,4 +162,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names_out, pa.string()), pa.array(score)], names=[*keep, *names])
 
     schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.select(*keep, F.col(text_col).alias("_text_in")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text_in")).mapInArrow(lean(run), schema)

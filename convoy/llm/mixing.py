@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from convoy.llm.shared import materialize
+from convoy.llm.shared import lean, materialize
 from convoy.llm.text import U64, mix64, ragged
 
 #: Fixed: the weights that sources take in turn, in code-point order, null last.
@@ -250,7 +250,7 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_
             T.StructField("draws", T.ArrayType(item)),
         ]
     )
-    return line.rows.select(*[_P + c for c in ("id", "size", "source", "source_size", "target", "s", "start", "first")]).mapInArrow(draw, schema)
+    return line.rows.select(*[_P + c for c in ("id", "size", "source", "source_size", "target", "s", "start", "first")]).mapInArrow(lean(draw), schema)
 
 
 def mixed_shards(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -274,7 +274,7 @@ def mixed_shards(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(draws[3].astype(np.int32)), pa.array(order)], names=names)
 
     names = schema.names
-    drawn = line.rows.select(*docs.columns, *[_P + c for c in ("size", "s", "start", "first", "place")]).mapInArrow(draw, schema)
+    drawn = line.rows.select(*docs.columns, *[_P + c for c in ("size", "s", "start", "first", "place")]).mapInArrow(lean(draw), schema)
     parts = max(1, -(-int(ends[-1].sum()) * mix.block_words // mix.part_words)) if ends.size else 1
     # Several partitions to a shard where it is large; several shards to one where they are small.
     per_shard = -(-parts // mix.shards)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from convoy.llm.components import components
-from convoy.llm.shared import materialize, shuffles_dropped
+from convoy.llm.shared import lean, materialize, shuffles_dropped
 from convoy.llm.text import U64, binary_column, from_binary, mix64, raw, sequence_hashes, slices, spans, word_hashes
 
 
@@ -126,7 +126,7 @@ def _frequent(docs: DataFrame, how: Likeness) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    counts = materialize(docs.select("_text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "ngram_frequent")
+    counts = materialize(docs.select("_text").mapInArrow(lean(count), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")), "ngram_frequent")
     # From which count on there are at most known_heavy: from the counts' own few values.
     above, least = 0, 1
     for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():
@@ -168,7 +168,7 @@ def _features(docs: DataFrame, how: Likeness, heavy: tuple[np.ndarray, np.ndarra
                     names=["_id", "n", "k1", "k2", "first"],
                 )
 
-    return docs.mapInArrow(run, "_id long, n long, k1 long, k2 long, first binary")
+    return docs.mapInArrow(lean(run), "_id long, n long, k1 long, k2 long, first binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _postings(classes: DataFrame) -> DataFrame:
             ids, n = batch.column("id").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids[row]), pa.array(n[row].astype(np.int32)), pa.array((np.arange(len(flat)) - bounds[row]).astype(np.int32))], names=["g", "id", "n", "place"])
 
-    return classes.select("id", "n", "first").mapInArrow(run, "g long, id long, n int, place int")
+    return classes.select("id", "n", "first").mapInArrow(lean(run), "g long, id long, n int, place int")
 
 
 def _shared_only(postings: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def _shared_only(postings: DataFrame) -> DataFrame:
         if held is not None and last == held.column("g")[0].as_py():
             yield held
 
-    return postings.repartition("g").sortWithinPartitions("g").mapInArrow(run, postings.schema)
+    return postings.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), postings.schema)
 
 
 def _can_meet(postings: DataFrame, how: Likeness) -> DataFrame:
@@ -240,10 +240,10 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, shared_ids: DataFrame | None
 
     keys = wanted.select("id", "_id", "k1", "k2")
     if shared_ids is None:
-        return docs.join(few(keys.select("id", "_id")), "_id").select("id", "_text").mapInArrow(sets, "id long, set binary")
-    one = docs.join(few(keys.join(shared_ids, "_id", "left_anti").select("id", "_id")), "_id").select("id", "_text").mapInArrow(sets, "id long, set binary")
+        return docs.join(few(keys.select("id", "_id")), "_id").select("id", "_text").mapInArrow(lean(sets), "id long, set binary")
+    one = docs.join(few(keys.join(shared_ids, "_id", "left_anti").select("id", "_id")), "_id").select("id", "_text").mapInArrow(lean(sets), "id long, set binary")
     theirs = keys.join(shared_ids, "_id", "left_semi")
-    rows = docs.join(few(theirs.select("_id").distinct()), "_id").mapInArrow(keyed, "_id long, k1 long, k2 long, set binary")
+    rows = docs.join(few(theirs.select("_id").distinct()), "_id").mapInArrow(lean(keyed), "_id long, k1 long, k2 long, set binary")
     more = rows.join(theirs, ["_id", "k1", "k2"]).select("id", "set").dropDuplicates(["id"])
     return one.unionByName(more)
 
@@ -280,7 +280,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")).join(_few(pairs, pairs.count(), how), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def _held_against(chosen: DataFrame, sets: DataFrame, how: Likeness) -> DataFrame:
@@ -311,7 +311,7 @@ def _held_against(chosen: DataFrame, sets: DataFrame, how: Likeness) -> DataFram
     hubs = hubs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     dealt = chosen.join(copies, "hub").withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")).drop("copies")
     both = sets.join(_few(dealt, chosen.count(), how), "id").join(hubs, ["hub", "copy"]).select("id", "hub", "set", "hub_set")
-    return both.mapInArrow(run, "id long, hub long, n long, nh long, linked boolean, r long, diff binary")
+    return both.mapInArrow(lean(run), "id long, hub long, n long, nh long, linked boolean, r long, diff binary")
 
 
 def _differences(against: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -325,7 +325,7 @@ def _differences(against: DataFrame, names: tuple[str, ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *rest.columns], names=["e", *names])
 
     types = {c: t for c, t in against.dtypes}
-    return against.select(*names, "diff").mapInArrow(run, ", ".join(["e long", *(f"{c} {types[c]}" for c in names)]))
+    return against.select(*names, "diff").mapInArrow(lean(run), ", ".join(["e long", *(f"{c} {types[c]}" for c in names)]))
 
 
 def _families(against: DataFrame, sets: DataFrame, how: Likeness) -> tuple[DataFrame, DataFrame]:

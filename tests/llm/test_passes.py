@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
 import time
 from pathlib import Path
 
@@ -10,6 +12,32 @@ from pyspark.sql import functions as F
 from convoy.llm import lm
 from convoy.llm.shared import shared_dir
 
+HELD = """
+import re
+from convoy.llm.shared import lean
+
+def own():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+kept = []
+
+def run(batches):
+    # What stays lies behind what goes, so that C's allocator can't shorten its heap by itself.
+    gone = [bytes(1_000) for _ in range(100_000)]
+    kept.append(bytes(1_000))
+    yield from batches
+
+before = own()
+assert list(lean(run)(iter([1, 2]))) == [1, 2]
+print(own() - before)
+"""
+
+
+def test_a_worker_gives_back_what_its_task_used():
+    said = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(said.stdout) < 30  # of some 100 MB
+
+
 def test_lm_keeps_no_counts_and_tells_sizes_with_the_words(spark):
     rows = [(i, f"the cat sat on the mat {i % 3}") for i in range(40)] + [(7, "the cat sat on the mat 1"), (50, None), (51, "")]
     start = time.time()
