@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from convoy.llm.shared import materialize, settled, shuffles_dropped
+from convoy.llm.shared import fresh_path, materialize, scratch, settled, shuffles_dropped
 from convoy.llm.text import U64, from_binary, mix64, raw, slices, spans, word_hashes
 
 #: Words that a task counts before it hands on.
@@ -32,7 +32,7 @@ FLUSH = 2_000_000
 PART = 2_000_000
 #: Powers of two, by n. N-grams are dealt in so many rounds, each with its share of the keys: a bound on shuffle files at one time. A round reads all texts.
 COUNT_ROUNDS = {1: 1, 2: 1, 3: 2}
-SUM_ROUNDS = {1: 1, 2: 2, 3: 2}
+SUM_ROUNDS = {1: 1, 2: 1, 3: 1}
 #: Bytes of text that are hashed at a time: what that takes stays near the core.
 NEAR = 512 << 10
 #: Texts of a block, and of one slice of a batch: together below 2^16.
@@ -221,6 +221,21 @@ def _starts(ascending: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _ascending(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in ascending order, and the keys in it.
+
+    One number holds a key's upper bits and its place, as numbers sort faster than places by a key. Should two keys differ
+    in lower bits alone and come out of order, the keys themselves are sorted.
+    """
+    bits = U64(len(key).bit_length())
+    by = (np.sort((key >> bits << bits) | np.arange(len(key), dtype=U64)) & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    found = key[by]
+    if np.any(found[1:] < found[:-1]):
+        by = np.argsort(key)
+        found = key[by]
+    return by, found
+
+
 def _place(key: np.ndarray, parts: int) -> np.ndarray:
     """The part of each key; ascends with the keys."""
     return (((key >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int32)
@@ -270,8 +285,8 @@ def count_grams(rows: DataFrame, n: int, least: int, parts: int, turn: int = 0)
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _held(batches):
             key, left, right = _block(held, n, turn, COUNT_ROUNDS[n], sides=True)
-            by = np.argsort(key)
-            key, left, right = key[by], left[by], right[by]
+            by, key = _ascending(key)
+            left, right = left[by], right[by]
             at = _starts(key)
             c = np.diff(np.append(at, len(key))).astype(np.uint32)
             left, right, cut = left[at], right[at], _cells(_place(key[at], parts), parts)
@@ -289,8 +304,8 @@ def count_grams(rows: DataFrame, n: int, least: int, parts: int, turn: int = 0)
         if not len(left):
             return
         key = _key(left, right, n)
-        by = np.argsort(key)
-        at = _starts(key[by])
+        by, ascending = _ascending(key)
+        at = _starts(ascending)
         total = np.add.reduceat(c[by].astype(np.int64), at)
         keep = total >= least
         first, total = by[at][keep], total[keep]
@@ -342,8 +357,8 @@ def sum_weights(rows: DataFrame, weights: DataFrame, n: int, parts: int, turn: i
             rows_of = np.concatenate([h[2] for h in held])
             block = int(mix64(rows_of + np.arange(len(rows_of), dtype=U64)).sum(dtype=U64).view(np.int64))
             grams_of = np.bincount(text, minlength=len(rows_of)).astype(np.uint32)
-            by = np.argsort(key)
-            key, text = key[by], text[by]
+            by, key = _ascending(key)
+            text = text[by]
             at = _starts(key)
             own, times = key[at], np.diff(np.append(at, len(key))).astype(np.uint32)
             # The few frequent ones are looked for among the block's, in place of each of the block's among them.
@@ -447,9 +462,14 @@ def _rounds(table_of: Callable[[int], DataFrame], rounds: int, name: str) -> Dat
 
 
 def _weights(rows: DataFrame, words: DataFrame, one: Column, order: Order, parts: int) -> list[DataFrame]:
-    """Tables (k, c, x, y) for words, pairs and triples. words: (k, c). one: a word's probability by its c."""
+    """Tables (k, c, x, y) for words, pairs and triples, written. words: (k, c). one: a word's probability by its c."""
     spark = rows.sparkSession
     words = words.withColumn("p1", one)
+    paths = [fresh_path(spark, f"lm_weights_{n}") for n in (1, 2, 3)]
+
+    def kept(n: int, df: DataFrame) -> DataFrame:
+        df.write.parquet(paths[n - 1])
+        return spark.read.schema(df.schema).parquet(paths[n - 1])
 
     def discounted(n: int, shorter: DataFrame, of: DataFrame, own: str) -> DataFrame:
         """(k, l, c, own, p): counted n-grams, with own of what is right in them and their share of what is left."""
@@ -457,18 +477,20 @@ def _weights(rows: DataFrame, words: DataFrame, one: Column, order: Order, parts
         both = counted.join(shorter, "r").join(of.select(F.col("k").alias("l"), F.col("c").alias("of")), "l")
         return both.select("k", "l", "c", own, ((F.col("c") - order.discount) / F.col("of")).alias("p"))
 
-    # What was counted goes once it is joined, so that the disk holds it and the later rounds' shuffles at no time.
-    two = settled(spark, "lm_pairs", lambda: discounted(2, words.select(F.col("k").alias("r"), "p1"), words, "p1"))
-    context = _backoff(two, "p1").select(F.col("l").alias("k"), "b")
-    own = words.join(context, "k", "left").select("k", "c", F.coalesce("b", F.lit(0.0)).alias("b"), _log_of(F.col("p1")).alias("y"))
-    first = materialize(own.select("k", "c", "b", (F.col("y") + F.col("b")).alias("x"), "y"), "lm_word_weights")
-    # A kept triple's two pairs are kept, as they are at least as frequent.
-    three = settled(spark, "lm_triples", lambda: discounted(3, two.select(F.col("k").alias("r"), F.col("p").alias("p2")), two, "p2"))
-    longer = materialize(_backoff(three, "p2"), "lm_pair_backoffs")
-    fails = F.col("b") + _log_of(F.col("p1"))
-    second = two.join(first.select(F.col("k").alias("l"), "b"), "l").join(longer.select(F.col("l").alias("k"), F.col("b").alias("b2")), "k", "left")
-    second = second.select("k", "c", (_log_of(F.col("p")) - fails + F.coalesce("b2", F.lit(0.0))).alias("x"), F.lit(0.0).alias("y"))
-    third = three.join(longer, "l").select("k", "c", (_log_of(F.col("p")) - F.col("b") - _log_of(F.col("p2"))).alias("x"), F.lit(0.0).alias("y"))
+    # The weights stay, so that each is joined once; what led to them goes before the texts ask for them.
+    with scratch(spark):
+        # What was counted goes once it is joined, so that the disk holds it and the later rounds' shuffles at no time.
+        two = settled(spark, "lm_pairs", lambda: discounted(2, words.select(F.col("k").alias("r"), "p1"), words, "p1"))
+        context = _backoff(two, "p1").select(F.col("l").alias("k"), "b")
+        own = words.join(context, "k", "left").select("k", "c", F.coalesce("b", F.lit(0.0)).alias("b"), _log_of(F.col("p1")).alias("y"))
+        first = kept(1, own.select("k", "c", "b", (F.col("y") + F.col("b")).alias("x"), "y"))
+        # A kept triple's two pairs are kept, as they are at least as frequent.
+        three = settled(spark, "lm_triples", lambda: discounted(3, two.select(F.col("k").alias("r"), F.col("p").alias("p2")), two, "p2"))
+        longer = materialize(_backoff(three, "p2"), "lm_pair_backoffs")
+        fails = F.col("b") + _log_of(F.col("p1"))
+        second = two.join(first.select(F.col("k").alias("l"), "b"), "l").join(longer.select(F.col("l").alias("k"), F.col("b").alias("b2")), "k", "left")
+        second = kept(2, second.select("k", "c", (_log_of(F.col("p")) - fails + F.coalesce("b2", F.lit(0.0))).alias("x"), F.lit(0.0).alias("y")))
+        third = kept(3, three.join(longer, "l").select("k", "c", (_log_of(F.col("p")) - F.col("b") - _log_of(F.col("p2"))).alias("x"), F.lit(0.0).alias("y")))
     return [first, second, third]
 
 

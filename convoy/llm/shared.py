@@ -7,9 +7,9 @@ from contextlib import contextmanager, suppress
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from convoy.sources.shared import fresh_path, materialize, remove, settled, shared_dir
+from convoy.sources.shared import fresh_path, materialize, remove, scratch, settled, shared_dir
 
-__all__ = ["fresh_path", "give_back", "lean", "materialize", "remove", "settled", "shared_dir", "shuffles_dropped"]
+__all__ = ["fresh_path", "give_back", "lean", "materialize", "remove", "scratch", "settled", "shared_dir", "shuffles_dropped"]
 
 
 @contextmanager

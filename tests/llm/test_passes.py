@@ -7,6 +7,7 @@ import sys
 import time
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from convoy.llm import lm
@@ -46,3 +47,28 @@ def test_lm_keeps_no_counts_and_tells_sizes_with_the_words(spark):
     folder = Path(shared_dir(spark).removeprefix("file://"))
     assert not [p for p in folder.rglob("lm_counted_*") if p.stat().st_mtime >= start]
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((i, len((t or "").split()) + 1) for i, t in rows)
+
+
+def test_lm_weights_are_joined_once_and_asked_in_one_pass_each(spark, monkeypatch):
+    """Pairs' and triples' sums took two passes over the texts each, and their weights were joined again for each; what leads to the weights goes."""
+    asked, root = [], Path(shared_dir(spark).removeprefix("file://")) / "convoy"
+    plain = lm.sum_weights
+
+    def seen(rows, weights, n, parts, *rest):
+        asked.append((n, "Join" in weights._jdf.queryExecution().optimizedPlan().toString()))
+        return plain(rows, weights, n, parts, *rest)
+
+    monkeypatch.setattr(lm, "sum_weights", seen)
+    before = set(root.glob("**/lm_*"))
+    rows = [(i, f"a b c d e w{i % 3}") for i in range(40)]
+    assert lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 1).count() == 40
+    assert asked == [(1, False), (2, False), (3, False)]
+    left = {p.name for p in set(root.glob("**/lm_*")) - before}
+    assert not left & {"lm_pairs", "lm_triples", "lm_pair_backoffs"} and {f"lm_weights_{n}" for n in (1, 2, 3)} <= left
+
+
+def test_keys_ascend_also_where_their_upper_bits_are_alike():
+    r = np.random.default_rng(3)
+    for key in (r.integers(0, 1 << 64, 5_000, np.uint64), r.integers(0, 1 << 10, 5_000, np.uint64), np.arange(9, dtype=np.uint64)[::-1], np.zeros(0, np.uint64)):
+        by, ascending = lm._ascending(key)
+        assert ascending.tolist() == sorted(key.tolist()) == key[by].tolist() and sorted(by.tolist()) == list(range(len(key)))
