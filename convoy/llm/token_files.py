@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from convoy.llm import rans
-from convoy.llm.byte_tokens import unit_encoder
+from convoy.llm.byte_tokens import column_encoder
 from convoy.llm.shared import fresh_path
 
 
@@ -67,15 +67,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, how: TokenFiles = TokenFi
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted: one file's documents are held at a time."""
-        encode = unit_encoder(tokenizer)
+        encode = column_encoder(tokenizer)
         # The task's place in the order of ranges, then the file's place in it.
         file = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         held: list[bytes] = []
         size = 0
         for batch in batches:
-            for i, text in zip(batch.column("_id").to_pylist(), batch.column("_text"), strict=True):
-                tokens = encode(text.as_py() or "") + end
+            flat, bounds = encode(batch.column("_text"))
+            for i, lo, hi in zip(batch.column("_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                tokens = flat[lo:hi].tobytes() + end
                 ids.append(i)
                 held.append(tokens)
                 size += len(tokens) // 2

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import random
 import subprocess
 import sys
 import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from convoy.llm import lm
+from convoy.llm.byte_tokens import column_encoder
+from convoy.llm.queries import tokenizer_path
 from convoy.llm.shared import shared_dir
 
 HELD = """
@@ -72,3 +77,17 @@ def test_keys_ascend_also_where_their_upper_bits_are_alike():
     for key in (r.integers(0, 1 << 64, 5_000, np.uint64), r.integers(0, 1 << 10, 5_000, np.uint64), np.arange(9, dtype=np.uint64)[::-1], np.zeros(0, np.uint64)):
         by, ascending = lm._ascending(key)
         assert ascending.tolist() == sorted(key.tolist()) == key[by].tolist() and sorted(by.tolist()) == list(range(len(key)))
+
+
+def test_a_column_is_encoded_as_its_texts_and_units_once():
+    """Each word of each text was looked up by itself; now a slice's distinct ones are."""
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    r = random.Random(1)
+    some = [" ", "\n", "\t", " ", " ", "\x0b", "\x1c", "a", "bc ", "foo ", "'s", "é", "Ω ", "日", "1", "<|x", "..", " bar"]
+    texts = [None, "", " ", "\n", "  ", "\n\n", " \n", "a\n", "a ", "\na", " a"] + ["".join(r.choice(some) for _ in range(r.randint(0, 12))) for _ in range(4_000)]
+    ids, bounds = column_encoder(tokenizer_path("byte_bpe_50k.json"))(pa.array(["x", *texts]).slice(1))
+    assert len(bounds) == len(texts) + 1 and bounds[-1] == len(ids)
+    for text, lo, hi in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert ids[lo:hi].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    ids, bounds = column_encoder(tokenizer_path("byte_bpe_50k.json"))(pa.array([], pa.string()))
+    assert not len(ids) and bounds.tolist() == [0]
